@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +63,54 @@ def drop_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of jobs whose results have been written and are no longer referred to."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table by Hadoop's file system, whatever store the shared folder is in."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+    """(id, component): every id of the links (a, b) with the smallest id reachable; ids without links are left out.
+
+    Alternating large-star and small-star contraction: every round points each node at the least node in its neighbourhood. Minima are
+    aggregated before the shuffle, and a hub is split by Spark's skewed joins.
+    """
+    link = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    shared_dir(links.sparkSession)
+    before = None
+    for _ in range(rounds):
+        both = link.unionByName(link.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.filter("b > a").hint("merge").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        joined = large.hint("merge").join(down, "a")
+        link = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        now = link.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError("links did not settle")
+    return link.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
+        link.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    )
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending unsigned 64-bit keys as the byte planes of their differences, which compress well."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)

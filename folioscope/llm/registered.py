@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, neighbours, packing, toxicity, url_filters
+from . import html_text, jaccard_join, neighbours, packing, suffix_dedup, toxicity, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), end_id=2, capacity=4096)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per repeated passage: the document that repeats it, where, and a document that keeps it."""
+    found = suffix_dedup.repeated_passages(_read(spark, sf_dir, "documents"), least=50)
+    return found.select("doc_id", F.explode("spans").alias("s")).select(
+        "doc_id",
+        F.col("s.start").cast("long").alias("start_word"),
+        F.col("s.end").cast("long").alias("end_word"),
+        F.col("s.first").alias("first_doc_id"),
+    )
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(_read(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels"), _fold(5) != 0)
@@ -56,7 +71,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_nearest_neighbours, op3_url_filters, op4_html_extraction, op6_packing, op9_toxicity)
+    f.__name__: f for f in (op2_nearest_neighbours, op3_url_filters, op4_html_extraction, op6_packing, op7_suffix_dedup, op8_jaccard_join, op9_toxicity)
 }
 
 ORACLE: dict[str, str] = {
