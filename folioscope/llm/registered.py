@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard_join, neighbours, packing, suffix_dedup, toxicity, url_filters
+from . import decontaminate, html_text, jaccard_join, neighbours, packing, suffix_dedup, toxicity, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), width=5, percent=80)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), end_id=2, capacity=4096)
 
@@ -71,7 +75,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_nearest_neighbours, op3_url_filters, op4_html_extraction, op6_packing, op7_suffix_dedup, op8_jaccard_join, op9_toxicity)
+    f.__name__: f for f in (op2_nearest_neighbours, op3_url_filters, op4_html_extraction, op5_decontaminate, op6_packing, op7_suffix_dedup, op8_jaccard_join, op9_toxicity)
 }
 
 ORACLE: dict[str, str] = {
