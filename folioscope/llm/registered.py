@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard_join, katz, neighbours, packing, suffix_dedup, toxicity, url_filters
+from . import decontaminate, html_text, jaccard_join, katz, neighbours, packing, suffix_dedup, token_files, toxicity, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ URL_RULES = [
 ]
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_read(spark, sf_dir, "documents"), end_id=1)
+
+
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -79,7 +83,7 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_nearest_neighbours, op3_url_filters, op4_html_extraction, op5_decontaminate, op6_packing, op7_suffix_dedup, op8_jaccard_join, op9_toxicity, op10_katz)
+    f.__name__: f for f in (op1_token_files, op2_nearest_neighbours, op3_url_filters, op4_html_extraction, op5_decontaminate, op6_packing, op7_suffix_dedup, op8_jaccard_join, op9_toxicity, op10_katz)
 }
 
 ORACLE: dict[str, str] = {
