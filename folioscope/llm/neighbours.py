@@ -2,9 +2,9 @@
 
 Vectors are dealt to blocks; every block of queries meets every block of vectors in one tile, a row of the join. A
 tile multiplies int8-quantised rows. With q = a*Q + e and v = b*V + f, the true product differs from a*b*(Q.V) by at most
-|e||v| + |a*Q||f|, so a pair whose upper bound stays below the k-th greatest lower bound of its tile can't be
+|e||v| + |a*Q||f|, so a pair whose upper bound stays below the k-th greatest lower bound of its tile, or the k-th score so far, can't be
 among the k nearest and is left out; the survivors are recomputed in double precision from the original
-vectors, and each query's survivors of all tiles are merged by a heap. Nothing is lost: the result is exact.
+vectors, and each query's best of all tasks are merged by a heap. Nothing is lost: the result is exact.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shuffle_partitions
+
 FOUND = "query_id long, rank int, vec_id long, score double"
 
 
@@ -61,28 +63,35 @@ def _product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def _nearest_in_tile(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, strip: int = 256) -> pd.DataFrame:
+def _top(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query: greatest score first, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[kept], ids[kept], scores[kept]
+
+
+def _tile(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray, np.ndarray], strip: int = 256):
+    """The k best (row of q, id, score) of this tile and of ``best``, those of the tiles before."""
+    floor = np.full(len(q), -np.inf)
+    if len(best[0]):
+        rows, counts = np.unique(best[0], return_counts=True)
+        least = np.minimum.reduceat(best[2], np.searchsorted(best[0], rows))
+        floor[rows[counts >= k]] = least[counts >= k]
     v8, b, v_scaled, v_rest, v_norm = _quantised(v)
-    found = []
+    found = [best]
     for at in range(0, len(q), strip):
         own, x = query_ids[at : at + strip], q[at : at + strip]
         q8, a, q_scaled, q_rest, _ = _quantised(x)
         product = (q8 @ v8.T).astype(np.float64) * a[:, None] * b[None, :]
         bound = q_rest[:, None] * v_norm[None, :] + q_scaled[:, None] * v_rest[None, :] + 1e-9 * (q_scaled[:, None] * v_norm[None, :])
         product[own[:, None] == ids[None, :]] = -np.inf
-        lower = product - bound
+        lower, least = product - bound, floor[at : at + strip]
         if lower.shape[1] > k:
-            least = np.partition(lower, lower.shape[1] - k, axis=1)[:, -k]
-        else:
-            least = np.full(len(x), -np.inf)
+            least = np.maximum(least, np.partition(lower, lower.shape[1] - k, axis=1)[:, -k])
         i, j = np.nonzero((product + bound >= least[:, None]) & np.isfinite(product))
-        exact = _product(x[i], v[j])
-        order = np.lexsort((ids[j], -exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        starts = np.searchsorted(i, np.arange(len(x)))
-        kept = np.arange(len(i)) - starts[i] < k
-        found.append(pd.DataFrame({"query_id": own[i[kept]], "vec_id": ids[j[kept]], "score": exact[kept]}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        found.append((at + i, ids[j], _product(x[i], v[j])))
+    return _top(*(np.concatenate(c) for c in zip(*found)), k)
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 1024) -> DataFrame:
@@ -95,19 +104,32 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     rows = _usable(vectors, id_col, vector_col)
     count = rows.agg(F.count("*"), F.count_if(queries)).first()
     blocks, query_blocks = (max(1, -(-n // block_rows)) for n in count)
-    every = _blocks(rows, blocks, "block").select("dim", "block", _each(query_blocks, "query_block"), "ids", "data")
+    # a task runs through the blocks of one slice for one query block, and keeps the best of all of them only
+    slices = min(blocks, max(1, -(-2 * shuffle_partitions(rows.sparkSession) // query_blocks)))
+    every = _blocks(rows, blocks, "block").select("dim", (F.col("block") % slices).alias("slice"), _each(query_blocks, "query_block"), "ids", "data")
     asked = _blocks(rows.filter(queries), query_blocks, "query_block")
-    asked = asked.select("dim", _each(blocks, "block"), "query_block", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
-    tiles = asked.hint("merge").join(every, ["dim", "block", "query_block"])
+    asked = asked.select("dim", _each(slices, "slice"), "query_block", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
+    tiles = asked.hint("merge").join(every, ["dim", "slice", "query_block"])
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, best, query_ids = None, none, none[0]
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(query_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda c: batch.column(c)[r].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                dim = batch.column("dim")[r].as_py()
-                q, v = (get(c).astype(np.float64).reshape(-1, dim) for c in ("query_data", "data"))
-                part = _nearest_in_tile(get("query_ids"), q, get("ids"), v, k)
-                yield pa.RecordBatch.from_pandas(part, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]), preserve_index=False)
+                this = tuple(batch.column(c)[r].as_py() for c in ("dim", "slice", "query_block"))
+                if this != key:
+                    if key is not None:
+                        yield out()
+                    key, best, query_ids = this, none, get("query_ids")
+                q, v = (get(c).astype(np.float64).reshape(-1, key[0]) for c in ("query_data", "data"))
+                best = _tile(query_ids, q, get("ids"), v, k, best)
+        if key is not None:
+            yield out()
 
     found = tiles.mapInArrow(run, "query_id long, vec_id long, score double")
 
