@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("rollups",)
+MODULES = ("rollups", "scoring")
 
 
 def _modules():
