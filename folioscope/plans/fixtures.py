@@ -85,4 +85,6 @@ def oracle(sql: str) -> str:
     """DuckDB SQL over the views."""
     views = ", ".join(f"{n} as ({re.sub(r'[{}]', '', _spelled(t, 1))})" for n, t in VIEWS.items())
     sql = sql.strip()
+    if sql.lower().startswith("with recursive "):
+        return f"with recursive {views}, {sql[15:]}"
     return f"with {views}, {sql[5:]}" if sql.lower().startswith("with ") else f"with {views} {sql}"
