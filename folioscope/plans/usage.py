@@ -88,10 +88,10 @@ _add(
 _add(
     "S8_quota_decisions",
     lambda s, d: U.quota_decisions(_events(s, d), 2, 86400),
-    """with recursive e as (select event_id, user_id, epoch_us(created_at) as at, row_number() over (partition by user_id order by epoch_us(created_at), event_id) as rn from usage_events where user_id is not null),
-        walk as (select event_id, user_id, rn, true as allowed, [at] as kept from e where rn = 1
-            union all select e.event_id, e.user_id, e.rn, len(list_filter(w.kept, lambda t: t >= e.at - 86400000000)) < 2,
-                case when len(list_filter(w.kept, lambda t: t >= e.at - 86400000000)) < 2 then list_append(list_filter(w.kept, lambda t: t >= e.at - 86400000000), e.at) else list_filter(w.kept, lambda t: t >= e.at - 86400000000) end
+    """with recursive e as (select event_id, user_id, epoch_us(created_at) as t_us, row_number() over (partition by user_id order by epoch_us(created_at), event_id) as rn from usage_events where user_id is not null),
+        walk as (select event_id, user_id, rn, true as allowed, [t_us] as kept from e where rn = 1
+            union all select e.event_id, e.user_id, e.rn, len(list_filter(w.kept, lambda t: t >= e.t_us - 86400000000)) < 2,
+                case when len(list_filter(w.kept, lambda t: t >= e.t_us - 86400000000)) < 2 then list_append(list_filter(w.kept, lambda t: t >= e.t_us - 86400000000), e.t_us) else list_filter(w.kept, lambda t: t >= e.t_us - 86400000000) end
             from walk w join e on e.user_id = w.user_id and e.rn = w.rn + 1)
        select event_id, user_id, allowed from walk""",
 )
