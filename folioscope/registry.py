@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("rollups", "scoring", "text", "usage")
+MODULES = ("resolve", "rollups", "scoring", "text", "usage")
 
 
 def _modules():
