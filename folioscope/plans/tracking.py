@@ -14,7 +14,6 @@ from .fixtures import oracle, view
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-AS_OF = F.lit("2001-01-01").cast("timestamp")
 
 
 def _add(name: str, run, sql: str | None) -> None:

@@ -11,10 +11,13 @@ from .fixtures import oracle, view
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-AS_OF = F.lit("2024-01-30 23:00:00").cast("timestamp")
 T = "timestamp '2024-01-30 23:00:00'"
 
 
+def as_of():
+    return F.lit("2024-01-30 23:00:00").cast("timestamp")
+
+
 def _add(name: str, run, sql: str | None) -> None:
     QUERIES[name] = run
     if sql is not None:
@@ -31,7 +34,7 @@ def _text_time(c: str):
 
 _add(
     "S1_usage_trend",
-    lambda s, d: U.usage_trend(_events(s, d), AS_OF).select(_text_time("bucket"), "page_views", "searches", "active_users"),
+    lambda s, d: U.usage_trend(_events(s, d), as_of()).select(_text_time("bucket"), "page_views", "searches", "active_users"),
     f"""with g as (select unnest(generate_series(date_trunc('day', {T}) - interval 29 day, date_trunc('day', {T}), interval 1 day)) as bucket),
         p as (select date_trunc('day', created_at) as bucket, count(*) filter (event_type = 'page_view') as page_views, count(*) filter (event_type = 'search') as searches, count(distinct user_id) as active_users
               from usage_events where created_at <= {T} group by 1)
@@ -39,26 +42,26 @@ _add(
 )
 _add(
     "D13_events_to_buckets",
-    lambda s, d: U.usage_trend(_events(s, d), AS_OF, "hour", 48).select(_text_time("bucket"), "page_views", "searches", "active_users"),
+    lambda s, d: U.usage_trend(_events(s, d), as_of(), "hour", 48).select(_text_time("bucket"), "page_views", "searches", "active_users"),
     f"""with g as (select unnest(generate_series({T} - interval 47 hour, {T}, interval 1 hour)) as bucket)
        select strftime(bucket, '%Y-%m-%d %H:%M:%S') as bucket, count(*) filter (event_type = 'page_view') as page_views, count(*) filter (event_type = 'search') as searches, count(distinct user_id) as active_users
        from g left join usage_events on created_at >= bucket and created_at < bucket + interval 1 hour and created_at <= {T} group by 1""",
 )
 _add(
     "S2_usage_summary",
-    lambda s, d: U.usage_summary(_events(s, d), AS_OF, online_minutes=60),
+    lambda s, d: U.usage_summary(_events(s, d), as_of(), online_minutes=60),
     f"""select count(distinct user_id) filter (created_at >= {T} - interval 60 minute) as online_users, count(distinct visitor_hash) filter (created_at >= {T} - interval 60 minute and user_id is null) as online_anonymous,
         count(*) filter (created_at >= date_trunc('day', {T}) and event_type = 'page_view') as today_page_views, count(distinct user_id) filter (created_at >= date_trunc('day', {T})) as today_active_users,
         count(*) filter (created_at >= {T} - interval 7 day and event_type = 'search') as searches, count(*) filter (created_at >= {T} - interval 7 day and event_type = 'profile_view') as profile_views from usage_events""",
 )
 _add(
     "S3_popular_entities",
-    lambda s, d: U.popular_entities(_events(s, d), AS_OF),
+    lambda s, d: U.popular_entities(_events(s, d), as_of()),
     f"select scholar_id, count(*) as views from usage_events where event_type = 'profile_view' and created_at >= {T} - interval 7 day and scholar_id is not null group by 1 order by 2 desc, 1 limit 8",
 )
 _add(
     "S4_anomaly_counts",
-    lambda s, d: U.anomaly_counts(_events(s, d), AS_OF, ["rate_limit", "source_failure", "job_failure", "server_error"]),
+    lambda s, d: U.anomaly_counts(_events(s, d), as_of(), ["rate_limit", "source_failure", "job_failure", "server_error"]),
     f"select event_type, count(*) as n from usage_events where event_type in ('rate_limit', 'source_failure', 'job_failure', 'server_error') and created_at >= {T} - interval 7 day group by 1",
 )
 _add(
@@ -73,10 +76,10 @@ _add(
         last(user_id order by created_at, event_id) as user_id, count(*) as events from usage_events group by 1""",
 )
 NEAR = f"near as (select visitor_hash, count(*) as activity_count, last(event_type order by created_at, event_id) as last_activity, last(user_id order by created_at, event_id) as user_id from usage_events where created_at >= {T} - interval 120 minute group by 1)"
-_add("D15_active_session_activity", lambda s, d: U.session_activity(_events(s, d), AS_OF, 120), f"with {NEAR} select * from near")
+_add("D15_active_session_activity", lambda s, d: U.session_activity(_events(s, d), as_of(), 120), f"with {NEAR} select * from near")
 _add(
     "S7_online_sessions",
-    lambda s, d: U.online_sessions(_events(s, d), AS_OF, 120),
+    lambda s, d: U.online_sessions(_events(s, d), as_of(), 120),
     f"with {NEAR} select coalesce('user:' || user_id, 'visitor:' || visitor_hash) as who, count(*) as sessions, cast(sum(activity_count) as bigint) as activity_count from near group by 1",
 )
 _add(
@@ -103,7 +106,7 @@ _add(
         v as (select event_id, count(*) over (partition by visitor_hash order by epoch_us(created_at) range between 86400000000 preceding and current row) as n from f)
        select event_id from u where n >= 3 union select event_id from v where n >= 4""",
 )
-_add("S10_retention", lambda s, d: U.retention(_events(s, d), AS_OF, 10).select("event_id", "event_type"), f"select event_id, event_type from usage_events where created_at >= {T} - interval 10 day")
+_add("S10_retention", lambda s, d: U.retention(_events(s, d), as_of(), 10).select("event_id", "event_type"), f"select event_id, event_type from usage_events where created_at >= {T} - interval 10 day")
 _add(
     "S11_status_changes",
     lambda s, d: U.status_changes(
@@ -145,8 +148,8 @@ _add(
 def _due(s, d):
     e, jobs = _events(s, d), view(s, d, "jobs")
     seen = e.groupBy("scholar_id").agg(F.max("created_at").alias("last_accessed_at"))
-    synced = view(s, d, "scholars").select("scholar_id", F.when(F.col("scholar_id") % 3 > 0, AS_OF - F.make_dt_interval((F.col("scholar_id") % 14).cast("int"))).alias("last_synced_at"))
-    return U.due_for_refresh(e.filter("event_type = 'signup'").select("scholar_id"), seen, synced, jobs.filter("status = 'pending' and job_id % 9 = 0"), AS_OF)
+    synced = view(s, d, "scholars").select("scholar_id", F.when(F.col("scholar_id") % 3 > 0, as_of() - F.make_dt_interval((F.col("scholar_id") % 14).cast("int"))).alias("last_synced_at"))
+    return U.due_for_refresh(e.filter("event_type = 'signup'").select("scholar_id"), seen, synced, jobs.filter("status = 'pending' and job_id % 9 = 0"), as_of())
 
 
 _add(
@@ -159,7 +162,7 @@ _add(
 )
 _add(
     "S17_freshness_class",
-    lambda s, d: U.freshness(_events(s, d).select(F.col("event_id").alias("key"), "created_at", (F.col("event_id") % 3).alias("version"), (F.col("event_id") % 5).alias("results")), AS_OF, 1),
+    lambda s, d: U.freshness(_events(s, d).select(F.col("event_id").alias("key"), "created_at", (F.col("event_id") % 3).alias("version"), (F.col("event_id") % 5).alias("results")), as_of(), 1),
     f"""select event_id as key, case when event_id % 3 <> 1 then 'unsupported' when created_at + case when event_id % 5 = 0 then interval 15 minute else interval 24 hour end >= {T} then 'fresh' else 'stale' end as freshness from usage_events""",
 )
 _add(
