@@ -81,3 +81,25 @@ def peer_page(candidates: DataFrame, limit: int = 20, offset: int = 0) -> DataFr
     rows = candidates.withColumn("place", F.row_number().over(w.orderBy(F.desc("ready"), "discovery_rank", "candidate_id"))).withColumn("total", F.count("*").over(w))
     following = F.when(F.col("total") > offset + limit, offset + limit)
     return rows.filter((F.col("place") > offset) & (F.col("place") <= offset + limit)).withColumn("next_offset", following)
+
+
+def filter_candidates(candidates: DataFrame, institution: str = "", topic: str = "", orcid_only: bool = False) -> DataFrame:
+    """Candidates (query, seq, group_rank, institution, topics, orcid, papers, citations) that pass the filters, numbered per query: by identity group, then papers, citations and input order."""
+    x = candidates
+    if institution:
+        x = x.filter(F.contains(F.lower("institution"), F.lit(institution.lower())))
+    if topic:
+        x = x.filter(F.contains(F.lower("topics"), F.lit(topic.lower())))
+    if orcid_only:
+        x = x.filter("orcid is not null")
+    w = Window.partitionBy("query").orderBy("group_rank", F.desc("papers"), F.desc("citations"), "seq")
+    return x.withColumn("place", F.row_number().over(w))
+
+
+def profile_documents(totals: DataFrame, trend: DataFrame, topics: DataFrame, coauthors: DataFrame) -> DataFrame:
+    """(scholar_id, document): one nested JSON profile per scholar from its parts."""
+    listed = lambda df, name, *cols: df.groupBy("scholar_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    x = totals.select("scholar_id", F.struct("papers", "citations", "h_index").alias("metrics"))
+    for part in (listed(trend, "trend", "year", "papers", "citations"), listed(topics, "topics", "rank", "topic", "works_count"), listed(coauthors, "coauthors", "rank", "other_id", "name", "papers")):
+        x = x.join(part, "scholar_id", "left")
+    return x.select("scholar_id", F.to_json(F.struct("metrics", "trend", "topics", "coauthors")).alias("document"))

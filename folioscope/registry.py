@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("resolve", "rollups", "scoring", "text", "tracking", "usage")
+MODULES = ("extra", "resolve", "rollups", "scoring", "text", "tracking", "usage")
 
 
 def _modules():
