@@ -9,40 +9,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A-Z and the white space that separates words.
+from folioscope.operators.graph import components, shared_dir  # noqa: F401  used by the operators
+
+#: A-Z.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SPACE = " \t\n\x0b\x0c\r"
 
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def words(text: Column, lower: bool = True) -> Column:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lower-cased; null or blank: an empty array."""
-    text = F.coalesce(text, F.lit(""))
-    trimmed = F.btrim(lower_ascii(text) if lower else text, F.lit(SPACE))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+"))
-
-
-def word_hashes(text: Column) -> Column:
-    """64-bit hashes of the words, computed in the JVM so that Python gets one flat buffer of longs."""
-    return F.transform(words(text), lambda w: F.xxhash64(w))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        import tempfile
-
-        named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -50,6 +26,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: cuts lineage, survives lost executors, has known sizes."""
+    modest(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -61,49 +38,16 @@ def drop_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in own])
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def modest(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows (with whole texts, Spark's 10000 take too much of a task's memory), and no shuffle files beyond their job."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    # a finished job's shuffle files go at once; what later jobs need has been written as a table
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of jobs whose results have been written and are no longer referred to."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table by Hadoop's file system, whatever store the shared folder is in."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, component): every id of the links (a, b) with the smallest id reachable; ids without links are left out.
-
-    Alternating large-star and small-star contraction: every round points each node at the least node in its neighbourhood. Minima are
-    aggregated before the shuffle, and a hub is split by Spark's skewed joins.
-    """
-    link = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    shared_dir(links.sparkSession)
-    before = None
-    for _ in range(rounds):
-        both = link.unionByName(link.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").hint("merge").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.hint("merge").join(down, "a")
-        link = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct().checkpoint()
-        now = link.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("links did not settle")
-    return link.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
-        link.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    )
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:

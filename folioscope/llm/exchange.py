@@ -34,9 +34,9 @@ def lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def known_elsewhere(sets: DataFrame) -> DataFrame:
-    """(doc_id, known): the rows of sets (chunk, doc_id, k1, s) with those of their keys s that other classes k1 have too.
+    """(doc_id, known): the rows of sets (chunk, doc_id, k1, s, least) with those of their keys s that other classes k1 have too.
 
-    Rows without such a key are left out; a class dealt to several chunks counts as several. Every chunk asks each bucket about its
+    Rows with fewer than ``least`` such keys are left out; a class dealt to several chunks counts as several. Every chunk asks each bucket about its
     distinct keys once, however frequent they are, and gets those back that others have too; so a hot key is one entry per chunk.
     """
     total = sets.agg(F.sum(F.size("s"))).first()[0] or 0
@@ -83,13 +83,13 @@ def known_elsewhere(sets: DataFrame) -> DataFrame:
         if not len(known) or not len(docs):
             return pd.DataFrame({"doc_id": docs["doc_id"][:0], "known": []})
         found = []
-        for s in docs["s"]:
+        for s, least in zip(docs["s"], docs["least"]):
             s = np.asarray(s, np.int64).view(np.uint64)
             own = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
-            found.append(np.unique(s[own].view(np.int64)) if own.any() else None)
+            found.append(np.unique(s[own].view(np.int64)) if own.sum() >= max(least, 1) else None)
         out = pd.DataFrame({"doc_id": docs["doc_id"], "known": found})
         return out[out["known"].notna()]
 
     asked = sets.select("chunk", "k1", "s").mapInArrow(ask, "bucket int, chunk int, keys binary, shared binary")
     answers = asked.groupBy("bucket").applyInPandas(answer, "chunk int, keys binary")
-    return sets.select("chunk", "doc_id", "s").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(hit, "doc_id long, known array<long>")
+    return sets.select("chunk", "doc_id", "s", "least").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(hit, "doc_id long, known array<long>")
