@@ -1,11 +1,11 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, exact verification.
 
-Every window of a document that is as long as a benchmark item, and shares at least one shingle with some item (a window without
-one can't be similar), gets a 64-bit SimHash of its shingles. Fingerprints are cut into radius + 1 blocks: of two within the radius at
+Every window of a document that is as long as a benchmark item, and shares at least one shingle with an item of that length (a window
+without one can't be similar to any), gets a 64-bit SimHash of its shingles. Fingerprints are cut into radius + 1 blocks: of two within the radius at
 least one block is equal, so looking each block up finds all of them. Candidates within the radius are verified by the exact
 weighted Jaccard similarity of the two multisets of shingles.
 
-Items are a query set held against all documents: they are broadcast in slices of a bounded number of words, one pass
+Items are a query set held against all documents: they are broadcast in slices of a bounded size, one pass
 over the documents each, so a benchmark of any size works.
 """
 
@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_hashes
-from .exchange import flat
+from .common import modest
 from .shingles import mix, rolling
+from .wordhash import hashed_words
 
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, similarity double"
-#: Words of items in one broadcast slice (some 100 bytes each).
-SLICE_WORDS = 2_000_000
+#: Bytes of items in one broadcast slice (an index takes some 40 times as much).
+SLICE_BYTES = 4_000_000
 BITS = 64
 
 
@@ -71,6 +71,11 @@ class Index:
         self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:])]
         self.prints = np.array([simhash(s) for s in sets], np.uint64)
         sizes = np.array([len(s) for s in sets], np.int64)
+        # the sizes of the items that have a shingle: a window can only be similar to an item with which it shares one
+        self.sizes_of: dict[int, set[int]] = {}
+        for s in sets:
+            for k in s.tolist():
+                self.sizes_of.setdefault(k, set()).add(len(s))
         # per size in shingles: its items, and per block the items in order of their block
         self.by_size = {}
         for size in np.unique(sizes).tolist():
@@ -107,8 +112,12 @@ class Index:
         """(item, start word, words, similarity): the best window for each similar item, the first of equals."""
         best: dict[int, tuple[float, int, int]] = {}
         n = len(shingles)
-        for size, tables in self.by_size.items():
-            own = min(size, n)
+        hits_of: dict[int, list[int]] = {}
+        for place, shingle in zip(hits.tolist(), shingles[hits].tolist()):
+            for size in self.sizes_of[shingle]:
+                hits_of.setdefault(size, []).append(place)
+        for size, places in sorted(hits_of.items()):
+            tables, hits, own = self.by_size[size], np.array(places), min(size, n)
             if 100 * own < self.percent * size:
                 continue
             # windows that hold a hit, in runs that do not touch
@@ -135,21 +144,23 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int
     item is one window. Items of fewer than ``width`` words and null or empty texts match nothing; repeated rows give repeated
     results; an empty table gives none. Other columns are ignored.
     """
-    known = items.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text").cast("string")).alias("w")).filter(F.size("w") >= width)
-    total = known.agg(F.sum(F.size("w"))).first()[0] or 0
-    slices = max(1, -(-total // SLICE_WORDS))
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = max(1, -(-total // SLICE_BYTES))
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text").cast("string")).alias("w"))
+    modest(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def one(part: int) -> DataFrame:
-        table = known.filter(F.pmod(F.xxhash64("w"), F.lit(slices)) == part).toArrow() if slices > 1 else known.toArrow()
-        pairs = [(table.column(0)[k].as_py(), np.array(table.column(1)[k].values, np.int64).view(np.uint64)) for k in range(table.num_rows)]
+        table = known.filter(F.pmod(F.xxhash64("text"), F.lit(slices)) == part).toArrow()
+        values, offsets = hashed_words(table.column(1))
+        pairs = [(i, values[a:b]) for i, a, b in zip(table.column(0).to_pylist(), offsets[:-1], offsets[1:]) if b - a >= width]
         shared = spark.sparkContext.broadcast(Index(pairs, width, percent, radius))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                values, offsets = flat(batch.column(1))
+                values, offsets = hashed_words(batch.column(1))
                 if batch.num_rows == 0:
                     continue
                 every = rolling(values[offsets[0] : offsets[-1]], width)
