@@ -22,14 +22,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, scratch, word_hashes
-from .exchange import flat
+from .common import modest, scratch
 from .shingles import mix
+from .wordhash import hashed_words
 
 #: Counts up to this are discounted.
 DISCOUNTED = 5
-CHUNK_TOKENS = 2_000_000
-BUCKET_KEYS = 4_000_000
+CHUNK_TOKENS = 1_000_000
+BUCKET_KEYS = 1_500_000
 #: Most histories that are dealt to several buckets.
 MANY_HISTORIES = 50_000
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -91,6 +91,9 @@ class Unigrams:
         return np.where(c > 0, self.discounts.of(c) * c / max(self.total, 1), self.unknown)
 
 
+CHUNK = "chunk long, n_tokens long, n_words long, ids binary, missing binary, held binary, lengths binary, at binary, words binary, counts binary"
+
+
 def _chunks(docs: DataFrame, held_out: Column) -> DataFrame:
     """Rows of some million tokens: documents as indices into the chunk's distinct words (hashes, ascending), and these words' training counts."""
 
@@ -106,29 +109,37 @@ def _chunks(docs: DataFrame, held_out: Column) -> DataFrame:
             ids, missing, is_held, lengths, words = (np.concatenate([h[k] for h in held]) for k in range(5))
             vocabulary, at = np.unique(words, return_inverse=True)
             counts = np.bincount(at, weights=np.repeat(~is_held, lengths), minlength=len(vocabulary)).astype(np.int64)
-            row = [[serial], [pack(ids)], [pack(missing)], [pack(is_held)], [pack(lengths)], [pack(at.astype(np.int32))], [_steps(vocabulary)], [pack(counts.astype(np.int32))]]
+            row = [pack(ids), pack(missing), pack(is_held), pack(lengths), pack(at.astype(np.int32)), _steps(vocabulary), pack(counts.astype(np.int32))]
+            numbers = [serial, len(words), len(vocabulary)]
             serial, held, tokens = serial + 1, [], 0
-            return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64())] + [pa.array(c, pa.binary()) for c in row[1:]], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in numbers] + [pa.array([c], pa.binary()) for c in row], names=names)
 
-        names = ["chunk", "ids", "missing", "held", "lengths", "at", "words", "counts"]
+        names = [f.split()[0] for f in CHUNK.split(", ")]
         for batch in batches:
-            values, offsets = flat(batch.column(2))
+            values, offsets = hashed_words(batch.column(2))
             lengths = np.diff(offsets).astype(np.int64) + 1
-            ends = np.cumsum(lengths) - 1
-            words = np.full(int(lengths.sum()), END)
-            inner = np.ones(len(words), bool)
-            inner[ends] = False
-            words[inner] = values[offsets[0] : offsets[-1]]
-            ids = batch.column(0)
-            held.append((ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), lengths.astype(np.int32), words))
-            tokens += len(words)
-            if tokens >= CHUNK_TOKENS:
-                yield out()
+            edges = np.concatenate([[0], np.cumsum(lengths)])
+            missing = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            is_held = batch.column(1).to_numpy(zero_copy_only=False)
+            start = 0
+            while start < batch.num_rows:  # as many documents as the chunk has room for, one at least
+                stop = max(start + 1, int(np.searchsorted(edges, edges[start] + CHUNK_TOKENS - tokens, "right")) - 1)
+                own = slice(start, stop)
+                words = np.full(int(edges[stop] - edges[start]), END)
+                inner = np.ones(len(words), bool)
+                inner[edges[start + 1 : stop + 1] - edges[start] - 1] = False
+                words[inner] = values[offsets[start] : offsets[stop]]
+                held.append((ids[own], missing[own], is_held[own], lengths[own].astype(np.int32), words))
+                tokens += len(words)
+                start = stop
+                if tokens >= CHUNK_TOKENS * 0.9:
+                    yield out()
         if held:
             yield out()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), word_hashes(F.col("text").cast("string")).alias("w"))
-    return rows.mapInArrow(run, "chunk long, ids binary, missing binary, held binary, lengths binary, at binary, words binary, counts binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, CHUNK)
 
 
 def _dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -277,16 +288,13 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     other columns are ignored. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
+    modest(spark)
     path = scratch(spark, "chunks")
     _chunks(docs, held_out).write.parquet(path)
     chunks = spark.read.parquet(path)
-    sizes = chunks.agg(F.sum(F.length("counts")), F.sum(F.length("at"))).first()
-    # a word takes half a byte at least, a distinct pair two
-    word_buckets = max(8, -(-(sizes[0] or 0) // (BUCKET_KEYS // 2)))
-    pair_buckets = max(8, -(-(sizes[1] or 0) // (BUCKET_KEYS * 2)))
+    word_buckets, pair_buckets = (max(8, -(-(n or 0) // BUCKET_KEYS)) for n in chunks.agg(F.sum("n_words"), F.sum("n_tokens")).first())
     number_path = scratch(spark, "numbers")
     _word_numbers(chunks, word_buckets).write.parquet(number_path)
-    release(spark)
     numbers = spark.read.parquet(number_path)
     stats = _sum_stats(numbers, DISCOUNTED + 4)
     total, types, counts = stats[0], stats[1], stats[2:]
@@ -297,7 +305,6 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     pair_path = scratch(spark, "pairs")
     replies = numbers.filter("chunk >= 0")
     _pair_counts(chunks, replies, unigrams, word_buckets, pair_buckets, often).write.parquet(pair_path)
-    release(spark)
     pairs = spark.read.parquet(pair_path)
     d2 = Discounts.good_turing(_sum_stats(pairs, DISCOUNTED + 2))
     hot: dict[int, list] = {}
