@@ -6,8 +6,8 @@ meets in one of the rest. The cost of an l is the number of postings its remaini
 cheapest. Steps:
 
 1. documents with one shingle set form a class, its least doc_id stands for it;
-2. the shortest prefixes (l = 1) of all documents are counted in hash buckets: a class with no prefix shingle known elsewhere has no
-   partner, and only the others' full sets are kept;
+2. prefixes with l = 1 + n / 10 of all documents are counted in hash buckets: a class with fewer than l prefix shingles known elsewhere
+   has no partner, and only the others' full sets are kept;
 3. these classes choose l and probe the postings. First each is compared with one pivot of every posting list
    only, so that a large group of near copies joins up through few comparisons; what is then still in different components
    and shares a posting is compared in full. No link between different components is left out, and all links that count are verified on
@@ -23,40 +23,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, release, scratch, word_hashes
-from .exchange import flat, known_elsewhere, lists
+from .common import components, modest, scratch, written
+from .exchange import known_elsewhere, lists
 from .shingles import mix, needed, shingle_set
+from .wordhash import hashed_words
+
+def most_matches(n: int) -> int:
+    """The longest prefix that is considered asks for so many shared shingles."""
+    return 1 + n // 10
+
 
 def _sets(docs: DataFrame, width: int, percent: int, prefix: bool) -> DataFrame:
-    """(chunk, doc_id, n, k1, k2, s): set size, 128 bits that name the set, and its prefix or all of it, ascending."""
+    """(chunk, doc_id, n, k1, k2, s, least): set size, 128 bits that name the set, its prefix or all of it, ascending, and how many of the
+    prefix a similar set must share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId()
         for batch in batches:
-            values, offsets = flat(batch.column(1))
+            values, offsets = hashed_words(batch.column(1))
             n, k1, k2, rows = [], [], [], []
             for i in range(batch.num_rows):
                 s = shingle_set(values[offsets[i] : offsets[i + 1]], width)
                 n.append(len(s))
                 k1.append(np.sum(mix(s + np.uint64(1)), dtype=np.uint64))
                 k2.append(np.sum(mix(s ^ np.uint64(0x5555555555555555)), dtype=np.uint64) + np.uint64(len(s)))
-                rows.append(np.sort(s.view(np.int64)).view(np.uint64)[: len(s) - needed(len(s), percent) + 1 if prefix else None] if len(s) else s)
+                rows.append(np.sort(s.view(np.int64)).view(np.uint64)[: len(s) - needed(len(s), percent) + most_matches(len(s)) if prefix else None] if len(s) else s)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(batch.num_rows, chunk, np.int32)), batch.column(0), pa.array(n, pa.int32())]
                 + [pa.array(np.array(k, np.uint64).view(np.int64)) for k in (k1, k2)]
-                + [lists(rows)],
-                names=["chunk", "doc_id", "n", "k1", "k2", "s"],
+                + [lists(rows), pa.array([most_matches(x) for x in n], pa.int32())],
+                names=["chunk", "doc_id", "n", "k1", "k2", "s", "least"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text").cast("string")).alias("w"))
-    return rows.mapInArrow(run, "chunk int, doc_id long, n int, k1 long, k2 long, s array<long>")
-
-
-def _prefix(n, percent: int, matches):
-    """Length of the prefix of which a similar set shares at least ``matches``."""
-    return n - F.ceil(n * F.lit(percent) / 100).cast("int") + matches
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "chunk int, doc_id long, n int, k1 long, k2 long, s array<long>, least int")
 
 
 def _choose(postings: DataFrame, percent: int) -> DataFrame:
@@ -80,9 +82,9 @@ def _choose(postings: DataFrame, percent: int) -> DataFrame:
                     cost = int(df[own].sum())
                     if best is None or cost < best[0]:
                         best = (cost, matches, key[own])
-                    if cost == 0 or matches > n // 10:
+                    if cost == 0 or matches >= most_matches(n):
                         break
-                    matches = min(2 * matches, n // 10 + 1)
+                    matches = min(2 * matches, most_matches(n))
                 chosen.append(best[1])
                 probes.append(best[2].astype(np.int64).view(np.uint64))
             yield pa.RecordBatch.from_arrays([x, batch.column(1), pa.array(chosen, pa.int32()), lists(probes)], names=["x", "n", "l", "ks"])
@@ -108,11 +110,9 @@ def _links(full: DataFrame, percent: int, pivots: int) -> DataFrame:
     counts = entries.groupBy("k").agg(F.count("*").alias("df")).filter("df > 1")
     path = scratch(spark, "postings")
     entries.hint("merge").join(counts, "k").write.parquet(path)
-    release(spark)
     postings = spark.read.parquet(path)
     probe_path = scratch(spark, "probes")
     _choose(postings, percent).write.parquet(probe_path)
-    release(spark)
     probes = spark.read.parquet(probe_path)
     fits = (F.col("n") * percent <= F.col("n_y") * 100) & (F.col("n_y") * percent <= F.col("n") * 100)
     labels, links = None, None
@@ -122,10 +122,9 @@ def _links(full: DataFrame, percent: int, pivots: int) -> DataFrame:
         pairs = probes.hint("merge").join(lists, "k").filter("x <> y").filter(fits).select(F.col("x").alias("a"), F.col("y").alias("b"))
         if labels is not None:
             pairs = _apart(pairs.distinct(), labels)
-        new = _verified(pairs, full, percent)
-        links = (new if links is None else links.unionByName(new)).distinct().checkpoint()
-        labels = components(links)
-        release(spark)
+        new = written(_verified(pairs, full, percent), "links")
+        links = new if links is None else links.unionByName(new)
+        labels = written(_labels(links), "labels")
     near = F.col("rank") < F.col("n_y") - F.ceil(F.col("n_y") * F.lit(percent) / 100).cast("int") + F.col("l")
     own = labels.withColumnsRenamed({"id": "x"})
     labelled = postings.hint("merge").join(own, "x", "left").withColumn("component", F.coalesce("component", "x"))
@@ -136,7 +135,15 @@ def _links(full: DataFrame, percent: int, pivots: int) -> DataFrame:
     asking = probes.hint("merge").join(own, "x", "left").withColumn("c_x", F.coalesce("component", "x")).drop("component")
     met = asking.hint("merge").join(groups, "k").filter("c_x <> c_y")
     rest = met.hint("merge").join(index, ["k", "c_y"]).filter("x < y").filter(fits & near).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return links.unionByName(_verified(rest, full, percent)).distinct().checkpoint()
+    return links.unionByName(written(_verified(rest, full, percent), "links"))
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(id, component): the least partner of each linked class, and that one's least partner. Equal labels are connected; the reverse need not hold."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("m"))
+    two = one.select(F.col("id").alias("m"), F.col("m").alias("component"))
+    return one.hint("merge").join(two, "m").select("id", "component")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -153,6 +160,7 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, pivot
     the classes of all its texts; rows with a null doc_id are left out; other columns are ignored.
     """
     spark = docs.sparkSession
+    modest(spark)
     docs = docs.filter(F.col("doc_id").isNotNull())
     path = scratch(spark, "sets")
     _sets(docs, width, percent, prefix=True).write.parquet(path)
@@ -160,18 +168,16 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, pivot
     classes = sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first")).checkpoint()
     path_hits = scratch(spark, "hits")
     known_elsewhere(sets).select("doc_id").distinct().write.parquet(path_hits)
-    release(spark)
     firsts = classes.select(F.col("first").alias("doc_id"))
     hits = spark.read.parquet(path_hits).hint("merge").join(firsts, "doc_id", "left_semi")
     path_full = scratch(spark, "full")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).hint("merge").join(hits, "doc_id", "left_semi")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(hits.hint("shuffle_hash"), "doc_id", "left_semi")
     full = _sets(chosen, width, percent, prefix=False).filter("n > 0")
     # a repeated doc_id may stand for several texts; the class's own set is the one kept
     repeated = bool(sets.groupBy("doc_id").count().filter("count > 1").limit(1).count())
     if repeated:
         full = full.hint("merge").join(classes, ["k1", "k2"]).filter("doc_id = first").dropDuplicates(["k1", "k2"])
     full.select("doc_id", "n", "s").write.parquet(path_full)
-    release(spark)
     links = _links(spark.read.parquet(path_full), percent, pivots)
     if repeated:
         links = links.unionByName(sets.hint("merge").join(classes, ["k1", "k2"]).filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
