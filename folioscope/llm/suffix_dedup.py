@@ -5,9 +5,9 @@
 2. Grams that occur in one document only are dropped (counted in hash buckets).
 3. The suffixes at the other positions are sorted by their words (a range partitioning, so a passage that very many documents share spreads over
    many tasks) and neighbours are compared and extended to the left and right.
-4. Of each pair of neighbours the one with the larger doc_id is marked where they agree, and so are all of a run of neighbours with a common
-   passage but its least doc_id. A marked passage thus always remains in a document of smaller doc_id. Runs that
-   meet at the edges of two partitions are joined by their least rows, a few per partition.
+4. Each row is held against the one with the least doc_id in its run of neighbours; of the two the one with the larger doc_id is marked where
+   they agree. A marked passage thus always remains in a document of smaller doc_id. Runs that meet at the
+   edges of two partitions are joined by their least rows, a few per partition.
 
 ``least`` words of context on either side are enough: of a longer passage each part is seen from a kept position near it.
 """
@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, scratch, word_hashes
+from .common import modest, scratch
 from .exchange import flat, known_elsewhere, lists
 from .shingles import rolling
+from .wordhash import hashed_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ROW = "key long, right binary, left binary, doc_id long, rid long, pos int"
@@ -53,12 +55,12 @@ def _kept(docs: DataFrame, least: int, gram: int) -> DataFrame:
 
         chunk = TaskContext.get().partitionId()
         for batch in batches:
-            values, offsets = flat(batch.column(1))
+            values, offsets = hashed_words(batch.column(1))
             keys = [kept_positions(values[a:b], least, gram)[1] for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, chunk, np.int32)), batch.column(0), batch.column(0), lists(keys)], names=["chunk", "doc_id", "k1", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, chunk, np.int32)), batch.column(0), batch.column(0), lists(keys), pa.array(np.ones(batch.num_rows, np.int32))], names=["chunk", "doc_id", "k1", "s", "least"])
 
-    rows = docs.select("doc_id", word_hashes(F.col("text")).alias("w")).filter(F.size("w") >= least)
-    return rows.mapInArrow(run, "chunk int, doc_id long, k1 long, s array<long>")
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(run, "chunk int, doc_id long, k1 long, s array<long>, least int")
 
 
 def _suffixes(docs: DataFrame, known: DataFrame, least: int, gram: int) -> DataFrame:
@@ -66,7 +68,7 @@ def _suffixes(docs: DataFrame, known: DataFrame, least: int, gram: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, offsets = flat(batch.column("w"))
+            values, offsets = hashed_words(batch.column("text"))
             asked, asked_at = flat(batch.column("known"))
             doc_ids, rids = batch.column("doc_id").to_numpy(), batch.column("rid").to_numpy()
             for i in range(batch.num_rows):
@@ -93,7 +95,7 @@ def _suffixes(docs: DataFrame, known: DataFrame, least: int, gram: int) -> DataF
                     names=[f.split()[0] for f in ROW.split(", ")],
                 )
 
-    rows = docs.hint("merge").join(known, "doc_id").select("doc_id", "rid", word_hashes(F.col("text")).alias("w"), "known")
+    rows = docs.join(known.hint("shuffle_hash"), "doc_id").select("doc_id", "rid", "text", "known")
     return rows.mapInArrow(run, ROW)
 
 
@@ -114,90 +116,130 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(axis=1), a.shape[1], same.argmin(axis=1))
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Equal four-byte words from the start, up to the first that stands for none."""
+    differ = int.from_bytes(a) ^ int.from_bytes(b)
+    n = (8 * len(a) - differ.bit_length()) // 32
+    blank = a.find(b"\0\0\0\0")
+    while blank >= 0 and blank % 4:
+        blank = a.find(b"\0\0\0\0", blank + 1)
+    return n if blank < 0 else min(n, blank // 4)
+
+
+class _Run:
+    """Rows of one gram and one left context of some words, in the order of their suffixes, that all agree far enough."""
+
+    __slots__ = ("last", "last_row", "right", "least", "size")
+
+    def __init__(self, place: int, row: tuple, right: int):
+        self.last, self.last_row, self.right, self.least, self.size = place, row, right, row, 1
+
+
 class _Sweep:
-    """Neighbours of sorted suffixes, batch by batch; marks and the rows that joining the next partition takes."""
+    """Sorted suffixes, batch by batch: marks, and the rows that joining the next partition takes.
+
+    A row is (key, doc_id, rid, pos, right, left). Rows of one gram are neighbours once in the plain order and once more within each
+    class of equal left context of 0, 2, 4 ... words: a row between two copies that differs from them before the gram then parts them in
+    no class that counts. How far two rows agree to the right is the least agreement of neighbours between them.
+    """
 
-    def __init__(self, least: int):
+    def __init__(self, least: int, gram: int):
         self.least = least
-        self.before = None  # right, left and (key, doc_id, rid, pos) of the last row
-        self.run: list[tuple] = []
-        self.extent = (0, 0)
+        self.lefts = list(range(2 * ((least - gram) // 2), -1, -2))
+        self.before: tuple | None = None
         self.marks: list[tuple] = []
         self.edges: dict[tuple, tuple] = {}
-        self.first_run_open = True
-
-    def mark(self, row: tuple, left: int, right: int, first: int) -> None:
-        self.marks.append((row[1], row[2], row[3] - left, row[3] + right, first))
-
-    def close(self, last: bool = False) -> None:
-        if self.run:
-            least = min(self.run, key=lambda r: (r[1], r[3], r[2]))
-            left, right = self.extent
-            if len(self.run) > 2:  # two neighbours have marked each other already
-                for row in self.run:
-                    if row[1] != least[1]:
-                        self.mark(row, left, right, least[1])
-            if self.first_run_open or last:
-                self.edges[least[:4]] = least
-        self.run, self.first_run_open = [], False
+        self.first_key = True
+        self.begin()
+
+    def begin(self) -> None:
+        self.place = 0
+        self.classes: dict[bytes, _Run] = {}
+        # suffix minima of the neighbours' agreement: places ascending, agreements ascending
+        self.places: list[int] = []
+        self.agreed: list[int] = []
+
+    def close(self) -> None:
+        """At either end of a partition the least row of every run of several is an edge."""
+        for run in self.classes.values():
+            if run.size > 1:
+                self.edges[run.least[:4]] = run.least
+        self.first_key = False
+
+    def pair(self, a: tuple, b: tuple, found: set) -> None:
+        later, first = (a, b) if a[1] > b[1] else (b, a)
+        left, right = _common(a[5], b[5]), _common(a[4], b[4])
+        if left + right >= self.least and (later[1], left, right) not in found:
+            found.add((later[1], left, right))
+            self.marks.append((later[1], later[2], later[3] - left, later[3] + right, first[1]))
+
+    def row(self, row: tuple, agreed: int) -> None:
+        """agreed: words to the right that the row before, of the same gram, has too."""
+        i = self.place = self.place + 1
+        while self.agreed and self.agreed[-1] >= agreed:
+            self.places.pop()
+            self.agreed.pop()
+        self.places.append(i)
+        self.agreed.append(agreed)
+        left, found = row[5], set()
+        known = min(row[3], self.least)
+        for words in self.lefts:
+            if words > known:
+                continue
+            name = left[: 4 * words]
+            run = self.classes.get(name)
+            if run is None:
+                self.classes[name] = _Run(i, row, self.least)
+                continue
+            right = self.agreed[bisect_right(self.places, run.last)]
+            if words + min(run.right, right) >= self.least:
+                run.right = min(run.right, right)
+            elif words + right >= self.least:  # a new run of the last row and this one
+                run.right, run.least, run.size = right, run.last_row, 1
+            else:
+                self.classes[name] = _Run(i, row, self.least)
+                continue
+            if row[1] != run.least[1]:
+                self.pair(row, run.least, found)
+            run.last, run.last_row, run.size = i, row, run.size + 1
+            run.least = min(run.least, row, key=lambda r: (r[1], r[3], r[2]))
 
     def add(self, batch: pa.RecordBatch) -> None:
-        n = batch.num_rows
-        if not n:
+        if not batch.num_rows:
             return
-        right, left = _words(batch.column("right"), self.least), _words(batch.column("left"), self.least)
-        own = [batch.column(c).to_numpy() for c in ("key", "doc_id", "rid", "pos")]
-        rows = list(zip(*(c.tolist() for c in own)))
-        if self.before is not None:
-            right = np.concatenate([self.before[0], right])
-            left = np.concatenate([self.before[1], left])
-            rows = [self.before[2], *rows]
-        else:
-            self.edges[rows[0]] = (*rows[0], right[0].tobytes(), left[0].tobytes())
-        r, l = _agreement(right[1:], right[:-1]), _agreement(left[1:], left[:-1])
-        keys = np.array([x[0] for x in rows], np.int64)
-        match = ((keys[1:] == keys[:-1]) & (r + l >= self.least)).tolist()
-        r, l = r.tolist(), l.tolist()
-        full = lambda i: (*rows[i], right[i].tobytes(), left[i].tobytes())
-        if self.run and len(self.run[-1]) == 4:
-            self.run[-1] = full(0)
-        for i, met in enumerate(match):
-            a, b = rows[i], rows[i + 1]
-            if not met:
-                self.close()
-                continue
-            if a[1] != b[1]:
-                self.mark(max(a, b, key=lambda x: x[1]), l[i], r[i], min(a[1], b[1]))
-            both = (min(self.extent[0], l[i]), min(self.extent[1], r[i]))
-            if self.run and sum(both) >= self.least:
-                self.extent = both
-            else:
-                opened = self.first_run_open and not self.run
-                self.close()
-                self.first_run_open = opened and i == 0
-                self.run, self.extent = [full(i)], (l[i], r[i])
-            self.run.append(full(i + 1))
-        self.before = (right[-1:], left[-1:], rows[-1])
+        right = _words(batch.column("right"), self.least)
+        agreed = np.concatenate([[0], _agreement(right[1:], right[:-1])]).tolist()
+        columns = [batch.column(c).to_pylist() for c in ("key", "doc_id", "rid", "pos", "right", "left")]
+        for row, n in zip(zip(*columns), agreed):
+            before, self.before = self.before, row
+            if before is None:
+                self.edges[row[:4]] = row
+            elif before[0] != row[0]:
+                if self.first_key:
+                    self.close()
+                self.begin()
+            elif n == 0:  # the first row of a batch
+                n = _common(before[4], row[4])
+            self.row(row, n)
 
     def drain(self) -> list[tuple]:
         found, self.marks = self.marks, []
         return found
 
     def end(self) -> list[tuple]:
-        self.close(last=True)
+        self.close()
         if self.before is not None:
-            row = self.before[2]
-            self.edges[row] = (*row, self.before[0][0].tobytes(), self.before[1][0].tobytes())
+            self.edges[self.before[:4]] = self.before
         return list(self.edges.values())
 
 
-def _marked(suffixes: DataFrame, least: int) -> DataFrame:
+def _marked(suffixes: DataFrame, least: int, gram: int) -> DataFrame:
     """Marks (kind 0) of sorted suffixes, and each partition's edge rows (kind 1)."""
     types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(f.split()[0], types[f.split()[1]]) for f in MARK.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sweep = _Sweep(least)
+        sweep = _Sweep(least, gram)
 
         def out(marks: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
             rows = [(0, None, None, None, d, rid, None, s, e, first) for d, rid, s, e, first in marks]
@@ -245,27 +287,25 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 8) -> DataFr
     one document or between texts of one doc_id are left alone; documents without any get no row. ``rid`` tells texts of one doc_id apart.
     """
     spark = docs.sparkSession
+    modest(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_id().alias("rid"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     path = scratch(spark, "kept")
     _kept(docs, least, gram).write.parquet(path)
     known_path = scratch(spark, "known")
     known_elsewhere(spark.read.parquet(path)).write.parquet(known_path)
-    release(spark)
     known = spark.read.parquet(known_path).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("known"))).alias("known"))
     suffix_path = scratch(spark, "suffixes")
     _suffixes(docs, known, least, gram).write.parquet(suffix_path)
-    release(spark)
     order = ["key", "right", "doc_id", "pos", "rid"]
     dealt = spark.read.parquet(suffix_path).repartitionByRange(*order).sortWithinPartitions(*order)
     mark_path = scratch(spark, "marks")
-    _marked(dealt, least).write.parquet(mark_path)
-    release(spark)
+    _marked(dealt, least, gram).write.parquet(mark_path)
     both = spark.read.parquet(mark_path)
     # a few rows per partition, so one task can sweep them
     edges = both.filter("kind = 1").select(*order, "left").distinct().coalesce(1).sortWithinPartitions(*order)
     edges = edges.select([f.split()[0] for f in ROW.split(", ")])
     own = ["doc_id", "rid", "start", "end", "first"]
-    return _merged(both.filter("kind = 0").select(own).unionByName(_marked(edges, least).filter("kind = 0").select(own)))
+    return _merged(both.filter("kind = 0").select(own).unionByName(_marked(edges, least, gram).filter("kind = 0").select(own)))
 
 
 def cut(docs: DataFrame, passages: DataFrame) -> DataFrame:
