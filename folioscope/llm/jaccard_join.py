@@ -8,7 +8,7 @@ cheapest. Steps:
 1. documents with one shingle set form a class, its least doc_id stands for it;
 2. prefixes with l = 1 + n / 10 of all documents are counted in hash buckets: a class with fewer than l prefix shingles known elsewhere
    has no partner, and only the others' full sets are kept;
-3. these classes choose l and probe the postings. First each is compared with one pivot of every posting list
+3. these classes choose l and probe the postings. First each is compared with the pivots of some of its long posting lists
    only, so that a large group of near copies joins up through few comparisons; what is then still in different components
    and shares a posting is compared in full. No link between different components is left out, and all links that count are verified on
    the full sets.
@@ -22,12 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import components, modest, scratch, written
 from .exchange import known_elsewhere, lists
 from .shingles import mix, needed, shingle_set
 from .wordhash import hashed_words
 
+#: A posting list of more classes is first joined up by pivots.
+LONG_LIST = 32
+
+
 def most_matches(n: int) -> int:
     """The longest prefix that is considered asks for so many shared shingles."""
     return 1 + n // 10
@@ -115,16 +120,13 @@ def _links(full: DataFrame, percent: int, pivots: int) -> DataFrame:
     _choose(postings, percent).write.parquet(probe_path)
     probes = spark.read.parquet(probe_path)
     fits = (F.col("n") * percent <= F.col("n_y") * 100) & (F.col("n_y") * percent <= F.col("n") * 100)
-    labels, links = None, None
-    for turn in range(pivots):
-        order = F.struct(F.xxhash64("x", F.lit(turn)).alias("h") if turn else F.lit(0).alias("h"), F.col("x"), F.col("n"))
-        lists = postings.groupBy("k").agg(F.min(order).alias("p")).select("k", F.col("p.x").alias("y"), F.col("p.n").alias("n_y"))
-        pairs = probes.hint("merge").join(lists, "k").filter("x <> y").filter(fits).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        if labels is not None:
-            pairs = _apart(pairs.distinct(), labels)
-        new = written(_verified(pairs, full, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        labels = written(_labels(links), "labels")
+    # in a long list every class meets the list's own pivot, a random member; a few such meetings join up a group of near copies
+    member = F.min_by(F.struct("x", "n"), F.xxhash64("x", "k")).alias("p")
+    lists = postings.filter(F.col("df") > LONG_LIST).groupBy("k").agg(member).select("k", F.col("p.x").alias("y"), F.col("p.n").alias("n_y"))
+    met = probes.hint("merge").join(lists, "k").filter("x <> y").filter(fits).groupBy("x", "y").agg(F.min(F.xxhash64("k")).alias("h"))
+    few = met.withColumn("place", F.row_number().over(Window.partitionBy("x").orderBy("h"))).filter(F.col("place") <= pivots)
+    links = written(_verified(few.select(F.col("x").alias("a"), F.col("y").alias("b")), full, percent), "links")
+    labels = written(components(links), "labels")
     near = F.col("rank") < F.col("n_y") - F.ceil(F.col("n_y") * F.lit(percent) / 100).cast("int") + F.col("l")
     own = labels.withColumnsRenamed({"id": "x"})
     labelled = postings.hint("merge").join(own, "x", "left").withColumn("component", F.coalesce("component", "x"))
@@ -138,22 +140,7 @@ def _links(full: DataFrame, percent: int, pivots: int) -> DataFrame:
     return links.unionByName(written(_verified(rest, full, percent), "links"))
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(id, component): the least partner of each linked class, and that one's least partner. Equal labels are connected; the reverse need not hold."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    one = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("m"))
-    two = one.select(F.col("id").alias("m"), F.col("m").alias("component"))
-    return one.hint("merge").join(two, "m").select("id", "component")
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs not yet in one component."""
-    for side in ("a", "b"):
-        pairs = pairs.hint("merge").join(labels.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
-    return pairs.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-
-
-def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, pivots: int = 2) -> DataFrame:
+def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, pivots: int = 16) -> DataFrame:
     """(doc_id, n_shingles, component_id): which documents are connected by links of a Jaccard similarity of percent / 100 or more.
 
     A null, empty or blank text has no shingles and is its own component; a repeated doc_id gives one row each time and joins
