@@ -48,10 +48,7 @@ VIEWS: dict[str, str] = {
             union all
             select o_orderkey as citing_work_id, lag(o_orderkey, 2) over (partition by o_custkey order by o_orderdate, o_orderkey) as cited_work_id from {orders}) x
         where cited_work_id is not null""",
-    "sparse_works": "select * from {works} where work_id % 40 = 0",
-    "sparse_authorships": "select * from {authorships} where work_id % 40 = 0",
-    "sparse_topics": "select * from {work_topics} where work_id % 40 = 0",
-    "focus": "select scholar_id from {scholars} where scholar_id % 10 = 0",
+    "focus": "select scholar_id from {scholars}",
     "abstracts": "select doc_id as work_id, text as abstract, lang as language from {documents}",
     "usage_events": """
         select event_id, sha256_hex(user_id) as visitor_hash, case when user_id % 5 = 0 then null else user_id end as user_id,

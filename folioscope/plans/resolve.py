@@ -103,27 +103,27 @@ _add(
 
 
 def _profiles(s, d):
-    """Every scholar of the sparse corpus split in three, with the facts of each part."""
-    own = view(s, d, "sparse_authorships").select("scholar_id", "work_id").withColumn("profile_id", F.col("scholar_id") * 10 + F.col("work_id") % 3)
+    """Every scholar split in three, with the facts of each part."""
+    own = view(s, d, "authorships").select("scholar_id", "work_id").withColumn("profile_id", F.col("scholar_id") * 10 + F.col("work_id") % 3)
     n = own.groupBy("profile_id", "scholar_id").agg(F.count("*").alias("works_count"))
     names = view(s, d, "scholars").select("scholar_id", "name_key", "orcid")
     profiles = n.join(names, "scholar_id").select("profile_id", "name_key", F.when(F.col("profile_id") % 3 != 0, F.col("orcid")).alias("orcid"), "works_count")
-    others = view(s, d, "sparse_authorships").select(F.col("scholar_id").alias("other"), "work_id")
+    others = view(s, d, "authorships").select(F.col("scholar_id").alias("other"), "work_id")
     fact = lambda df, kind, c: df.select("profile_id", F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value"))
     facts = (
         fact(own.join(view(s, d, "byline_institutions"), ["work_id", "scholar_id"]), "institution", "institution_id")
         .unionByName(fact(own, "work", "work_id"))
         .unionByName(fact(own.join(others, "work_id").filter("other <> scholar_id"), "coauthor", "other"))
-        .unionByName(fact(own.join(view(s, d, "sparse_topics"), "work_id"), "topic", "topic"))
+        .unionByName(fact(own.join(view(s, d, "work_topics"), "work_id"), "topic", "topic"))
     )
     return profiles, facts.distinct()
 
 
-IDENT = """po as (select scholar_id * 10 + work_id % 3 as profile_id, scholar_id, work_id from sparse_authorships),
+IDENT = """po as (select scholar_id * 10 + work_id % 3 as profile_id, scholar_id, work_id from authorships),
     prof as (select profile_id, name_key, case when profile_id % 3 <> 0 then orcid end as orcid, count(*) as works_count from po join scholars using (scholar_id) group by 1, 2, 3),
     facts as (select distinct profile_id, 'institution' as kind, cast(institution_id as varchar) as value from po join byline_institutions using (work_id, scholar_id)
-        union select profile_id, 'work', cast(work_id as varchar) from po union select profile_id, 'coauthor', cast(a.scholar_id as varchar) from po join sparse_authorships a on a.work_id = po.work_id and a.scholar_id <> po.scholar_id
-        union select profile_id, 'topic', topic from po join sparse_topics using (work_id)),
+        union select profile_id, 'work', cast(work_id as varchar) from po union select profile_id, 'coauthor', cast(a.scholar_id as varchar) from po join authorships a on a.work_id = po.work_id and a.scholar_id <> po.scholar_id
+        union select profile_id, 'topic', topic from po join work_topics using (work_id)),
     pairs as (select a.profile_id as left_id, b.profile_id as right_id, a.orcid as lo, b.orcid as ro, least(a.works_count, b.works_count) as fewest from prof a join prof b on a.profile_id < b.profile_id and (a.name_key = b.name_key or a.orcid = b.orcid)),
     cnt as (select profile_id, kind, count(*) as n from facts group by 1, 2),
     sh as (select left_id, right_id, x.kind, count(*) as s from pairs join facts x on x.profile_id = left_id join facts y on y.profile_id = right_id and y.kind = x.kind and y.value = x.value group by 1, 2, 3),
@@ -152,7 +152,7 @@ _add("E4_greedy_author_groups", _groups, None)
 
 
 def _combined(s, d):
-    own = view(s, d, "sparse_authorships").join(view(s, d, "sparse_works"), "work_id").withColumn("profile_id", F.col("scholar_id") * 10 + F.col("work_id") % 3)
+    own = view(s, d, "authorships").join(view(s, d, "works"), "work_id").withColumn("profile_id", F.col("scholar_id") * 10 + F.col("work_id") % 3)
     sums = own.groupBy("profile_id").agg(F.count("*").alias("works_count"), F.sum("cited_by_count").alias("citations"))
     return E.combine_groups(_groups(s, d), sums.join(R.h_index(own, "profile_id", "cited_by_count"), "profile_id")).withColumn("merged_ids", F.array_join(F.transform("merged_ids", lambda x: x.cast("string")), "|"))
 
@@ -169,7 +169,7 @@ _add(
     # records 9q and 9q + 1 share one key, 9q + 1 and 9q + 5 another: the second bridges the first and third
     "select work_id as id, case when work_id % 9 in (1, 5) then work_id - work_id % 9 else work_id end as work_id from works",
 )
-_add("E9_work_components", lambda s, d: E.work_components(view(s, d, "sparse_works"), view(s, d, "sparse_authorships")), None)
+_add("E9_work_components", lambda s, d: E.work_components(view(s, d, "works"), view(s, d, "authorships")), None)
 _add(
     "Q1_assess_quality",
     lambda s, d: E.assess_quality(
@@ -194,17 +194,17 @@ _add(
 def _raw_works(s, d):
     """The works as nested catalogue documents, one JSON text each."""
     entity = lambda i, n: F.struct(i.alias("id"), n.alias("display_name"))
-    authors = view(s, d, "sparse_authorships").groupBy("work_id").agg(
+    authors = view(s, d, "authorships").groupBy("work_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("position_index", "author_position", "is_corresponding", "scholar_id"))),
             lambda a: F.struct(a["author_position"].alias("author_position"), a["is_corresponding"].alias("is_corresponding"), entity(F.concat(F.lit("https://x.org/A"), a["scholar_id"].cast("string")), F.concat(F.lit("Name "), a["scholar_id"].cast("string"))).alias("author")),
         ).alias("authorships")
     )
-    topics = view(s, d, "sparse_topics").groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "topic"))).alias("t"))
+    topics = view(s, d, "work_topics").groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "topic"))).alias("t"))
     named = lambda t: entity(F.replace(t, F.lit(" "), F.lit("_")), t)
     topics = topics.select("work_id", named(F.get("t", F.lit(0))["topic"]).alias("primary_topic"), F.transform("t", lambda x: named(x["topic"])).alias("topics"))
     refs = view(s, d, "work_citations").groupBy(F.col("citing_work_id").alias("work_id")).agg(F.collect_list(F.concat(F.lit("https://x.org/W"), F.col("cited_work_id").cast("string"))).alias("referenced_works"))
-    w = view(s, d, "sparse_works").join(authors, "work_id", "left").join(topics, "work_id", "left").join(refs, "work_id", "left")
+    w = view(s, d, "works").join(authors, "work_id", "left").join(topics, "work_id", "left").join(refs, "work_id", "left")
     w = w.withColumn("id", F.concat(F.lit("https://x.org/W"), F.col("work_id").cast("string"))).withColumn("publication_date", F.col("publication_date").cast("string"))
     return w.select(F.to_json(F.struct("id", "doi", "title", "publication_year", "publication_date", "cited_by_count", F.col("work_type").alias("type"), "venue", "authorships", "primary_topic", "topics", "referenced_works")).alias("json"))
 
@@ -212,19 +212,19 @@ def _raw_works(s, d):
 _add(
     "A1_works_from_json",
     lambda s, d: A.works_from_json(_raw_works(s, d)).select("work_id", "doi", "title", "publication_year", F.col("publication_date").cast("string").alias("publication_date"), "cited_by_count", "work_type", "venue"),
-    "select 'W' || work_id as work_id, lower(replace(doi, 'https://doi.org/', '')) as doi, title, publication_year, cast(publication_date as varchar) as publication_date, cited_by_count, work_type, venue from sparse_works",
+    "select 'W' || work_id as work_id, lower(replace(doi, 'https://doi.org/', '')) as doi, title, publication_year, cast(publication_date as varchar) as publication_date, cited_by_count, work_type, venue from works",
 )
 _add(
     "A2_explode_authorships",
     lambda s, d: A.explode_authorships(_raw_works(s, d)).select("work_id", "scholar_id", "position_index", "author_position", "is_corresponding"),
-    "select 'W' || work_id as work_id, 'A' || scholar_id as scholar_id, position_index, author_position, is_corresponding from sparse_authorships",
+    "select 'W' || work_id as work_id, 'A' || scholar_id as scholar_id, position_index, author_position, is_corresponding from authorships",
 )
 _add(
     "A3_explode_topics",
     lambda s, d: A.explode_topics(_raw_works(s, d)),
-    "select 'W' || work_id as work_id, topic, is_primary, case when is_primary then 0.9 else 0.7 end::double as confidence from sparse_topics",
+    "select 'W' || work_id as work_id, topic, is_primary, case when is_primary then 0.9 else 0.7 end::double as confidence from work_topics",
 )
-_add("A4_citation_edges", lambda s, d: A.citation_edges(_raw_works(s, d)), "select distinct 'W' || citing_work_id as citing_work_id, 'W' || cited_work_id as cited_work_id from work_citations where citing_work_id % 40 = 0")
+_add("A4_citation_edges", lambda s, d: A.citation_edges(_raw_works(s, d)), "select distinct 'W' || citing_work_id as citing_work_id, 'W' || cited_work_id as cited_work_id from work_citations")
 _add(
     "A10_incremental_slice",
     lambda s, d: A.incremental_slice(view(s, d, "authorships").join(view(s, d, "works").select("work_id", "publication_date"), "work_id"), view(s, d, "scholars").filter("scholar_id % 2 = 0").select("scholar_id", F.lit("1999-06-30").cast("date").alias("last_success"))).select("scholar_id", "work_id"),

@@ -24,9 +24,9 @@ def _add(name: str, run, sql: str) -> None:
 
 
 def _value_sets(spark, d):
-    """(categories, method tokens, problem tokens) of the sparse corpus: from titles, and from venues."""
-    w = view(spark, d, "sparse_works").select("work_id", F.lower("title").alias("title"), F.lower("venue").alias("venue"), "publication_year")
-    own = view(spark, d, "sparse_authorships").select("scholar_id", "work_id").join(w, "work_id")
+    """(categories, method tokens, problem tokens) of the corpus: from titles, and from venues."""
+    w = view(spark, d, "works").select("work_id", F.lower("title").alias("title"), F.lower("venue").alias("venue"), "publication_year")
+    own = view(spark, d, "authorships").select("scholar_id", "work_id").join(w, "work_id")
     kinds = F.array(*[F.when(F.exists(F.array(*map(F.lit, words)), lambda k: F.contains("title", k)), kind) for kind, words in KEYWORDS.items()])
     categories = own.select("scholar_id", F.explode(F.array_compact(kinds)).alias("value")).distinct()
     tokens = lambda c: own.filter("publication_year >= 1998").select("scholar_id", F.explode(F.regexp_extract_all(c, F.lit("[a-z0-9]{3,}"), 0)).alias("value")).distinct()
@@ -35,7 +35,7 @@ def _value_sets(spark, d):
 
 def features(spark, d):
     v = lambda n: view(spark, d, n)
-    return S.pair_features(v("sparse_works"), v("sparse_authorships"), v("sparse_topics"), v("scholars"), v("focus"), *_value_sets(spark, d))
+    return S.pair_features(v("works"), v("authorships"), v("work_topics"), v("scholars"), v("focus"), *_value_sets(spark, d))
 
 
 IMPACT = """imp as (select work_id, round(ln(1 + greatest(0, coalesce(cited_by_count, 0)))::double / sqrt(coalesce(greatest(1, (select max(publication_year) from {W}) - publication_year + 1), 3)::double), 12) as impact from {W}),
@@ -65,7 +65,7 @@ def sql(text: str, works="works", authorships="authorships", topics="work_topics
     return text.replace("{W}", works).replace("{A}", authorships).replace("{T}", topics)
 
 
-SPARSE = ("sparse_works", "sparse_authorships", "sparse_topics")
+CORPUS = ("works", "authorships", "work_topics")
 
 
 def _v(*names):
@@ -77,18 +77,18 @@ _add("G2_topic_percentile", lambda s, d: rounded(S.impact_percentile(*_v("works"
 _add("G3_incoming_internal", lambda s, d: S.incoming_internal(*_v("work_citations", "works")(s, d)), sql(f"with {IMPACT} select * from inc"))
 _add(
     "G4_later_same_topic",
-    lambda s, d: S.later_same_topic(*_v(*SPARSE)(s, d)).withColumn("later", F.col("later").cast("long")),
-    sql(f"with {OWN}, {LATER} select scholar_id, work_id, least(3, coalesce(n, 0)) as later from own left join later using (scholar_id, work_id)", *SPARSE),
+    lambda s, d: S.later_same_topic(*_v(*CORPUS)(s, d)).withColumn("later", F.col("later").cast("long")),
+    sql(f"with {OWN}, {LATER} select scholar_id, work_id, least(3, coalesce(n, 0)) as later from own left join later using (scholar_id, work_id)", *CORPUS),
 )
 _add(
     "G5_representative_works",
-    lambda s, d: S.representative_works(*_v(*SPARSE, "work_citations")(s, d)).select("scholar_id", "rank", "work_id", "index", *[F.round(c, 6).alias(c) for c in ("relevance", "percentile", "contribution", "downstream", "continuation")]),
+    lambda s, d: S.representative_works(*_v(*CORPUS, "work_citations")(s, d)).select("scholar_id", "rank", "work_id", "index", *[F.round(c, 6).alias(c) for c in ("relevance", "percentile", "contribution", "downstream", "continuation")]),
     sql(
         f"""with {IMPACT}, {OWN}, {FIELD}, {LATER}, {REP}
         select scholar_id, cast(row_number() over (partition by scholar_id order by index desc, coalesce(year, 0) desc, work_id) as int) as rank, work_id, index,
             round(case when nt + nf - sh > 0 then sh / (nt + nf - sh)::double else 0 end, 6) as relevance, round(percentile, 6) as percentile, contribution, round(downstream, 6) as downstream, round(continuation, 6) as continuation
         from rep qualify rank <= 5""",
-        *SPARSE,
+        *CORPUS,
     ),
 )
 _add(
@@ -98,7 +98,7 @@ _add(
 )
 _add(
     "H1_data_confidence",
-    lambda s, d: S.data_confidence(*_v(*SPARSE, "abstracts")(s, d), view(s, d, "scholars").withColumn("graph_ready", F.col("scholar_id") % 7 != 0)),
+    lambda s, d: S.data_confidence(*_v(*CORPUS, "abstracts")(s, d), view(s, d, "scholars").withColumn("graph_ready", F.col("scholar_id") % 7 != 0)),
     sql(
         """with own as (select distinct scholar_id, work_id, publication_year as year from {A} join {W} using (work_id)),
         n as (select s.scholar_id, s.scholar_id % 7 <> 0 as ready, count(work_id) as works, coalesce(max(year) - min(year) + 1, 0) as year_span,
@@ -108,7 +108,7 @@ _add(
         y as (select *, least(1.0, works / 12.0)::double * 0.35::double + least(1.0, year_span / 6.0)::double * 0.2::double + tr * 0.25::double + ar * 0.15::double + case when ready then 0.05 else 0 end::double as sc from x)
         select scholar_id, works, year_span, round(tr, 3) as topic_coverage, round(ar, 3) as abstract_coverage, round(sc, 3) as score,
                case when not ready or works < 3 or tc < 2 then 'insufficient' when sc >= 0.8 then 'high' when sc >= 0.58 then 'medium' else 'low' end as level from y""",
-        *SPARSE,
+        *CORPUS,
     ),
 )
 CONT = """tc as (select scholar_id, topic, count(distinct work_id) as n, count(distinct year) as y, min(year) as lo, max(year) as hi from ot group by 1, 2),
@@ -140,10 +140,10 @@ QUAL = """sig as (select scholar_id, avg(index) / 100 as s from (select * from r
     qual as (select *, round(round(100 * (s * 0.4::double + strong * 0.25::double + u * 0.2::double + spread * 0.15::double), 9), 1) as quality from qx)"""
 _add(
     "H4_quality_index",
-    lambda s, d: S.quality_index(*_v(*SPARSE, "work_citations")(s, d)),
-    sql(f"with {IMPACT}, {OWN}, {FIELD}, {LATER}, {REP}, {QUAL} select scholar_id, quality, case when quality >= 70 then 'strong' when quality >= 48 then 'moderate' else 'limited' end as band, round(s, 6) as signal, round(strong, 6) as strong_role_share from qual", *SPARSE),
+    lambda s, d: S.quality_index(*_v(*CORPUS, "work_citations")(s, d)),
+    sql(f"with {IMPACT}, {OWN}, {FIELD}, {LATER}, {REP}, {QUAL} select scholar_id, quality, case when quality >= 70 then 'strong' when quality >= 48 then 'moderate' else 'limited' end as band, round(s, 6) as signal, round(strong, 6) as strong_role_share from qual", *CORPUS),
 )
-COLLAB = """pairs as (select x.scholar_id as a, y.scholar_id as b, x.work_id from sparse_authorships x join sparse_authorships y on x.work_id = y.work_id and x.scholar_id <> y.scholar_id),
+COLLAB = """pairs as (select x.scholar_id as a, y.scholar_id as b, x.work_id from authorships x join authorships y on x.work_id = y.work_id and x.scholar_id <> y.scholar_id),
     edges as (select distinct a, b from pairs), two as (select f.a as focus_id, g.b as candidate_id, count(*) as shared from edges f join edges g on f.b = g.a and f.a <> g.b where f.a in (select scholar_id from focus) group by 1, 2),
     direct as (select a as focus_id, b as candidate_id, count(*) as direct_count from pairs group by 1, 2)"""
 _cats = " union all ".join(f"select '{kind}' as kind, '{word}' as word" for kind, words in KEYWORDS.items() for word in words)
@@ -152,7 +152,7 @@ FEATURES = f"""{COLLAB}, prof as (select scholar_id, topic, count(*) as n, count
     met as (select f.scholar_id as focus_id, c.scholar_id as candidate_id, sum(least(f.n, c.n)) as l, sum(least(f.r, c.r)) as lr from prof f join prof c on f.topic = c.topic and f.scholar_id <> c.scholar_id
             where f.scholar_id in (select scholar_id from focus) group by 1, 2),
     kinds as ({_cats}),
-    text as (select distinct a.scholar_id, lower(title) as title, lower(venue) as venue, publication_year as year from sparse_authorships a join sparse_works using (work_id)),
+    text as (select distinct a.scholar_id, lower(title) as title, lower(venue) as venue, publication_year as year from authorships a join works using (work_id)),
     vals as (select distinct scholar_id, 'y' as k, cast(year as varchar) as v from text where year is not null
         union all select distinct scholar_id, 'c', kind from text join kinds on contains(title, word)
         union all select distinct scholar_id, 'm', v from (select scholar_id, unnest(regexp_extract_all(title, '[a-z0-9]{{3,}}')) as v from text where year >= 1998)
@@ -173,20 +173,20 @@ FEATURES = f"""{COLLAB}, prof as (select scholar_id, topic, count(*) as n, count
 _ratios = ("topic_overlap", "recent_overlap", "temporal", "method_similarity", "problem_similarity", "complementarity")
 _add(
     "H7_pair_features",
-    lambda s, d: rounded(features(s, d), *_ratios),
-    sql(f"with {OWN}, {FEATURES} select focus_id, candidate_id, direct_count, shared_collaborators, same_institution, has_institution, {', '.join(f'round({c}, 6) as {c}' for c in _ratios)} from feat", *SPARSE),
+    lambda s, d: (lambda f: f.withColumns({c: F.round(c, 6) for c in _ratios}))(features(s, d)),
+    sql(f"with {OWN}, {FEATURES} select focus_id, candidate_id, direct_count, shared_collaborators, same_institution, has_institution, {', '.join(f'round({c}, 6) as {c}' for c in _ratios)} from feat", *CORPUS),
 )
 PEERS = "select focus_id, candidate_id, round(round(100 * (topic_overlap * 0.45::double + temporal * 0.20::double + recent_overlap * 0.25::double + case when has_institution then 0.1 else 0 end::double), 9), 1) as index from feat where topic_overlap >= 0.18 and temporal >= 0.15"
 LEADS = "select focus_id, candidate_id, round(round(100 * (topic_overlap * 0.25::double + complementarity * 0.25::double + least(1.0, shared_collaborators / 3.0)::double * 0.20::double + least(1.0, direct_count / 4.0)::double * 0.20::double + temporal * 0.10::double), 9), 1) as index from feat where direct_count <= 1 and shared_collaborators >= 1 and topic_overlap >= 0.15 and complementarity >= 0.15"
 RIVALS = f"select focus_id, candidate_id, round(round(100 * (recent_overlap * 0.35::double + problem_similarity * 0.25::double + method_similarity * 0.20::double + temporal * 0.15::double + case when direct_count = 0 then 0.05 else 0 end::double), 9), 1) as index from feat where direct_count < 2 and recent_overlap >= 0.25 and problem_similarity >= 0.08 and method_similarity >= 0.08 and temporal >= 0.15 and (focus_id, candidate_id) not in (select (focus_id, candidate_id) from ({LEADS}))"
 RANK = "select focus_id, candidate_id, index, cast(row_number() over (partition by focus_id order by index desc, candidate_id) as int) as rank from ({}) qualify rank <= 20"
-_add("H9_recommend_peers", lambda s, d: S.recommend_peers(features(s, d)), sql(f"with {OWN}, {FEATURES} {RANK.format(PEERS)}", *SPARSE))
-_add("H10_recommend_collaborators", lambda s, d: S.recommend_collaborators(features(s, d)), sql(f"with {OWN}, {FEATURES} {RANK.format(LEADS)}", *SPARSE))
-_add("H11_recommend_competitors", lambda s, d: S.recommend_competitors(features(s, d)), sql(f"with {OWN}, {FEATURES} {RANK.format(RIVALS)}", *SPARSE))
+_add("H9_recommend_peers", lambda s, d: S.recommend_peers(features(s, d)), sql(f"with {OWN}, {FEATURES} {RANK.format(PEERS)}", *CORPUS))
+_add("H10_recommend_collaborators", lambda s, d: S.recommend_collaborators(features(s, d)), sql(f"with {OWN}, {FEATURES} {RANK.format(LEADS)}", *CORPUS))
+_add("H11_recommend_competitors", lambda s, d: S.recommend_competitors(features(s, d)), sql(f"with {OWN}, {FEATURES} {RANK.format(RIVALS)}", *CORPUS))
 
 
 def _dimensions(s, d):
-    w, a, t, c = _v(*SPARSE, "work_citations")(s, d)
+    w, a, t, c = _v(*CORPUS, "work_citations")(s, d)
     return S.quality_index(w, a, t, c).select("scholar_id", "quality").join(S.continuity_index(w, a, t).select("scholar_id", "continuity"), "scholar_id").join(S.impact_index(w, a, t, c).select("scholar_id", "impact"), "scholar_id")
 
 
@@ -197,15 +197,15 @@ REFS = """select focus_id, candidate_id, round(round(100 * (topic_overlap * 0.30
     from feat join qual on qual.scholar_id = candidate_id join cont on cont.scholar_id = candidate_id join impi on impi.scholar_id = candidate_id
     join (select scholar_id, count(*) as works, count(*) filter (coalesce(year, 0) >= (select max(publication_year) from {W}) - 3) as recent, count(*) filter (work_id in (select work_id from inc)) / count(*)::double as down from own group by 1) n
       on n.scholar_id = candidate_id where topic_overlap >= 0.15 and works >= 4"""
-_add("H6_scholar_dimensions", _dimensions, sql(f"with {DIMS} select scholar_id, quality, continuity, impact from qual join cont using (scholar_id) join impi using (scholar_id)", *SPARSE))
+_add("H6_scholar_dimensions", _dimensions, sql(f"with {DIMS} select scholar_id, quality, continuity, impact from qual join cont using (scholar_id) join impi using (scholar_id)", *CORPUS))
 
 
 def _references(s, d):
-    w, a, _, c = _v(*SPARSE, "work_citations")(s, d)
+    w, a, _, c = _v(*CORPUS, "work_citations")(s, d)
     return S.recommend_references(features(s, d), w, a, _dimensions(s, d), c)
 
 
-_add("H8_recommend_references", _references, sql(f"with {DIMS}, {FEATURES_ONLY} {RANK.format(REFS)}", *SPARSE))
+_add("H8_recommend_references", _references, sql(f"with {DIMS}, {FEATURES_ONLY} {RANK.format(REFS)}", *CORPUS))
 
 
 def _merged(s, d):
@@ -220,11 +220,11 @@ _add(
     sql(
         f"""with {OWN}, {FEATURES}, every as (select *, 'peer' as category from ({RANK.format(PEERS)}) union all select *, 'potential_collaborator' from ({RANK.format(LEADS)}) union all select *, 'potential_competitor' from ({RANK.format(RIVALS)}))
         select focus_id, candidate_id, string_agg(category, '|' order by category) as categories, first(category order by index desc, category) as best_category, max(index) as index from every group by 1, 2""",
-        *SPARSE,
+        *CORPUS,
     ),
 )
 _add(
     "D10_shared_collaborators",
-    lambda s, d: S.shared_collaborators(S.symmetrise(S.coauthor_pairs(view(s, d, "sparse_authorships"))), view(s, d, "focus")).withColumnRenamed("other_id", "candidate_id"),
+    lambda s, d: S.shared_collaborators(S.symmetrise(S.coauthor_pairs(view(s, d, "authorships"))), view(s, d, "focus")).withColumnRenamed("other_id", "candidate_id"),
     f"with {COLLAB} select * from two",
 )

@@ -124,13 +124,13 @@ _add(
 )
 _add(
     "I2_related_scope",
-    lambda s, d: view(s, d, "focus").select("scholar_id").union(R.symmetrise(R.coauthor_pairs(view(s, d, "sparse_authorships"))).join(view(s, d, "focus").withColumnRenamed("scholar_id", "other_id"), "other_id", "left_semi").select("scholar_id")).distinct(),
-    "select scholar_id from focus union select b.scholar_id from sparse_authorships a join sparse_authorships b on a.work_id = b.work_id and a.scholar_id <> b.scholar_id where a.scholar_id in (select scholar_id from focus)",
+    lambda s, d: view(s, d, "focus").select("scholar_id").union(R.symmetrise(R.coauthor_pairs(view(s, d, "authorships"))).join(view(s, d, "focus").withColumnRenamed("scholar_id", "other_id"), "other_id", "left_semi").select("scholar_id")).distinct(),
+    "select scholar_id from focus union select b.scholar_id from authorships a join authorships b on a.work_id = b.work_id and a.scholar_id <> b.scholar_id where a.scholar_id in (select scholar_id from focus)",
 )
 _add(
     "I3_set_compare",
-    lambda s, d: L.set_compare(view(s, d, "focus").select(F.col("scholar_id").alias("a"), (F.col("scholar_id") + 1).alias("b")), view(s, d, "sparse_authorships").join(view(s, d, "sparse_topics"), "work_id").select("scholar_id", F.col("topic").alias("value"))),
-    """with p as (select scholar_id as a, scholar_id + 1 as b from focus), v as (select distinct scholar_id, topic as value from sparse_authorships join sparse_topics using (work_id)),
+    lambda s, d: L.set_compare(view(s, d, "focus").select(F.col("scholar_id").alias("a"), (F.col("scholar_id") + 1).alias("b")), view(s, d, "authorships").join(view(s, d, "work_topics"), "work_id").select("scholar_id", F.col("topic").alias("value"))),
+    """with p as (select scholar_id as a, scholar_id + 1 as b from focus), v as (select distinct scholar_id, topic as value from authorships join work_topics using (work_id)),
         x as (select a, b, value, true as l, false as r from p join v on v.scholar_id = a union all select a, b, value, false, true from p join v on v.scholar_id = b)
        select a, b, value, case when bool_or(l) and bool_or(r) then 'shared' when bool_or(l) then 'left_only' else 'right_only' end as side from x group by 1, 2, 3""",
 )

@@ -56,7 +56,7 @@ _add(
 
 
 def _tokens(s, d, shift):
-    scope = R.symmetrise(R.coauthor_pairs(view(s, d, "sparse_authorships"))).join(view(s, d, "focus"), "scholar_id", "left_semi").select(F.col("scholar_id").alias("focus_id"), F.col("other_id").alias("scholar_id"))
+    scope = R.symmetrise(R.coauthor_pairs(view(s, d, "authorships"))).join(view(s, d, "focus"), "scholar_id", "left_semi").select(F.col("scholar_id").alias("focus_id"), F.col("other_id").alias("scholar_id"))
     own = view(s, d, "focus").select(F.col("scholar_id").alias("focus_id"), "scholar_id")
     states = view(s, d, "scholars").filter("scholar_id % 3 > 0").select("scholar_id", F.lit("ready").alias("status"), (F.col("scholar_id") % 5 + F.when(F.col("scholar_id") == 11, shift).otherwise(0)).alias("version"))
     return K.revision_tokens(scope.unionByName(own), states)
@@ -65,7 +65,7 @@ def _tokens(s, d, shift):
 _add(
     "S20_changed_focus",
     lambda s, d: K.changed_focus(_tokens(s, d, 1), _tokens(s, d, 0)),
-    "select distinct a.scholar_id as focus_id from sparse_authorships a join sparse_authorships b on a.work_id = b.work_id where a.scholar_id in (select scholar_id from focus) and b.scholar_id = 11",
+    "select distinct a.scholar_id as focus_id from authorships a join authorships b on a.work_id = b.work_id where a.scholar_id in (select scholar_id from focus) and b.scholar_id = 11",
 )
 _add(
     "D12_pick_requester",
@@ -100,13 +100,13 @@ _add(
 
 
 def _candidates(s, d):
-    found = R.symmetrise(R.coauthor_pairs(view(s, d, "sparse_authorships"))).select(F.col("scholar_id").alias("focus_id"), F.col("other_id").alias("candidate_id")).distinct().join(view(s, d, "focus").withColumnRenamed("scholar_id", "focus_id"), "focus_id", "left_semi")
+    found = R.symmetrise(R.coauthor_pairs(view(s, d, "authorships"))).select(F.col("scholar_id").alias("focus_id"), F.col("other_id").alias("candidate_id")).distinct().join(view(s, d, "focus").withColumnRenamed("scholar_id", "focus_id"), "focus_id", "left_semi")
     k = F.col("candidate_id") % 5
     return found.withColumn("status", F.when(k == 0, "failed").when(k == 1, "queued").when(k == 2, "updating").otherwise("idle")).withColumn("usable", F.col("candidate_id") % 7 < 3)
 
 
 CANDS = """cand as (select distinct a.scholar_id as focus_id, b.scholar_id as candidate_id, case b.scholar_id % 5 when 0 then 'failed' when 1 then 'queued' when 2 then 'updating' else 'idle' end as status, b.scholar_id % 7 < 3 as usable
-    from sparse_authorships a join sparse_authorships b on a.work_id = b.work_id and a.scholar_id <> b.scholar_id where a.scholar_id in (select scholar_id from focus))"""
+    from authorships a join authorships b on a.work_id = b.work_id and a.scholar_id <> b.scholar_id where a.scholar_id in (select scholar_id from focus))"""
 _add(
     "F29_discovery_progress",
     lambda s, d: K.discovery_progress(_candidates(s, d)),
@@ -137,8 +137,8 @@ _add(
 )
 _add(
     "B12_abstract_from_inverted",
-    lambda s, d: view(s, d, "sparse_topics").groupBy("work_id").agg(F.map_from_entries(F.collect_list(F.struct("topic", F.array(F.col("score").cast("int") * 100 + F.length("topic"), F.lit(1000) + F.length("topic"))))).alias("m")).select("work_id", F.size(F.split(T.abstract_from_inverted(F.col("m")), " ")).cast("long").alias("words")),
-    "select work_id, cast(sum(2 * len(string_split(topic, ' '))) as bigint) as words from sparse_topics group by 1",
+    lambda s, d: view(s, d, "work_topics").groupBy("work_id").agg(F.map_from_entries(F.collect_list(F.struct("topic", F.array(F.col("score").cast("int") * 100 + F.length("topic"), F.lit(1000) + F.length("topic"))))).alias("m")).select("work_id", F.size(F.split(T.abstract_from_inverted(F.col("m")), " ")).cast("long").alias("words")),
+    "select work_id, cast(sum(2 * len(string_split(topic, ' '))) as bigint) as words from work_topics group by 1",
 )
 _add(
     "B11_title_phrases",
