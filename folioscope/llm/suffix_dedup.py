@@ -1,47 +1,44 @@
-"""Suffix-array dedup with sparse suffixes: passages of at least ``least`` words that another document has too.
-
-1. Winnowing picks, in every window of ``least`` words, the position whose ``gram`` words hash lowest. Which positions are kept depends on the
-   words alone, so a repeated passage has a kept position at the same place in each of its copies.
-2. Grams that occur in one document only are dropped (counted in hash buckets).
-3. The suffixes at the other positions are sorted by their words (a range partitioning, so a passage that very many documents share spreads over
-   many tasks) and neighbours are compared and extended to the left and right.
-4. Each row is held against the one with the least doc_id in its run of neighbours; of the two the one with the larger doc_id is marked where
-   they agree. A marked passage thus always remains in a document of smaller doc_id. Runs that meet at the
-   edges of two partitions are joined by their least rows, a few per partition.
-
-``least`` words of context on either side are enough: of a longer passage each part is seen from a kept position near it.
+"""Passages of at least ``least`` words that another document has too, found by their windows of ``least`` words.
+
+1. Winnowing: every window of ``least`` words names the lowest hash of its grams of ``gram`` words. The name depends on the words alone, so equal
+   windows have the same name.
+2. Names that occur in one document only are dropped (counted in hash buckets).
+3. The other windows, as 64-bit hashes of all their words, are asked for the least doc_id that has them, in hash buckets. A chunk sends
+   each distinct window once, so that a passage which very many documents share is one entry per chunk.
+4. A document's windows that a smaller doc_id has are marked and joined up: a passage of ``least`` words or more is the union of its windows. A marked
+   passage thus always remains in a document of smaller doc_id.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import modest, scratch
-from .exchange import flat, known_elsewhere, lists
+from .exchange import first_holders, flat, known_elsewhere, lists, read_holders
 from .shingles import rolling
 from .wordhash import hashed_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ROW = "key long, right binary, left binary, doc_id long, rid long, pos int"
-MARK = "kind int, " + ROW + ", start int, end int, first long"
+SPANS = "array<struct<start int, end int, first long>>"
 
 
-def kept_positions(words: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the lowest-hashing gram (the first of equals) of every window of ``least`` words, and their hashes."""
-    grams = rolling(words, gram)
-    width = least - gram + 1
-    if len(grams) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    windows = np.lib.stride_tricks.sliding_window_view(grams, width)
-    at = np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
-    return at, grams[at]
+def lowest_grams(words: np.ndarray, least: int, gram: int) -> np.ndarray:
+    """For every window of ``least`` words the lowest hash of its grams."""
+    low, width, reach = rolling(words, gram), least - gram + 1, 1
+    if len(low) < width:
+        return np.zeros(0, np.uint64)
+    while reach < width:
+        step = min(reach, width - reach)
+        low = np.minimum(low[:-step], low[step:])
+        reach += step
+    return low
 
 
 def _row_id() -> Column:
@@ -56,228 +53,59 @@ def _kept(docs: DataFrame, least: int, gram: int) -> DataFrame:
         chunk = TaskContext.get().partitionId()
         for batch in batches:
             values, offsets = hashed_words(batch.column(1))
-            keys = [kept_positions(values[a:b], least, gram)[1] for a, b in zip(offsets[:-1], offsets[1:])]
+            keys = [np.unique(lowest_grams(values[a:b], least, gram)) for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, chunk, np.int32)), batch.column(0), batch.column(0), lists(keys), pa.array(np.ones(batch.num_rows, np.int32))], names=["chunk", "doc_id", "k1", "s", "least"])
 
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(run, "chunk int, doc_id long, k1 long, s array<long>, least int")
 
 
-def _suffixes(docs: DataFrame, known: DataFrame, least: int, gram: int) -> DataFrame:
-    """The kept suffixes whose gram others have too, with their words to the right and, reversed, to the left."""
+def _windows(docs: DataFrame, known: DataFrame, least: int, gram: int) -> DataFrame:
+    """(chunk, doc_id, rid, s, at): hashes and places of the windows whose lowest gram other documents have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId()
         for batch in batches:
             values, offsets = hashed_words(batch.column("text"))
             asked, asked_at = flat(batch.column("known"))
-            doc_ids, rids = batch.column("doc_id").to_numpy(), batch.column("rid").to_numpy()
+            found, places = [], []
             for i in range(batch.num_rows):
                 words = values[offsets[i] : offsets[i + 1]]
-                at, keys = kept_positions(words, least, gram)
-                own = np.isin(keys, asked[asked_at[i] : asked_at[i + 1]])
-                at, keys = at[own], keys[own]
-                if not len(at):
-                    continue
-                # 0 stands for no word; big-endian, so that binary order is the order of the words
-                short = np.maximum(words >> np.uint64(32), np.uint64(1)).astype(">u4")
-                padded = np.concatenate([np.zeros(least, ">u4"), short, np.zeros(least, ">u4")])
-                right = padded[at[:, None] + least + np.arange(least)[None, :]]
-                left = padded[at[:, None] + least - 1 - np.arange(least)[None, :]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys.view(np.int64)),
-                        _fixed(right),
-                        _fixed(left),
-                        pa.array(np.full(len(at), doc_ids[i])),
-                        pa.array(np.full(len(at), rids[i])),
-                        pa.array(at.astype(np.int32)),
-                    ],
-                    names=[f.split()[0] for f in ROW.split(", ")],
-                )
+                at = np.nonzero(np.isin(lowest_grams(words, least, gram), asked[asked_at[i] : asked_at[i + 1]]))[0]
+                found.append(rolling(words, least)[at])
+                places.append(at.astype(np.int32))
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int32))
+            at = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(places) if places else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, chunk, np.int32)), batch.column("doc_id"), batch.column("rid"), lists(found), at], names=["chunk", "doc_id", "rid", "s", "at"])
 
     rows = docs.join(known.hint("shuffle_hash"), "doc_id").select("doc_id", "rid", "text", "known")
-    return rows.mapInArrow(run, ROW)
-
-
-def _fixed(rows: np.ndarray) -> pa.Array:
-    size = rows.shape[1] * rows.itemsize
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * size
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
-
-
-def _words(column: pa.Array, least: int) -> np.ndarray:
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(">u4").reshape(-1, least)
-
-
-def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Per row the number of equal words from the start, up to the end of either text."""
-    same = (a == b) & (a != 0)
-    return np.where(same.all(axis=1), a.shape[1], same.argmin(axis=1))
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Equal four-byte words from the start, up to the first that stands for none."""
-    differ = int.from_bytes(a) ^ int.from_bytes(b)
-    n = (8 * len(a) - differ.bit_length()) // 32
-    blank = a.find(b"\0\0\0\0")
-    while blank >= 0 and blank % 4:
-        blank = a.find(b"\0\0\0\0", blank + 1)
-    return n if blank < 0 else min(n, blank // 4)
-
-
-class _Run:
-    """Rows of one gram and one left context of some words, in the order of their suffixes, that all agree far enough."""
+    return rows.mapInArrow(run, "chunk int, doc_id long, rid long, s array<long>, at array<int>").filter("size(s) > 0")
 
-    __slots__ = ("last", "last_row", "right", "least", "size")
 
-    def __init__(self, place: int, row: tuple, right: int):
-        self.last, self.last_row, self.right, self.least, self.size = place, row, right, row, 1
+def joined(at: np.ndarray, first: np.ndarray, least: int) -> list[dict]:
+    """Overlapping and touching windows as spans; at: their places, ascending."""
+    new = np.nonzero(np.concatenate([[True], np.diff(at) > least]))[0]
+    last = np.concatenate([new[1:], [len(at)]]) - 1
+    return [{"start": int(a), "end": int(e) + least, "first": int(f)} for a, e, f in zip(at[new], at[last], np.minimum.reduceat(first, new))]
 
 
-class _Sweep:
-    """Sorted suffixes, batch by batch: marks, and the rows that joining the next partition takes.
+def _marked(windows: DataFrame, answers: DataFrame, least: int) -> DataFrame:
+    def run(docs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(held):
+            keys, first = read_holders(held)
+            for doc_id, rid, s, at in zip(docs["doc_id"], docs["rid"], docs["s"], docs["at"]):
+                s, at = np.asarray(s, np.int64).view(np.uint64), np.asarray(at, np.int64)
+                place = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+                own = (keys[place] == s) & (first[place] < doc_id)
+                if own.any():
+                    out.append((doc_id, rid, joined(at[own], first[place[own]], least)))
+        return pd.DataFrame(out, columns=["doc_id", "rid", "spans"])
 
-    A row is (key, doc_id, rid, pos, right, left). Rows of one gram are neighbours once in the plain order and once more within each
-    class of equal left context of 0, 2, 4 ... words: a row between two copies that differs from them before the gram then parts them in
-    no class that counts. How far two rows agree to the right is the least agreement of neighbours between them.
-    """
-
-    def __init__(self, least: int, gram: int):
-        self.least = least
-        self.lefts = list(range(2 * ((least - gram) // 2), -1, -2))
-        self.before: tuple | None = None
-        self.marks: list[tuple] = []
-        self.edges: dict[tuple, tuple] = {}
-        self.first_key = True
-        self.begin()
-
-    def begin(self) -> None:
-        self.place = 0
-        self.classes: dict[bytes, _Run] = {}
-        # suffix minima of the neighbours' agreement: places ascending, agreements ascending
-        self.places: list[int] = []
-        self.agreed: list[int] = []
-
-    def close(self) -> None:
-        """At either end of a partition the least row of every run of several is an edge."""
-        for run in self.classes.values():
-            if run.size > 1:
-                self.edges[run.least[:4]] = run.least
-        self.first_key = False
-
-    def pair(self, a: tuple, b: tuple, found: set) -> None:
-        later, first = (a, b) if a[1] > b[1] else (b, a)
-        left, right = _common(a[5], b[5]), _common(a[4], b[4])
-        if left + right >= self.least and (later[1], left, right) not in found:
-            found.add((later[1], left, right))
-            self.marks.append((later[1], later[2], later[3] - left, later[3] + right, first[1]))
-
-    def row(self, row: tuple, agreed: int) -> None:
-        """agreed: words to the right that the row before, of the same gram, has too."""
-        i = self.place = self.place + 1
-        while self.agreed and self.agreed[-1] >= agreed:
-            self.places.pop()
-            self.agreed.pop()
-        self.places.append(i)
-        self.agreed.append(agreed)
-        left, found = row[5], set()
-        known = min(row[3], self.least)
-        for words in self.lefts:
-            if words > known:
-                continue
-            name = left[: 4 * words]
-            run = self.classes.get(name)
-            if run is None:
-                self.classes[name] = _Run(i, row, self.least)
-                continue
-            right = self.agreed[bisect_right(self.places, run.last)]
-            if words + min(run.right, right) >= self.least:
-                run.right = min(run.right, right)
-            elif words + right >= self.least:  # a new run of the last row and this one
-                run.right, run.least, run.size = right, run.last_row, 1
-            else:
-                self.classes[name] = _Run(i, row, self.least)
-                continue
-            if row[1] != run.least[1]:
-                self.pair(row, run.least, found)
-            run.last, run.last_row, run.size = i, row, run.size + 1
-            run.least = min(run.least, row, key=lambda r: (r[1], r[3], r[2]))
-
-    def add(self, batch: pa.RecordBatch) -> None:
-        if not batch.num_rows:
-            return
-        right = _words(batch.column("right"), self.least)
-        agreed = np.concatenate([[0], _agreement(right[1:], right[:-1])]).tolist()
-        columns = [batch.column(c).to_pylist() for c in ("key", "doc_id", "rid", "pos", "right", "left")]
-        for row, n in zip(zip(*columns), agreed):
-            before, self.before = self.before, row
-            if before is None:
-                self.edges[row[:4]] = row
-            elif before[0] != row[0]:
-                if self.first_key:
-                    self.close()
-                self.begin()
-            elif n == 0:  # the first row of a batch
-                n = _common(before[4], row[4])
-            self.row(row, n)
-
-    def drain(self) -> list[tuple]:
-        found, self.marks = self.marks, []
-        return found
-
-    def end(self) -> list[tuple]:
-        self.close()
-        if self.before is not None:
-            self.edges[self.before[:4]] = self.before
-        return list(self.edges.values())
-
-
-def _marked(suffixes: DataFrame, least: int, gram: int) -> DataFrame:
-    """Marks (kind 0) of sorted suffixes, and each partition's edge rows (kind 1)."""
-    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    schema = pa.schema([(f.split()[0], types[f.split()[1]]) for f in MARK.split(", ")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sweep = _Sweep(least, gram)
-
-        def out(marks: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
-            rows = [(0, None, None, None, d, rid, None, s, e, first) for d, rid, s, e, first in marks]
-            rows += [(1, key, right, left, d, rid, pos, None, None, None) for key, d, rid, pos, right, left in edges]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-        for batch in batches:
-            sweep.add(batch)
-            if marks := sweep.drain():
-                yield out(marks, [])
-        edges = sweep.end()
-        marks = sweep.drain()
-        if marks or edges:
-            yield out(marks, edges)
-
-    return suffixes.mapInArrow(run, MARK)
-
-
-def _merged(marks: DataFrame) -> DataFrame:
-    """(doc_id, rid, spans): overlapping and touching marks of each document joined."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first", pa.int64())]))
-        for batch in batches:
-            out = []
-            for spans in batch.column(2).to_pylist():
-                joined: list[dict] = []
-                for s in sorted(spans, key=lambda s: (s["start"], s["end"], s["first"])):
-                    if joined and s["start"] <= joined[-1]["end"]:
-                        joined[-1]["end"] = max(joined[-1]["end"], s["end"])
-                        joined[-1]["first"] = min(joined[-1]["first"], s["first"])
-                    else:
-                        joined.append(dict(s))
-                out.append(joined)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["doc_id", "rid", "spans"])
-
-    listed = marks.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "end", "first")).alias("spans"))
-    return listed.mapInArrow(run, "doc_id long, rid long, spans array<struct<start int, end int, first long>>")
+    found = windows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, f"doc_id long, rid long, spans {SPANS}")
+    return found.groupBy("doc_id", "rid").agg(F.first("spans").alias("spans"))  # repeated rows have equal spans
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 8) -> DataFrame:
@@ -294,18 +122,12 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 8) -> DataFr
     known_path = scratch(spark, "known")
     known_elsewhere(spark.read.parquet(path)).write.parquet(known_path)
     known = spark.read.parquet(known_path).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("known"))).alias("known"))
-    suffix_path = scratch(spark, "suffixes")
-    _suffixes(docs, known, least, gram).write.parquet(suffix_path)
-    order = ["key", "right", "doc_id", "pos", "rid"]
-    dealt = spark.read.parquet(suffix_path).repartitionByRange(*order).sortWithinPartitions(*order)
-    mark_path = scratch(spark, "marks")
-    _marked(dealt, least, gram).write.parquet(mark_path)
-    both = spark.read.parquet(mark_path)
-    # a few rows per partition, so one task can sweep them
-    edges = both.filter("kind = 1").select(*order, "left").distinct().coalesce(1).sortWithinPartitions(*order)
-    edges = edges.select([f.split()[0] for f in ROW.split(", ")])
-    own = ["doc_id", "rid", "start", "end", "first"]
-    return _merged(both.filter("kind = 0").select(own).unionByName(_marked(edges, least, gram).filter("kind = 0").select(own)))
+    window_path = scratch(spark, "windows")
+    _windows(docs, known, least, gram).write.parquet(window_path)
+    windows = spark.read.parquet(window_path)
+    first_path = scratch(spark, "first")
+    first_holders(windows.select("chunk", "doc_id", "s")).write.parquet(first_path)
+    return _marked(windows.select("chunk", "doc_id", "rid", "s", "at"), spark.read.parquet(first_path), least)
 
 
 def cut(docs: DataFrame, passages: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,6 +243,36 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 
+def marked_words(rows, least=50):
+    """{doc_id: places} of the words in windows that a smaller doc_id has too, by brute force; rows: (doc_id, words)."""
+    want, seen = defaultdict(set), {}
+    for i, text in sorted(rows):
+        windows = [tuple(text[k : k + least]) for k in range(len(text) - least + 1)]
+        for k, w in enumerate(windows):
+            if seen.get(w, i) < i:
+                want[i].update(range(k, k + least))
+        for w in windows:
+            seen.setdefault(w, i)
+    return dict(want)
+
+
+def found_words(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    return {x.doc_id: {k for s in x.spans for k in range(s.start, s.end)} for x in suffix_dedup.repeated_passages(df).collect()}
+
+
+def test_suffix_dedup_hot_ending(spark):
+    """Pairs of documents share a passage that ends in a line which all documents have."""
+    r = random.Random(11)
+    text = lambda n: " ".join(f"v{r.randrange(100_000)}" for _ in range(n))
+    line, texts = text(8), []
+    for _ in range(150):
+        shared = f"{text(42)} {line}"
+        texts += [f"{text(5)} {shared} {text(40)}" for _ in range(2)]
+    r.shuffle(texts)
+    assert found_words(spark, texts) == marked_words([(i, t.split()) for i, t in enumerate(texts)])
+
+
 def test_jaccard_join(spark, docs, empty):
     more = docs.unionByName(docs.filter("doc_id in (3, 45)"))  # repeated rows
     got = {(r.doc_id): (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(more).collect()}
