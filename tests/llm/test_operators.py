@@ -273,6 +273,22 @@ def test_suffix_dedup_hot_ending(spark):
     assert found_words(spark, texts) == marked_words([(i, t.split()) for i, t in enumerate(texts)])
 
 
+def test_suffix_dedup_exact_width(spark):
+    """Passages of exactly 50 words, whose lowest gram lies at every offset."""
+    from folioscope.llm.shingles import rolling
+    from folioscope.llm.wordhash import hashed_words
+
+    r = random.Random(12)
+    text = lambda n: [f"v{r.randrange(100_000)}" for _ in range(n)]
+    passages = {}
+    while len(passages) < 43:
+        words = text(50)
+        low = int(rolling(hashed_words(pa.array([" ".join(words)]))[0], 8).argmin())
+        passages.setdefault(low, words)
+    rows = [text(5) + words + text(5) for words in passages.values() for _ in range(2)]
+    assert found_words(spark, map(" ".join, rows)) == marked_words(enumerate(rows)) == {2 * k + 1: set(range(5, 55)) for k in range(43)}
+
+
 def test_jaccard_join(spark, docs, empty):
     more = docs.unionByName(docs.filter("doc_id in (3, 45)"))  # repeated rows
     got = {(r.doc_id): (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(more).collect()}
