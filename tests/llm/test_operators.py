@@ -289,6 +289,11 @@ def test_suffix_dedup_exact_width(spark):
     assert found_words(spark, map(" ".join, rows)) == marked_words(enumerate(rows)) == {2 * k + 1: set(range(5, 55)) for k in range(43)}
 
 
+def test_suffix_dedup_has_no_single_task(spark):
+    df = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(60))) for k in range(3)], "doc_id long, text string")
+    assert "Coalesce 1" not in suffix_dedup.repeated_passages(df)._jdf.queryExecution().toString()
+
+
 def test_jaccard_join(spark, docs, empty):
     more = docs.unionByName(docs.filter("doc_id in (3, 45)"))  # repeated rows
     got = {(r.doc_id): (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(more).collect()}
