@@ -5,6 +5,10 @@ events: (event_id, visitor_hash, user_id, event_type, scholar_id, created_at).
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,23 +97,32 @@ def failure_throttle(attempts: DataFrame, per_user: int = 5, per_visitor: int =
 def quota_decisions(events: DataFrame, limit: int, seconds: int = 600) -> DataFrame:
     """(event_id, user_id, allowed): refused events do not count against the limit.
 
-    Whether an event is refused depends on all decisions before it, so each user's events are folded in order; the fold keeps
-    only the allowed times within the window, at most ``limit`` of them.
+    Whether an event is refused depends on the decisions in the window before it. Time is cut into cells as long as the window; behind
+    an empty cell nothing is left in the window, so every run of cells with events is dealt by itself. A run is read in order, and only
+    the allowed times within the window, at most ``limit``, are carried on.
     """
-    micros = F.unix_micros("created_at")
-    row = F.struct(micros.alias("at"), "event_id")
-    listed = events.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<bigint>").alias("refused"))
-
-    def step(state: Column, x: Column) -> Column:
-        live = F.filter(state["kept"], lambda t: t >= x["at"] - seconds * 1_000_000)
-        ok = F.size(live) < limit
-        return F.struct(
-            F.when(ok, F.concat(live, F.array(x["at"]))).otherwise(live).alias("kept"), F.when(ok, state["refused"]).otherwise(F.concat(state["refused"], F.array(x["event_id"]))).alias("refused")
-        )
-
-    decided = listed.select("user_id", "rows", F.aggregate("rows", start, step)["refused"].alias("refused"))
-    return decided.select("user_id", F.explode("rows").alias("r"), "refused").select(F.col("r.event_id").alias("event_id"), "user_id", (~F.array_contains("refused", F.col("r.event_id"))).alias("allowed"))
+    span = seconds * 1_000_000
+    rows = events.filter(F.col("user_id").isNotNull()).select("event_id", "user_id", F.unix_micros("created_at").alias("at")).withColumn("cell", F.expr(f"at div {max(span, 1)}"))
+    cells = rows.select("user_id", "cell").filter("cell is not null").distinct()
+    cells = cells.withColumn("run", F.col("cell") - F.row_number().over(Window.partitionBy("user_id").orderBy("cell")))
+    key = ["user_id", "run"]
+    dealt = rows.join(cells, ["user_id", "cell"], "left").select("event_id", *key, "at").repartition(*key).sortWithinPartitions(*key, "at", "event_id")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, kept = None, deque()
+        for batch in batches:
+            allowed = []
+            for user, run, at in zip(*(batch.column(c).to_pylist() for c in (*key, "at"))):
+                if (user, run) != before:
+                    before, kept = (user, run), deque()
+                while kept and kept[0] < at - span:
+                    kept.popleft()
+                allowed.append(len(kept) < limit)
+                if allowed[-1] and at is not None:
+                    kept.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column("event_id"), batch.column("user_id"), pa.array(allowed, pa.bool_())], names=["event_id", "user_id", "allowed"])
+
+    return dealt.mapInArrow(decide, dealt.select("event_id", "user_id", F.lit(True).alias("allowed")).schema)
 
 
 def retention(events: DataFrame, as_of: Column, days: int = 30) -> DataFrame:

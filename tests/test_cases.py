@@ -67,3 +67,17 @@ def test_status_changes_drop_immediate_repeats_only(spark):
 def test_input_order_does_not_matter(spark):
     a = spark.createDataFrame([(w, s) for w in range(6) for s in range(w % 3 + 1)], "work_id long, scholar_id long")
     assert values(R.coauthor_pairs(a)) == values(R.coauthor_pairs(a.orderBy(F.rand(1))))
+
+
+def test_quota_of_one_hot_user(spark):
+    # a long run without a gap, a run behind a gap, equal times and a time that is missing
+    times = [k * 7 % 900 for k in range(400)] + [5000, 5000, 5000, 5001, None]
+    events = spark.createDataFrame([(k, 1, t) for k, t in enumerate(times)] + [(1000, 2, 5), (1001, None, 5)], "event_id long, user_id long, t long").select("event_id", "user_id", F.timestamp_seconds("t").alias("created_at"))
+    kept, want = [], [(404, 1, True), (1000, 2, True)]
+    for t, k in sorted((t, k) for k, t in enumerate(times) if t is not None):
+        live = [x for x in kept if x >= t - 60]
+        want.append((k, 1, len(live) < 3))
+        kept = live + [t] * (len(live) < 3)
+    found = U.quota_decisions(events, 3, 60)
+    assert values(found) == sorted(want)
+    assert "collect_list" not in found._jdf.queryExecution().toString()  # no user is one row
