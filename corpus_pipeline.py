@@ -36,10 +36,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window similar to a benchmark item."""
-    found = decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark"), width=5, percent=80)
+    """Documents without a window similar to a benchmark item; rows without a doc_id or with a repeated one are judged by their own text."""
+    row = F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("text"))
+    found = decontaminate.contaminated(docs.withColumn("doc_id", row), _table(spark, sf_dir, "benchmark"), width=5, percent=80)
     leaked = found.select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.hint("merge").join(leaked, docs["doc_id"] == leaked["leaked"], "left_anti").select(docs.columns)
+    return docs.hint("merge").join(leaked, row == leaked["leaked"], "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

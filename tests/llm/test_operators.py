@@ -392,3 +392,16 @@ def test_toxicity(spark, empty):
     held = [x for x in scored if x.doc_id in truth and zlib.crc32(str(x.doc_id).encode()) % 5 == 0]
     assert sum((x.score >= 0.5) == bool(truth[x.doc_id]) for x in held) / len(held) > 0.95
     assert toxicity.score(empty, toxicity.fit(empty, known.filter("false"), fold != 0)).count() == 0
+
+
+def test_decontamination_without_doc_ids(spark, tmp_path):
+    from corpus_pipeline import without_benchmark
+
+    r = random.Random(13)
+    text = lambda n: " ".join(f"v{r.randrange(10_000)}" for _ in range(n))
+    item, clean = text(40), [text(80) for _ in range(3)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak = f"{text(20)} {item} {text(20)}"
+    rows = [(None, leak), (None, clean[0]), (7, leak), (7, clean[1]), (8, clean[2]), (None, None)]
+    left = without_benchmark(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert Counter((x.doc_id, x.text) for x in left) == Counter([(None, clean[0]), (7, clean[1]), (8, clean[2]), (None, None)])
