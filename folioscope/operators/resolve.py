@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioscope.functions import text as T
 
@@ -202,11 +203,15 @@ def backfill_citations(edges: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def work_components(works: DataFrame, authorships: DataFrame) -> DataFrame:
-    """(scholar_id, work_id, component): per scholar, works linked by one DOI, one title, or a common co-author."""
+    """(scholar_id, work_id, component): per scholar, works linked by one DOI, one title (and year, where both are known), or a common co-author."""
     own = authorships.select("scholar_id", "work_id").distinct()
-    titled = works.select("work_id", F.explode(F.array_compact(F.array(F.concat(F.lit("d:"), _doi("doi")), F.when(T.normalize_title(F.col("title")) != "", F.concat(F.lit("t:"), T.normalize_title(F.col("title"))))))).alias("k"))
+    titled = works.select("work_id", "publication_year", F.explode(F.array_compact(F.array(F.concat(F.lit("d:"), _doi("doi")), F.when(T.normalize_title(F.col("title")) != "", F.concat(F.lit("t:"), T.normalize_title(F.col("title"))))))).alias("k"))
     others = own.join(own.withColumnRenamed("scholar_id", "other"), "work_id").filter("scholar_id <> other").select("scholar_id", "work_id", F.concat(F.lit("c:"), "other").alias("k"))
-    linked = own.join(titled, "work_id").select("scholar_id", "work_id", "k").unionByName(others)
+    # titles link within a year; a work of unknown year links all of its title
+    undated = F.max(F.col("publication_year").isNull()).over(Window.partitionBy("scholar_id", "k"))
+    named = own.join(titled, "work_id").withColumn("undated", undated)
+    yearly = F.when(F.startswith("k", F.lit("t:")) & ~F.col("undated"), F.concat_ws(":", "k", F.col("publication_year").cast("string"))).otherwise(F.col("k"))
+    linked = named.select("scholar_id", "work_id", yearly.alias("k")).unionByName(others)
     # a node is a work as seen by one scholar
     node = F.concat_ws("/", F.lpad(F.col("scholar_id").cast("string"), 12, "0"), F.lpad(F.col("work_id").cast("string"), 12, "0"))
     keys = linked.select(node.alias("id"), F.concat_ws("|", "scholar_id", "k").alias("key"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.operators import resolve as E
 from folioscope.operators import rollups as R
 from folioscope.operators import scoring as S
 from folioscope.operators import usage as U
@@ -81,3 +82,9 @@ def test_quota_of_one_hot_user(spark):
     found = U.quota_decisions(events, 3, 60)
     assert values(found) == sorted(want)
     assert "collect_list" not in found._jdf.queryExecution().toString()  # no user is one row
+
+
+def test_one_title_in_two_years_is_two_works(spark):
+    works = spark.createDataFrame([(1, None, "One", 2000), (2, None, "One", 2001), (3, None, "one", 2000), (4, None, "Two", 2000), (5, None, "Two", None), (6, None, "Two", 2001)], "work_id long, doi string, title string, publication_year int")
+    authorships = spark.createDataFrame([(k, 7) for k in range(1, 7)], "work_id long, scholar_id long")
+    assert [(w, c) for _, w, c in values(E.work_components(works, authorships))] == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 4), (6, 4)]
