@@ -42,6 +42,7 @@ def modest(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of fewer rows (with whole texts, Spark's 10000 take too much of a task's memory), and no shuffle files beyond their job."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     # a finished job's shuffle files go at once; what later jobs need has been written as a table
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 

@@ -81,7 +81,7 @@ def known_elsewhere(sets: DataFrame) -> DataFrame:
     def hit(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         known = np.sort(np.concatenate([unpack_sorted(k) for k in answers["keys"]])) if len(answers) else np.zeros(0, np.uint64)
         if not len(known) or not len(docs):
-            return pd.DataFrame({"doc_id": docs["doc_id"][:0], "known": []})
+            return pd.DataFrame({"doc_id": docs["doc_id"][:0], "known": pd.Series([], dtype=object)})
         found = []
         for s, least in zip(docs["s"], docs["least"]):
             s = np.asarray(s, np.int64).view(np.uint64)

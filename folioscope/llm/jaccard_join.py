@@ -1,17 +1,16 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-Shingles are ordered by their hash. Two sets of similarity t share at least l of the first n - ceil(t*n) + l shingles of both, for any
-l. A document therefore may lengthen its prefix by l - 1 shingles and then leave out its l - 1 most frequent ones: each pair still
-meets in one of the rest. The cost of an l is the number of postings its remaining shingles have; every document takes its
-cheapest. Steps:
+Shingles are ordered from rare to frequent (ties by value). Two sets of sizes n and m with similarity t share at least a = ceil(t (n + m) / (1 + t))
+shingles, hence at least l of the first n - a + l of the one and the first m - a + l of the other, for any l. Steps:
 
 1. documents with one shingle set form a class, its least doc_id stands for it;
-2. prefixes with l = 1 + n / 10 of all documents are counted in hash buckets: a class with fewer than l prefix shingles known elsewhere
-   has no partner, and only the others' full sets are kept;
-3. these classes choose l and probe the postings. First each is compared with the pivots of some of its long posting lists
-   only, so that a large group of near copies joins up through few comparisons; what is then still in different components
-   and shares a posting is compared in full. No link between different components is left out, and all links that count are verified on
-   the full sets.
+2. all documents' shingles are counted in buckets (``frequencies``): a document of which fewer shingles occur elsewhere than a partner must share has no
+   partner, and only the others' sets are kept, with the frequencies that order them;
+3. each set lengthens its prefix by l - 1 shingles, l by the estimated cost of its candidates. Leaving out the l - 1 most frequent of a prefix
+   leaves the rarest n - a + 1, in one of which a pair must meet; of the pairs that meet, those that share fewer than l of the long prefixes
+   go; the others are verified on the full sets;
+4. first each set is so compared with the pivots of some of its long posting lists only, so that a large group of near copies joins up through
+   few comparisons; then with all of the other components' sets that it meets. No link between different components is left out.
 """
 
 from __future__ import annotations
@@ -20,16 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import components, modest, scratch, written
-from .exchange import known_elsewhere, lists
-from .shingles import mix, needed, shingle_set
+from .exchange import lists
+from .frequencies import chunks_of, members_of, names_of, shared_sets, shingles_of
+from .shingles import needed
 from .wordhash import hashed_words
 
-#: A posting list of more classes is first joined up by pivots.
+#: A posting list of more sets is first joined up by pivots.
 LONG_LIST = 32
 
 
@@ -38,105 +38,100 @@ def most_matches(n: int) -> int:
     return 1 + n // 10
 
 
-def _sets(docs: DataFrame, width: int, percent: int, prefix: bool) -> DataFrame:
-    """(chunk, doc_id, n, k1, k2, s, least): set size, 128 bits that name the set, its prefix or all of it, ascending, and how many of the
-    prefix a similar set must share."""
+def matches(n: int, times: np.ndarray, percent: int) -> int:
+    """The cheapest l of a set of n shingles: times, how many sets have each, ascending.
+
+    Reading the long prefix's lists costs one for each entry; a list entry is a candidate at most once in l, and a candidate costs a look at n shingles (in blocks).
+    """
+    base = n - needed(n, percent)
+    reach = np.concatenate([[0], np.cumsum(times - 1.0)])
+    best, l = None, 1
+    while l <= most_matches(n):
+        entries = reach[min(base + l, n)]
+        cost = entries + entries / l * (1 + n / 16)
+        if best is None or cost < best[0]:
+            best = (cost, l)
+        l *= 2
+    return best[1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId()
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, k1, k2, s): the shingle sets, ascending, and their names; without words: none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, offsets = hashed_words(batch.column(1))
-            n, k1, k2, rows = [], [], [], []
-            for i in range(batch.num_rows):
-                s = shingle_set(values[offsets[i] : offsets[i + 1]], width)
-                n.append(len(s))
-                k1.append(np.sum(mix(s + np.uint64(1)), dtype=np.uint64))
-                k2.append(np.sum(mix(s ^ np.uint64(0x5555555555555555)), dtype=np.uint64) + np.uint64(len(s)))
-                rows.append(np.sort(s.view(np.int64)).view(np.uint64)[: len(s) - needed(len(s), percent) + most_matches(len(s)) if prefix else None] if len(s) else s)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(batch.num_rows, chunk, np.int32)), batch.column(0), pa.array(n, pa.int32())]
-                + [pa.array(np.array(k, np.uint64).view(np.int64)) for k in (k1, k2)]
-                + [lists(rows), pa.array([most_matches(x) for x in n], pa.int32())],
-                names=["chunk", "doc_id", "n", "k1", "k2", "s", "least"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "chunk int, doc_id long, n int, k1 long, k2 long, s array<long>, least int")
-
-
-def _choose(postings: DataFrame, percent: int) -> DataFrame:
-    """(x, n, l, k): for each class the cheapest l and the shingles it then probes. postings: (x, n, k, rank, df), df > 1."""
+            keys, counts = shingles_of(*hashed_words(batch.column(1)), width)
+            ends = np.cumsum(counts)
+            rows = [np.unique(keys[e - c : e]) for e, c in zip(ends, counts)]
+            owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            k1, k2 = names_of(np.concatenate(rows) if rows else np.zeros(0, np.uint64), owner, len(rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int32()), pa.array(k1), pa.array(k2), lists(rows)], names=["doc_id", "n", "k1", "k2", "s"])
+
+    return docs.mapInArrow(run, "doc_id long, n int, k1 long, k2 long, s array<long>").filter("n > 0")
+
+
+def _ordered(sets: DataFrame, percent: int) -> DataFrame:
+    """(x, n, l, shared, s): s from rare to frequent, its first place of a shingle that others have, and the set's l."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, sizes, rows = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
-            offsets = rows.offsets.to_numpy()
-            field = {f.name: rows.values.field(k).to_numpy() for k, f in enumerate(rows.type.value_type)}
-            chosen, probes = [], []
-            for i in range(batch.num_rows):
-                part = slice(offsets[i], offsets[i + 1])
-                rank, df, key, n = field["rank"][part], field["df"][part], field["k"][part], int(sizes[i])
-                base = n - needed(n, percent)
-                best = None
-                matches = 1
-                while True:
-                    own = np.nonzero(rank < base + matches)[0]
-                    own = own[np.lexsort((key[own], -df[own]))][matches - 1 :]
-                    cost = int(df[own].sum())
-                    if best is None or cost < best[0]:
-                        best = (cost, matches, key[own])
-                    if cost == 0 or matches >= most_matches(n):
-                        break
-                    matches = min(2 * matches, most_matches(n))
-                chosen.append(best[1])
-                probes.append(best[2].astype(np.int64).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([x, batch.column(1), pa.array(chosen, pa.int32()), lists(probes)], names=["x", "n", "l", "ks"])
-
-    by_class = postings.groupBy("x", "n").agg(F.collect_list(F.struct("rank", "df", "k")).alias("p"))
-    return by_class.mapInArrow(run, "x long, n int, l int, ks array<long>").select("x", "n", "l", F.explode("ks").alias("k"))
+            offsets = batch.column(2).offsets.to_numpy()
+            values = batch.column(2).values.to_numpy(zero_copy_only=False).view(np.uint64) if len(batch.column(2).values) else np.zeros(0, np.uint64)
+            found, ls, shared = [], [], []
+            for i, codes in enumerate(batch.column(3)):
+                s, code = values[offsets[i] : offsets[i + 1]], np.frombuffer(codes.as_py(), np.uint8)
+                order = np.argsort(code, kind="stable")
+                found.append(s[order])
+                ls.append(matches(len(s), 2.0 ** (code[order] / 16), percent))
+                shared.append(int((code == 0).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(ls, pa.int32()), pa.array(shared, pa.int32()), lists(found)], names=["x", "n", "l", "shared", "s"])
+
+    return sets.select("doc_id", "n", "s", "codes").mapInArrow(run, "x long, n long, l int, shared int, s array<long>")
+
+
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """The least number of shingles that sets of these sizes share if they are similar."""
+    return F.ceil((n + m) * F.lit(percent) / F.lit(100 + percent))
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets (doc_id, n, s) reach the similarity."""
-    sizes = full.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))
-    first = pairs.distinct().hint("merge").join(full.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a")), "a")
-    both = first.hint("merge").join(sizes, "b")
+    """The pairs (a, b) that share enough of their long prefixes and whose full sets reach the similarity."""
+    sides = [full.select(F.col("x").alias(c), F.col("n").alias(f"n_{c}"), F.col("l").alias(f"l_{c}"), F.col("s").alias(f"s_{c}")) for c in "ab"]
+    both = pairs.distinct().hint("merge").join(sides[0], "a").hint("merge").join(sides[1], "b")
+    least = _overlap(F.col("n_a"), F.col("n_b"), percent)
+    l = F.least(F.greatest("l_a", "l_b"), least)
+    prefix = lambda c: F.slice(f"s_{c}", F.lit(1), (F.col(f"n_{c}") - least + l).cast("int"))
+    enough = both.filter(F.size(F.array_intersect(prefix("a"), prefix("b"))) >= l)
     shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    return both.filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
+    return enough.filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
 
 def _links(full: DataFrame, percent: int, pivots: int) -> DataFrame:
     """Verified links (a, b) between the classes of ``full`` that connect all that belongs together."""
-    spark = full.sparkSession
-    longest = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100).cast("int") + F.floor(F.col("n") / 10).cast("int") + 1
-    entries = full.select(F.col("doc_id").alias("x"), "n", F.posexplode(F.slice("s", F.lit(1), longest)).alias("rank", "k"))
-    counts = entries.groupBy("k").agg(F.count("*").alias("df")).filter("df > 1")
-    path = scratch(spark, "postings")
-    entries.hint("merge").join(counts, "k").write.parquet(path)
-    postings = spark.read.parquet(path)
-    probe_path = scratch(spark, "probes")
-    _choose(postings, percent).write.parquet(probe_path)
-    probes = spark.read.parquet(probe_path)
+    longest = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1
+    entries = full.select("x", "n", F.posexplode(F.slice("s", F.col("shared") + 1, F.greatest(longest - F.col("shared"), F.lit(0)).cast("int"))).alias("at", "k"), "shared")
+    # slack: how many shingles there are from this one on; a pair can meet here only if both have as many as they must share
+    postings = written(entries.select("x", "n", "k", (F.col("n") - F.col("shared") - F.col("at")).alias("slack")), "postings")
+    member = F.min_by(F.struct("x", "n", "slack"), F.xxhash64("x", "k")).alias("p")
+    long = postings.groupBy("k").agg(F.count("*").alias("df"), member).filter(F.col("df") > LONG_LIST).select("k", F.col("p.x").alias("y"), F.col("p.n").alias("n_y"), F.col("p.slack").alias("slack_y"))
     fits = (F.col("n") * percent <= F.col("n_y") * 100) & (F.col("n_y") * percent <= F.col("n") * 100)
-    # in a long list every class meets the list's own pivot, a random member; a few such meetings join up a group of near copies
-    member = F.min_by(F.struct("x", "n"), F.xxhash64("x", "k")).alias("p")
-    lists = postings.filter(F.col("df") > LONG_LIST).groupBy("k").agg(member).select("k", F.col("p.x").alias("y"), F.col("p.n").alias("n_y"))
-    met = probes.hint("merge").join(lists, "k").filter("x <> y").filter(fits).groupBy("x", "y").agg(F.min(F.xxhash64("k")).alias("h"))
+    least = _overlap(F.col("n"), F.col("n_y"), percent)
+    meets = fits & (F.col("slack") >= least) & (F.col("slack_y") >= least)
+    # in a long list every set meets the list's own pivot, a random member; a few such meetings join up a group of near copies
+    met = postings.hint("merge").join(long, "k").filter((F.col("x") != F.col("y")) & meets).groupBy("x", "y").agg(F.min(F.xxhash64("k")).alias("h"))
     few = met.withColumn("place", F.row_number().over(Window.partitionBy("x").orderBy("h"))).filter(F.col("place") <= pivots)
-    links = written(_verified(few.select(F.col("x").alias("a"), F.col("y").alias("b")), full, percent), "links")
-    labels = written(components(links), "labels")
-    near = F.col("rank") < F.col("n_y") - F.ceil(F.col("n_y") * F.lit(percent) / 100).cast("int") + F.col("l")
-    own = labels.withColumnsRenamed({"id": "x"})
-    labelled = postings.hint("merge").join(own, "x", "left").withColumn("component", F.coalesce("component", "x"))
-    mixed = labelled.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("k")
-    index = labelled.hint("merge").join(mixed, "k").select("k", F.col("x").alias("y"), F.col("n").alias("n_y"), "rank", F.col("component").alias("c_y"))
-    # per list: which other components there are, then their members, so that a large component never meets itself
-    groups = index.select("k", "c_y").distinct()
-    asking = probes.hint("merge").join(own, "x", "left").withColumn("c_x", F.coalesce("component", "x")).drop("component")
-    met = asking.hint("merge").join(groups, "k").filter("c_x <> c_y")
-    rest = met.hint("merge").join(index, ["k", "c_y"]).filter("x < y").filter(fits & near).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    links = written(_verified(few.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), full, percent), "links")
+    labels = written(components(links), "labels").withColumnsRenamed({"id": "x"})
+    labelled = written(postings.hint("merge").join(labels, "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component"), "labelled")
+    mixed = labelled.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("k")
+    index = written(labelled.hint("merge").join(mixed, "k", "left_semi"), "index")
+    # per list: which other components there are and what their members could share at most, then their members, so that a large component never meets itself
+    groups = index.groupBy("k", F.col("c").alias("c_y")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("slack").alias("most"))
+    could = _overlap(F.col("n"), F.col("lo"), percent)
+    possible = (F.col("lo") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("hi") * 100) & (F.col("slack") >= could) & (F.col("most") >= could)
+    asking = index.hint("merge").join(groups, "k").filter((F.col("c") < F.col("c_y")) & possible).select("k", "x", "n", "slack", "c_y")
+    asked = index.select("k", F.col("c").alias("c_y"), F.col("x").alias("y"), F.col("n").alias("n_y"), F.col("slack").alias("slack_y"))
+    rest = asking.hint("merge").join(asked, ["k", "c_y"]).filter(meets).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return links.unionByName(written(_verified(rest, full, percent), "links"))
 
 
@@ -148,27 +143,18 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, pivot
     """
     spark = docs.sparkSession
     modest(spark)
-    docs = docs.filter(F.col("doc_id").isNotNull())
-    path = scratch(spark, "sets")
-    _sets(docs, width, percent, prefix=True).write.parquet(path)
-    sets = spark.read.parquet(path)
-    classes = sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first")).checkpoint()
-    path_hits = scratch(spark, "hits")
-    known_elsewhere(sets).select("doc_id").distinct().write.parquet(path_hits)
-    firsts = classes.select(F.col("first").alias("doc_id"))
-    hits = spark.read.parquet(path_hits).hint("merge").join(firsts, "doc_id", "left_semi")
-    path_full = scratch(spark, "full")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(hits.hint("shuffle_hash"), "doc_id", "left_semi")
-    full = _sets(chosen, width, percent, prefix=False).filter("n > 0")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    chunks = written(chunks_of(docs, width), "chunks")
+    members = written(members_of(chunks), "members")
+    classes = members.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first")).checkpoint()
+    hits = written(shared_sets(chunks, percent).groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("codes").alias("codes")), "hits")
+    chosen = docs.join(hits.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     # a repeated doc_id may stand for several texts; the class's own set is the one kept
-    repeated = bool(sets.groupBy("doc_id").count().filter("count > 1").limit(1).count())
-    if repeated:
-        full = full.hint("merge").join(classes, ["k1", "k2"]).filter("doc_id = first").dropDuplicates(["k1", "k2"])
-    full.select("doc_id", "n", "s").write.parquet(path_full)
-    links = _links(spark.read.parquet(path_full), percent, pivots)
-    if repeated:
-        links = links.unionByName(sets.hint("merge").join(classes, ["k1", "k2"]).filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    full = _sets(chosen, width).hint("merge").join(hits, ["doc_id", "k1", "k2"]).dropDuplicates(["k1", "k2"])
+    links = _links(written(_ordered(full, percent), "full"), percent, pivots)
+    if members.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        links = links.unionByName(members.hint("merge").join(classes, ["k1", "k2"]).filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
     labels = components(links)
-    member = sets.select("doc_id", "n", "k1", "k2").hint("merge").join(classes, ["k1", "k2"], "left")
+    member = members.hint("merge").join(classes, ["k1", "k2"], "left")
     named = member.hint("merge").join(labels.withColumnRenamed("id", "first"), "first", "left")
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "first", "doc_id").alias("component_id"))

@@ -294,11 +294,10 @@ def test_suffix_dedup_has_no_single_task(spark):
     assert "Coalesce 1" not in suffix_dedup.repeated_passages(df)._jdf.queryExecution().toString()
 
 
-def test_jaccard_join(spark, docs, empty):
-    more = docs.unionByName(docs.filter("doc_id in (3, 45)"))  # repeated rows
-    got = {(r.doc_id): (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(more).collect()}
+def linked(rows):
+    """doc_id -> (size of its shingle set, least doc_id reachable), by brute force."""
     sets = {}
-    for r in docs.filter("doc_id is not null").collect():
+    for r in rows:
         w = words(r.text)
         sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
     parent = {i: i for i in sets}
@@ -316,10 +315,61 @@ def test_jaccard_join(spark, docs, empty):
                 if 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared):
                     a, b = sorted((root(i), root(j)))
                     parent[b] = a
-    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def joined(df, **more):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(df, **more).collect()}
+
+
+def test_jaccard_join(docs, empty):
+    more = docs.unionByName(docs.filter("doc_id in (3, 45)"))  # repeated rows
+    assert joined(more) == linked(docs.filter("doc_id is not null").collect())
     assert jaccard_join.similar_components(empty).count() == 0
 
 
+#: Tables in which nothing, or nothing but copies, repeats.
+PLAIN = {
+    "one": ["a b c d e f g h"],
+    "two unrelated": ["a b c d e f g h", "i j k l m n o p"],
+    "blank, short and long": [None, " ", "one", " ".join(f"x{k}" for k in range(5000))],
+    "two equal": ["a b c d e f g h", "A b c  d e f g h"],
+    "two equal and one": ["a b c d e f g h", "a b c d e f g h", " ".join(f"y{k}" for k in range(200))],
+    "long equal": [" ".join(f"z{k}" for k in range(120))] * 3,
+}
+
+
+@pytest.mark.parametrize("case", sorted(PLAIN))
+def test_tables_without_repeats(spark, case):
+    df = table(spark, PLAIN[case])
+    assert joined(df) == linked(df.collect())
+    texts = [words(t) for t in PLAIN[case]]
+    repeats = {k for k, w in enumerate(texts) if len(w) >= 50 and w in texts[:k]}
+    assert {r.doc_id for r in suffix_dedup.repeated_passages(df).collect()} == repeats
+
+
+def test_jaccard_join_of_groups_near_the_threshold(spark):
+    """Groups of near copies larger than a long posting list, some pairs of which are similar and some just not."""
+    r = random.Random(11)
+    texts = []
+    for _ in range(3):
+        base = [f"b{r.randrange(10**6)}" for _ in range(r.choice([40, 90, 140]))]
+        for k in range(60):
+            w = list(base[: len(base) - k % 7])
+            for _ in range(k % 6):
+                w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    df = table(spark, texts).repartition(7)
+    want = linked(df.collect())
+    assert len({c for _, c in want.values()}) > 5
+    assert joined(df) == joined(df, pivots=1) == want
+
+
+def test_longer_prefixes_where_candidates_are_many():
+    assert jaccard_join.matches(200, np.ones(200), 80) == 1
+    assert jaccard_join.matches(200, np.full(200, 50.0), 80) > 1
+
+
 def test_components(spark):
     from folioscope.llm.common import components
 
