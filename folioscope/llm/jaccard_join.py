@@ -111,14 +111,17 @@ def _links(full: DataFrame, percent: int, pivots: int) -> DataFrame:
     longest = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1
     entries = full.select("x", "n", F.posexplode(F.slice("s", F.col("shared") + 1, F.greatest(longest - F.col("shared"), F.lit(0)).cast("int"))).alias("at", "k"), "shared")
     # slack: how many shingles there are from this one on; a pair can meet here only if both have as many as they must share
-    postings = written(entries.select("x", "n", "k", (F.col("n") - F.col("shared") - F.col("at")).alias("slack")), "postings")
-    member = F.min_by(F.struct("x", "n", "slack"), F.xxhash64("x", "k")).alias("p")
-    long = postings.groupBy("k").agg(F.count("*").alias("df"), member).filter(F.col("df") > LONG_LIST).select("k", F.col("p.x").alias("y"), F.col("p.n").alias("n_y"), F.col("p.slack").alias("slack_y"))
+    known = (F.col("n") - F.col("shared")).alias("known")
+    postings = written(entries.select("x", "n", "k", (known - F.col("at")).alias("slack"), known), "postings")
+    # the member of which the least part is its own lies nearest to what its list's near copies come from
+    member = F.min_by(F.struct("x", "n", "known"), F.struct(-F.col("known") / F.col("n"), "x")).alias("p")
+    long = postings.groupBy("k").agg(F.count("*").alias("df"), member).filter(F.col("df") > LONG_LIST).select("k", F.col("p.x").alias("y"), F.col("p.n").alias("n_y"), F.col("p.known").alias("known_y"))
     fits = (F.col("n") * percent <= F.col("n_y") * 100) & (F.col("n_y") * percent <= F.col("n") * 100)
     least = _overlap(F.col("n"), F.col("n_y"), percent)
     meets = fits & (F.col("slack") >= least) & (F.col("slack_y") >= least)
-    # in a long list every set meets the list's own pivot, a random member; a few such meetings join up a group of near copies
-    met = postings.hint("merge").join(long, "k").filter((F.col("x") != F.col("y")) & meets).groupBy("x", "y").agg(F.min(F.xxhash64("k")).alias("h"))
+    # in a long list every set meets the list's own pivot; a few such meetings join up a group of near copies
+    alike = fits & (F.col("known") >= least) & (F.col("known_y") >= least)
+    met = postings.hint("merge").join(long, "k").filter((F.col("x") != F.col("y")) & alike).groupBy("x", "y").agg(F.min(F.xxhash64("k")).alias("h"))
     few = met.withColumn("place", F.row_number().over(Window.partitionBy("x").orderBy("h"))).filter(F.col("place") <= pivots)
     links = written(_verified(few.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), full, percent), "links")
     labels = written(components(links), "labels").withColumnsRenamed({"id": "x"})
