@@ -19,8 +19,8 @@ from .packed import from_steps, pack, steps, unpack
 from .shingles import mix, needed, rolling, shingle_set
 from .wordhash import hashed_words
 
-CHUNK_KEYS = 2_000_000
-BUCKET_KEYS = 2_000_000
+CHUNK_KEYS = 1_000_000
+BUCKET_KEYS = 1_000_000
 #: Frequencies are told by the leading bits of a shingle; two shingles that agree in them count as one, which never hides a frequent one.
 BITS = 48
 

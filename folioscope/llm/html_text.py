@@ -1,13 +1,15 @@
 """HTML extraction: the main text of a page by two passes of block rules.
 
-The page is cut into blocks at block-level tags. First pass: a block in a boilerplate container (navigation, footer,
-advert, comments, form, ...) or with many links is bad; one that is long enough and rich in stop words is good; a short block
-is undecided. Second pass: undecided blocks take the label of the nearest decided neighbours - good
-wins a tie inside the article, bad elsewhere. Where the page has an article or main element, only blocks within it are candidates.
+The page is cut into blocks at block-level tags. First pass: a block in a boilerplate container (navigation, footer, advert, comments, form, ...) is bad, as
+is a short one of links; one that is long enough, rich in stop words and poor in links is good; other long ones without stop words are bad, the rest is
+undecided. Second pass: undecided blocks take the label of the nearest decided neighbour. All pages go this way. That a block lies in an article or main
+element is one more feature: there a long block is undecided where it would be bad, a tie of neighbours is good, and boilerplate
+that interrupts the article decides nothing about its neighbours. Where an article holds a long block, what lies outside is bad.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -19,15 +21,19 @@ from pyspark.sql import functions as F
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # Elements and words that mark boilerplate.
-SKIPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "button", "head", "title"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title"}
+SKIPPED = {*RAW, "svg", "object", "select", "button", "head"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "dialog", "menu"}
 CONTAINERS = {"html", "body", "div", "section", "article", "main", "header", "figure", "ul", "ol", "dl", "table", "details", "fieldset", *BOILERPLATE}
 BLOCKS = CONTAINERS | {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "th", "tr", "dt", "dd", "figcaption", "address", "hr", "br", "caption", "option", "legend", "summary"}
 HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|cookies?|consent|notice|popup|modal|overlay"
-    r"|newsletter|subscribe|social|share\w*|related|recommended|comments?|replies|disqus|respond|footer|masthead|site-?header|page-?header|top-?bar|login|search|widget|copyright|pagination|pager|tags?|author-?bio|disclaimer)(?:$|[\s_-])",
-    re.I,
+    r"ads?|advert\w*|adsense|sponsor(?:s|ed)?|side|sidebar|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|popup|modal|overlay|newsletter|subscribe"
+    r"|social|related|recommended|comments?|replies|disqus|respond|footer|masthead|topbar|login|pagination|pager|bio"
 )
+#: These mark boilerplate too, but not where the name goes on to say that the element holds text, as in "notice-body".
+WEAK_HINTS = re.compile(r"notices?|tags?|share|sharing|sharebar|promos?|promotions?|banner|search|widgets?|copyright|disclaimer")
+TEXT_NAMES = {"content", "body", "text", "article", "story", "prose"}
+SITE_HEADERS = re.compile(r"(?:site|page)-?header|side-?bar|top-?bar|author-?bio")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 ROLES = re.compile(r"(?:^|\s)role\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert)", re.I)
@@ -38,7 +44,10 @@ STOP_WORDS = frozenset(
     "el los las del se por con para su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo".split()
 )
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+# quotes count only as a value's, so a stray one does not swallow what follows
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|$)", re.S)
+#: What never lies in a button, drawing or list of choices: one that is still open there was never closed.
+ARTICLE_TAG = re.compile(r"<(?:p|h[1-6]|li|article|main|section|blockquote|table|footer|nav|aside|form)\b", re.I)
 
 #: Production parameters of the block rules.
 LONG, MANY_LINKS, STOP_LOW, STOP_HIGH = 70, 0.5, 0.10, 0.25
@@ -53,8 +62,33 @@ def _marked(name: str, attributes: str) -> bool:
     if not attributes or name in ("html", "body", "article", "main"):
         # a comment list may hold articles of class "comment"
         return name == "article" and bool(attributes) and "comment" in attributes.lower()
-    values = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes))
-    return bool(values and HINTS.search(values)) or bool(HIDDEN.search(attributes)) or bool(ROLES.search(attributes))
+    values = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes)).lower()
+    return _hinted(values) or bool(HIDDEN.search(attributes)) or bool(ROLES.search(attributes))
+
+
+@functools.lru_cache(maxsize=4096)
+def _hinted(values: str) -> bool:
+    """Whether one of these class names and ids marks boilerplate."""
+    for name in values.split():
+        parts = [p for p in re.split(r"[_-]+", name) if p]
+        if SITE_HEADERS.fullmatch(name) or any(HINTS.fullmatch(p) and not (p == "side" and len(parts) > 1) for p in parts):
+            return True
+        if parts and parts[-1] not in TEXT_NAMES and any(WEAK_HINTS.fullmatch(p) for p in parts):
+            return True
+    return False
+
+
+def _skipped_to(page: str, name: str, at: int) -> int | None:
+    """Where the element that begins here ends; None if it is to be read on: it was never closed."""
+    end = re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I).search(page, at)
+    if name in ("script", "style"):
+        return end.end() if end else len(page)
+    if end is None:
+        return None
+    if name not in RAW and name != "head":
+        other = ARTICLE_TAG.search(page, at, end.start())
+        return None if other else end.end()
+    return end.end()
 
 
 def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
@@ -92,11 +126,8 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
         name, closing = name.lower(), bool(m[1])
         if name in SKIPPED:
             if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I).search(page, at)
-                if name == "head" and end is None:  # the body begins without an end of the head
-                    continue
-                skip_to = end.end() if end else len(page)
-                at = skip_to
+                skip_to = _skipped_to(page, name, at)
+                at = at if skip_to is None else skip_to
             continue
         if name == "a":
             in_link = not closing
@@ -127,51 +158,58 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
     return out
 
 
-def _first_pass(text: str, links: float, bad: bool, inside: bool, only_inside: bool) -> int:
-    if bad or (only_inside and not inside) or links > MANY_LINKS:
+def _first_pass(text: str, links: float, bad: bool, inside: bool, apart: bool) -> int:
+    """apart: the block lies outside the page's article."""
+    if bad or apart or (links > MANY_LINKS and len(text) < LONG):
         return BAD
     if len(text) < LONG:
         return OPEN
     words = text.lower().split()
     stop = sum(w in STOP_WORDS for w in words) / len(words)
-    if stop >= STOP_HIGH or (stop >= STOP_LOW and len(text) >= 2 * LONG) or (inside and links < 0.2):
+    if links > MANY_LINKS:
+        return OPEN if inside and stop >= STOP_LOW else BAD
+    if stop >= STOP_HIGH or (stop >= STOP_LOW and len(text) >= 2 * LONG):
         return GOOD
     return OPEN if stop >= STOP_LOW or inside else BAD
 
 
+def _second_pass(labels: list[int], inside: list[bool], silent: list[bool]) -> list[int]:
+    """Undecided blocks by the nearest decided ones on either side; of two equally near ones that differ, good wins inside an article, else bad.
+
+    silent: boilerplate within an article, which decides nothing there.
+    """
+    n = len(labels)
+    nearest: list[list[tuple[int, int]]] = []
+    for order in (range(n), range(n - 1, -1, -1)):
+        found: list[tuple[int, int]] = [(OPEN, n)] * n
+        for within in (False, True):
+            seen, away = OPEN, n
+            for i in order:
+                away += 1
+                if inside[i] == within:
+                    found[i] = (seen, away)
+                if labels[i] != OPEN and not (within and silent[i]):
+                    seen, away = labels[i], 0
+        nearest.append(found)
+    out = list(labels)
+    for i, label in enumerate(labels):
+        if label == OPEN:
+            (a, near_a), (b, near_b) = nearest[0][i], nearest[1][i]
+            votes = {x for x, d in ((a, near_a), (b, near_b)) if x != OPEN and d == min(d for x, d in ((a, near_a), (b, near_b)) if x != OPEN)}
+            out[i] = votes.pop() if len(votes) == 1 else GOOD if inside[i] else BAD
+    return out
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    only_inside = any(inside and not bad for _, _, bad, inside in blocks)
-    labels = [_first_pass(*b, only_inside) for b in blocks]
-    last = [(BAD, len(blocks))] * len(blocks)  # nearest decided label before, and its distance
-    seen, dist = BAD, len(blocks)
-    for i, x in enumerate(labels):
-        dist += 1
-        last[i] = (seen, dist)
-        if x != OPEN:
-            seen, dist = x, 0
-    kept = []
-    seen, dist = BAD, len(blocks)
-    for i in range(len(blocks) - 1, -1, -1):
-        dist += 1
-        x = labels[i]
-        if x == OPEN:
-            (before, d), inside = last[i], blocks[i][3]
-            if only_inside:  # every undecided candidate lies in the article, whose own neighbours are good or none
-                x = GOOD if inside else BAD
-            elif before == seen:
-                x = before
-            elif d == dist:
-                x = BAD
-            else:
-                x = before if d < dist else seen
-        else:
-            seen, dist = x, 0
-        if x == GOOD:
-            kept.append(blocks[i][0])
-    return " ".join(reversed(kept))
+    article = any(inside and not bad and len(text) >= LONG and links <= MANY_LINKS for text, links, bad, inside in blocks)
+    apart = [article and not inside for *_, inside in blocks]
+    labels = [_first_pass(*b, x) for b, x in zip(blocks, apart)]
+    silent = [bad or x for (_, _, bad, _), x in zip(blocks, apart)]
+    labels = _second_pass(labels, [inside for *_, inside in blocks], silent)
+    return " ".join(text for (text, *_), label in zip(blocks, labels) if label == GOOD)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -145,6 +145,37 @@ def test_html_extraction(spark):
     assert sum(r.text != "" for r in rows) == 2 and html_text.extract(pages.filter("false")).count() == 0
 
 
+PROSE = "The quick fox of the wood and the owl were in the tree for a day and it was good. " * 2
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<p title='it's'>{0}</p><p>{0}</p><p>It's {0}</p>",
+        "<p>{0}</p><button>{1}<p>{0}</p><p>{0}</p>",
+        "<p>{0}</p><svg><p>{0}</p><select><option><p>{0}</p>",
+        "<p>{0}</p><p><a href='/x'>{0}</a></p><p>{0}</p>",
+        "<div class='notice-body'><p>{0}</p></div><div class='shareable tagsoup'><p>{0}</p></div><p>{0}</p>",
+        "<p>{0}</p><p>so <math><mi>x</mi></math> it is</p><p>{0}</p>",
+    ],
+)
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main><div>{}</div></main>"])
+def test_html_keeps_the_whole_article(inner, around):
+    page = "<html><body><nav><a href=/>Home</a></nav>" + around.format(inner.format(PROSE, "")) + "<footer>The end of the site and the rest.</footer></body></html>"
+    want = " ".join(re.sub("<[^>]*>", " ", inner.format(PROSE, "").replace("='it's'", "")).split())
+    assert " ".join(html_text.main_text(page).split()) == want
+
+
+def test_html_neighbours_decide_on_short_blocks():
+    long, low = " ".join(PROSE.split()), "zq vx " * 30
+    page = f"<div><h2>Title</h2><p>{long}</p><p>short</p><p>{long}</p></div><div><p>{low}</p><p>alone</p><p>{low}</p></div>"
+    assert html_text.main_text(page) == f"Title {long} short {long}"
+    inside = f"<article><h1>Title</h1><p>{low}</p><p>{long}</p><ul class=share><li>x</ul><p>short</p></article><div><p>{long}</p></div>"
+    assert html_text.main_text(inside) == f"Title {low.strip()} {long} short"
+    nothing = "<article><p>a</p><p>b</p></article>"
+    assert html_text.main_text(nothing) == "a b"
+
+
 def test_decontamination(spark, docs, empty):
     r = random.Random(2)
     items = [" ".join(r.choices([f"v{k}" for k in range(200)], k=n)) for n in (12, 20, 20, 33)] + [items_text for items_text in ("too short", None, "")]
