@@ -3,8 +3,8 @@
 Each task packs the documents of its own partition in windows of a bounded number of tokens, so there is no shuffle and no
 group grows with the data. A piece costs ``linear * n + quadratic * n * n``. A document longer than a sequence first
 gives whole sequences; what is left of all documents is dealt in descending cost, each to the sequence with the lowest cost so far
-that still has room. Only where none of the cheapest sequences has room is a document cut to fill them, so each window
-leaves less than one sequence of padding in all.
+that still has room for all of it. Only where no sequence has is a document cut to fill the emptiest, so each window leaves less than
+one sequence of padding in all.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from .tokens import default_path, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: How many of the cheapest sequences are tried for a whole document before it is cut.
-TRIED = 16
 
 
 def deal(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 1024) -> list[tuple[int, int, int, int, int]]:
@@ -36,26 +34,31 @@ def deal(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: flo
             sequence += 1
     rest = lengths % capacity
     bins = -(-int(rest.sum()) // capacity)
-    # every entry: cost so far, sequence, tokens so far; full sequences leave the heap
-    heap = [(0.0, sequence + k, 0) for k in range(bins)]
+    # lengths fall, so a sequence without room for this document waits, by its room, until one that it has room for comes
+    open_: list[tuple[float, int, int]] = [(0.0, sequence + k, capacity) for k in range(bins)]  # cost so far, sequence, room
+    waiting: list[tuple[int, int, float]] = []
     for i in np.argsort(-rest, kind="stable"):
         left = int(rest[i])
         if not left:
             break
         start = int(lengths[i]) - left
         while left:
-            passed = []
-            while heap and len(passed) < TRIED and capacity - heap[0][2] < left:
-                passed.append(heapq.heappop(heap))
-            whole = bool(heap) and capacity - heap[0][2] >= left
-            spent, k, filled = heapq.heappop(heap) if whole else passed.pop(max(range(len(passed)), key=lambda j: -passed[j][2]))
-            n = min(left, capacity - filled)
-            pieces.append((int(i), start, n, k, filled))
+            while waiting and -waiting[0][0] >= left:
+                room, k, spent = heapq.heappop(waiting)
+                heapq.heappush(open_, (spent, k, -room))
+            while open_ and open_[0][2] < left:
+                spent, k, room = heapq.heappop(open_)
+                heapq.heappush(waiting, (-room, k, spent))
+            if open_:
+                spent, k, room = heapq.heappop(open_)
+            else:
+                room, k, spent = heapq.heappop(waiting)
+                room = -room
+            n = min(left, room)
+            pieces.append((int(i), start, n, k, capacity - room))
             start, left = start + n, left - n
-            for entry in passed:
-                heapq.heappush(heap, entry)
-            if filled + n < capacity:
-                heapq.heappush(heap, (spent + cost(n), k, filled + n))
+            if room > n:
+                heapq.heappush(open_, (spent + cost(n), k, room - n))
     return pieces
 
 

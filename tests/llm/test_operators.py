@@ -250,6 +250,26 @@ def test_packing_balances_cost_and_pads_little():
     assert sum(used.values()) == lengths.sum() and 4096 * len(used) - lengths.sum() < 4096
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_takes_the_cheapest_sequence_with_room(seed):
+    """The dealing by heaps against a search of all sequences for each document."""
+    r = random.Random(seed)
+    lengths = np.array(r.choices([*range(1, 900), 1000, 1000, 2500, 4095], k=300))
+    left = sorted(((-int(n), i) for i, n in enumerate(lengths)))
+    bins = [[0.0, k, 4096] for k in range(-(-int(lengths.sum()) // 4096))]
+    want = []
+    for n, i in left:
+        n, start = -n, 0
+        while n:
+            fits = [b for b in bins if b[2] >= n]
+            b = min(fits) if fits else min(bins, key=lambda b: (-b[2], b[1]))
+            m = min(n, b[2])
+            want.append((i, start, m, b[1], 4096 - b[2]))
+            b[0], b[2] = b[0] + m + m * m / 1024, b[2] - m
+            start, n = start + m, n - m
+    assert packing.deal(lengths, 4096) == want
+
+
 def test_suffix_dedup(docs, empty):
     found = suffix_dedup.repeated_passages(docs).collect()
     texts = {r.doc_id: words(r.text) for r in docs.filter("doc_id is not null").collect()}
