@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share, as the session names it; a local session without one gets a temporary folder."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
@@ -19,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component): every id of the links (a, b) with the smallest id reachable; ids without links are left out.
 
     Alternating large-star and small-star contraction: every round points each node at the least node in its neighbourhood. Minima are
@@ -28,7 +30,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     link = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     shared_dir(links.sparkSession)
     before = None
-    for _ in range(rounds):
+    while True:
         both = link.unionByName(link.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").hint("merge").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -39,8 +41,6 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("links did not settle")
     return link.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
         link.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )

@@ -213,11 +213,10 @@ def work_components(works: DataFrame, authorships: DataFrame) -> DataFrame:
     yearly = F.when(F.startswith("k", F.lit("t:")) & ~F.col("undated"), F.concat_ws(":", "k", F.col("publication_year").cast("string"))).otherwise(F.col("k"))
     linked = named.select("scholar_id", "work_id", yearly.alias("k")).unionByName(others)
     # a node is a work as seen by one scholar
-    node = F.concat_ws("/", F.lpad(F.col("scholar_id").cast("string"), 12, "0"), F.lpad(F.col("work_id").cast("string"), 12, "0"))
+    node = F.struct("scholar_id", "work_id")
     keys = linked.select(node.alias("id"), F.concat_ws("|", "scholar_id", "k").alias("key"))
     found = components_of(own.select(node.alias("id")), keys)
-    part = lambda c, i: F.split(c, "/")[i].cast("long")
-    return found.select(part("id", 0).alias("scholar_id"), part("id", 1).alias("work_id"), part("component", 1).alias("component"))
+    return found.select("id.scholar_id", "id.work_id", F.col("component.work_id").alias("component"))
 
 
 def assess_quality(profiles: DataFrame, previous: DataFrame) -> DataFrame:

@@ -194,14 +194,16 @@ _add(
 def _raw_works(s, d):
     """The works as nested catalogue documents, one JSON text each."""
     entity = lambda i, n: F.struct(i.alias("id"), n.alias("display_name"))
-    authors = view(s, d, "authorships").groupBy("work_id").agg(
+    bylines = view(s, d, "byline_institutions").groupBy("work_id", "scholar_id").agg(F.min("institution_id").alias("institution_id"))
+    authors = view(s, d, "authorships").join(bylines, ["work_id", "scholar_id"], "left").groupBy("work_id").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("position_index", "author_position", "is_corresponding", "scholar_id"))),
-            lambda a: F.struct(a["author_position"].alias("author_position"), a["is_corresponding"].alias("is_corresponding"), entity(F.concat(F.lit("https://x.org/A"), a["scholar_id"].cast("string")), F.concat(F.lit("Name "), a["scholar_id"].cast("string"))).alias("author")),
+            F.array_sort(F.collect_list(F.struct("position_index", "author_position", "is_corresponding", "scholar_id", "institution_id"))),
+            lambda a: F.struct(a["author_position"].alias("author_position"), a["is_corresponding"].alias("is_corresponding"), entity(F.concat(F.lit("https://x.org/A"), a["scholar_id"].cast("string")), F.concat(F.lit("Name "), a["scholar_id"].cast("string"))).alias("author"), F.array(entity(F.concat(F.lit("https://x.org/I"), a["institution_id"].cast("string")), F.lit("n"))).alias("institutions")),
         ).alias("authorships")
     )
     topics = view(s, d, "work_topics").groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "topic"))).alias("t"))
-    named = lambda t: entity(F.replace(t, F.lit(" "), F.lit("_")), t)
+    # some topics have no id
+    named = lambda t: entity(F.when(F.length(t) % 3 != 0, F.replace(t, F.lit(" "), F.lit("_"))), t)
     topics = topics.select("work_id", named(F.get("t", F.lit(0))["topic"]).alias("primary_topic"), F.transform("t", lambda x: named(x["topic"])).alias("topics"))
     refs = view(s, d, "work_citations").groupBy(F.col("citing_work_id").alias("work_id")).agg(F.collect_list(F.concat(F.lit("https://x.org/W"), F.col("cited_work_id").cast("string"))).alias("referenced_works"))
     w = view(s, d, "works").join(authors, "work_id", "left").join(topics, "work_id", "left").join(refs, "work_id", "left")
@@ -216,13 +218,14 @@ _add(
 )
 _add(
     "A2_explode_authorships",
-    lambda s, d: A.explode_authorships(_raw_works(s, d)).select("work_id", "scholar_id", "position_index", "author_position", "is_corresponding"),
-    "select 'W' || work_id as work_id, 'A' || scholar_id as scholar_id, position_index, author_position, is_corresponding from authorships",
+    lambda s, d: A.explode_authorships(_raw_works(s, d)).select("work_id", "scholar_id", "position_index", "author_position", "is_corresponding", F.array_join("institution_ids", "|").alias("institution_ids")),
+    """with b as (select work_id, scholar_id, min(institution_id) as i from byline_institutions group by 1, 2)
+       select 'W' || work_id as work_id, 'A' || scholar_id as scholar_id, position_index, author_position, is_corresponding, coalesce('I' || i, '') as institution_ids from authorships left join b using (work_id, scholar_id)""",
 )
 _add(
     "A3_explode_topics",
     lambda s, d: A.explode_topics(_raw_works(s, d)),
-    "select 'W' || work_id as work_id, topic, is_primary, case when is_primary then 0.9 else 0.7 end::double as confidence from work_topics",
+    "select 'W' || work_id as work_id, topic, is_primary and length(topic) % 3 <> 0 as is_primary, case when length(topic) % 3 <> 0 then 0.9 else 0.7 end::double as confidence from work_topics",
 )
 _add("A4_citation_edges", lambda s, d: A.citation_edges(_raw_works(s, d)), "select distinct 'W' || citing_work_id as citing_work_id, 'W' || cited_work_id as cited_work_id from work_citations")
 _add(

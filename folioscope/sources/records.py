@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import html
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
@@ -38,23 +41,34 @@ def works_from_json(raw: DataFrame) -> DataFrame:
     )
 
 
+def _institutions(c: Column) -> Column:
+    """Distinct ids of the institutions that have one, in their order."""
+    ids = F.filter(F.transform(c, lambda i: T.entity_id(i["id"])), lambda i: i != "")
+    return F.array_distinct(F.coalesce(ids, F.array().cast("array<string>")))
+
+
 def explode_authorships(raw: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """One row per work and author; authors without an id are dropped, alias ids (alias_id, scholar_id) replaced, the first of repeated ones kept."""
+    """One row per work and author with the institutions of the byline; authors without an id are dropped, alias ids (alias_id, scholar_id) replaced, the first of repeated ones kept."""
     rows = parsed(raw).select(T.entity_id(F.col("id")).alias("work_id"), F.posexplode("authorships").alias("position_index", "a")).filter("a.author.id is not null")
-    rows = rows.select("work_id", T.entity_id(F.col("a.author.id")).alias("scholar_id"), "position_index", F.col("a.author_position").alias("author_position"), F.coalesce("a.is_corresponding", F.lit(False)).alias("is_corresponding"))
+    rows = rows.select("work_id", T.entity_id(F.col("a.author.id")).alias("scholar_id"), "position_index", F.col("a.author_position").alias("author_position"), F.coalesce("a.is_corresponding", F.lit(False)).alias("is_corresponding"), _institutions(F.col("a.institutions")).alias("institution_ids"))
     if aliases is not None:
         rows = rows.join(aliases.select(F.col("alias_id").alias("scholar_id"), F.col("scholar_id").alias("main_id")), "scholar_id", "left").withColumn("scholar_id", F.coalesce("main_id", "scholar_id")).drop("main_id")
-    best = F.min_by(F.struct("position_index", "author_position", "is_corresponding"), "position_index")
+    best = F.min_by(F.struct("position_index", "author_position", "is_corresponding", "institution_ids"), "position_index")
     return rows.groupBy("work_id", "scholar_id").agg(best.alias("b")).select("work_id", "scholar_id", "b.*")
 
 
 def explode_topics(raw: DataFrame) -> DataFrame:
-    """The primary topic first, then the others, each once per work by id (or name); confidence 0.9 and 0.7."""
-    r = parsed(raw).select(T.entity_id(F.col("id")).alias("work_id"), "primary_topic", F.posexplode(F.concat(F.array("primary_topic"), F.coalesce("topics", F.array().cast(f"array<{ENTITY}>")))).alias("pos", "t"))
-    r = r.filter("t is not null and t.display_name is not null").withColumn("key", F.coalesce(T.entity_id(F.col("t.id")), F.lower("t.display_name")))
-    first = r.groupBy("work_id", "key").agg(F.min_by(F.struct("t.display_name", "pos", "primary_topic"), "pos").alias("f"))
-    primary = (F.col("f.pos") == 0) & F.col("f.primary_topic").isNotNull()
-    return first.select("work_id", F.col("f.display_name").alias("topic"), primary.alias("is_primary"), F.when(primary, 0.9).otherwise(0.7).alias("confidence"))
+    """The primary topic first, then the others, each once per work by id or else by name; confidence 0.9 with an id and 0.7 without one.
+
+    A topic is primary if it has the primary topic's id.
+    """
+    listed = F.concat(F.array("primary_topic"), F.coalesce("topics", F.array().cast(f"array<{ENTITY}>")))
+    r = parsed(raw).select(T.entity_id(F.col("id")).alias("work_id"), T.entity_id(F.col("primary_topic.id")).alias("primary_id"), F.posexplode(listed).alias("pos", "t"))
+    named = r.select("work_id", "primary_id", "pos", T.entity_id(F.col("t.id")).alias("topic_id"), F.trim(F.col("t.display_name")).alias("topic")).filter("topic <> ''")
+    key = F.when(F.col("topic_id") != "", F.concat(F.lit("id:"), "topic_id")).otherwise(F.concat(F.lit("name:"), F.lower("topic")))
+    first = named.groupBy("work_id", key.alias("key")).agg(F.min_by(F.struct("topic", "topic_id", "primary_id"), "pos").alias("f"))
+    known = F.col("f.topic_id") != ""
+    return first.select("work_id", F.col("f.topic").alias("topic"), (known & (F.col("f.topic_id") == F.col("f.primary_id"))).alias("is_primary"), F.when(known, 0.9).otherwise(0.7).alias("confidence"))
 
 
 def citation_edges(raw: DataFrame) -> DataFrame:
@@ -72,8 +86,18 @@ def author_affiliations(raw: DataFrame) -> DataFrame:
     return merged.select("scholar_id", "institution_id", "years", F.array_min("years").alias("start_year"), F.array_max("years").alias("end_year"), "is_current")
 
 
+def _unescaped(c: Column) -> Column:
+    """Character references decoded. Spark SQL has no table of the named ones, so this is an Arrow-batched function."""
+
+    @F.pandas_udf("string")
+    def decoded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: html.unescape(t) if "&" in t else t)
+
+    return decoded(c)
+
+
 def crossref_records(raw: DataFrame) -> DataFrame:
-    """Publisher records: doi, title without markup, year by print, online, published, issued, journal, authors, type."""
+    """Publisher records: doi, title with character references decoded and then without markup, year by print, online, published, issued, journal, authors, type."""
     date = "struct<`date-parts`:array<array<int>>>"
     schema = (
         f"DOI string, title array<string>, `container-title` array<string>, type string, `published-print` {date}, `published-online` {date}, published {date}, issued {date}, "
@@ -81,11 +105,9 @@ def crossref_records(raw: DataFrame) -> DataFrame:
     )
     r = raw.select(F.from_json("json", schema).alias("r")).select("r.*")
     year = F.coalesce(*[F.get(F.get(F.col(f"`{c}`.`date-parts`"), F.lit(0)), F.lit(0)) for c in ("published-print", "published-online", "published", "issued")])
-    plain = F.regexp_replace(F.coalesce(F.get("title", F.lit(0)), F.lit("")), "<[^>]+>", " ")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(name), F.lit(char))
+    plain = F.regexp_replace(_unescaped(F.coalesce(F.get("title", F.lit(0)), F.lit(""))), "<[^>]+>", " ")
     names = F.filter(F.transform("author", lambda a: F.trim(F.concat_ws(" ", a["given"], a["family"]))), lambda n: n != "")
-    return r.select(T.normalize_doi(F.col("DOI")).alias("doi"), F.trim(F.regexp_replace(plain, r"\s+", " ")).alias("title"), year.alias("year"), F.get("container-title", F.lit(0)).alias("journal"), names.alias("authors"), "type")
+    return r.select(T.normalize_doi(F.col("DOI")).alias("doi"), F.trim(F.regexp_replace(plain, r"[\s\u00A0]+", " ")).alias("title"), year.alias("year"), F.get("container-title", F.lit(0)).alias("journal"), names.alias("authors"), "type")
 
 
 def incremental_slice(works: DataFrame, state: DataFrame, overlap_days: int = 30) -> DataFrame:

@@ -20,9 +20,9 @@ def read_events(spark: SparkSession, sf_dir: str, schema, files_per_batch: int =
 
 
 def usage_trend(events: DataFrame, step: str = "1 hour") -> DataFrame:
-    """Tumbling windows: page views, searches and (approximately) distinct users."""
+    """Tumbling windows: page views, searches and distinct users (by a sketch of five per cent error: exact sets would keep every user as state)."""
     w = events.withWatermark("created_at", LATE).groupBy(F.window("created_at", step))
-    return w.agg(F.count_if(F.col("event_type") == "page_view").alias("page_views"), F.count_if(F.col("event_type") == "search").alias("searches")).select(F.col("window.start").alias("bucket"), "page_views", "searches")
+    return w.agg(F.count_if(F.col("event_type") == "page_view").alias("page_views"), F.count_if(F.col("event_type") == "search").alias("searches"), F.approx_count_distinct("user_id").alias("users")).select(F.col("window.start").alias("bucket"), "page_views", "searches", "users")
 
 
 def sessions(events: DataFrame, gap: str = "5 minutes") -> DataFrame:
