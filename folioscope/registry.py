@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("extra", "resolve", "rollups", "scoring", "text", "tracking", "usage")
+MODULES = ("candidates", "extra", "resolve", "rollups", "scoring", "text", "topics", "tracking", "usage")
 
 
 def _modules():
