@@ -91,7 +91,7 @@ def _proposed(s, d):
     i = F.col("scholar_id")
     rows = F.array(
         one(F.concat(F.lit("Direction "), i.cast("string")), F.when(i % 2 == 0, "known").otherwise("other"), "一二三四五六七八", "twelve letters"),
-        one(F.when(i % 3 == 0, "Physics").when(i % 3 == 1, "machine learning").otherwise("some field here"), F.lit("known"), "一二三四五六七八", "twelve letters"),
+        one(F.when(i % 3 == 0, "Business").when(i % 3 == 1, "machine learning").otherwise("some field here"), F.lit("known"), "一二三四五六七八", "twelve letters"),
         one(F.when(i % 5 == 0, F.concat(F.lit("direction  "), i.cast("string"))).when(i % 5 == 1, "old red gear").otherwise("nothing alike"), F.lit("known"), "一二三四五六七八", "twelve letters"),
     )
     short = F.array(one(F.lit("only one"), F.lit("known"), "short", "short"))
