@@ -41,6 +41,12 @@ def _blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
     )
 
 
+#: So many products of numbers up to 127 add up exactly in float32.
+EXACT = 1024
+#: Found rows that one merging group holds, about.
+MERGED_ROWS = 200_000
+
+
 def _each(n: int, name: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
 
@@ -55,6 +61,14 @@ def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return near.astype(np.float32), scale, np.linalg.norm(scaled, axis=1) * up, np.linalg.norm(x - scaled, axis=1) * up, np.linalg.norm(x, axis=1) * up
 
 
+def _exact_product(q8: np.ndarray, v8: np.ndarray) -> np.ndarray:
+    """All inner products of int8 rows: float32 sums of up to EXACT products of two int8 are whole numbers below 2 ** 24; more are added in double."""
+    out = np.zeros((len(q8), len(v8)))
+    for d in range(0, q8.shape[1], EXACT):
+        out += q8[:, d : d + EXACT] @ v8[:, d : d + EXACT].T
+    return out
+
+
 def _product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Row-wise inner products, summed from the first component to the last."""
     out = np.zeros(len(q))
@@ -83,7 +97,7 @@ def _tile(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray,
     for at in range(0, len(q), strip):
         own, x = query_ids[at : at + strip], q[at : at + strip]
         q8, a, q_scaled, q_rest, _ = _quantised(x)
-        product = (q8 @ v8.T).astype(np.float64) * a[:, None] * b[None, :]
+        product = _exact_product(q8, v8) * a[:, None] * b[None, :]
         bound = q_rest[:, None] * v_norm[None, :] + q_scaled[:, None] * v_rest[None, :] + 1e-9 * (q_scaled[:, None] * v_norm[None, :])
         product[own[:, None] == ids[None, :]] = -np.inf
         lower, least = product - bound, floor[at : at + strip]
@@ -140,5 +154,6 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
             out += [(query_id, n, vec_id, -less) for n, (less, vec_id) in enumerate(best, 1)]
         return pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
 
-    groups = found.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(4096)))
+    parts = max(1, -(-count[1] * min(slices * k, count[0]) // MERGED_ROWS))
+    groups = found.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
     return groups.groupBy("part").applyInPandas(merge, FOUND)

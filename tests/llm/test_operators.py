@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, on small tables with the awkward cases:
 nulls in any column, empty and very long texts, ties, repeated rows, empty tables, columns named like the results."""
 
+import functools
 import math
 import random
 import re
@@ -128,6 +129,12 @@ def test_url_filters(spark):
     assert {r.verdict for r in url_filters.judge_urls(df, rule_table.filter("false"), salts=2).collect()} == {"allow"}
 
 
+def test_quantised_products_of_long_vectors_are_exact():
+    r = np.random.default_rng(4)
+    q, v = (r.integers(100, 128, (3, 5000)).astype(np.float32) for _ in range(2))
+    assert (neighbours._exact_product(q, v) == q.astype(np.int64) @ v.astype(np.int64).T).all()
+
+
 def test_html_extraction(spark):
     body = "The quick fox of the wood and the owl were in the tree for a day. " * 3
     page = (
@@ -458,15 +465,16 @@ def test_katz_backoff(docs, empty):
 
     for h in ["</s>", "w1", *list(after)[:3]]:  # exactly normalised
         assert abs(sum(p(h, w) for w in c1) + p(h, "never met") - 1) < 1e-9 or not c1[h]
-    cached = {}
+    cached, seen = {}, functools.lru_cache(None)(p)
     for i, w in texts:
-        if len(w) < 1000:
-            cached[i, len(w)] = sum(math.log10(p(h, x)) for h, x in zip(["</s>", *w], w))
+        base = sum(math.log10((c1[x] + 0.1) / (total + 0.1 * (len(c1) + 1))) for x in w)
+        cached[i, len(w)] = sum(math.log10(seen(h, x)) for h, x in zip(["</s>", *w], w)), base, sum(c1[x] > 0 for x in w)
     checked = 0
     for r in rows:
         assert r.train_tokens == total and r.held_out == is_held(r.doc_id)
         if (r.doc_id, r.n_tokens) in cached and r.doc_id is not None:
-            assert math.isclose(r.score, cached[r.doc_id, r.n_tokens], rel_tol=1e-9)
+            score, base, known = cached[r.doc_id, r.n_tokens]
+            assert math.isclose(r.score, score, rel_tol=1e-9) and math.isclose(r.base_score, base, rel_tol=1e-9) and r.n_known == known
             checked += 1
     assert len(rows) == len(texts) and checked > 60 and katz.score(empty, held).count() == 0
 
