@@ -99,6 +99,26 @@ def match_containment(records: DataFrame, works: DataFrame) -> DataFrame:
     return met.filter(fits).select("scholar_id", "record_id").distinct()
 
 
+def choose_anchored(works: DataFrame, hits: DataFrame, articles: DataFrame, institutions: DataFrame, anchors: int = 2) -> DataFrame:
+    """(scholar_id, author_id, matched): the search profile of each scholar that an author of one of the scholar's ``anchors`` most cited titles has.
+
+    works: (scholar_id, title, publication_year, cited_by_count); hits: (scholar_id, title, author_id), found papers and those of their authors whose name fits;
+    articles: (scholar_id, author_id, record_id, title, year), what is listed in these profiles; institutions: (scholar_id, author_id, score). Of the profiles reached the one
+    with most articles that are the scholar's works is taken, then the better institution, then the smaller id; one without any such article is none.
+    """
+    titled = works.withColumn("folded", T.normalize_title(F.col("title"))).filter("folded <> ''")
+    best = titled.groupBy("scholar_id", "folded").agg(F.max(F.coalesce("cited_by_count", F.lit(0))).alias("cited"))
+    order = Window.partitionBy("scholar_id").orderBy(F.desc("cited"), "folded")
+    top = best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= anchors).select("scholar_id", F.col("folded").alias("anchor"))
+    reached = hits.hint("merge").join(top, "scholar_id").filter(T.title_contains_match(F.col("anchor"), F.col("title"))).select("scholar_id", "author_id").distinct()
+    listed = articles.join(reached, ["scholar_id", "author_id"], "left_semi")
+    own = match_containment(listed.select("scholar_id", "record_id", "title", "year"), works.select("scholar_id", "title", "publication_year"))
+    counts = listed.join(own, ["scholar_id", "record_id"], "left_semi").groupBy("scholar_id", "author_id").agg(F.count_distinct("record_id").alias("matched"))
+    x = counts.join(institutions, ["scholar_id", "author_id"], "left")
+    place = F.row_number().over(Window.partitionBy("scholar_id").orderBy(F.desc("matched"), F.desc(F.coalesce("score", F.lit(0))), "author_id"))
+    return x.withColumn("place", place).filter("place = 1").select("scholar_id", "author_id", "matched")
+
+
 def candidate_affiliations(rows: DataFrame) -> DataFrame:
     """(profile_id, name, is_primary, place): the affiliations of each profile; place orders those that are history.
 

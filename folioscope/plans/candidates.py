@@ -181,6 +181,23 @@ _add(
 )
 
 
+def _anchored(s, d):
+    own = _own(s, d).filter("title is not null").withColumn("author_id", F.col("scholar_id") * 10 + F.col("work_id") % 3)
+    other = F.when(F.col("work_id") % 4 == 0, F.concat("title", F.lit(" elsewhere"))).otherwise(F.col("title"))
+    articles = own.select("scholar_id", "author_id", F.col("work_id").alias("record_id"), other.alias("title"), F.col("publication_year").alias("year"))
+    return C.choose_anchored(own, own.select("scholar_id", "title", "author_id"), articles, own.select("scholar_id", "author_id", ((F.col("scholar_id") + F.col("author_id")) % 3).alias("score")).distinct())
+
+
+_add(
+    "E14_choose_anchored_profile",
+    lambda s, d: _anchored(s, d),
+    """with own as (select scholar_id, work_id, lower(title) as t, cited_by_count as c, scholar_id * 10 + work_id % 3 as author_id from authorships join works using (work_id) where title is not null),
+        a as (select scholar_id, t from (select scholar_id, t, max(c) as c from own group by 1, 2) qualify row_number() over (partition by scholar_id order by c desc, t) <= 2),
+        m as (select scholar_id, author_id, count(*) as matched from own where work_id % 4 > 0 and (scholar_id, author_id) in (select (scholar_id, author_id) from own join a using (scholar_id, t)) group by 1, 2)
+       select * from m qualify row_number() over (partition by scholar_id order by matched desc, (scholar_id + author_id) % 3 desc, author_id) = 1""",
+)
+
+
 def _affiliation_rows(s, d):
     names = view(s, d, "institutions").select("institution_id", "display_name")
     b = view(s, d, "byline_institutions").filter("(work_id + scholar_id) % 11 = institution_id % 11").join(names, "institution_id")
