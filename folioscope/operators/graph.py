@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder and read back, for tables that are used more than once."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): every id of the links (a, b) with the smallest id reachable; ids without links are left out.
 

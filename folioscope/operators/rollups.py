@@ -53,7 +53,7 @@ def symmetrise(pairs: DataFrame, a: str = "scholar_a", b: str = "scholar_b") ->
 
 def collaborations(works: DataFrame, authorships: DataFrame) -> DataFrame:
     """Per pair of scholars first and last year, number of joint works, years and works."""
-    pairs = coauthor_pairs(authorships).join(works.select("work_id", "publication_year"), "work_id")
+    pairs = coauthor_pairs(authorships).hint("merge").join(works.select("work_id", "publication_year"), "work_id")
     return pairs.groupBy("scholar_a", "scholar_b").agg(
         F.min("publication_year").alias("first_year"),
         F.max("publication_year").alias("last_year"),
@@ -69,7 +69,7 @@ def coauthors(works: DataFrame, authorships: DataFrame, scholars: DataFrame, ins
     best = top(both, ["scholar_id"], [F.desc("papers"), F.col("other_id")], k)
     names = scholars.join(institutions.select("institution_id", F.col("display_name").alias("institution")), "institution_id", "left")
     named = names.groupBy("scholar_id").agg(F.min("display_name").alias("name"), F.min("institution").alias("institution"))
-    return best.join(named.withColumnRenamed("scholar_id", "other_id"), "other_id", "left").select("scholar_id", "rank", "other_id", "papers", "name", "institution", "works")
+    return best.hint("merge").join(named.withColumnRenamed("scholar_id", "other_id"), "other_id", "left").select("scholar_id", "rank", "other_id", "papers", "name", "institution", "works")
 
 
 def ego_network(works: DataFrame, authorships: DataFrame, k: int = 20) -> DataFrame:

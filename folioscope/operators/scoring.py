@@ -5,6 +5,8 @@ Weights and thresholds are those of the scoring model; every index lies in 0..10
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,12 +70,19 @@ def incoming_internal(citations: DataFrame, works: DataFrame) -> DataFrame:
     return inside.groupBy(F.col("cited_work_id").alias("work_id")).agg(F.count("*").alias("incoming"))
 
 
-def later_same_topic(works: DataFrame, authorships: DataFrame, work_topics: DataFrame, enough: int = 3) -> DataFrame:
-    """(scholar_id, work_id, later): later works of the scholar that share a topic, ``enough`` at most (all that a score can use).
+def later_same_topic(works: DataFrame, authorships: DataFrame, work_topics: DataFrame, enough: int | None = None) -> DataFrame:
+    """(scholar_id, work_id, later): later works of the scholar that share a topic; with ``enough`` no more than that are told apart (all that a score can use).
 
-    A work's later works on one topic are the next ones in that topic's order, so the next ``enough`` of each topic hold them.
+    A work's later works on one topic are the next ones in that topic's order, so the next ``enough`` of each topic hold them. Without
+    it the works of one topic are joined in order.
     """
     own = authorships.select("scholar_id", "work_id").distinct().join(works.select("work_id", F.coalesce("publication_year", F.lit(0)).alias("year")), "work_id")
+    if enough is None:
+        on = own.join(work_topics.select("work_id", "topic").distinct(), "work_id")
+        after = on.select("scholar_id", "topic", F.col("year").alias("y"), F.col("work_id").alias("w"))
+        pairs = on.join(after, ["scholar_id", "topic"]).filter("y > year or (y = year and w > work_id)")
+        found = pairs.groupBy("scholar_id", "work_id").agg(F.count_distinct("w").alias("later"))
+        return own.select("scholar_id", "work_id").join(found, ["scholar_id", "work_id"], "left").na.fill(0, ["later"])
     w = Window.partitionBy("scholar_id", "topic").orderBy("year", "work_id")
     ahead = own.join(work_topics.select("work_id", "topic").distinct(), "work_id").withColumn("next", F.array_compact(F.array(*[F.lead("work_id", k).over(w) for k in range(1, enough + 1)])))
     found = ahead.groupBy("scholar_id", "work_id").agg(F.least(F.lit(enough), F.size(F.array_distinct(F.flatten(F.collect_list("next"))))).alias("later"))
@@ -101,7 +110,7 @@ def representative_works(works: DataFrame, authorships: DataFrame, work_topics:
     shared = topical.join(field, ["scholar_id", "topic"], "left_semi").groupBy("scholar_id", "work_id").agg(F.count("*").alias("shared"))
     x = own.join(works.select("work_id", "publication_year"), "work_id").join(n_topics, ["scholar_id", "work_id"], "left").join(shared, ["scholar_id", "work_id"], "left").join(sizes, "scholar_id", "left")
     x = x.na.fill(0, ["n_topics", "shared", "n_field"]).join(impact_percentile(works, work_topics), "work_id").join(incoming_internal(citations, works), "work_id", "left")
-    x = x.join(later_same_topic(works, authorships, work_topics), ["scholar_id", "work_id"]).na.fill(0, ["incoming"])
+    x = x.join(later_same_topic(works, authorships, work_topics, enough=3), ["scholar_id", "work_id"]).na.fill(0, ["incoming"])
     union = F.col("n_topics") + F.col("n_field") - F.col("shared")
     x = (
         x.withColumn("relevance", F.when(union > 0, F.col("shared") / union).otherwise(0.0))
@@ -176,7 +185,7 @@ def shared_collaborators(collaborations: DataFrame, focus: DataFrame) -> DataFra
     """(focus_id, other_id, shared): number of common collaborators of each focus scholar and any other. collaborations: (scholar_id, other_id)."""
     edges = collaborations.select("scholar_id", "other_id").distinct()
     near = edges.join(focus.select("scholar_id"), "scholar_id", "left_semi").select(F.col("scholar_id").alias("focus_id"), F.col("other_id").alias("middle"))
-    two = near.join(edges.select(F.col("scholar_id").alias("middle"), "other_id"), "middle").filter("focus_id <> other_id")
+    two = near.hint("merge").join(edges.select(F.col("scholar_id").alias("middle"), "other_id"), "middle").filter("focus_id <> other_id")
     return two.groupBy("focus_id", "other_id").agg(F.count("*").alias("shared"))
 
 
@@ -203,23 +212,25 @@ def pair_features(works: DataFrame, authorships: DataFrame, work_topics: DataFra
         ratio(F.col("least_recent"), F.col("f_total_recent") + F.col("c_total_recent") - F.col("least_recent")).alias("recent_overlap"),
     )
 
-    def overlap(sets: DataFrame, name: str) -> DataFrame:
-        """Jaccard similarity of the value sets of each pair, and whether both have any."""
-        n = sets.groupBy("scholar_id").agg(F.count("*").alias("n"))
-        both = pairs.select("focus_id", "candidate_id").join(sets.select(F.col("scholar_id").alias("focus_id"), "value"), "focus_id").join(sets.select(F.col("scholar_id").alias("candidate_id"), "value"), ["candidate_id", "value"])
-        shared = both.groupBy("focus_id", "candidate_id").agg(F.count("*").alias("s"))
-        x = pairs.select("focus_id", "candidate_id").join(shared, ["focus_id", "candidate_id"], "left")
-        x = x.join(n.select(F.col("scholar_id").alias("focus_id"), F.col("n").alias("nf")), "focus_id", "left").join(n.select(F.col("scholar_id").alias("candidate_id"), F.col("n").alias("nc")), "candidate_id", "left").na.fill(0, ["s", "nf", "nc"])
-        return x.select("focus_id", "candidate_id", ratio(F.col("s"), F.col("nf") + F.col("nc") - F.col("s")).alias(name), ((F.col("nf") > 0) & (F.col("nc") > 0)).alias(f"{name}_known"))
-
-    years = authorships.select("scholar_id", "work_id").join(works.filter("publication_year is not null"), "work_id").select("scholar_id", F.col("publication_year").alias("value")).distinct()
-    for sets, name in ((years, "temporal"), (method_tokens, "method_similarity"), (problem_tokens, "problem_similarity"), (categories, "category_overlap")):
-        pairs_now = overlap(sets, name)
-        features = pairs_now if name == "temporal" else features.join(pairs_now, ["focus_id", "candidate_id"])  # noqa: F821
+    # one row holds all value sets of a scholar, so that a pair fetches each side once; made by explode, so the joins are told
+    years = authorships.select("scholar_id", "work_id").join(works.filter("publication_year is not null"), "work_id").select("scholar_id", F.col("publication_year").cast("string").alias("value"))
+    kinds = {"temporal": years, "method_similarity": method_tokens, "problem_similarity": problem_tokens, "category_overlap": categories}
+    valued = [df.select("scholar_id", F.lit(name).alias("kind"), "value") for name, df in kinds.items()]
+    held = reduce(DataFrame.unionByName, valued).groupBy("scholar_id").agg(*[F.collect_set(F.when(F.col("kind") == name, F.col("value"))).alias(name) for name in kinds])
+    of = lambda prefix, key: held.select(F.col("scholar_id").alias(key), *[F.col(name).alias(f"{prefix}_{name}") for name in kinds]).hint("merge")
+    met = pairs.join(of("f", "focus_id"), "focus_id", "left").join(of("c", "candidate_id"), "candidate_id", "left")
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+
+    def overlap(name: str) -> Column:
+        shared = n(F.array_intersect(f"f_{name}", f"c_{name}"))
+        return ratio(shared, n(F.col(f"f_{name}")) + n(F.col(f"c_{name}")) - shared).alias(name)
+
+    known = (n(F.col("f_category_overlap")) > 0) & (n(F.col("c_category_overlap")) > 0)
+    pairs = met.select("focus_id", "candidate_id", "topic_overlap", "recent_overlap", *map(overlap, kinds), known.alias("category_overlap_known"))
     direct = symmetrise(coauthor_pairs(authorships)).groupBy(F.col("scholar_id").alias("focus_id"), F.col("other_id").alias("candidate_id")).agg(F.count("*").alias("direct_count"))
     common = shared_collaborators(symmetrise(coauthor_pairs(authorships)), focus).withColumnRenamed("other_id", "candidate_id")
     place = scholars.select("scholar_id", "institution_id")
-    x = pairs.join(features, ["focus_id", "candidate_id"]).join(direct, ["focus_id", "candidate_id"], "left").join(common, ["focus_id", "candidate_id"], "left").na.fill(0, ["direct_count", "shared"])
+    x = pairs.join(direct.hint("merge"), ["focus_id", "candidate_id"], "left").join(common.hint("merge"), ["focus_id", "candidate_id"], "left").na.fill(0, ["direct_count", "shared"])
     x = x.join(place.select(F.col("scholar_id").alias("focus_id"), F.col("institution_id").alias("fi")), "focus_id", "left").join(place.select(F.col("scholar_id").alias("candidate_id"), F.col("institution_id").alias("ci")), "candidate_id", "left")
     return x.select(
         "focus_id", "candidate_id", "topic_overlap", "recent_overlap", "temporal", "direct_count", F.col("shared").alias("shared_collaborators"), "method_similarity", "problem_similarity",

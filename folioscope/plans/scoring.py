@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.operators import scoring as S
+from folioscope.operators.graph import kept
 
 from .fixtures import oracle, view
 
@@ -80,8 +81,8 @@ _add("G2_topic_percentile", lambda s, d: S.impact_percentile(*_v("works", "work_
 _add("G3_incoming_internal", lambda s, d: S.incoming_internal(*_v("work_citations", "works")(s, d)), sql(f"with {IMPACT} select * from inc"))
 _add(
     "G4_later_same_topic",
-    lambda s, d: S.later_same_topic(*_v(*CORPUS)(s, d)).withColumn("later", F.col("later").cast("long")),
-    sql(f"with {OWN}, {LATER} select scholar_id, work_id, least(3, coalesce(n, 0)) as later from own left join later using (scholar_id, work_id)", *CORPUS),
+    lambda s, d: S.later_same_topic(*_v(*CORPUS)(s, d)),
+    sql(f"with {OWN}, {LATER} select scholar_id, work_id, coalesce(n, 0) as later from own left join later using (scholar_id, work_id)", *CORPUS),
 )
 _add(
     "G5_representative_works",
@@ -212,7 +213,7 @@ _add("H8_recommend_references", _references, sql(f"with {DIMS}, {FEATURES_ONLY}
 
 
 def _merged(s, d):
-    f = features(s, d)
+    f = kept(features(s, d))
     found = S.merge_recommendations({"peer": S.recommend_peers(f), "potential_collaborator": S.recommend_collaborators(f), "potential_competitor": S.recommend_competitors(f)})
     return found.withColumn("categories", F.array_join("categories", "|"))
 
