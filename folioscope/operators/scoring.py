@@ -274,13 +274,18 @@ def recommend_competitors(features: DataFrame, k: int = 20) -> DataFrame:
     return ranked(x.select("focus_id", "candidate_id", _index(score * 100).alias("index")), k)
 
 
-def recommend_references(features: DataFrame, works: DataFrame, authorships: DataFrame, dimensions: DataFrame, citations: DataFrame, k: int = 20) -> DataFrame:
-    """dimensions: (scholar_id, quality, continuity, impact); a null quality fails, a null continuity or impact counts as 0."""
+def activity(works: DataFrame, authorships: DataFrame, citations: DataFrame) -> DataFrame:
+    """(scholar_id, works, recent_works, downstream): works, those since the newest year less 3, and the share cited within the corpus."""
     newest = works.agg(F.max("publication_year").alias("as_of"))
     own = authorships.select("scholar_id", "work_id").distinct().join(works.select("work_id", F.coalesce("publication_year", F.lit(0)).alias("year")), "work_id").crossJoin(F.broadcast(newest)).join(incoming_internal(citations, works), "work_id", "left")
-    n = own.groupBy(F.col("scholar_id").alias("candidate_id")).agg(
+    return own.groupBy("scholar_id").agg(
         F.count("*").alias("works"), F.count_if(F.col("year") >= F.col("as_of") - 3).alias("recent_works"), (F.count_if(F.coalesce("incoming", F.lit(0)) > 0) / F.count("*")).alias("downstream")
     )
+
+
+def recommend_references(features: DataFrame, works: DataFrame, authorships: DataFrame, dimensions: DataFrame, citations: DataFrame, k: int = 20) -> DataFrame:
+    """dimensions: (scholar_id, quality, continuity, impact); a null quality fails, a null continuity or impact counts as 0."""
+    n = activity(works, authorships, citations).withColumnRenamed("scholar_id", "candidate_id")
     x = features.join(n, "candidate_id").join(dimensions.withColumnRenamed("scholar_id", "candidate_id"), "candidate_id").filter("topic_overlap >= 0.15 and quality is not null and works >= 4")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     score = (

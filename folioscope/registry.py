@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("candidates", "evidence", "extra", "resolve", "rollups", "scoring", "text", "topics", "tracking", "usage")
+MODULES = ("candidates", "evidence", "extra", "portraits", "resolve", "rollups", "scoring", "text", "topics", "tracking", "usage")
 
 
 def _modules():
