@@ -187,6 +187,61 @@ def team_topics(scholars: DataFrame, authorships: DataFrame, work_topics: DataFr
     return own.join(work_topics.select("work_id", "topic").distinct(), "work_id").groupBy("institution_id", "topic").agg(F.count("*").alias("n"))
 
 
+def team_profiles(teams: DataFrame, topics: DataFrame, scholars: DataFrame, field: DataFrame, k: int = 6) -> DataFrame:
+    """teams with their k most frequent topics, the share of a field's topics (topic), the share of ready members, and confidence.
+
+    topics: team_topics; scholars: (scholar_id, institution_id, graph_ready).
+    """
+    best = in_order(top(topics, ["institution_id"], [F.desc("n"), F.col("topic")], k), ["institution_id"], "topics", "topic", "n")
+    totals = topics.groupBy("institution_id").agg(F.sum("n").alias("all"))
+    met = topics.join(field.select("topic").distinct(), "topic", "left_semi").groupBy("institution_id").agg(F.sum("n").alias("met"))
+    ready = scholars.groupBy("institution_id").agg((F.count_if("graph_ready") / F.count("*")).alias("ready_share"))
+    x = teams
+    for part in (best, totals, met, ready):
+        x = x.join(part.hint("merge"), "institution_id", "left")
+    least = lambda c, n: F.least(F.lit(1.0), F.col(c) / n)
+    score = least("members", 4) * 0.35 + least("works", 20) * 0.35 + F.coalesce("ready_share", F.lit(0.0)) * 0.3
+    level = F.when(score >= 0.78, "high").when(score >= 0.55, "medium").otherwise("low")
+    share = F.when(F.col("all") > 0, F.coalesce("met", F.lit(0)) / F.col("all")).otherwise(0.0)
+    return x.withColumn("field_overlap", F.round(share, 3)).withColumn("confidence", F.round(score, 3)).withColumn("level", level).drop("all", "met")
+
+
+def compare_recent(pairs: DataFrame, trend: DataFrame, since_year: int) -> DataFrame:
+    """(a, b) with both sides' papers, citations and active years since a year; trend: (scholar_id, year, papers, citations)."""
+    sums = trend.filter(F.col("year") >= since_year).groupBy("scholar_id").agg(F.sum("papers").alias("papers"), F.sum("citations").alias("citations"), F.count_if(F.col("papers") > 0).alias("years"))
+    x = pairs.select("a", "b")
+    for s in ("a", "b"):
+        x = x.join(sums.select(F.col("scholar_id").alias(s), *[F.col(c).alias(f"{s}_recent_{c}") for c in ("papers", "citations", "years")]), s, "left")
+    return x.na.fill(0)
+
+
+def compare_sets(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """(a, b, kind) with the values that both, only a and only b have, in order; values: (scholar_id, kind, value), few a scholar, case aside."""
+    folded = values.select("scholar_id", "kind", F.lower(F.trim("value")).alias("value"))
+    held = folded.groupBy("scholar_id", "kind").agg(F.array_sort(F.collect_set("value")).alias("v"))
+    kinds = values.select("kind").distinct()
+    x = pairs.select("a", "b").crossJoin(F.broadcast(kinds))  # a handful of kinds
+    for s in ("a", "b"):
+        x = x.join(held.select(F.col("scholar_id").alias(s), "kind", F.col("v").alias(f"v{s}")).hint("merge"), [s, "kind"], "left")
+    none = F.array().cast("array<string>")
+    x = x.withColumns({c: F.coalesce(c, none) for c in ("va", "vb")})
+    return x.select("a", "b", "kind", F.array_intersect("va", "vb").alias("shared"), F.array_except("va", "vb").alias("a_only"), F.array_except("vb", "va").alias("b_only"))
+
+
+def compare_topics(pairs: DataFrame, profiles: DataFrame, best: DataFrame) -> DataFrame:
+    """(a, b) with the weighted overlap of their topics and each side's representative works; profiles: (scholar_id, topic, n), best: (scholar_id, rank, work_id)."""
+    p = profiles.select("scholar_id", "topic", "n")
+    totals = p.groupBy("scholar_id").agg(F.sum("n").alias("all"))
+    side = lambda df, s: df.select(F.col("scholar_id").alias(s), *[F.col(c).alias(f"{s}_{c}") if c != "topic" else F.col(c) for c in df.columns if c != "scholar_id"])
+    met = pairs.select("a", "b").join(side(p, "a"), "a").join(side(p, "b"), ["b", "topic"]).groupBy("a", "b").agg(F.sum(F.least("a_n", "b_n")).alias("least"))
+    x = pairs.select("a", "b").join(met, ["a", "b"], "left").join(side(totals, "a"), "a", "left").join(side(totals, "b"), "b", "left").na.fill(0)
+    listed = in_order(best, ["scholar_id"], "works", "work_id")
+    for s in ("a", "b"):
+        x = x.join(side(listed, s).hint("merge"), s, "left")
+    union = F.col("a_all") + F.col("b_all") - F.col("least")
+    return x.select("a", "b", F.round(F.when(union > 0, F.col("least") / union).otherwise(0.0), 3).alias("topic_overlap"), "a_works", "b_works")
+
+
 def compare_teams(pairs: DataFrame, scholars: DataFrame, teams: DataFrame, team_topics: DataFrame, scholar_topics: DataFrame) -> DataFrame:
     """pairs: (a, b) by the teams of their institutions: members, works, active years, and the share of the pair's topics among the team's.
 

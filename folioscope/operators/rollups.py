@@ -256,8 +256,17 @@ def grouped_counts(works: DataFrame, work_topics: DataFrame, authorships: DataFr
     return own.groupBy("scholar_id").agg(F.count("*").alias("historical_works"), F.count_if(F.col("publication_year") >= since_year).alias("recent_works"))
 
 
-def discover_candidates(counts: DataFrame, k: int = 60, most: int = 600) -> DataFrame:
-    """The k scholars with the greatest historical + 2 x recent works; those with more than ``most`` works are left out."""
-    scored = counts.filter(F.col("historical_works") <= most).withColumn("score", F.col("historical_works") + 2 * F.col("recent_works"))
+def discover_institutions(counts: DataFrame, own: int | None = None, k: int = 60) -> DataFrame:
+    """The k institutions (institution_id, historical_works, recent_works) with the greatest historical + 2 x recent works, and the focus's own one behind them."""
+    scored = counts.withColumn("score", F.col("historical_works") + 2 * F.col("recent_works"))
+    order = [F.desc("score"), F.col("institution_id")]
+    best = scored.orderBy(*order).limit(k)  # k rows, so one task may number them
+    forced = scored.filter(F.col("institution_id") == F.lit(own)).join(best.select("institution_id"), "institution_id", "left_anti")
+    return best.unionByName(forced).withColumn("discovery_rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def discover_candidates(counts: DataFrame, k: int = 60, most: int = 600, focus: int | None = None) -> DataFrame:
+    """The k scholars with the greatest historical + 2 x recent works; the focus and those with more than ``most`` works are left out."""
+    scored = counts.filter(F.col("historical_works") <= most).filter(~F.col("scholar_id").eqNullSafe(F.lit(focus))).withColumn("score", F.col("historical_works") + 2 * F.col("recent_works"))
     best = scored.orderBy(F.desc("score"), "scholar_id").limit(k)  # k rows, so one task may number them
     return best.withColumn("discovery_rank", F.row_number().over(Window.orderBy(F.desc("score"), "scholar_id")).cast("long"))

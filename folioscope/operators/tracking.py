@@ -88,7 +88,20 @@ def discovery_progress(candidates: DataFrame, most: int = 20) -> DataFrame:
         F.count("*").alias("discovered"), F.count_if("usable").alias("ready"), F.count_if((F.col("status") == "failed") & ~F.col("usable")).alias("failed"), F.count_if(waiting).alias("queued"),
         F.count_if(F.col("usable") | waiting | (F.col("status") == "failed")).alias("attempted"),
     )
-    return x.withColumn("target", F.least(F.lit(most).cast("long"), "discovered"))
+    x = x.withColumn("target", F.least(F.lit(most).cast("long"), "discovered"))
+    done = F.when((F.col("failed") > 0) | (F.col("ready") < F.col("target")), "partial").otherwise("ready")
+    return x.withColumn("final_status", F.when(F.col("attempted") >= F.col("target"), done).when(F.col("queued") > 0, "enriching").otherwise("next_batch"))
+
+
+def next_batch(candidates: DataFrame, most: int = 20, initial: int = 8, later: int = 4) -> DataFrame:
+    """(focus_id, place, candidate_id): the never synced candidates to sync next, by discovery_rank, of each focus that waits for a batch.
+
+    The first batch has ``initial`` candidates, others ``later``; no more than are missing to the target.
+    """
+    waits = discovery_progress(candidates, most).filter("final_status = 'next_batch'")
+    size = F.least(F.when(F.col("attempted") == 0, initial).otherwise(later).cast("long"), F.col("target") - F.col("attempted"))
+    new = top(candidates.filter("status = 'never' and not usable"), ["focus_id"], [F.col("discovery_rank"), F.col("candidate_id")], max(initial, later), "place")
+    return new.hint("merge").join(waits.select("focus_id", size.alias("size")), "focus_id").filter("place <= size").select("focus_id", "place", "candidate_id")
 
 
 def rank_search_hits(hits: DataFrame, k: int = 100) -> DataFrame:

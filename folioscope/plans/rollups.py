@@ -207,6 +207,14 @@ query(
        union all select scholar_id, 'coauthor', other_id, weight from r where rn <= 20""",
     "works", "authorships",
 )(R.ego_network)
+
+
+def _institution_counts(bylines, work_topics):
+    hit = work_topics.filter("topic like '%Brand#1'").select("work_id").distinct()
+    met = bylines.join(hit, "work_id", "left_semi")
+    return met.groupBy("institution_id").agg(F.count_distinct("work_id").alias("historical_works"), F.count_distinct(F.when(F.col("year") >= 1999, F.col("work_id"))).alias("recent_works"))
+
+
 TOPIC_COUNTS = """hit as (select distinct work_id from work_topics where topic like '%Brand#1'),
     counts as (select scholar_id, count(distinct work_id) as historical_works, count(distinct work_id) filter (publication_year >= 1999) as recent_works
                from authorships join hit using (work_id) join works using (work_id) group by 1)"""
@@ -216,6 +224,15 @@ query("A18_grouped_counts", f"with {TOPIC_COUNTS} select * from counts", *WAT)(
 query(
     "F24_discover_candidates",
     f"""with {TOPIC_COUNTS} select *, historical_works + 2 * recent_works as score, row_number() over (order by historical_works + 2 * recent_works desc, scholar_id) as discovery_rank
-       from counts where historical_works <= 600 qualify discovery_rank <= 60""",
+       from counts where historical_works <= 600 and scholar_id <> 7 qualify discovery_rank <= 60""",
     *WAT,
-)(lambda w, a, t: R.discover_candidates(R.grouped_counts(w, t, a, t.select("topic").filter("topic like '%Brand#1'"), 1999)))
+)(lambda w, a, t: R.discover_candidates(R.grouped_counts(w, t, a, t.select("topic").filter("topic like '%Brand#1'"), 1999), focus=7))
+query(
+    "F24_discover_institutions",
+    """with c as (select institution_id, count(distinct work_id) as historical_works, count(distinct work_id) filter (year >= 1999) as recent_works from byline_institutions
+            where work_id in (select work_id from work_topics where topic like '%Brand#1') group by 1),
+        r as (select *, historical_works + 2 * recent_works as score, row_number() over (order by historical_works + 2 * recent_works desc, institution_id) as p from c),
+        k as (select * exclude (p) from r where p <= 10 or institution_id = 3)
+       select *, row_number() over (order by score desc, institution_id) as discovery_rank from k""",
+    "byline_institutions", "work_topics",
+)(lambda b, t: R.discover_institutions(_institution_counts(b, t), own=3, k=10))

@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import lookups as L
+from folioscope.operators import portraits as P
 from folioscope.operators import rollups as R
 from folioscope.operators import scoring as S
 from folioscope.operators import tracking as K
+from folioscope.operators.graph import kept
 
+from . import scoring as C
 from .fixtures import oracle, view
+from .rollups import BOTH
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -90,28 +94,94 @@ _add(
 )
 _add(
     "H15_compare_scholars",
-    lambda s, d: K.compare_dimensions(
-        PAIRS_OF(s, d), _totals(s, d).select("scholar_id", F.when(F.col("scholar_id") % 4 > 0, (F.col("papers") % 100).cast("double")).alias("continuity"), (F.col("citations") % 100).cast("double").alias("impact"))
-    ),
-    f"""with {TOTALS}, l as (select scholar_id, 'continuity' as dimension, case when scholar_id % 4 > 0 then (papers % 100)::double end as i from tot union all select scholar_id, 'impact', (citations % 100)::double from tot)
+    lambda s, d: K.compare_dimensions(PAIRS_OF(s, d), kept(C._dimensions(s, d))),
+    C.sql(
+        f"""with {C.DIMS}, l as (select scholar_id, 'quality' as dimension, quality as i from qual union all select scholar_id, 'continuity', continuity from cont union all select scholar_id, 'impact', impact from impi)
        select f.scholar_id as a, f.scholar_id + 1 as b, x.dimension, x.i as a_index, y.i as b_index, case when x.i - y.i is null then 'insufficient' when abs(x.i - y.i) < 8 then 'close' when x.i > y.i then 'a' else 'b' end as outcome
        from focus f join l x on x.scholar_id = f.scholar_id join l y on y.scholar_id = f.scholar_id + 1 and y.dimension = x.dimension""",
+        *C.CORPUS,
+    ),
+)
+
+
+def _compared_topics(s, d):
+    w, a, t, c = (view(s, d, n) for n in (*C.CORPUS, "work_citations"))
+    x = P.compare_topics(PAIRS_OF(s, d), S.topic_profiles(w, a, t), S.representative_works(w, a, t, c, k=3).select("scholar_id", "rank", "work_id"))
+    return x.withColumns({f"{k}_works": F.array_join(F.transform(f"{k}_works", lambda v: v.cast("string")), "|") for k in "ab"})
+
+
+_add(
+    "H15_compare_topics",
+    _compared_topics,
+    C.sql(
+        f"""with {C.IMPACT}, {C.OWN}, {C.FIELD}, {C.LATER}, {C.REP}, pf as (select scholar_id, topic, count(*) as n from ot group by 1, 2), tn as (select scholar_id, sum(n) as n from pf group by 1),
+        b3 as (select scholar_id, work_id, row_number() over (partition by scholar_id order by index desc, coalesce(year, 0) desc, work_id) as r from rep qualify r <= 3), ls as (select scholar_id, string_agg(cast(work_id as varchar), '|' order by r) as works from b3 group by 1),
+        m as (select x.scholar_id as a, y.scholar_id as b, sum(least(x.n, y.n)) as l from pf x join pf y on y.topic = x.topic and y.scholar_id = x.scholar_id + 1 group by 1, 2)
+       select f.scholar_id as a, f.scholar_id + 1 as b, round(coalesce(coalesce(l, 0) / nullif(coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(l, 0), 0)::double, 0), 3) as topic_overlap, p.works as a_works, q.works as b_works
+       from focus f left join m on m.a = f.scholar_id left join tn x on x.scholar_id = f.scholar_id left join tn y on y.scholar_id = f.scholar_id + 1 left join ls p on p.scholar_id = f.scholar_id left join ls q on q.scholar_id = f.scholar_id + 1""",
+        *C.CORPUS,
+    ),
+)
+_add(
+    "H17_compare_recent",
+    lambda s, d: P.compare_recent(PAIRS_OF(s, d), R.yearly_trend(view(s, d, "works"), view(s, d, "authorships")), 1996),
+    """with r as (select scholar_id, count(*) as papers, cast(sum(cited_by_count) as bigint) as citations, count(distinct publication_year) as years from authorships join works using (work_id) where publication_year >= 1996 group by 1)
+       select f.scholar_id as a, f.scholar_id + 1 as b, coalesce(x.papers, 0) as a_recent_papers, coalesce(x.citations, 0) as a_recent_citations, coalesce(x.years, 0) as a_recent_years,
+        coalesce(y.papers, 0) as b_recent_papers, coalesce(y.citations, 0) as b_recent_citations, coalesce(y.years, 0) as b_recent_years
+       from focus f left join r x on x.scholar_id = f.scholar_id left join r y on y.scholar_id = f.scholar_id + 1""",
+)
+
+
+def _compared_sets(s, d):
+    w, a, t, scholars, places = (view(s, d, n) for n in ("works", "authorships", "work_topics", "scholars", "institutions"))
+    topics = R.field_topics(w, a, t).select("scholar_id", F.lit("topic").alias("kind"), F.upper("topic").alias("value"))
+    people = R.coauthors(w, a, scholars, places).select("scholar_id", F.lit("coauthor").alias("kind"), F.col("name").alias("value"))
+    x = P.compare_sets(PAIRS_OF(s, d), kept(topics.unionByName(people)))
+    return x.withColumns({c: F.array_join(c, "|") for c in ("shared", "a_only", "b_only")})
+
+
+_add(
+    "H17_compare_sets",
+    _compared_sets,
+    f"""with {BOTH}, {C.OWN}, {C.FIELD}, n as (select scholar_id, other_id, count(*) as p from both_ways group by 1, 2), c as (select scholar_id, other_id from n qualify row_number() over (partition by scholar_id order by p desc, other_id) <= 30),
+        v as (select scholar_id, 'topic' as kind, lower(topic) as value from field union select c.scholar_id, 'coauthor', lower(display_name) from c join scholars s on s.scholar_id = other_id),
+        h as (select scholar_id, kind, list_sort(list(value)) as l from v group by 1, 2),
+        g as (select f.scholar_id as a, f.scholar_id + 1 as b, k.kind, coalesce(x.l, []) as va, coalesce(y.l, []) as vb from focus f cross join (values ('topic'), ('coauthor')) k(kind) left join h x on x.scholar_id = f.scholar_id and x.kind = k.kind left join h y on y.scholar_id = f.scholar_id + 1 and y.kind = k.kind)
+       select a, b, kind, coalesce(array_to_string(list_filter(va, lambda z: list_contains(vb, z)), '|'), '') as shared, coalesce(array_to_string(list_filter(va, lambda z: not list_contains(vb, z)), '|'), '') as a_only,
+        coalesce(array_to_string(list_filter(vb, lambda z: not list_contains(va, z)), '|'), '') as b_only from g""".replace("{W}", "works").replace("{A}", "authorships").replace("{T}", "work_topics"),
 )
 
 
 def _candidates(s, d):
     found = R.symmetrise(R.coauthor_pairs(view(s, d, "authorships"))).select(F.col("scholar_id").alias("focus_id"), F.col("other_id").alias("candidate_id")).distinct().join(view(s, d, "focus").withColumnRenamed("scholar_id", "focus_id"), "focus_id", "left_semi")
     k = F.col("candidate_id") % 5
-    return found.withColumn("status", F.when(k == 0, "failed").when(k == 1, "queued").when(k == 2, "updating").otherwise("idle")).withColumn("usable", F.col("candidate_id") % 7 < 3)
+    return found.withColumn("status", F.when(k == 0, "failed").when(k == 1, "queued").when(k == 2, "updating").otherwise("never")).withColumn("usable", F.col("candidate_id") % 7 < 3)
 
 
-CANDS = """cand as (select distinct a.scholar_id as focus_id, b.scholar_id as candidate_id, case b.scholar_id % 5 when 0 then 'failed' when 1 then 'queued' when 2 then 'updating' else 'idle' end as status, b.scholar_id % 7 < 3 as usable
+CANDS = """cand as (select distinct a.scholar_id as focus_id, b.scholar_id as candidate_id, case b.scholar_id % 5 when 0 then 'failed' when 1 then 'queued' when 2 then 'updating' else 'never' end as status, b.scholar_id % 7 < 3 as usable
     from authorships a join authorships b on a.work_id = b.work_id and a.scholar_id <> b.scholar_id where a.scholar_id in (select scholar_id from focus))"""
 _add(
     "F29_discovery_progress",
     lambda s, d: K.discovery_progress(_candidates(s, d)),
     f"""with {CANDS} select focus_id, count(*) as discovered, count(*) filter (usable) as ready, count(*) filter (status = 'failed' and not usable) as failed, count(*) filter (status in ('queued', 'updating')) as queued,
-        count(*) filter (usable or status in ('queued', 'updating', 'failed')) as attempted, least(20, count(*)) as target from cand group by 1""",
+        count(*) filter (usable or status in ('queued', 'updating', 'failed')) as attempted, least(20, count(*)) as target,
+        case when attempted >= least(20, count(*)) then case when failed > 0 or ready < least(20, count(*)) then 'partial' else 'ready' end when queued > 0 then 'enriching' else 'next_batch' end as final_status from cand group by 1""",
+)
+
+
+def _unsynced(s, d):
+    even = F.col("focus_id") % 2 == 0
+    failed = even & (F.col("candidate_id") % 50 == 0)
+    return _candidates(s, d).select("focus_id", "candidate_id", F.when(failed, "failed").otherwise("never").alias("status"), (even & (F.col("candidate_id") % 50 == 7)).alias("usable"), (F.col("candidate_id") * 37 % 101).alias("discovery_rank"))
+
+
+_add(
+    "F29_next_batch",
+    lambda s, d: K.next_batch(_unsynced(s, d)),
+    f"""with {CANDS}, c as (select focus_id, candidate_id, focus_id % 2 = 0 and candidate_id % 50 = 0 as failed, focus_id % 2 = 0 and candidate_id % 50 = 7 as usable from cand),
+        n as (select focus_id, count(*) filter (failed or usable) as attempted, least(20, count(*)) as target from c group by 1),
+        r as (select focus_id, candidate_id, cast(row_number() over (partition by focus_id order by candidate_id * 37 % 101, candidate_id) as int) as place from c where not failed and not usable)
+       select focus_id, place, candidate_id from r join n using (focus_id) where attempted < target and place <= least(case when attempted = 0 then 8 else 4 end, target - attempted)""",
 )
 _add(
     "C6_peer_page",
@@ -130,10 +200,24 @@ _add(
     f"""with {TOTALS}, m as (select scholar_id, name_key, papers % 7 as v from scholars join tot using (scholar_id))
        select scholar_id, round(case when count(*) over (partition by name_key) <= 1 then 0.5 else (rank() over (partition by name_key order by v) - 1 + (count(*) over (partition by name_key, v) - 1) / 2.0) / (count(*) over (partition by name_key) - 1) end, 6)::double as position from m""",
 )
+
+
+def _team_profiles(s, d):
+    scholars, w, a, t = (view(s, d, n) for n in ("scholars", "works", "authorships", "work_topics"))
+    x = P.team_profiles(K.team_view(scholars, w, a), kept(P.team_topics(scholars, a, t)), scholars.withColumn("graph_ready", F.col("scholar_id") % 7 != 0), t.filter("topic like '%Brand#1'"))
+    return x.withColumn("topics", F.array_join(F.transform("topics", lambda r: F.concat_ws(":", r["topic"], r["n"])), "|")).withColumn("ready_share", F.round("ready_share", 6))
+
+
 _add(
     "F21_team_view",
-    lambda s, d: K.team_view(view(s, d, "scholars"), view(s, d, "works"), view(s, d, "authorships")),
-    "select institution_id, count(distinct s.scholar_id) as members, count(distinct work_id) as works, count(distinct publication_year) as active_years from scholars s left join authorships a on a.scholar_id = s.scholar_id left join works using (work_id) group by 1",
+    _team_profiles,
+    """with tm as (select institution_id, count(distinct s.scholar_id) as members, count(distinct work_id) as works, count(distinct publication_year) as active_years from scholars s left join authorships a on a.scholar_id = s.scholar_id left join works using (work_id) group by 1),
+        tw as (select distinct institution_id, work_id from scholars join authorships using (scholar_id)), tt as (select institution_id, topic, count(*) as n from tw join work_topics using (work_id) group by 1, 2),
+        b as (select *, row_number() over (partition by institution_id order by n desc, topic) as r from tt qualify r <= 6), l as (select institution_id, string_agg(topic || ':' || n, '|' order by r) as topics from b group by 1),
+        o as (select institution_id, coalesce(sum(n) filter (topic like '%Brand#1'), 0) / sum(n)::double as share from tt group by 1), y as (select institution_id, count(*) filter (scholar_id % 7 <> 0) / count(*)::double as ready from scholars group by 1),
+        z as (select tm.*, topics, round(coalesce(share, 0), 3) as field_overlap, ready, least(1.0::double, members / 4.0::double) * 0.35::double + least(1.0::double, works / 20.0::double) * 0.35::double + ready * 0.3::double as sc
+              from tm left join l using (institution_id) left join o using (institution_id) left join y using (institution_id))
+       select institution_id, members, works, active_years, topics, field_overlap, round(ready, 6) as ready_share, round(sc, 3) as confidence, case when sc >= 0.78 then 'high' when sc >= 0.55 then 'medium' else 'low' end as level from z""",
 )
 _add(
     "B12_abstract_from_inverted",
