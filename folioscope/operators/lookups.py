@@ -96,10 +96,12 @@ def filter_candidates(candidates: DataFrame, institution: str = "", topic: str =
     return x.withColumn("place", F.row_number().over(w))
 
 
-def profile_documents(totals: DataFrame, trend: DataFrame, topics: DataFrame, coauthors: DataFrame) -> DataFrame:
-    """(scholar_id, document): one nested JSON profile per scholar from its parts."""
+def profile_documents(totals: DataFrame, trend: DataFrame, topics: DataFrame, coauthors: DataFrame, **more: DataFrame) -> DataFrame:
+    """(scholar_id, document): one nested JSON profile per scholar from its parts; ``more`` are further parts by name, in order of their columns."""
     listed = lambda df, name, *cols: df.groupBy("scholar_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
     x = totals.select("scholar_id", F.struct("papers", "citations", "h_index").alias("metrics"))
-    for part in (listed(trend, "trend", "year", "papers", "citations"), listed(topics, "topics", "rank", "topic", "works_count"), listed(coauthors, "coauthors", "rank", "other_id", "name", "papers")):
-        x = x.join(part, "scholar_id", "left")
-    return x.select("scholar_id", F.to_json(F.struct("metrics", "trend", "topics", "coauthors")).alias("document"))
+    parts = [listed(trend, "trend", "year", "papers", "citations"), listed(topics, "topics", "rank", "topic", "works_count"), listed(coauthors, "coauthors", "rank", "other_id", "name", "papers")]
+    parts += [listed(df, name, *[c for c in df.columns if c != "scholar_id"]) for name, df in more.items()]
+    for part in parts:
+        x = x.join(part.hint("merge"), "scholar_id", "left")
+    return x.select("scholar_id", F.to_json(F.struct("metrics", "trend", "topics", "coauthors", *more)).alias("document"))

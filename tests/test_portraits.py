@@ -1,8 +1,10 @@
 """Literal cases and a brute-force version of the operators in portraits."""
 
+import json
 import random
 from collections import defaultdict
 
+from folioscope.operators import lookups as L
 from folioscope.operators import portraits as P
 
 
@@ -110,3 +112,15 @@ def test_phase_context(spark):
     got = {r["phase"]: r for r in P.phase_context(phases, events, works, authorships, abstracts).collect()}
     assert (got[0]["institutions"], got[0]["insight_papers"], got[0]["new_collaborators"]) == (["5", "6"], [1, 3], 0)
     assert (got[1]["institutions"], got[1]["insight_papers"], got[1]["new_collaborators"]) == (None, None, 1)
+
+
+def test_profile_documents(spark):
+    totals = spark.createDataFrame([(1, 2, 7, 1), (2, 0, 0, 0)], "scholar_id long, papers long, citations long, h_index int")
+    trend = spark.createDataFrame([(1, 2001, 1, 5), (1, 2000, 1, 2)], "scholar_id long, year int, papers long, citations long")
+    topics = spark.createDataFrame([(1, 2, "b", 1), (1, 1, "a", 2)], "scholar_id long, rank int, topic string, works_count long")
+    coauthors = spark.createDataFrame([(1, 1, 2, "Bo", 1)], "scholar_id long, rank int, other_id long, name string, papers long")
+    network = spark.createDataFrame([(1, "self", 1), (1, "coauthor", 2)], "scholar_id long, kind string, node_id long")
+    got = {r["scholar_id"]: json.loads(r["document"]) for r in L.profile_documents(totals, trend, topics, coauthors, network=network).collect()}
+    assert [t["year"] for t in got[1]["trend"]] == [2000, 2001] and [t["topic"] for t in got[1]["topics"]] == ["a", "b"]
+    assert got[1]["network"] == [{"kind": "coauthor", "node_id": 2}, {"kind": "self", "node_id": 1}] and got[1]["coauthors"][0]["name"] == "Bo"
+    assert got[2] == {"metrics": {"papers": 0, "citations": 0, "h_index": 0}}
