@@ -61,6 +61,6 @@ def components_of(members: DataFrame, keys: DataFrame) -> DataFrame:
     A key links its members to its least one, so a key of n members makes n - 1 links, never pairs.
     """
     least = keys.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    links = keys.join(least, "key").select(F.col("id").alias("a"), "b").filter("a <> b")
+    links = keys.hint("merge").join(least, "key").select(F.col("id").alias("a"), "b").filter("a <> b")
     found = components(links)
-    return members.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return members.select("id").join(found.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

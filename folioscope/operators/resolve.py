@@ -23,14 +23,14 @@ def pair_evidence(profiles: DataFrame, facts: DataFrame) -> DataFrame:
     facts: distinct (profile_id, kind, value), kind one of KINDS. Pairs come from shared keys only (blocking), in order left_id < right_id.
     """
     keys = profiles.select("profile_id", F.explode(F.array_compact(F.array(F.concat(F.lit("n:"), "name_key"), F.concat(F.lit("o:"), F.lower("orcid"))))).alias("key"))
-    pairs = keys.select(F.col("profile_id").alias("left_id"), "key").join(keys.select(F.col("profile_id").alias("right_id"), "key"), "key").filter("left_id < right_id").select("left_id", "right_id").distinct()
+    pairs = keys.select(F.col("profile_id").alias("left_id"), "key").hint("merge").join(keys.select(F.col("profile_id").alias("right_id"), "key"), "key").filter("left_id < right_id").select("left_id", "right_id").distinct()
     sizes = facts.groupBy("profile_id").pivot("kind", list(KINDS)).count().na.fill(0)
     for side in ("left", "right"):
         own = profiles.select(F.col("profile_id").alias(f"{side}_id"), F.lower("orcid").alias(f"{side}_orcid"), F.col("works_count").alias(f"{side}_works"))
-        pairs = pairs.join(own, f"{side}_id").join(sizes.select(F.col("profile_id").alias(f"{side}_id"), *[F.col(k).alias(f"{side}_n_{k}") for k in KINDS]), f"{side}_id", "left").na.fill(0)
-    met = pairs.select("left_id", "right_id").join(facts.withColumnRenamed("profile_id", "left_id"), "left_id").join(facts.withColumnRenamed("profile_id", "right_id"), ["right_id", "kind", "value"])
+        pairs = pairs.hint("merge").join(own, f"{side}_id").hint("merge").join(sizes.select(F.col("profile_id").alias(f"{side}_id"), *[F.col(k).alias(f"{side}_n_{k}") for k in KINDS]), f"{side}_id", "left").na.fill(0)
+    met = pairs.select("left_id", "right_id").hint("merge").join(facts.withColumnRenamed("profile_id", "left_id"), "left_id").hint("merge").join(facts.withColumnRenamed("profile_id", "right_id"), ["right_id", "kind", "value"])
     shared = met.groupBy("left_id", "right_id").pivot("kind", list(KINDS)).count()
-    x = pairs.join(shared.select("left_id", "right_id", *[F.col(k).alias(f"shared_{k}") for k in KINDS]), ["left_id", "right_id"], "left").na.fill(0)
+    x = pairs.hint("merge").join(shared.select("left_id", "right_id", *[F.col(k).alias(f"shared_{k}") for k in KINDS]), ["left_id", "right_id"], "left").na.fill(0)
     share = lambda k: T.containment(F.col(f"shared_{k}"), F.col(f"left_n_{k}"), F.col(f"right_n_{k}")).alias(f"{k}_containment")
     both = F.col("left_orcid").isNotNull() & F.col("right_orcid").isNotNull()
     return x.select(
@@ -69,7 +69,7 @@ def author_groups(profiles: DataFrame, decisions: DataFrame) -> DataFrame:
     merges = decisions.filter("merge").select("left_id", "right_id").checkpoint()  # read again in every round of the components
     key = F.concat_ws("-", "left_id", "right_id")
     blocks = components_of(profiles.select(F.col("profile_id").alias("id")), merges.select(key.alias("key"), F.explode(F.array("left_id", "right_id")).alias("id")))
-    edges = merges.join(blocks.select(F.col("id").alias("left_id"), F.col("component").alias("block")), "left_id")
+    edges = merges.hint("merge").join(blocks.select(F.col("id").alias("left_id"), F.col("component").alias("block")), "left_id")
     members = blocks.select(F.col("id").alias("profile_id"), F.col("component").alias("block"))
 
     def star(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
@@ -209,7 +209,7 @@ def work_components(works: DataFrame, authorships: DataFrame) -> DataFrame:
     others = own.join(own.withColumnRenamed("scholar_id", "other"), "work_id").filter("scholar_id <> other").select("scholar_id", "work_id", F.concat(F.lit("c:"), "other").alias("k"))
     # titles link within a year; a work of unknown year links all of its title
     undated = F.max(F.col("publication_year").isNull()).over(Window.partitionBy("scholar_id", "k"))
-    named = own.join(titled, "work_id").withColumn("undated", undated)
+    named = own.join(titled.hint("merge"), "work_id").withColumn("undated", undated)
     yearly = F.when(F.startswith("k", F.lit("t:")) & ~F.col("undated"), F.concat_ws(":", "k", F.col("publication_year").cast("string"))).otherwise(F.col("k"))
     linked = named.select("scholar_id", "work_id", yearly.alias("k")).unionByName(others)
     # a node is a work as seen by one scholar

@@ -46,16 +46,19 @@ def raw_impact(works: DataFrame) -> DataFrame:
 def impact_percentile(works: DataFrame, work_topics: DataFrame, least: int = 3) -> DataFrame:
     """(work_id, percentile): midpoint percentile within each topic of ``least`` works or more, averaged; else among all works.
 
-    Values are counted before they are ranked, so a pool of any size is ranked by its distinct values.
+    Values are counted before they are ranked, and ranked within ranges of a thousandth of impact. Only the ranges' sums are ordered as
+    a whole: ln(1 + citations) is under 44, so a pool has fewer than 44,000 of them, however many works it has.
     """
     impact = raw_impact(works)
 
     def ranked(pool: DataFrame, keys: list[str]) -> DataFrame:
-        levels = pool.groupBy(*keys, "impact").agg(F.count("*").alias("n"))
-        w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        below = F.sum("n").over(w.orderBy("impact")) - F.col("n")
-        size = F.sum("n").over(w)
-        return levels.withColumn("p", (below + 0.5 * F.col("n")) / size).withColumn("size", size)
+        levels = pool.groupBy(*keys, "impact").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("impact") * 1000))
+        every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # one row per range
+        ranges = levels.groupBy(*keys, "range").agg(F.sum("n").alias("inside"))
+        ranges = ranges.select(*keys, "range", (F.sum("inside").over(every.orderBy("range")) - F.col("inside")).alias("lower"), F.sum("inside").over(every).alias("size"))
+        within = F.sum("n").over(Window.partitionBy(*keys, "range").orderBy("impact")) - F.col("n")
+        below = F.col("lower") + F.col("within")
+        return levels.withColumn("within", within).join(ranges, [*keys, "range"]).withColumn("p", (below + 0.5 * F.col("n")) / F.col("size")).drop("within", "lower", "range")
 
     topical = work_topics.select("work_id", "topic").distinct().join(impact, "work_id")
     per_topic = topical.join(ranked(topical, ["topic"]).filter(F.col("size") >= least), ["topic", "impact"]).groupBy("work_id").agg(F.avg("p").alias("topical"))

@@ -52,7 +52,7 @@ def topic_candidates(works: DataFrame, authorships: DataFrame, labels: DataFrame
     labelled = x.select("scholar_id", "work_id", "key", source.alias("source"), points.alias("points")).filter("points is not null")
     phrases = own.select("scholar_id", "work_id", F.explode(T.title_phrases(c("title"))).alias("key"))
     known = phrases.groupBy("scholar_id", "key").agg(F.count("*").alias("n")).filter("n >= 3").select("scholar_id", "key")
-    titled = phrases.join(known, ["scholar_id", "key"], "left_semi").select("scholar_id", "work_id", "key", F.lit("title_phrase").alias("source"), (2.4 + 0.5 * F.least(F.size(F.split("key", " ")), F.lit(4))).alias("points"))
+    titled = phrases.hint("merge").join(known, ["scholar_id", "key"], "left_semi").select("scholar_id", "work_id", "key", F.lit("title_phrase").alias("source"), (2.4 + 0.5 * F.least(F.size(F.split("key", " ")), F.lit(4))).alias("points"))
     every = labelled.unionByName(titled)
     return every.groupBy("scholar_id", "key").agg((F.sum("points") * F.first(_damped(c("key")))).alias("score"), F.array_sort(F.collect_set("work_id")).alias("works"), F.array_sort(F.collect_set("source")).alias("sources")).withColumn("n_works", F.size("works"))
 
@@ -97,10 +97,10 @@ def validate_labels(labels: DataFrame, candidates: DataFrame, titles: DataFrame,
     # titles meet labels by a shared word; a label is a title if it shares three quarters of the shorter one's words
     t = titles.select("scholar_id", F.explode(F.array_distinct(F.transform(F.array(T.topic_key(F.col("title"))), words))).alias("title_words"))
     asked = named.select("scholar_id", "name", words(F.col("key")).alias("label_words")).distinct()
-    met = asked.select("scholar_id", "name", "label_words", F.explode("label_words").alias("w")).join(t.select("scholar_id", "title_words", F.explode("title_words").alias("w")), ["scholar_id", "w"])
+    met = asked.select("scholar_id", "name", "label_words", F.explode("label_words").alias("w")).hint("merge").join(t.select("scholar_id", "title_words", F.explode("title_words").alias("w")), ["scholar_id", "w"])
     shared = met.groupBy("scholar_id", "name", "label_words", "title_words").agg(F.count("*").alias("n"))
     alike = shared.filter(F.col("n") / F.least(F.size("label_words"), F.size("title_words")) >= 0.75).select("scholar_id", "name", F.lit(True).alias("titled")).distinct()
-    x = named.join(pool, "scholar_id", "left").join(alike, ["scholar_id", "name"], "left")
+    x = named.join(pool, "scholar_id", "left").join(alike.hint("merge"), ["scholar_id", "name"], "left")
     sources, known = F.coalesce("sources", F.array().cast("array<string>")), F.coalesce("known", F.array().cast("array<string>"))
     per_label = F.array_compact(
         F.array(

@@ -124,7 +124,7 @@ _add(
 )
 _add(
     "I2_related_scope",
-    lambda s, d: view(s, d, "focus").select("scholar_id").union(R.symmetrise(R.coauthor_pairs(view(s, d, "authorships"))).join(view(s, d, "focus").withColumnRenamed("scholar_id", "other_id"), "other_id", "left_semi").select("scholar_id")).distinct(),
+    lambda s, d: view(s, d, "focus").select("scholar_id").union(R.symmetrise(R.coauthor_pairs(view(s, d, "authorships"))).hint("merge").join(view(s, d, "focus").withColumnRenamed("scholar_id", "other_id"), "other_id", "left_semi").select("scholar_id")).distinct(),
     "select scholar_id from focus union select b.scholar_id from authorships a join authorships b on a.work_id = b.work_id and a.scholar_id <> b.scholar_id where a.scholar_id in (select scholar_id from focus)",
 )
 _add(

@@ -60,7 +60,7 @@ _add(
 
 
 def _tokens(s, d, shift):
-    scope = R.symmetrise(R.coauthor_pairs(view(s, d, "authorships"))).join(view(s, d, "focus"), "scholar_id", "left_semi").select(F.col("scholar_id").alias("focus_id"), F.col("other_id").alias("scholar_id"))
+    scope = R.symmetrise(R.coauthor_pairs(view(s, d, "authorships"))).hint("merge").join(view(s, d, "focus"), "scholar_id", "left_semi").select(F.col("scholar_id").alias("focus_id"), F.col("other_id").alias("scholar_id"))
     own = view(s, d, "focus").select(F.col("scholar_id").alias("focus_id"), "scholar_id")
     states = view(s, d, "scholars").filter("scholar_id % 3 > 0").select("scholar_id", F.lit("ready").alias("status"), (F.col("scholar_id") % 5 + F.when(F.col("scholar_id") == 11, shift).otherwise(0)).alias("version"))
     return K.revision_tokens(scope.unionByName(own), states)
@@ -153,7 +153,7 @@ _add(
 
 
 def _candidates(s, d):
-    found = R.symmetrise(R.coauthor_pairs(view(s, d, "authorships"))).select(F.col("scholar_id").alias("focus_id"), F.col("other_id").alias("candidate_id")).distinct().join(view(s, d, "focus").withColumnRenamed("scholar_id", "focus_id"), "focus_id", "left_semi")
+    found = R.symmetrise(R.coauthor_pairs(view(s, d, "authorships"))).select(F.col("scholar_id").alias("focus_id"), F.col("other_id").alias("candidate_id")).distinct().hint("merge").join(view(s, d, "focus").withColumnRenamed("scholar_id", "focus_id"), "focus_id", "left_semi")
     k = F.col("candidate_id") % 5
     return found.withColumn("status", F.when(k == 0, "failed").when(k == 1, "queued").when(k == 2, "updating").otherwise("never")).withColumn("usable", F.col("candidate_id") % 7 < 3)
 

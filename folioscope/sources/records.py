@@ -52,7 +52,7 @@ def explode_authorships(raw: DataFrame, aliases: DataFrame | None = None) -> Dat
     rows = parsed(raw).select(T.entity_id(F.col("id")).alias("work_id"), F.posexplode("authorships").alias("position_index", "a")).filter("a.author.id is not null")
     rows = rows.select("work_id", T.entity_id(F.col("a.author.id")).alias("scholar_id"), "position_index", F.col("a.author_position").alias("author_position"), F.coalesce("a.is_corresponding", F.lit(False)).alias("is_corresponding"), _institutions(F.col("a.institutions")).alias("institution_ids"))
     if aliases is not None:
-        rows = rows.join(aliases.select(F.col("alias_id").alias("scholar_id"), F.col("scholar_id").alias("main_id")), "scholar_id", "left").withColumn("scholar_id", F.coalesce("main_id", "scholar_id")).drop("main_id")
+        rows = rows.hint("merge").join(aliases.select(F.col("alias_id").alias("scholar_id"), F.col("scholar_id").alias("main_id")), "scholar_id", "left").withColumn("scholar_id", F.coalesce("main_id", "scholar_id")).drop("main_id")
     best = F.min_by(F.struct("position_index", "author_position", "is_corresponding", "institution_ids"), "position_index")
     return rows.groupBy("work_id", "scholar_id").agg(best.alias("b")).select("work_id", "scholar_id", "b.*")
 
