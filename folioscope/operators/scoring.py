@@ -11,8 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import kept
 from .rollups import coauthor_pairs, field_topics, scholar_topics, symmetrise, top
 
+#: Rows of scholars are broadcast up to this size, counted before.
+BROADCAST_BYTES = 64 << 20
+
 
 def contribution_score(author_count: Column, position: Column, index: Column, corresponding: Column) -> Column:
     """1 for sole or corresponding authors, 0.95 first, 0.9 last, 0.45 in between."""
@@ -196,49 +200,58 @@ def pair_features(works: DataFrame, authorships: DataFrame, work_topics: DataFra
     """Features of each focus scholar and every other scholar with a common topic.
 
     categories, method_tokens, problem_tokens: (scholar_id, value), distinct. Pairs come from shared topics only; a pair without one has
-    no overlap and passes no gate.
+    no overlap and passes no gate. Two focus scholars are compared once, for both directions.
+
+    All that is known of one scholar is one row of a written table. Where these rows and the links of co-authors are small by count they are
+    broadcast and common collaborators are an intersection within the pair; beyond that the rows are joined by merge and common collaborators by their links.
     """
     p = topic_profiles(works, authorships, work_topics)
     totals = p.groupBy("scholar_id").agg(F.sum("n").alias("total"), F.sum("n_recent").alias("total_recent"))
     side = lambda df, prefix: df.select(*[F.col(c).alias(f"{prefix}_{c}") if c != "topic" else F.col(c) for c in df.columns])
-    f = side(p.join(focus.select("scholar_id"), "scholar_id", "left_semi"), "f")
-    met = f.join(side(p, "c"), "topic").filter("f_scholar_id <> c_scholar_id")
-    pairs = met.groupBy(F.col("f_scholar_id").alias("focus_id"), F.col("c_scholar_id").alias("candidate_id")).agg(
-        F.sum(F.least("f_n", "c_n")).alias("least"), F.sum(F.least("f_n_recent", "c_n_recent")).alias("least_recent")
-    )
-    pairs = pairs.join(side(totals, "f").withColumnRenamed("f_scholar_id", "focus_id"), "focus_id").join(side(totals, "c").withColumnRenamed("c_scholar_id", "candidate_id"), "candidate_id")
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    pairs = pairs.select(
-        "focus_id",
-        "candidate_id",
-        ratio(F.col("least"), F.col("f_total") + F.col("c_total") - F.col("least")).alias("topic_overlap"),
-        ratio(F.col("least_recent"), F.col("f_total_recent") + F.col("c_total_recent") - F.col("least_recent")).alias("recent_overlap"),
-    )
+    # few bytes make many pairs here, so partitions are not to be joined up by their size
+    parts = int(works.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = p.join(focus.select("scholar_id", F.lit(True).alias("focal")).distinct(), "scholar_id", "left").repartition(parts, "topic")
+    met = side(p.filter("focal"), "f").join(side(p, "c"), "topic").filter("f_scholar_id <> c_scholar_id and (c_focal is null or f_scholar_id < c_scholar_id)")
+    once = met.groupBy("f_scholar_id", "c_scholar_id").agg(F.sum(F.least("f_n", "c_n")).alias("least"), F.sum(F.least("f_n_recent", "c_n_recent")).alias("least_recent"), F.first("c_focal").alias("both"))
+    way = lambda a, b: F.struct(F.col(f"{a}_scholar_id").alias("focus_id"), F.col(f"{b}_scholar_id").alias("candidate_id"))
+    pairs = once.select(F.explode(F.array_compact(F.array(way("f", "c"), F.when(F.col("both"), way("c", "f"))))).alias("p"), "least", "least_recent").select("p.*", "least", "least_recent").repartition(parts, "focus_id", "candidate_id")
 
-    # one row holds all value sets of a scholar, so that a pair fetches each side once; made by explode, so the joins are told
     years = authorships.select("scholar_id", "work_id").join(works.filter("publication_year is not null"), "work_id").select("scholar_id", F.col("publication_year").cast("string").alias("value"))
     kinds = {"temporal": years, "method_similarity": method_tokens, "problem_similarity": problem_tokens, "category_overlap": categories}
     valued = [df.select("scholar_id", F.lit(name).alias("kind"), "value") for name, df in kinds.items()]
     held = reduce(DataFrame.unionByName, valued).groupBy("scholar_id").agg(*[F.collect_set(F.when(F.col("kind") == name, F.col("value"))).alias(name) for name in kinds])
-    of = lambda prefix, key: held.select(F.col("scholar_id").alias(key), *[F.col(name).alias(f"{prefix}_{name}") for name in kinds]).hint("merge")
-    met = pairs.join(of("f", "focus_id"), "focus_id", "left").join(of("c", "candidate_id"), "candidate_id", "left")
+    every = kept(totals.join(held.hint("merge"), "scholar_id", "left").join(scholars.select("scholar_id", "institution_id"), "scholar_id", "left"))
+    links = kept(symmetrise(coauthor_pairs(authorships)).groupBy("scholar_id", "other_id").agg(F.count("*").alias("direct_count")))
+    cells = reduce(Column.__add__, [F.coalesce(F.octet_length(F.array_join(name, "")) + 32 * F.size(name), F.lit(0)) for name in kinds])
+    small = (every.agg(F.sum(cells + 128)).first()[0] or 0) + 16 * links.count() <= BROADCAST_BYTES
+    if small:
+        every = every.join(links.groupBy("scholar_id").agg(F.collect_set("other_id").alias("near")), "scholar_id", "left")
+    of = lambda prefix, key: side(every, prefix).withColumnRenamed(f"{prefix}_scholar_id", key)
+    told = (lambda df: F.broadcast(df)) if small else (lambda df: df.hint("merge"))
+    x = pairs.join(told(of("f", "focus_id")), "focus_id").join(told(of("c", "candidate_id")), "candidate_id")
     n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
 
-    def overlap(name: str) -> Column:
-        shared = n(F.array_intersect(f"f_{name}", f"c_{name}"))
-        return ratio(shared, n(F.col(f"f_{name}")) + n(F.col(f"c_{name}")) - shared).alias(name)
-
+    # each intersection is a column of its own, so that it is made once
+    x = x.withColumns({f"common_{name}": n(F.array_intersect(f"f_{name}", f"c_{name}")) for name in [*kinds, *(["near"] if small else [])]})
+    overlap = lambda name: ratio(F.col(f"common_{name}"), n(F.col(f"f_{name}")) + n(F.col(f"c_{name}")) - F.col(f"common_{name}"))
     known = (n(F.col("f_category_overlap")) > 0) & (n(F.col("c_category_overlap")) > 0)
-    pairs = met.select("focus_id", "candidate_id", "topic_overlap", "recent_overlap", *map(overlap, kinds), known.alias("category_overlap_known"))
-    direct = symmetrise(coauthor_pairs(authorships)).groupBy(F.col("scholar_id").alias("focus_id"), F.col("other_id").alias("candidate_id")).agg(F.count("*").alias("direct_count"))
-    common = shared_collaborators(symmetrise(coauthor_pairs(authorships)), focus).withColumnRenamed("other_id", "candidate_id")
-    place = scholars.select("scholar_id", "institution_id")
-    x = pairs.join(direct.hint("merge"), ["focus_id", "candidate_id"], "left").join(common.hint("merge"), ["focus_id", "candidate_id"], "left").na.fill(0, ["direct_count", "shared"])
-    x = x.join(place.select(F.col("scholar_id").alias("focus_id"), F.col("institution_id").alias("fi")), "focus_id", "left").join(place.select(F.col("scholar_id").alias("candidate_id"), F.col("institution_id").alias("ci")), "candidate_id", "left")
-    return x.select(
+    x = x.select(
+        "focus_id", "candidate_id",
+        ratio(F.col("least"), F.col("f_total") + F.col("c_total") - F.col("least")).alias("topic_overlap"),
+        ratio(F.col("least_recent"), F.col("f_total_recent") + F.col("c_total_recent") - F.col("least_recent")).alias("recent_overlap"),
+        *[overlap(name).alias(name) for name in ("temporal", "method_similarity", "problem_similarity")],
+        *([F.col("common_near").cast("long").alias("shared")] if small else []),
+        F.when(known, 1 - overlap("category_overlap")).otherwise(0.0).alias("complementarity"),
+        F.coalesce(F.col("f_institution_id") == F.col("c_institution_id"), F.lit(False)).alias("same_institution"), F.col("c_institution_id").isNotNull().alias("has_institution"),
+    )
+    as_pair = lambda df, other: df.withColumnRenamed(other, "candidate_id").hint("merge")
+    x = x.join(as_pair(links.withColumnRenamed("scholar_id", "focus_id"), "other_id"), ["focus_id", "candidate_id"], "left")
+    if not small:
+        x = x.join(as_pair(shared_collaborators(links, focus), "other_id"), ["focus_id", "candidate_id"], "left")
+    return x.na.fill(0, ["direct_count", "shared"]).select(
         "focus_id", "candidate_id", "topic_overlap", "recent_overlap", "temporal", "direct_count", F.col("shared").alias("shared_collaborators"), "method_similarity", "problem_similarity",
-        F.when(F.col("category_overlap_known"), 1 - F.col("category_overlap")).otherwise(0.0).alias("complementarity"),
-        F.coalesce(F.col("fi") == F.col("ci"), F.lit(False)).alias("same_institution"), F.col("ci").isNotNull().alias("has_institution"),
+        "complementarity", "same_institution", "has_institution",
     )
 
 

@@ -24,10 +24,10 @@ def _add(name: str, run, sql: str) -> None:
     QUERIES[name], ORACLE[name] = run, oracle(sql)
 
 
-def _value_sets(spark, d):
+def _value_sets(works, authorships):
     """(categories, method tokens, problem tokens) of the corpus: from titles, and from venues."""
-    w = view(spark, d, "works").select("work_id", F.lower("title").alias("title"), F.lower("venue").alias("venue"), "publication_year")
-    own = view(spark, d, "authorships").select("scholar_id", "work_id").join(w, "work_id")
+    w = works.select("work_id", F.lower("title").alias("title"), F.lower("venue").alias("venue"), "publication_year")
+    own = authorships.select("scholar_id", "work_id").join(w, "work_id")
     kinds = F.array(*[F.when(F.exists(F.array(*map(F.lit, words)), lambda k: F.contains("title", k)), kind) for kind, words in KEYWORDS.items()])
     categories = own.select("scholar_id", F.explode(F.array_compact(kinds)).alias("value")).distinct()
     tokens = lambda c: own.filter("publication_year >= 1998").select("scholar_id", F.explode(F.regexp_extract_all(c, F.lit("[a-z0-9]{3,}"), 0)).alias("value")).distinct()
@@ -35,8 +35,8 @@ def _value_sets(spark, d):
 
 
 def features(spark, d):
-    v = lambda n: view(spark, d, n)
-    return S.pair_features(v("works"), v("authorships"), v("work_topics"), v("scholars"), v("focus"), *_value_sets(spark, d))
+    works, authorships, topics = (kept(view(spark, d, n)) for n in ("works", "authorships", "work_topics"))  # each is read several times
+    return S.pair_features(works, authorships, topics, view(spark, d, "scholars"), view(spark, d, "focus"), *_value_sets(works, authorships))
 
 
 IMPACT = """imp as (select work_id, round(ln(1 + greatest(0, coalesce(cited_by_count, 0)))::double / sqrt(coalesce(greatest(1, (select max(publication_year) from {W}) - publication_year + 1), 3)::double), 12) as impact from {W}),

@@ -30,3 +30,13 @@ def test_gates_on_a_thin_copy(spark, tmp_path):
     name = "H10_recommend_collaborators"
     assert registry.queries()[name](spark, str(tmp_path)).count() > 0
     assert_same(spark, str(tmp_path), registry.queries()[name], registry.oracle_sql()[name])
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the given tables")
+def test_pairs_of_many_scholars_are_the_same(spark, monkeypatch):
+    from folioscope.operators import scoring
+
+    run = lambda: sorted(map(tuple, registry.queries()["H7_pair_features"](spark, SF).collect()))
+    broadcast = run()
+    monkeypatch.setattr(scoring, "BROADCAST_BYTES", -1)
+    assert broadcast and run() == broadcast
