@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard_join, katz, neighbours, packing, suffix_dedup, token_files, toxicity, url_filters
+from . import (
+    decontaminate,
+    html_text,
+    jaccard_join,
+    katz,
+    neighbours,
+    packing,
+    prefix_trie,
+    suffix_dedup,
+    token_files,
+    toxicity,
+    url_filters,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,11 +94,51 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(_read(spark, sf_dir, "documents"), _fold(10) == 0)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(prefix_trie.rebuilt_with_shared_heads(_read(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_nearest_neighbours, op3_url_filters, op4_html_extraction, op5_decontaminate, op6_packing, op7_suffix_dedup, op8_jaccard_join, op9_toxicity, op10_katz)
+    f.__name__: f for f in (op1_token_files, op2_nearest_neighbours, op3_url_filters, op4_html_extraction, op5_decontaminate, op6_packing, op7_suffix_dedup, op8_jaccard_join, op9_toxicity, op10_katz, op11_prefix_trie)
 }
 
+
+
+def _sql_crc32(text: str) -> str:
+    """Unsigned crc32 of ASCII text, bit by bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(a, b) >> 1, case when xor(a, b) & 1 = 1 then 3988292384::bigint else 0::bigint end)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {bits}), lambda a, b: {step}), 4294967295::bigint)"
+
+
 ORACLE: dict[str, str] = {
+    "op11_prefix_trie": f"""
+        with turns as (
+            select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as x,
+                   row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as n
+            from conversations where conv_id is not null),
+        heads as (select c, {_sql_crc32("cast(c as varchar)")} % 6 as h from (select distinct c from turns)),
+        rebuilt as (
+            select heads.c, n, r, x from heads join turns on turns.c = heads.c - heads.c % 100 and n <= h
+            union all select c, n, r, x from heads join turns using (c) where n > h),
+        numbered as (select c, row_number() over (partition by c order by n) as d, r, x from rebuilt),
+        prefixes as (
+            select c, d, length(x) as points,
+                   string_agg(sha256(length(r) || ':' || r || x), '') over (partition by c order by d rows between unbounded preceding and current row) as k from numbered
+            union all select c, 0, 0, '' from heads),
+        lengths as (select c, max(d) as last from prefixes group by c),
+        nodes as (
+            select k, any_value(d) as d, min(c) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(points) as saved,
+                   sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (d = last), '')) as ends_sha256
+            from prefixes join lengths using (c) group by k),
+        children as (select k[:64 * (d - 1)] as k, count(*) as n_children from nodes where d > 0 group by 1),
+        counted as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join children using (k)),
+        below as (
+            select k[:64 * a] as k, cast(count(*) filter (n_children = 0) as bigint) as n_leaves, cast(sum(saved) as bigint) as saved_tokens
+            from counted, unnest(range(0, d + 1)) as u(a) group by 1)
+        select n.conv_id, n.d as depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+        from counted n join below using (k) left join counted p on n.d > 0 and p.k = n.k[:64 * (n.d - 1)]
+    """,
     "op2_nearest_neighbours": """
         with usable as (
             select vec_id, min(embedding) as v from embeddings
