@@ -15,6 +15,7 @@ from . import (
     neighbours,
     packing,
     prefix_trie,
+    structure_repair,
     suffix_dedup,
     token_files,
     toxicity,
@@ -98,8 +99,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_nodes(prefix_trie.rebuilt_with_shared_heads(_read(spark, sf_dir, "conversations")))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.audits(structure_repair.damaged(_read(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_nearest_neighbours, op3_url_filters, op4_html_extraction, op5_decontaminate, op6_packing, op7_suffix_dedup, op8_jaccard_join, op9_toxicity, op10_katz, op11_prefix_trie)
+    f.__name__: f for f in (op1_token_files, op2_nearest_neighbours, op3_url_filters, op4_html_extraction, op5_decontaminate, op6_packing, op7_suffix_dedup, op8_jaccard_join, op9_toxicity, op10_katz, op11_prefix_trie, op13_structure_repair)
 }
 
 

@@ -5,7 +5,7 @@ import random
 import zlib
 from collections import defaultdict
 
-from folioscope.llm import prefix_trie
+from folioscope.llm import prefix_trie, structure_repair
 
 SCHEMA = "conv_id long, turn long, role string, text string, depth string, block int"
 
@@ -79,3 +79,94 @@ def test_prefix_trie_of_nothing(spark):
     turnless = table(spark, [(101, 0, "user", "a")])  # h = 5, its only turn is replaced by turns of a conversation that is absent
     assert crc("101") % 6 > 0
     assert [tuple(r)[:7] for r in prefix_trie.prefix_nodes(prefix_trie.rebuilt_with_shared_heads(turnless)).collect()] == [(101, 0, None, 1, 0, 1, 0)]
+
+
+def repaired_by_hand(rows):
+    """The cheapest edits by trying all of them, place by place, as (cost, audit, lines)."""
+    n = len(rows)
+    grown = {"0": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+
+    def inserts(state):
+        yield 0, "", [], state
+        for _ in range(2):
+            (state,) = [t for t in grown[state] if t != "s"]
+            made.append(f"{structure_repair.ROLES[state]}:")
+            yield 3 * len(made), "I" * len(made), list(made), state
+
+    best = {(n, s): None for s in "0sua"}
+    for i in range(n, -1, -1):
+        for state in "0sua":
+            found = []
+            made = []
+            for cost, audit, lines, now in inserts(state):
+                if i == n:
+                    if now in "0a":
+                        found.append((cost, audit, lines))
+                    continue
+                role, text, fault = rows[i]
+                moves = [(4, "D", [], now)]
+                if fault not in "BD":
+                    extra = 3 * (fault == "T")
+                    for t in grown[now]:
+                        if role[:1] == t:
+                            moves.append((extra, "K", [f"{role}:{text}"], t))
+                        if t != "s":
+                            moves.append((3 + extra, "R", [f"{structure_repair.ROLES[t]}:{text}"], t))
+                for c, letter, line, after in moves:
+                    if (rest := best[i + 1, after]) is not None:
+                        found.append((cost + c + rest[0], audit + letter + rest[1], lines + line + rest[2]))
+            best[i, state] = min(found, key=lambda f: f[:2]) if found else None
+    return best[0, "0"]
+
+
+def audits_by_hand(rows):
+    talks = defaultdict(list)
+    for c, t, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        drawn = crc(f"{' ' if c is None else c}:{' ' if t is None else t}") % 20
+        role = "user" if drawn == 4 else role
+        text = "" if drawn == 1 else text.translate({ord(x): None for x in ".!?"}) if drawn == 2 else text
+        talks[c] += [(t is not None, t or 0, role, text)] * {0: 0, 3: 2}.get(drawn, 1)
+    for c, v in talks.items():
+        faults, seen = [], set()
+        for known, t, role, text in sorted(v):
+            body = text.strip(" \t\n\v\f\r")
+            faults.append((role, text, "B" if not body else "D" if (role, text) in seen else "T" if body[-1] not in ".!?" else " "))
+            seen.add((role, text))
+        turns = [t for known, t, *_ in v if known]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        initials = [f[0][:1] for f in faults]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+        cost, audit, lines = repaired_by_hand(faults)
+        yield (c, gaps, *([f[2] for f in faults].count(x) for x in "BDT"), illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+
+
+def test_structure_repair(spark):
+    r = random.Random(13)
+    texts = ["Yes.", "No!", "cut", "", " \n", "Why? ", "ok.\t", None, "caf\u00e9"]
+    rows = [(c, t, r.choice(["user", "assistant", "user", "assistant", "system", "tool", "", None]), r.choice(texts)) for c in range(160) for t in range(r.randint(1, 9))]
+    for c in range(160, 200):  # longer ones in order, with a few faults
+        rows += [(c, t if t < 5 else t + 2, ("system", "user", "assistant")[0 if t == 0 else 2 - t % 2], f"text {t}." if r.random() < 0.8 else "cut") for t in range(30)]
+    rows += [(None, 0, "user", "x."), (None, None, None, None), (900, None, "user", "a."), (900, None, "assistant", "b"), (901, 1, "user", "a."), (901, 1, "user", "a."), (901, 1, "assistant", "a.")]
+    r.shuffle(rows)
+    df = table(spark, rows)
+    got = sorted((tuple(x) for x in structure_repair.audits(structure_repair.damaged(df)).collect()), key=key)
+    assert got == sorted(audits_by_hand(rows), key=key)
+    assert structure_repair.audits(structure_repair.damaged(df.limit(0))).count() == 0
+
+
+def test_structure_repair_of_rows_as_they_are(spark):
+    df = table(spark, [(1, 0, "assistant", "Hello."), (1, 1, "user", "Hi."), (2, 0, "user", "a."), (2, 1, "user", "b.")])
+    got = {x.conv_id: (x.cost, x.audit) for x in structure_repair.audits(df).collect()}
+    assert got == {1: (6, "IKKI"), 2: (3, "KR")}
+
+
+def test_alignment_bands_lose_nothing():
+    r = random.Random(7)
+    for _ in range(400):
+        n = r.randint(0, 12)
+        initials = "".join(r.choice("suauax ") for _ in range(n))
+        faults = "".join(r.choice("  TD") for _ in range(n))
+        cost, audit, _ = structure_repair.repair(initials, faults)
+        want = repaired_by_hand([({"s": "s", "u": "u", "a": "a"}.get(i, i), "", f) for i, f in zip(initials, faults)])
+        assert (cost, audit) == want[:2], (initials, faults)
