@@ -15,6 +15,7 @@ from . import (
     neighbours,
     packing,
     prefix_trie,
+    secrets,
     structure_repair,
     suffix_dedup,
     token_files,
@@ -99,12 +100,23 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_nodes(prefix_trie.rebuilt_with_shared_heads(_read(spark, sf_dir, "conversations")))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair.audits(structure_repair.damaged(_read(spark, sf_dir, "conversations")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_nearest_neighbours, op3_url_filters, op4_html_extraction, op5_decontaminate, op6_packing, op7_suffix_dedup, op8_jaccard_join, op9_toxicity, op10_katz, op11_prefix_trie, op13_structure_repair)
+    f.__name__: f for f in (op1_token_files, op2_nearest_neighbours, op3_url_filters, op4_html_extraction, op5_decontaminate, op6_packing, op7_suffix_dedup, op8_jaccard_join, op9_toxicity, op10_katz, op11_prefix_trie, op12_secret_scan, op13_structure_repair)
 }
 
 
