@@ -4,13 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-_MULTIPLIERS = np.array([2 * k + 0x9E3779B97F4A7C15 * (2 * k + 1) | 1 for k in range(64)], dtype=object)
-
-
-def _multiplier(k: int) -> np.uint64:
-    return np.uint64(int(_MULTIPLIERS[k % 64]) & 0xFFFFFFFFFFFFFFFF)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = x ^ (x >> np.uint64(31))
@@ -20,14 +13,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _multipliers(width: int) -> np.ndarray:
+    """Odd numbers without a pattern: from an arithmetic progression, words that change places in mirrored order would give the same sum."""
+    return mix(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def rolling(words: np.ndarray, width: int) -> np.ndarray:
     """A number for each window of ``width`` words (uint64 hashes); none if there are fewer words."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    for j in range(width):
-        out += words[j : j + n] * _multiplier(j)
+    for j, m in enumerate(_multipliers(width)):
+        out += words[j : j + n] * m
     return mix(out)
 
 
