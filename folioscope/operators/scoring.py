@@ -7,15 +7,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import kept
+from . import overlaps as O
 from .rollups import coauthor_pairs, field_topics, scholar_topics, symmetrise, top
 
-#: Rows of scholars are broadcast up to this size, counted before.
-BROADCAST_BYTES = 64 << 20
+PAIR_FEATURES = (
+    "focus_id long, candidate_id long, topic_overlap double, recent_overlap double, temporal double, direct_count long, shared_collaborators long, method_similarity double, "
+    "problem_similarity double, complementarity double, same_institution boolean, shared_topics array<string>, has_institution boolean, graph_ready boolean"
+)
 
 
 def contribution_score(author_count: Column, position: Column, index: Column, corresponding: Column) -> Column:
@@ -151,16 +155,19 @@ def continuity_index(works: DataFrame, authorships: DataFrame, work_topics: Data
     sustained = t.filter("works_count >= 3 and n_years >= 3")
     own = authorships.select("scholar_id", "work_id").distinct()
     lasting = own.join(work_topics.select("work_id", "topic"), "work_id").join(sustained.select("scholar_id", "topic"), ["scholar_id", "topic"], "left_semi").groupBy("scholar_id").agg(F.count_distinct("work_id").alias("lasting"))
-    span = sustained.groupBy("scholar_id").agg(F.max(F.col("last_year") - F.col("first_year") + 1).alias("longest"))
+    span = sustained.groupBy("scholar_id").agg(F.max(F.col("last_year") - F.col("first_year") + 1).alias("longest"), F.count("*").alias("sustained_topics"))
     repeat = t.groupBy("scholar_id").agg((F.sum(F.when(F.col("works_count") >= 2, F.col("works_count")).otherwise(0)) / F.sum("works_count")).alias("repeat"))
     p = topic_profiles(works, authorships, work_topics).withColumn("n_early", F.col("n") - F.col("n_recent"))
     stable = p.groupBy("scholar_id").agg((F.sum(F.least("n_early", "n_recent")) / F.sum(F.greatest("n_early", "n_recent"))).alias("stability"))
     x = own.groupBy("scholar_id").agg(F.count("*").alias("works"))
     for part in (lasting, span, repeat, stable):
         x = x.join(part, "scholar_id", "left")
-    x = x.na.fill(0, ["lasting", "longest"]).na.fill(0.0, ["repeat", "stability"])
+    x = x.na.fill(0, ["lasting", "longest", "sustained_topics"]).na.fill(0.0, ["repeat", "stability"])
     index = 100 * (F.col("lasting") / F.col("works") * 0.45 + F.least(F.lit(1.0), F.col("longest") / 8) * 0.25 + F.col("repeat") * 0.20 + F.col("stability") * 0.10)
-    return x.select("scholar_id", _index(index).alias("continuity"), F.col("longest").cast("int").alias("longest_span"), F.round("repeat", 6).alias("topic_repeat"), F.round("stability", 6).alias("stability"))
+    return x.select(
+        "scholar_id", _index(index).alias("continuity"), F.col("longest").cast("int").alias("longest_span"), F.round("repeat", 6).alias("topic_repeat"), F.round("stability", 6).alias("stability"),
+        "sustained_topics", F.round(F.col("lasting") / F.col("works"), 6).alias("sustained_share"),
+    )
 
 
 def impact_index(works: DataFrame, authorships: DataFrame, work_topics: DataFrame, citations: DataFrame) -> DataFrame:
@@ -185,7 +192,37 @@ def quality_index(works: DataFrame, authorships: DataFrame, work_topics: DataFra
     n = every.groupBy("scholar_id").agg((F.count_if(F.col("contribution") >= 0.9) / F.count("*")).alias("strong"), (F.count_if(F.col("incoming") > 0) / F.count("*")).alias("spread"))
     index = _index(100 * (F.col("signal") * 0.4 + F.col("strong") * 0.25 + F.col("upper_impact") * 0.2 + F.col("spread") * 0.15))
     x = n.join(signal, "scholar_id").join(upper, "scholar_id").withColumn("quality", index)
-    return x.select("scholar_id", "quality", band(F.col("quality")).alias("band"), F.round("signal", 6).alias("signal"), F.round("strong", 6).alias("strong_role_share"))
+    return x.select("scholar_id", "quality", band(F.col("quality")).alias("band"), F.round("signal", 6).alias("signal"), F.round("strong", 6).alias("strong_role_share"), F.round("upper_impact", 6).alias("upper_impact"), F.round("spread", 6).alias("spread"))
+
+
+def scholar_dimensions(confidence: DataFrame, quality: DataFrame, continuity: DataFrame, impact: DataFrame, style: DataFrame | None = None, h_indices: DataFrame | None = None) -> DataFrame:
+    """The dimensions of every scholar of ``confidence``: indices with what they conclude and rest on; all null and without evidence where the data are insufficient.
+
+    quality, continuity, impact, style: the tables of ``quality_index``, ``continuity_index``, ``impact_index`` and ``style_profile``; h_indices: (scholar_id, h_index).
+    evidence: array of (dimension, code, value), in the order of the dimensions.
+    """
+    x = confidence.select("scholar_id", "level").join(quality.hint("merge"), "scholar_id", "left").join(continuity.hint("merge"), "scholar_id", "left")
+    x = x.join(impact.select("scholar_id", "impact", "cited_share", "note").hint("merge"), "scholar_id", "left")
+    codes = [
+        ("quality", "representative_signal", "signal"), ("quality", "strong_contribution_share", "strong_role_share"), ("quality", "field_normalized_impact", "upper_impact"), ("quality", "internal_diffusion", "spread"),
+        ("continuity", "sustained_topics", "sustained_topics"), ("continuity", "longest_span", "longest_span"), ("continuity", "sustained_share", "sustained_share"), ("continuity", "recent_stability", "stability"),
+        ("impact", "field_normalized_impact", "upper_impact"), ("impact", "cited_work_share", "cited_share"), ("impact", "internal_diffusion", "spread"),
+    ]
+    shown = ["orientation", "pacing", "work_type", "collaboration"]
+    if h_indices is not None:
+        x = x.join(h_indices.select("scholar_id", "h_index").hint("merge"), "scholar_id", "left")
+        codes.append(("impact", "local_h_index", "h_index"))
+    if style is not None:
+        x = x.join(style.hint("merge"), "scholar_id", "left")
+        codes += [("style", "classified_works", "evidence"), ("style", "typical_team_size", "typical_team"), ("style", "repeated_collaborators", "repeated")]
+    enough = F.col("level") != "insufficient"
+    known = lambda c: F.when(enough, F.col(c)).alias(c)
+    rows = [F.struct(F.lit(d).alias("dimension"), F.lit(code).alias("code"), F.round(F.col(c).cast("double"), 3).alias("value")) for d, code, c in codes]
+    evidence = F.when(enough, F.filter(F.array(*rows), lambda r: r["value"].isNotNull())).otherwise(F.array().cast("array<struct<dimension: string, code: string, value: double>>"))
+    return x.select(
+        "scholar_id", "level", *[known(c) for c in ("quality", "continuity", "impact")], F.when(enough, F.col("band")).alias("quality_band"), F.when(enough, band(F.col("continuity"))).alias("continuity_band"),
+        F.when(enough, F.col("note")).alias("impact_note"), *([known(c) for c in shown] if style is not None else []), evidence.alias("evidence"),
+    )
 
 
 def shared_collaborators(collaborations: DataFrame, focus: DataFrame) -> DataFrame:
@@ -196,63 +233,65 @@ def shared_collaborators(collaborations: DataFrame, focus: DataFrame) -> DataFra
     return two.groupBy("focus_id", "other_id").agg(F.count("*").alias("shared"))
 
 
-def pair_features(works: DataFrame, authorships: DataFrame, work_topics: DataFrame, scholars: DataFrame, focus: DataFrame, categories: DataFrame, method_tokens: DataFrame, problem_tokens: DataFrame) -> DataFrame:
-    """Features of each focus scholar and every other scholar with a common topic.
-
-    categories, method_tokens, problem_tokens: (scholar_id, value), distinct. Pairs come from shared topics only; a pair without one has
-    no overlap and passes no gate. Two focus scholars are compared once, for both directions.
+def pair_features(
+    works: DataFrame, authorships: DataFrame, work_topics: DataFrame, scholars: DataFrame, focus: DataFrame, categories: DataFrame, method_tokens: DataFrame, problem_tokens: DataFrame,
+    collaborations: DataFrame | None = None, least_overlap: float = 0.15, least_recent: float = 0.25,
+) -> DataFrame:
+    """Features of each focus scholar and every other scholar whose topics overlap by ``least_overlap``, or recent topics by ``least_recent``.
 
-    All that is known of one scholar is one row of a written table. Where these rows and the links of co-authors are small by count they are
-    broadcast and common collaborators are an intersection within the pair; beyond that the rows are joined by merge and common collaborators by their links.
+    No list of recommendations takes a pair below both. scholars: (scholar_id, institution_id, graph_ready); categories, method_tokens, problem_tokens:
+    (scholar_id, value), distinct; collaborations: (scholar_id, other_id, direct_count), from all authorships if not given.
+    Pairs are made in tiles of blocks of scholars that can reach the bounds (``overlaps``), each pair once for both directions.
     """
     p = topic_profiles(works, authorships, work_topics)
-    totals = p.groupBy("scholar_id").agg(F.sum("n").alias("total"), F.sum("n_recent").alias("total_recent"))
-    side = lambda df, prefix: df.select(*[F.col(c).alias(f"{prefix}_{c}") if c != "topic" else F.col(c) for c in df.columns])
-    # few bytes make many pairs here, so partitions are not to be joined up by their size
-    parts = int(works.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = p.join(focus.select("scholar_id", F.lit(True).alias("focal")).distinct(), "scholar_id", "left").repartition(parts, "topic")
-    met = side(p.filter("focal"), "f").join(side(p, "c"), "topic").filter("f_scholar_id <> c_scholar_id and (c_focal is null or f_scholar_id < c_scholar_id)")
-    once = met.groupBy("f_scholar_id", "c_scholar_id").agg(F.sum(F.least("f_n", "c_n")).alias("least"), F.sum(F.least("f_n_recent", "c_n_recent")).alias("least_recent"), F.first("c_focal").alias("both"))
-    way = lambda a, b: F.struct(F.col(f"{a}_scholar_id").alias("focus_id"), F.col(f"{b}_scholar_id").alias("candidate_id"))
-    pairs = once.select(F.explode(F.array_compact(F.array(way("f", "c"), F.when(F.col("both"), way("c", "f"))))).alias("p"), "least", "least_recent").select("p.*", "least", "least_recent").repartition(parts, "focus_id", "candidate_id")
-
+    if collaborations is None:
+        collaborations = symmetrise(coauthor_pairs(authorships)).groupBy("scholar_id", "other_id").agg(F.count("*").alias("direct_count"))
+    sorted_by = lambda c, *fields: F.array_sort(F.collect_list(F.struct(c, *fields)))
+    topics = p.groupBy("scholar_id").agg(sorted_by("topic", "n", "n_recent").alias("x")).select("scholar_id", F.col("x.topic").alias("topics"), F.col("x.n").alias("topics_n"), F.col("x.n_recent").alias("topics_n_recent"))
+    near = collaborations.groupBy("scholar_id").agg(sorted_by(F.col("other_id").cast("string").alias("other_id"), "direct_count").alias("x")).select("scholar_id", F.col("x.other_id").alias("near"), F.col("x.direct_count").alias("near_n"))
     years = authorships.select("scholar_id", "work_id").join(works.filter("publication_year is not null"), "work_id").select("scholar_id", F.col("publication_year").cast("string").alias("value"))
-    kinds = {"temporal": years, "method_similarity": method_tokens, "problem_similarity": problem_tokens, "category_overlap": categories}
-    valued = [df.select("scholar_id", F.lit(name).alias("kind"), "value") for name, df in kinds.items()]
-    held = reduce(DataFrame.unionByName, valued).groupBy("scholar_id").agg(*[F.collect_set(F.when(F.col("kind") == name, F.col("value"))).alias(name) for name in kinds])
-    every = kept(totals.join(held.hint("merge"), "scholar_id", "left").join(scholars.select("scholar_id", "institution_id"), "scholar_id", "left"))
-    links = kept(symmetrise(coauthor_pairs(authorships)).groupBy("scholar_id", "other_id").agg(F.count("*").alias("direct_count")))
-    cells = reduce(Column.__add__, [F.coalesce(F.octet_length(F.array_join(name, "")) + 32 * F.size(name), F.lit(0)) for name in kinds])
-    small = (every.agg(F.sum(cells + 128)).first()[0] or 0) + 16 * links.count() <= BROADCAST_BYTES
-    if small:
-        every = every.join(links.groupBy("scholar_id").agg(F.collect_set("other_id").alias("near")), "scholar_id", "left")
-    of = lambda prefix, key: side(every, prefix).withColumnRenamed(f"{prefix}_scholar_id", key)
-    told = (lambda df: F.broadcast(df)) if small else (lambda df: df.hint("merge"))
-    x = pairs.join(told(of("f", "focus_id")), "focus_id").join(told(of("c", "candidate_id")), "candidate_id")
-    n = lambda c: F.coalesce(F.size(c), F.lit(0))
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-
-    # each intersection is a column of its own, so that it is made once
-    x = x.withColumns({f"common_{name}": n(F.array_intersect(f"f_{name}", f"c_{name}")) for name in [*kinds, *(["near"] if small else [])]})
-    overlap = lambda name: ratio(F.col(f"common_{name}"), n(F.col(f"f_{name}")) + n(F.col(f"c_{name}")) - F.col(f"common_{name}"))
-    known = (n(F.col("f_category_overlap")) > 0) & (n(F.col("c_category_overlap")) > 0)
-    x = x.select(
-        "focus_id", "candidate_id",
-        ratio(F.col("least"), F.col("f_total") + F.col("c_total") - F.col("least")).alias("topic_overlap"),
-        ratio(F.col("least_recent"), F.col("f_total_recent") + F.col("c_total_recent") - F.col("least_recent")).alias("recent_overlap"),
-        *[overlap(name).alias(name) for name in ("temporal", "method_similarity", "problem_similarity")],
-        *([F.col("common_near").cast("long").alias("shared")] if small else []),
-        F.when(known, 1 - overlap("category_overlap")).otherwise(0.0).alias("complementarity"),
-        F.coalesce(F.col("f_institution_id") == F.col("c_institution_id"), F.lit(False)).alias("same_institution"), F.col("c_institution_id").isNotNull().alias("has_institution"),
-    )
-    as_pair = lambda df, other: df.withColumnRenamed(other, "candidate_id").hint("merge")
-    x = x.join(as_pair(links.withColumnRenamed("scholar_id", "focus_id"), "other_id"), ["focus_id", "candidate_id"], "left")
-    if not small:
-        x = x.join(as_pair(shared_collaborators(links, focus), "other_id"), ["focus_id", "candidate_id"], "left")
-    return x.na.fill(0, ["direct_count", "shared"]).select(
-        "focus_id", "candidate_id", "topic_overlap", "recent_overlap", "temporal", "direct_count", F.col("shared").alias("shared_collaborators"), "method_similarity", "problem_similarity",
-        "complementarity", "same_institution", "has_institution",
-    )
+    kinds = {"temporal": years, "method_similarity": method_tokens, "problem_similarity": problem_tokens, "categories": categories}
+    valued = reduce(DataFrame.unionByName, [df.select("scholar_id", F.lit(name).alias("kind"), "value") for name, df in kinds.items()])
+    sets = valued.groupBy("scholar_id").agg(*[F.collect_set(F.when(F.col("kind") == name, F.col("value"))).alias(name) for name in kinds])
+    focal = focus.select("scholar_id", F.lit(1).alias("focal")).distinct()
+    members = topics.join(near.hint("merge"), "scholar_id", "left").join(sets.hint("merge"), "scholar_id", "left").join(scholars.select("scholar_id", "institution_id", "graph_ready"), "scholar_id", "left").join(focal, "scholar_id", "left")
+
+    parts = {"topics": ["n", "n_recent"], "near": ["n"]} | {name: [] for name in kinds}
+    blocks = O.blocked(members.withColumnRenamed("scholar_id", "id").withColumn("main", O.main_key(F.col("topics"), F.col("topics_n"))), parts, ["institution_id", "graph_ready", "focal"])
+    tiles = O.bounded_tiles(blocks, parts, "topics", {"n": least_overlap, "n_recent": least_recent})
+    asks = lambda side: blocks.select(F.col("block").alias(side), F.exists("focal", lambda f: f.isNotNull()).alias(f"{side}_asks"))
+    tiles = tiles.join(asks("a").hint("merge"), "a").join(asks("b").hint("merge"), "b").filter("a_asks or b_asks").select("a", "b")
+
+    def kernel(x: dict, y: dict, same: bool) -> pd.DataFrame:
+        least, recent = O.least_sums(x["topics"], y["topics"], ("n", "n_recent"))
+        of = lambda part, w, sums: O.ratio(sums, x[part].totals(w)[:, None] + y[part].totals(w)[None, :] - sums)
+        overlap, recently = of("topics", "n", least), of("topics", "n_recent", recent)
+        wanted = ((overlap >= least_overlap) | (recently >= least_recent)) & (least > 0)
+        asks, answers = (np.array([f is not None for f in s["focal"]], bool) for s in (x, y))
+        wanted &= asks[:, None] | answers[None, :]
+        i, j = np.nonzero(np.triu(wanted, 1) if same else wanted)
+
+        def jaccard(part: str) -> tuple[np.ndarray, np.ndarray]:
+            common, n, m = O.shared_counts(x[part], y[part])[i, j], x[part].sizes[i], y[part].sizes[j]
+            return O.ratio(common, n + m - common), (n > 0) & (m > 0)
+
+        ids, others = (np.array(s["id"], np.int64) for s in (x, y))
+        category, known = jaccard("categories")
+        place = pd.Index(x["near"].words).get_indexer([str(o) for o in others])  # the others among the collaborators of x
+        direct = np.where(place >= 0, x["near"].dense(np.arange(len(x["near"].words)), len(x["near"].words), "n")[:, place], 0)[i, j] if x["near"].words else np.zeros(len(i), np.int64)
+        at, to = (np.array([None if v is None else str(v) for v in s["institution_id"]], object) for s in (x, y))
+        same_place = np.array([p is not None and p == q for p, q in zip(at[i], to[j])], bool)
+        pairs = {
+            "topic_overlap": overlap[i, j], "recent_overlap": recently[i, j], "temporal": jaccard("temporal")[0], "direct_count": direct, "shared_collaborators": O.shared_counts(x["near"], y["near"])[i, j],
+            "method_similarity": jaccard("method_similarity")[0], "problem_similarity": jaccard("problem_similarity")[0], "complementarity": np.where(known, 1 - category, 0.0), "same_institution": same_place,
+            "shared_topics": O.greatest_common(x["topics"], y["topics"], "n", (i, j), 2),
+        }
+        ready = lambda s, k: np.array([s["graph_ready"][v] == "true" for v in k], bool)
+        there = pd.DataFrame({"focus_id": ids[i], "candidate_id": others[j], **pairs, "has_institution": [to[k] is not None for k in j], "graph_ready": ready(y, j)})[asks[i]]
+        back = pd.DataFrame({"focus_id": others[j], "candidate_id": ids[i], **pairs, "has_institution": [at[k] is not None for k in i], "graph_ready": ready(x, i)})[answers[j]]
+        return pd.concat([there, back])
+
+    return O.in_tiles(blocks, tiles, parts, kernel, PAIR_FEATURES)
 
 
 def ranked(rows: DataFrame, k: int = 20) -> DataFrame:
@@ -261,13 +300,13 @@ def ranked(rows: DataFrame, k: int = 20) -> DataFrame:
 
 
 def recommend_peers(features: DataFrame, k: int = 20) -> DataFrame:
-    x = features.filter("topic_overlap >= 0.18 and temporal >= 0.15")
+    x = features.filter("graph_ready and topic_overlap >= 0.18 and temporal >= 0.15")
     score = F.col("topic_overlap") * 0.45 + F.col("temporal") * 0.20 + F.col("recent_overlap") * 0.25 + F.when(F.col("has_institution"), 0.1).otherwise(0.0)
     return ranked(x.select("focus_id", "candidate_id", _index(score * 100).alias("index")), k)
 
 
 def collaborator_leads(features: DataFrame) -> DataFrame:
-    x = features.filter("direct_count <= 1 and shared_collaborators >= 1 and topic_overlap >= 0.15 and complementarity >= 0.15")
+    x = features.filter("graph_ready and direct_count <= 1 and shared_collaborators >= 1 and topic_overlap >= 0.15 and complementarity >= 0.15")
     score = (
         F.col("topic_overlap") * 0.25 + F.col("complementarity") * 0.25 + F.least(F.lit(1.0), F.col("shared_collaborators") / 3) * 0.20
         + F.least(F.lit(1.0), F.col("direct_count") / 4) * 0.20 + F.col("temporal") * 0.10
@@ -282,7 +321,7 @@ def recommend_collaborators(features: DataFrame, k: int = 20) -> DataFrame:
 def recommend_competitors(features: DataFrame, k: int = 20) -> DataFrame:
     """Not those who are collaborator leads, however low these rank."""
     x = features.join(collaborator_leads(features).select("focus_id", "candidate_id"), ["focus_id", "candidate_id"], "left_anti")
-    x = x.filter("direct_count < 2 and recent_overlap >= 0.25 and problem_similarity >= 0.08 and method_similarity >= 0.08 and temporal >= 0.15")
+    x = x.filter("graph_ready and direct_count < 2 and recent_overlap >= 0.25 and problem_similarity >= 0.08 and method_similarity >= 0.08 and temporal >= 0.15")
     score = (
         F.col("recent_overlap") * 0.35 + F.col("problem_similarity") * 0.25 + F.col("method_similarity") * 0.20 + F.col("temporal") * 0.15
         + F.when(F.col("direct_count") == 0, 0.05).otherwise(0.0)
@@ -302,7 +341,7 @@ def activity(works: DataFrame, authorships: DataFrame, citations: DataFrame) ->
 def recommend_references(features: DataFrame, works: DataFrame, authorships: DataFrame, dimensions: DataFrame, citations: DataFrame, k: int = 20) -> DataFrame:
     """dimensions: (scholar_id, quality, continuity, impact); a null quality fails, a null continuity or impact counts as 0."""
     n = activity(works, authorships, citations).withColumnRenamed("scholar_id", "candidate_id")
-    x = features.join(n, "candidate_id").join(dimensions.withColumnRenamed("scholar_id", "candidate_id"), "candidate_id").filter("topic_overlap >= 0.15 and quality is not null and works >= 4")
+    x = features.join(n, "candidate_id").join(dimensions.withColumnRenamed("scholar_id", "candidate_id"), "candidate_id").filter("graph_ready and topic_overlap >= 0.15 and quality is not null and works >= 4")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     score = (
         F.col("topic_overlap") * 0.30 + F.col("quality") / 100 * 0.20 + zero("continuity") / 100 * 0.15 + zero("impact") / 100 * 0.15

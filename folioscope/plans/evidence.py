@@ -7,7 +7,10 @@ from pyspark.sql.window import Window
 
 from folioscope.operators import evidence as V
 from folioscope.operators import rollups as R
+from folioscope.operators import scoring as S
+from folioscope.operators.graph import kept
 
+from . import scoring as C
 from .fixtures import oracle, view
 from .text import KEYWORDS
 
@@ -72,19 +75,51 @@ def _style(s, d):
     return V.style_profile(view(s, d, "works"), view(s, d, "authorships"), view(s, d, "work_topics"), _texts(s, d).filter("kind = 'category'"), continuity)
 
 
-_add(
-    "H5_style_profile",
-    _style,
-    f"""with {TEXTS}, own as (select scholar_id, work_id, title, publication_year, author_count from authorships join works using (work_id)),
-        b as (select scholar_id, count(*) filter (title is not null) as evidence, median(author_count) as team from own group by 1),
-        l as (select scholar_id, count(*) filter (n >= 3 and y >= 3) as sustained from (select scholar_id, topic, count(*) as n, count(distinct publication_year) as y from own join work_topics using (work_id) group by 1, 2) group by 1),
-        r as (select scholar_id, count(*) filter (n >= 2) as repeated from (select a.scholar_id, o.scholar_id as other, count(*) as n from authorships a join authorships o on a.work_id = o.work_id and a.scholar_id <> o.scholar_id group by 1, 2) group by 1),
-        c as (select scholar_id, coalesce(sum(n) filter (value = 'method'), 0) as m, coalesce(sum(n) filter (value = 'system'), 0) as s, coalesce(sum(n) filter (value = 'data'), 0) as dt, coalesce(sum(n) filter (value = 'application'), 0) as a from categories group by 1),
-        x as (select b.*, coalesce(sustained, 0) as sustained, coalesce(repeated, 0) as repeated, coalesce(m, 0) as m, coalesce(s, 0) as s, coalesce(dt, 0) as dt, coalesce(a, 0) as a, b.scholar_id * 7 % 100 as cont from b left join l using (scholar_id) left join r using (scholar_id) left join c using (scholar_id))
-       select scholar_id, evidence, case when evidence >= 3 then case when s + a >= (m + dt) * 1.35 and s + a >= 2 then 'applied' when m + dt >= (s + a) * 1.35 and m + dt >= 2 then 'method' else 'mixed' end end as orientation,
+STYLE = f"""{TEXTS}, sown as (select scholar_id, work_id, title, publication_year, author_count from authorships join works using (work_id)),
+        sb as (select scholar_id, count(*) filter (title is not null) as evidence, median(author_count) as team from sown group by 1),
+        sl as (select scholar_id, count(*) filter (n >= 3 and y >= 3) as sustained from (select scholar_id, topic, count(*) as n, count(distinct publication_year) as y from sown join work_topics using (work_id) group by 1, 2) group by 1),
+        sr as (select scholar_id, count(*) filter (n >= 2) as repeated from (select a.scholar_id, o.scholar_id as other, count(*) as n from authorships a join authorships o on a.work_id = o.work_id and a.scholar_id <> o.scholar_id group by 1, 2) group by 1),
+        sc as (select scholar_id, coalesce(sum(n) filter (value = 'method'), 0) as m, coalesce(sum(n) filter (value = 'system'), 0) as s, coalesce(sum(n) filter (value = 'data'), 0) as dt, coalesce(sum(n) filter (value = 'application'), 0) as a from categories group by 1),
+        sx as (select sb.*, coalesce(sustained, 0) as sustained, coalesce(repeated, 0) as repeated, coalesce(m, 0) as m, coalesce(s, 0) as s, coalesce(dt, 0) as dt, coalesce(a, 0) as a, {{CONTINUITY}} as cont from sb left join sl using (scholar_id) left join sr using (scholar_id) left join sc using (scholar_id)),
+    style as (select scholar_id, evidence, case when evidence >= 3 then case when s + a >= (m + dt) * 1.35 and s + a >= 2 then 'applied' when m + dt >= (s + a) * 1.35 and m + dt >= 2 then 'method' else 'mixed' end end as orientation,
         case when evidence >= 3 then case when cont >= 68 and sustained > 0 then 'sustained' when cont < 45 then 'changing' else 'coexisting' end end as pacing,
         case when evidence >= 3 then case when greatest(m, s, dt, a) < 2 then 'none' when m = greatest(m, s, dt, a) then 'method' when s = greatest(m, s, dt, a) then 'system' when dt = greatest(m, s, dt, a) then 'data' else 'application' end end as work_type,
-        case when evidence >= 3 then case when repeated >= 3 then 'several_repeated' when repeated >= 1 then 'stable_core' else 'limited' end end as collaboration, case when evidence >= 3 then round(team, 1) end as typical_team, repeated from x""",
+        case when evidence >= 3 then case when repeated >= 3 then 'several_repeated' when repeated >= 1 then 'stable_core' else 'limited' end end as collaboration, case when evidence >= 3 then round(team, 1) end as typical_team, repeated from sx)"""
+_add("H5_style_profile", _style, f"with {STYLE.replace('{CONTINUITY}', 'sb.scholar_id * 7 % 100')} select * from style")
+
+
+def _whole_dimensions(s, d):
+    confidence, quality, continuity, impact = C.index_tables(s, d)
+    continuity = kept(continuity)
+    style = V.style_profile(view(s, d, "works"), view(s, d, "authorships"), view(s, d, "work_topics"), _texts(s, d).filter("kind = 'category'"), continuity)
+    h = R.citation_summary(view(s, d, "works"), view(s, d, "authorships"))
+    told = F.transform("evidence", lambda r: F.concat(r["dimension"], F.lit("."), r["code"], F.lit("="), F.round(r["value"] * 1000).cast("long").cast("string")))
+    return S.scholar_dimensions(confidence, quality, continuity, impact, style, h).withColumn("evidence", F.array_join(told, "|"))
+
+
+_told = " || '|' || ".join(
+    f"'{code}=' || cast(cast(round(round({value}, 3) * 1000) as bigint) as varchar)"
+    for code, value in [
+        ("quality.representative_signal", "round(g.s, 6)"), ("quality.strong_contribution_share", "round(g.strong, 6)"), ("quality.field_normalized_impact", "round(g.u, 6)"), ("quality.internal_diffusion", "round(g.spread, 6)"),
+        ("continuity.sustained_topics", "coalesce(ns, 0)::double"), ("continuity.longest_span", "longest::double"), ("continuity.sustained_share", "round(lasting / t.works::double, 6)"), ("continuity.recent_stability", "round(stab, 6)"),
+        ("impact.field_normalized_impact", "round(g.u, 6)"), ("impact.cited_work_share", "round(i.cs, 6)"), ("impact.internal_diffusion", "round(g.spread, 6)"), ("impact.local_h_index", "h::double"),
+        ("style.classified_works", "e.evidence::double"), ("style.typical_team_size", "e.typical_team::double"), ("style.repeated_collaborators", "e.repeated::double"),
+    ]
+)
+_if = lambda c: f"case when level <> 'insufficient' then {c} end"
+_add(
+    "H6_scholar_dimensions",
+    _whole_dimensions,
+    C.sql(
+        f"""with {C.DIMS}, {STYLE.replace('{CONTINUITY}', '(select continuity from cont where cont.scholar_id = sb.scholar_id)')},
+        hx as (select scholar_id, max(least(c, r)) as h from (select scholar_id, c, row_number() over (partition by scholar_id order by c desc) as r from iw) group by 1), sn as (select scholar_id, count(*) as ns from sus group by 1)
+       select scholar_id, level, d.quality, d.continuity, d.impact, {_if("case when d.quality >= 70 then 'strong' when d.quality >= 48 then 'moderate' else 'limited' end")} as quality_band,
+        {_if("case when d.continuity >= 70 then 'strong' when d.continuity >= 48 then 'moderate' else 'limited' end")} as continuity_band,
+        {_if("case when d.impact >= 70 and conc < 0.65 then 'distributed' when conc >= 0.65 then 'concentrated' else 'moderate' end")} as impact_note,
+        {_if("orientation")} as orientation, {_if("pacing")} as pacing, {_if("work_type")} as work_type, {_if("collaboration")} as collaboration, case when level <> 'insufficient' then {_told} else '' end as evidence
+       from dims d left join qual g using (scholar_id) left join cparts t using (scholar_id) left join impi i using (scholar_id) left join hx using (scholar_id) left join sn using (scholar_id) left join style e using (scholar_id)""",
+        *C.CORPUS,
+    ),
 )
 
 

@@ -96,7 +96,7 @@ _add(
     "H15_compare_scholars",
     lambda s, d: K.compare_dimensions(PAIRS_OF(s, d), kept(C._dimensions(s, d))),
     C.sql(
-        f"""with {C.DIMS}, l as (select scholar_id, 'quality' as dimension, quality as i from qual union all select scholar_id, 'continuity', continuity from cont union all select scholar_id, 'impact', impact from impi)
+        f"""with {C.DIMS}, l as (select scholar_id, 'quality' as dimension, quality as i from dims union all select scholar_id, 'continuity', continuity from dims union all select scholar_id, 'impact', impact from dims)
        select f.scholar_id as a, f.scholar_id + 1 as b, x.dimension, x.i as a_index, y.i as b_index, case when x.i - y.i is null then 'insufficient' when abs(x.i - y.i) < 8 then 'close' when x.i > y.i then 'a' else 'b' end as outcome
        from focus f join l x on x.scholar_id = f.scholar_id join l y on y.scholar_id = f.scholar_id + 1 and y.dimension = x.dimension""",
         *C.CORPUS,
