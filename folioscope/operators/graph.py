@@ -64,3 +64,38 @@ def components_of(members: DataFrame, keys: DataFrame) -> DataFrame:
     links = keys.hint("merge").join(least, "key").select(F.col("id").alias("a"), "b").filter("a <> b")
     found = components(links)
     return members.select("id").join(found.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def first_independent(edges: DataFrame) -> DataFrame:
+    """(id, first): whether an id is in the first independent set of the distinct edges (a, b), a < b: one that no smaller id of the set is linked to.
+
+    In each round the ids all of whose smaller neighbours are decided become members, and their greater neighbours don't. An id with one
+    undecided smaller neighbour is what that one is not, so such chains are shortened by doubling: a chain of n ids takes log2(n) steps, not n
+    rounds. Rounds go on until nothing is undecided; what is decided is written once per round.
+    """
+    every = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    decided, left = every.withColumn("first", F.lit(True)).limit(0), edges.select("a", "b")
+    while True:
+        left = kept(left)
+        if left.isEmpty():  # who is left without links and was not taken is a member
+            return every.join(decided.hint("merge"), "id", "left").select("id", F.coalesce("first", F.lit(True)).alias("first"))
+        ids = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct()
+        below = left.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("n"), F.min("a").alias("to"))
+        known = kept(ids.join(below.hint("merge"), "id", "left").na.fill(0, ["n"]))
+        # odd: whether an id is the opposite of what it points to
+        chain = known.filter("n = 1").select("id", "to", F.lit(True).alias("odd"))
+        while True:
+            chain = kept(chain)
+            ahead = chain.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("odd").alias("odd_beyond"))
+            if chain.hint("merge").join(ahead, "to", "left_semi").isEmpty():
+                break
+            step = chain.hint("merge").join(ahead, "to", "left")
+            chain = step.select("id", F.coalesce("beyond", "to").alias("to"), (F.col("odd") != F.coalesce("odd_beyond", F.lit(False))).alias("odd"))
+        roots = known.filter("n = 0").select("id")
+        settled = chain.hint("merge").join(roots.withColumnRenamed("id", "to"), "to").select("id", (~F.col("odd")).alias("first"))
+        members = roots.unionByName(settled.filter("first").select("id"))
+        met = left.hint("merge").join(members.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"))
+        now = kept(members.withColumn("first", F.lit(True)).unionByName(met.distinct().withColumn("first", F.lit(False))).unionByName(settled.filter("not first")).groupBy("id").agg(F.max("first").alias("first")))
+        decided = decided.unionByName(now)
+        gone = now.select("id")
+        left = left.hint("merge").join(gone.withColumnRenamed("id", "a"), "a", "left_anti").hint("merge").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")

@@ -5,6 +5,7 @@ Accuracy comes before recall: without evidence nothing is merged, and identity g
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,34 +13,66 @@ from pyspark.sql.window import Window
 
 from folioscope.functions import text as T
 
-from .graph import components_of, shared_dir
+from . import overlaps as O
+from .graph import components_of, first_independent, kept
 
 KINDS = ("institution", "work", "coauthor", "topic")
 
 
+#: Facts without one of which no rule ever merges two profiles.
+DECISIVE = ("work", "coauthor")
+
+
 def pair_evidence(profiles: DataFrame, facts: DataFrame) -> DataFrame:
-    """Evidence for each pair of profiles (profile_id, name_key, orcid, works_count) that share a name key or an ORCID.
+    """Evidence for each pair of profiles (profile_id, name_key, orcid, works_count) that have an ORCID, or a name and a work or co-author, in common.
 
-    facts: distinct (profile_id, kind, value), kind one of KINDS. Pairs come from shared keys only (blocking), in order left_id < right_id.
+    facts: distinct (profile_id, kind, value), kind one of KINDS. Profiles of one name meet by (name, fact), not by the name: pairs that
+    share neither a work nor a co-author are ``insufficient_evidence`` (or ``orcid_conflict``) by every rule; ``undecided_pairs`` counts them
+    without making them. Pairs are made in tiles of blocks in order of names (``overlaps``), left_id < right_id.
     """
-    keys = profiles.select("profile_id", F.explode(F.array_compact(F.array(F.concat(F.lit("n:"), "name_key"), F.concat(F.lit("o:"), F.lower("orcid"))))).alias("key"))
-    pairs = keys.select(F.col("profile_id").alias("left_id"), "key").hint("merge").join(keys.select(F.col("profile_id").alias("right_id"), "key"), "key").filter("left_id < right_id").select("left_id", "right_id").distinct()
-    sizes = facts.groupBy("profile_id").pivot("kind", list(KINDS)).count().na.fill(0)
-    for side in ("left", "right"):
-        own = profiles.select(F.col("profile_id").alias(f"{side}_id"), F.lower("orcid").alias(f"{side}_orcid"), F.col("works_count").alias(f"{side}_works"))
-        pairs = pairs.hint("merge").join(own, f"{side}_id").hint("merge").join(sizes.select(F.col("profile_id").alias(f"{side}_id"), *[F.col(k).alias(f"{side}_n_{k}") for k in KINDS]), f"{side}_id", "left").na.fill(0)
-    met = pairs.select("left_id", "right_id").hint("merge").join(facts.withColumnRenamed("profile_id", "left_id"), "left_id").hint("merge").join(facts.withColumnRenamed("profile_id", "right_id"), ["right_id", "kind", "value"])
-    shared = met.groupBy("left_id", "right_id").pivot("kind", list(KINDS)).count()
-    x = pairs.hint("merge").join(shared.select("left_id", "right_id", *[F.col(k).alias(f"shared_{k}") for k in KINDS]), ["left_id", "right_id"], "left").na.fill(0)
-    share = lambda k: T.containment(F.col(f"shared_{k}"), F.col(f"left_n_{k}"), F.col(f"right_n_{k}")).alias(f"{k}_containment")
-    both = F.col("left_orcid").isNotNull() & F.col("right_orcid").isNotNull()
-    return x.select(
-        "left_id", "right_id", *[f"shared_{k}" for k in KINDS], *[share(k) for k in KINDS],
-        (F.greatest("left_n_institution", "right_n_institution") <= 12).alias("compact_history"),
-        (both & (F.col("left_orcid") == F.col("right_orcid"))).alias("same_orcid"),
-        (both & (F.col("left_orcid") != F.col("right_orcid"))).alias("orcid_conflict"),
-        F.least("left_works", "right_works").alias("fewest_works"),
-    )
+    named = profiles.select("profile_id", "name_key", F.lower("orcid").alias("orcid"), F.coalesce("works_count", F.lit(0)).cast("string").alias("works"))
+    sets = facts.groupBy("profile_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("value")))).alias(k) for k in KINDS])
+    x = named.join(sets.hint("merge"), "profile_id", "left").na.fill("", ["name_key"])
+    by_name = [F.transform(F.coalesce(F.col(k), F.array().cast("array<string>")), _tagged(k)) for k in DECISIVE]
+    by_orcid = F.array_compact(F.array(F.concat(F.lit("o:"), "orcid")))
+    meet = F.concat(F.when(F.col("name_key") != "", F.concat(*by_name)).otherwise(F.array().cast("array<string>")), by_orcid)
+    parts = {name: [] for name in ("meet", *KINDS)}
+    blocks = O.blocked(x.withColumn("meet", meet).withColumnRenamed("profile_id", "id").withColumn("main", F.col("name_key")), parts, ["name_key", "orcid", "works"])
+
+    def kernel(left: dict, right: dict, same: bool) -> pd.DataFrame:
+        met = O.shared_counts(left["meet"], right["meet"]) > 0
+        i, j = np.nonzero(np.triu(met, 1) if same else met)
+        ids, others = np.array(left["id"], np.int64)[i], np.array(right["id"], np.int64)[j]
+        rows = {"left_id": np.minimum(ids, others), "right_id": np.maximum(ids, others)}
+        for k in KINDS:
+            shared, n, m = O.shared_counts(left[k], right[k])[i, j], left[k].sizes[i], right[k].sizes[j]
+            rows |= {f"shared_{k}": shared, f"{k}_containment": shared / np.maximum(1, np.minimum(n, m))}
+            if k == "institution":
+                rows["compact_history"] = np.maximum(n, m) <= 12
+        a, b = (np.array(list(s["orcid"]), object)[k] for s, k in ((left, i), (right, j)))
+        both = np.array([p is not None and q is not None for p, q in zip(a, b)], bool)
+        equal = np.array([p == q for p, q in zip(a, b)], bool)
+        works = [np.array(list(s["works"]), np.int64)[k] for s, k in ((left, i), (right, j))]
+        return pd.DataFrame(rows | {"same_orcid": both & equal, "orcid_conflict": both & ~equal, "fewest_works": np.minimum(*works)})
+
+    columns = [f"shared_{k} long" for k in KINDS] + [f"{k}_containment double" for k in KINDS] + ["compact_history boolean", "same_orcid boolean", "orcid_conflict boolean", "fewest_works long"]
+    return O.in_tiles(blocks, O.bounded_tiles(blocks, parts, "meet", {"": 0.0}), parts, kernel, "left_id long, right_id long, " + ", ".join(columns))
+
+
+def _tagged(kind: str):
+    """A fact as a meeting key of the profiles of one name."""
+    return lambda value: F.concat(F.lit(f"n:{kind}:"), F.col("name_key"), F.lit("|"), value)
+
+
+def undecided_pairs(profiles: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(name_key, profiles, pairs, with_evidence, without): how many pairs of a name have evidence, and how many are left without, by count alone."""
+    named = profiles.filter("name_key is not null").select("profile_id", "name_key")
+    n = named.groupBy("name_key").agg(F.count("*").alias("profiles"))
+    side = lambda s: named.select(F.col("profile_id").alias(f"{s}_id"), F.col("name_key").alias(f"{s}_name"))
+    met = evidence.select("left_id", "right_id").hint("merge").join(side("left"), "left_id").hint("merge").join(side("right"), "right_id")
+    met = met.filter("left_name = right_name").groupBy(F.col("left_name").alias("name_key")).agg(F.count("*").alias("with_evidence"))
+    pairs = (F.col("profiles") * (F.col("profiles") - 1) / 2).cast("long")
+    return n.join(met.hint("merge"), "name_key", "left").na.fill(0, ["with_evidence"]).withColumn("pairs", pairs).withColumn("without", F.col("pairs") - F.col("with_evidence")).select("name_key", "profiles", "pairs", "with_evidence", "without")
 
 
 def identity_decision(evidence: DataFrame) -> DataFrame:
@@ -62,29 +95,13 @@ def identity_decision(evidence: DataFrame) -> DataFrame:
 def author_groups(profiles: DataFrame, decisions: DataFrame) -> DataFrame:
     """(profile_id, group_id): in the order of profile_id, each profile not yet taken takes the later ones that match it.
 
-    A match of a match is not taken: this is a star, not a component. Only profiles linked by merges compete, so each component of
-    merges is one small group.
+    A match of a match is not taken: this is a star, not a component. The profiles that take are the first independent set of the merges,
+    found in rounds (``graph.first_independent``); every other one goes to the least of them that it matches.
     """
-    shared_dir(profiles.sparkSession)
-    merges = decisions.filter("merge").select("left_id", "right_id").checkpoint()  # read again in every round of the components
-    key = F.concat_ws("-", "left_id", "right_id")
-    blocks = components_of(profiles.select(F.col("profile_id").alias("id")), merges.select(key.alias("key"), F.explode(F.array("left_id", "right_id")).alias("id")))
-    edges = merges.hint("merge").join(blocks.select(F.col("id").alias("left_id"), F.col("component").alias("block")), "left_id")
-    members = blocks.select(F.col("id").alias("profile_id"), F.col("component").alias("block"))
-
-    def star(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        later: dict[int, list[int]] = {}
-        for a, b in zip(links["left_id"], links["right_id"]):
-            later.setdefault(a, []).append(b)
-        group: dict[int, int] = {}
-        for p in sorted(rows["profile_id"]):
-            if p not in group:
-                group[p] = p
-                for other in later.get(p, []):
-                    group.setdefault(other, p)
-        return pd.DataFrame({"profile_id": list(group), "group_id": list(group.values())})
-
-    return members.groupBy("block").cogroup(edges.groupBy("block")).applyInPandas(star, "profile_id long, group_id long")
+    merges = kept(decisions.filter("merge").select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).distinct())
+    heads = first_independent(merges)
+    taken = merges.hint("merge").join(heads.filter("first").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("profile_id")).agg(F.min("a").alias("group_id"))
+    return profiles.select("profile_id").hint("merge").join(taken, "profile_id", "left").select("profile_id", F.coalesce("group_id", "profile_id").alias("group_id"))
 
 
 def combine_groups(groups: DataFrame, profiles: DataFrame) -> DataFrame:

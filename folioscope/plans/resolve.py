@@ -134,13 +134,24 @@ IDENT = """po as (select scholar_id * 10 + work_id % 3 as profile_id, scholar_id
         max(c) filter (kind = 'work') as cw, max(c) filter (kind = 'coauthor') as cc, max(c) filter (kind = 'topic') as ct, max(greatest(an, bn)) filter (kind = 'institution') <= 12 as compact from ev group by 1, 2, 3, 4, 5),
     dec as (select left_id, right_id, si, sw, sc, st, case when lo = ro then 'same_orcid' when sw >= 2 and cw >= 0.25 and (si > 0 or sc >= 2) then 'shared_works' when lo <> ro then 'orcid_conflict'
         when si > 0 and compact and sc >= 3 and st >= 2 and ((cc >= 0.4 and ct >= 0.35) or (cc >= 0.25 and ct >= 0.45)) then 'shared_context'
-        when si > 0 and compact and fewest <= 3 and sc >= 2 and cc >= 0.5 and st >= 1 then 'small_split_profile' else 'insufficient_evidence' end as reason from wide)"""
+        when si > 0 and compact and fewest <= 3 and sc >= 2 and cc >= 0.5 and st >= 1 then 'small_split_profile' else 'insufficient_evidence' end as reason from wide where {MET})""".replace("{MET}", "(coalesce(lo = ro, false) or sw > 0 or sc > 0)")
+MET = "(coalesce(lo = ro, false) or sw > 0 or sc > 0)"
+
+
+def _undecided(s, d):
+    p, f = _profiles(s, d)
+    return E.undecided_pairs(p, E.pair_evidence(p, f))
+
+
 _add(
     "E2_identity_pair_evidence",
+    # pairs without a work or co-author in common are counted by E3_undecided_pairs, not made
     lambda s, d: E.pair_evidence(*_profiles(s, d)).select("left_id", "right_id", "shared_institution", "shared_work", "shared_coauthor", "shared_topic", F.round("coauthor_containment", 6).alias("coauthor_containment"), "compact_history"),
-    f"with {IDENT} select left_id, right_id, si as shared_institution, sw as shared_work, sc as shared_coauthor, st as shared_topic, round(cc, 6) as coauthor_containment, compact as compact_history from wide",
+    f"with {IDENT} select left_id, right_id, si as shared_institution, sw as shared_work, sc as shared_coauthor, st as shared_topic, round(cc, 6) as coauthor_containment, compact as compact_history from wide where {MET}",
 )
 _add("E3_identity_decision", lambda s, d: E.identity_decision(E.pair_evidence(*_profiles(s, d))).select("left_id", "right_id", "reason"), f"with {IDENT} select left_id, right_id, reason from dec")
+_add("E3_undecided_pairs", _undecided, f"""with {IDENT}, met as (select a.name_key, count(*) as m from dec join prof a on a.profile_id = left_id join prof b on b.profile_id = right_id where a.name_key = b.name_key group by 1)
+       select name_key, count(*) as profiles, count(*) * (count(*) - 1) // 2 as pairs, coalesce(any_value(m), 0) as with_evidence, count(*) * (count(*) - 1) // 2 - coalesce(any_value(m), 0) as without from prof left join met using (name_key) group by 1""")
 
 
 def _groups(s, d):
@@ -148,7 +159,13 @@ def _groups(s, d):
     return E.author_groups(p, E.identity_decision(E.pair_evidence(p, f)))
 
 
-_add("E4_greedy_author_groups", _groups, None)
+#: The walk in order of ids: whoever is linked to none of those that take others takes others too.
+GROUPS = f"""{IDENT}, link as (select left_id as a, right_id as b from dec where reason in ('same_orcid', 'shared_works', 'shared_context', 'small_split_profile')),
+    near as (select b, list(a) as smaller from link group by 1), seat as (select profile_id, row_number() over (order by profile_id) as k, coalesce(smaller, []) as smaller from prof left join near on b = profile_id),
+    walk as (select 0::bigint as k, []::bigint[] as heads union all select w.k + 1, case when list_has_any(heads, s.smaller) then heads else list_append(heads, s.profile_id) end from walk w join seat s on s.k = w.k + 1),
+    heads as (select unnest(heads) as h from (select heads from walk order by k desc limit 1)),
+    groups as (select profile_id, coalesce(min(a), profile_id) as group_id from prof left join (select a, b from link join heads on h = a) on b = profile_id group by profile_id)"""
+_add("E4_greedy_author_groups", _groups, f"with recursive {GROUPS} select * from groups")
 
 
 def _combined(s, d):
@@ -157,7 +174,15 @@ def _combined(s, d):
     return E.combine_groups(_groups(s, d), sums.join(R.h_index(own, "profile_id", "cited_by_count"), "profile_id")).withColumn("merged_ids", F.array_join(F.transform("merged_ids", lambda x: x.cast("string")), "|"))
 
 
-_add("E5_combine_author_group", _combined, None)
+_add(
+    "E5_combine_author_group",
+    _combined,
+    f"""with recursive {GROUPS}, mine as (select scholar_id * 10 + work_id % 3 as profile_id, cited_by_count as c from authorships join works using (work_id)),
+        hs as (select profile_id, max(least(c, r)) as h from (select profile_id, c, row_number() over (partition by profile_id order by c desc) as r from mine) group by 1),
+        sums as (select profile_id, count(*) as works_count, cast(sum(c) as bigint) as citations from mine group by 1)
+       select group_id, first(profile_id order by citations desc, works_count desc, profile_id) as main_id, cast(sum(works_count) as bigint) as works_count, cast(sum(citations) as bigint) as citations, cast(max(h) as int) as h_index,
+        string_agg(cast(profile_id as varchar), '|' order by profile_id) as merged_ids from groups join sums using (profile_id) join hs using (profile_id) group by 1""",
+)
 _add(
     "E6_canonicalise_authors",
     lambda s, d: E.canonicalise(view(s, d, "authorships"), view(s, d, "scholars").filter("scholar_id % 3 = 1").select(F.col("scholar_id").alias("alias_id"), (F.col("scholar_id") - 1).alias("main_id"))),
