@@ -60,10 +60,38 @@ def recent_feed(events: DataFrame, kinds: list[str], k: int = 50) -> DataFrame:
     return events.filter(F.col("event_type").isin(kinds)).orderBy(F.desc("created_at"), F.desc("event_id")).limit(k).select("event_id", "event_type", "user_id", "scholar_id", F.upper(F.substring("visitor_hash", 1, 6)).alias("visitor"))
 
 
-def visitor_state(events: DataFrame) -> DataFrame:
-    """First and last activity and latest user of every visitor."""
+def visitor_state(events: DataFrame, least_seconds: int = 60) -> DataFrame:
+    """First and last activity and latest user of every visitor; the last activity moves on by ``least_seconds`` or more only.
+
+    Behind an empty cell of that length it moves in any case, so every run of cells with events is read in order by itself.
+    """
     at = F.struct("created_at", "event_id")
-    return events.groupBy("visitor_hash").agg(F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"), F.max_by("user_id", at).alias("user_id"), F.count("*").alias("events"))
+    span = least_seconds * 1_000_000
+    rows = events.select("visitor_hash", F.unix_micros("created_at").alias("at")).withColumn("cell", F.expr(f"at div {span}"))
+    cells = rows.select("visitor_hash", "cell").distinct()
+    cells = cells.withColumn("run", F.col("cell") - F.row_number().over(Window.partitionBy("visitor_hash").orderBy("cell")))
+    key = ["visitor_hash", "run"]
+    dealt = rows.hint("merge").join(cells, ["visitor_hash", "cell"]).select(*key, "at").repartition(*key).sortWithinPartitions(*key, "at")
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The last move of every run."""
+        before, last, schema = None, None, pa.schema([("visitor_hash", pa.string()), ("last_at", pa.int64())])
+        for batch in batches:
+            done = []
+            for visitor, run, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if (visitor, run) != before:
+                    if before is not None:
+                        done.append((before[0], last))
+                    before, last = (visitor, run), t
+                elif t - last >= span:
+                    last = t
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], f.type) for k, f in enumerate(schema)], schema=schema)
+        if before is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([before[0]], pa.string()), pa.array([last], pa.int64())], schema=schema)
+
+    moved = dealt.mapInArrow(move, "visitor_hash string, last_at long").groupBy("visitor_hash").agg(F.max("last_at").alias("last_at"))
+    sums = events.groupBy("visitor_hash").agg(F.min("created_at").alias("first_seen"), F.max_by("user_id", at).alias("user_id"), F.count("*").alias("events"))
+    return sums.join(moved.hint("merge"), "visitor_hash").select("visitor_hash", "first_seen", F.timestamp_micros("last_at").alias("last_seen"), "user_id", "events")
 
 
 def session_activity(events: DataFrame, as_of: Column, minutes: int = 5) -> DataFrame:
@@ -86,12 +114,14 @@ def window_counts(events: DataFrame, key: str, seconds: int) -> DataFrame:
     return events.filter(F.col(key).isNotNull()).withColumn("in_window", F.count("*").over(w))
 
 
-def failure_throttle(attempts: DataFrame, per_user: int = 5, per_visitor: int = 20, seconds: int = 900) -> DataFrame:
-    """Failed attempts that reach a limit of their user or their visitor."""
+def failure_throttle(attempts: DataFrame, per_user: int = 5, per_visitor: int = 20, seconds: int = 900, registrations: int = 10, registration_seconds: int = 3600) -> DataFrame:
+    """Failed attempts that reach a limit of their user or their visitor, and registrations of a visitor that had its number of them in the time before."""
     failed = attempts.filter(F.col("event_type") == "server_error")
     by_user = window_counts(failed, "user_id", seconds).filter(F.col("in_window") >= per_user).select("event_id")
     by_visitor = window_counts(failed, "visitor_hash", seconds).filter(F.col("in_window") >= per_visitor).select("event_id")
-    return by_user.union(by_visitor).distinct()
+    signed = attempts.filter(F.col("event_type") == "signup")
+    registered = window_counts(signed, "visitor_hash", registration_seconds).filter(F.col("in_window") > registrations).select("event_id")
+    return by_user.union(by_visitor).union(registered).distinct()
 
 
 def quota_decisions(events: DataFrame, limit: int, seconds: int = 600) -> DataFrame:

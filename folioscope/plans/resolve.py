@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import resolve as E
 from folioscope.operators import rollups as R
 from folioscope.sources import records as A
+from folioscope.streaming import stateful
 from folioscope.streaming import usage as stream
 from folioscope.tables import read
 
@@ -302,10 +303,69 @@ def _stream(s, d):
     return s.sql(_spelled(VIEWS["usage_events"], 0), events=events)
 
 
+#: What the watermark has passed when all events are read, to the millisecond.
+CLOSED = "(select (max(epoch_us(created_at)) // 1000 - 600000) * 1000 from usage_events)"
+_time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 _add(
     "S1_stream_usage_trend",
-    lambda s, d: stream.to_table(stream.usage_trend(_stream(s, d)), s).select(F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "page_views", "searches"),
-    "select strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M:%S') as bucket, count(*) filter (event_type = 'page_view') as page_views, count(*) filter (event_type = 'search') as searches from usage_events group by 1",
+    lambda s, d: stream.to_table(stream.usage_trend(_stream(s, d)), s, "append").select(_time("bucket"), "page_views", "searches", "users"),
+    f"""select strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M:%S') as bucket, count(*) filter (event_type = 'page_view') as page_views, count(*) filter (event_type = 'search') as searches, count(distinct user_id) as users
+       from usage_events where epoch_us(date_trunc('hour', created_at) + interval 1 hour) <= {CLOSED} group by 1""",
+)
+_add(
+    "S7_stream_sessions",
+    lambda s, d: stream.to_table(stream.sessions(_stream(s, d), "2 hours"), s, "append").select("visitor_hash", _time("started"), _time("ended"), "events"),
+    f"""with e as (select visitor_hash, created_at, lag(created_at) over (partition by visitor_hash order by created_at) as before from usage_events),
+        n as (select *, sum(case when before is null or created_at >= before + interval 2 hour then 1 else 0 end) over (partition by visitor_hash order by created_at rows between unbounded preceding and current row) as k from e)
+       select visitor_hash, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') as started, strftime(max(created_at) + interval 2 hour, '%Y-%m-%d %H:%M:%S') as ended, count(*) as events from n group by visitor_hash, k
+       having epoch_us(max(created_at) + interval 2 hour) <= {CLOSED}""",
+)
+
+
+def _keyed(s, result, mode="append"):
+    with stateful.keyed_state(s):
+        return stream.to_table(result, s, mode)
+
+
+_add(
+    "S6_stream_visitor_state",
+    lambda s, d: _keyed(s, stateful.visitor_state(_stream(s, d)))
+    .groupBy("visitor_hash").agg(F.max_by(F.struct("first_at", "last_at", "user_id"), "events").alias("x"), F.max("events").alias("events"))
+    .select("visitor_hash", "x.first_at", "x.last_at", "x.user_id", "events"),
+    f"""with recursive c as (select * from usage_events where epoch_us(created_at) <= {CLOSED}),
+        e as (select visitor_hash, epoch_us(created_at) as t, user_id, row_number() over (partition by visitor_hash order by created_at, event_id) as rn from c),
+        walk as (select visitor_hash, rn, t as first_at, t as seen, user_id from e where rn = 1
+            union all select e.visitor_hash, e.rn, w.first_at, case when e.t - w.seen >= 60000000 then e.t else w.seen end, e.user_id from walk w join e on e.visitor_hash = w.visitor_hash and e.rn = w.rn + 1)
+       select visitor_hash, first_at, seen as last_at, user_id, rn as events from walk qualify row_number() over (partition by visitor_hash order by rn desc) = 1""",
+)
+_add(
+    "S8_stream_quota_decisions",
+    lambda s, d: _keyed(s, stateful.quota_decisions(_stream(s, d), 2, 86400)),
+    f"""with recursive e as (select event_id, user_id, epoch_us(created_at) as t_us, row_number() over (partition by user_id order by epoch_us(created_at), event_id) as rn from usage_events where user_id is not null and epoch_us(created_at) <= {CLOSED}),
+        walk as (select event_id, user_id, rn, true as allowed, [t_us] as kept from e where rn = 1
+            union all select e.event_id, e.user_id, e.rn, len(list_filter(w.kept, lambda t: t >= e.t_us - 86400000000)) < 2,
+                case when len(list_filter(w.kept, lambda t: t >= e.t_us - 86400000000)) < 2 then list_append(list_filter(w.kept, lambda t: t >= e.t_us - 86400000000), e.t_us) else list_filter(w.kept, lambda t: t >= e.t_us - 86400000000) end
+            from walk w join e on e.user_id = w.user_id and e.rn = w.rn + 1)
+       select event_id, user_id, allowed from walk""",
+)
+
+
+def _statuses(events):
+    kind = F.when(F.col("event_type") == "server_error", "failed").when(F.col("event_type") == "search", "pending").otherwise("ready")
+    return events.select("scholar_id", "event_id", F.dayofmonth("created_at").alias("version"), kind.alias("status"), "created_at")
+
+
+_add(
+    "S11_stream_status_changes",
+    lambda s, d: _keyed(s, stateful.status_changes(_statuses(_stream(s, d)), 3)),
+    f"""with k as (select scholar_id, event_id, cast(day(created_at) as int) as version, case event_type when 'server_error' then 'failed' when 'search' then 'pending' else 'ready' end as status, created_at from usage_events where epoch_us(created_at) <= {CLOSED} and scholar_id is not null),
+        f as (select *, lag((version, status)) over (partition by scholar_id order by created_at, event_id) as before from k where version >= 3 and (version > 3 or status <> 'ready'))
+       select scholar_id, event_id, version, status from f where before is null or before <> (version, status)""",
+)
+_add(
+    "S12_stream_latest_n",
+    lambda s, d: stream.latest_batch(_keyed(s, stateful.latest_n(_stream(s, d)), "update"), "scholar_id").select("scholar_id", "rank", "event_id", "event_type"),
+    "select scholar_id, cast(row_number() over (partition by scholar_id order by created_at desc, event_id desc) as int) as rank, event_id, event_type from usage_events where scholar_id is not null qualify rank <= 8",
 )
 _add(
     "S15_stream_history_rollup",

@@ -69,11 +69,15 @@ _add(
     lambda s, d: U.recent_feed(_events(s, d), ["page_view", "search", "profile_view"]),
     "select event_id, event_type, user_id, scholar_id, upper(visitor_hash[1:6]) as visitor from usage_events where event_type in ('page_view', 'search', 'profile_view') order by created_at desc, event_id desc limit 50",
 )
+#: The walk over a visitor's events: seen moves on by a minute or more only.
+VISITS = """e as (select visitor_hash, epoch_us(created_at) as t, row_number() over (partition by visitor_hash order by created_at, event_id) as rn from usage_events),
+    walk as (select visitor_hash, rn, t as seen from e where rn = 1 union all select e.visitor_hash, e.rn, case when e.t - w.seen >= 60000000 then e.t else w.seen end from walk w join e on e.visitor_hash = w.visitor_hash and e.rn = w.rn + 1)"""
 _add(
     "S6_visitor_state",
     lambda s, d: U.visitor_state(_events(s, d)).select("visitor_hash", _text_time("first_seen"), _text_time("last_seen"), "user_id", "events"),
-    """select visitor_hash, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') as first_seen, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') as last_seen,
-        last(user_id order by created_at, event_id) as user_id, count(*) as events from usage_events group by 1""",
+    f"""with recursive {VISITS}
+       select visitor_hash, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') as first_seen, any_value(last_seen) as last_seen, last(user_id order by created_at, event_id) as user_id, count(*) as events
+       from usage_events join (select visitor_hash, strftime(make_timestamp(max(seen)), '%Y-%m-%d %H:%M:%S') as last_seen from walk group by 1) using (visitor_hash) group by 1""",
 )
 NEAR = f"near as (select visitor_hash, count(*) as activity_count, last(event_type order by created_at, event_id) as last_activity, last(user_id order by created_at, event_id) as user_id from usage_events where created_at >= {T} - interval 120 minute group by 1)"
 _add("D15_active_session_activity", lambda s, d: U.session_activity(_events(s, d), as_of(), 120), f"with {NEAR} select * from near")
@@ -100,11 +104,12 @@ _add(
 )
 _add(
     "S9_failure_throttle",
-    lambda s, d: U.failure_throttle(_events(s, d), 3, 4, 86400),
+    lambda s, d: U.failure_throttle(_events(s, d), 3, 4, 86400, 2, 86400),
     """with f as (select * from usage_events where event_type = 'server_error'),
         u as (select event_id, count(*) over (partition by user_id order by epoch_us(created_at) range between 86400000000 preceding and current row) as n from f where user_id is not null),
         v as (select event_id, count(*) over (partition by visitor_hash order by epoch_us(created_at) range between 86400000000 preceding and current row) as n from f)
-       select event_id from u where n >= 3 union select event_id from v where n >= 4""",
+       ,g as (select event_id, count(*) over (partition by visitor_hash order by epoch_us(created_at) range between 86400000000 preceding and current row) as n from usage_events where event_type = 'signup')
+       select event_id from u where n >= 3 union select event_id from v where n >= 4 union select event_id from g where n > 2""",
 )
 _add("S10_retention", lambda s, d: U.retention(_events(s, d), as_of(), 10).select("event_id", "event_type"), f"select event_id, event_type from usage_events where created_at >= {T} - interval 10 day")
 _add(

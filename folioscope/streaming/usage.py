@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from folioscope.operators.graph import shared_dir
 
@@ -20,9 +21,15 @@ def read_events(spark: SparkSession, sf_dir: str, schema, files_per_batch: int =
 
 
 def usage_trend(events: DataFrame, step: str = "1 hour") -> DataFrame:
-    """Tumbling windows: page views, searches and distinct users (by a sketch of five per cent error: exact sets would keep every user as state)."""
-    w = events.withWatermark("created_at", LATE).groupBy(F.window("created_at", step))
-    return w.agg(F.count_if(F.col("event_type") == "page_view").alias("page_views"), F.count_if(F.col("event_type") == "search").alias("searches"), F.approx_count_distinct("user_id").alias("users")).select(F.col("window.start").alias("bucket"), "page_views", "searches", "users")
+    """Tumbling windows that the watermark has closed: page views, searches and the exact number of users.
+
+    The events of one user and window become one row first (the state of the open windows), and closed windows are summed from these in a second
+    aggregation of the same stream.
+    """
+    n = lambda kind: F.count_if(F.col("event_type") == kind)
+    per_user = events.withWatermark("created_at", LATE).groupBy(F.window("created_at", step), "user_id").agg(n("page_view").alias("page_views"), n("search").alias("searches"))
+    w = per_user.groupBy(F.window("window", step)).agg(F.sum("page_views").alias("page_views"), F.sum("searches").alias("searches"), F.count("user_id").alias("users"))
+    return w.select(F.col("window.start").alias("bucket"), "page_views", "searches", "users")
 
 
 def sessions(events: DataFrame, gap: str = "5 minutes") -> DataFrame:
@@ -42,9 +49,13 @@ def history(events: DataFrame) -> DataFrame:
     return events.filter("event_type = 'page_view' and user_id is not null").groupBy("user_id", "scholar_id").agg(F.count("*").alias("view_count"), F.max("created_at").alias("last_viewed_at"))
 
 
-def to_table(stream: DataFrame, spark: SparkSession, mode: str = "complete") -> DataFrame:
-    """Runs the stream over all there is; complete results replace the table, appended ones add to it. State and table lie in the shared folder."""
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+def to_table(stream: DataFrame, spark: SparkSession, mode: str = "complete", path: str | None = None) -> DataFrame:
+    """Runs the stream over all there is; complete results replace the table, others add to it, with the number of their batch.
+
+    State and table lie in the shared folder. With the ``path`` of an earlier run the stream goes on where that one stopped; a batch that is
+    run again replaces its own rows.
+    """
+    path = path or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
 
     def write(batch: DataFrame, number: int) -> None:
@@ -52,5 +63,11 @@ def to_table(stream: DataFrame, spark: SparkSession, mode: str = "complete") ->
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.read.schema(schema).parquet(f"{path}/rows")
-    return rows.select(schema.fieldNames())
+    rows = spark.read.schema(schema if mode == "complete" else StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{path}/rows")
+    return rows.select(stream.columns) if mode != "update" else rows
+
+
+def latest_batch(rows: DataFrame, key: str) -> DataFrame:
+    """Of each key the rows of the last batch that has any."""
+    last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.hint("merge").join(last, [key, "batch"]).drop("batch")
