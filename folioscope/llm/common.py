@@ -32,6 +32,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes scratch tables that no later job reads."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Without the columns whose names (in any case) an operator is about to add."""
     own = {n.lower() for n in names}
