@@ -4,12 +4,15 @@ Vectors are dealt to blocks; every block of queries meets every block of vectors
 tile multiplies int8-quantised rows. With q = a*Q + e and v = b*V + f, the true product differs from a*b*(Q.V) by at most
 |e||v| + |a*Q||f|, so a pair whose upper bound stays below the k-th greatest lower bound of its tile, or the k-th score so far, can't be
 among the k nearest and is left out; the survivors are recomputed in double precision from the original
-vectors, and each query's best of all tasks are merged by a heap. Nothing is lost: the result is exact.
+vectors, and each query's best of all tasks are merged by a heap. Pairs whose norms are too large for a bound are all recomputed. Nothing is lost:
+the result is exact. A product may overflow to an infinity, or be no number where infinities of both signs meet; scores are ordered as SQL orders doubles, no
+number above all.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +46,8 @@ def _blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
 
 #: So many products of numbers up to 127 add up exactly in float32.
 EXACT = 1024
+#: Pairs with a greater product of norms have no bound.
+HUGE = 1e300
 #: Found rows that one merging group holds, about.
 MERGED_ROWS = 200_000
 
@@ -57,8 +62,14 @@ def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     scale[scale == 0] = 1.0
     near = np.rint(x / scale[:, None]).astype(np.int8)
     scaled = near * scale[:, None]
-    up = 1.0 + 1e-12
-    return near.astype(np.float32), scale, np.linalg.norm(scaled, axis=1) * up, np.linalg.norm(x - scaled, axis=1) * up, np.linalg.norm(x, axis=1) * up
+    return near.astype(np.float32), scale, _norm(scaled), _norm(x - scaled), _norm(x)
+
+
+def _norm(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows, rounded up; rows are scaled, so that no square overflows or vanishes."""
+    most = np.abs(x).max(axis=1)
+    by = np.where(most > 0, most, 1.0)
+    return np.linalg.norm(x / by[:, None], axis=1) * by * (1.0 + 1e-12)
 
 
 def _exact_product(q8: np.ndarray, v8: np.ndarray) -> np.ndarray:
@@ -72,14 +83,15 @@ def _exact_product(q8: np.ndarray, v8: np.ndarray) -> np.ndarray:
 def _product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Row-wise inner products, summed from the first component to the last."""
     out = np.zeros(len(q))
-    for d in range(q.shape[1]):
-        out += q[:, d] * v[:, d]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for d in range(q.shape[1]):
+            out += q[:, d] * v[:, d]
     return out
 
 
 def _top(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of each query: greatest score first, ties to the smaller id."""
-    order = np.lexsort((ids, -scores, query))
+    order = np.lexsort((ids, -np.where(np.isnan(scores), np.inf, scores), ~np.isnan(scores), query))
     query, ids, scores = query[order], ids[order], scores[order]
     kept = np.arange(len(query)) - np.searchsorted(query, query) < k
     return query[kept], ids[kept], scores[kept]
@@ -90,20 +102,24 @@ def _tile(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray,
     floor = np.full(len(q), -np.inf)
     if len(best[0]):
         rows, counts = np.unique(best[0], return_counts=True)
-        least = np.minimum.reduceat(best[2], np.searchsorted(best[0], rows))
+        least = np.minimum.reduceat(np.where(np.isnan(best[2]), np.inf, best[2]), np.searchsorted(best[0], rows))
         floor[rows[counts >= k]] = least[counts >= k]
     v8, b, v_scaled, v_rest, v_norm = _quantised(v)
     found = [best]
     for at in range(0, len(q), strip):
         own, x = query_ids[at : at + strip], q[at : at + strip]
-        q8, a, q_scaled, q_rest, _ = _quantised(x)
-        product = _exact_product(q8, v8) * a[:, None] * b[None, :]
-        bound = q_rest[:, None] * v_norm[None, :] + q_scaled[:, None] * v_rest[None, :] + 1e-9 * (q_scaled[:, None] * v_norm[None, :])
-        product[own[:, None] == ids[None, :]] = -np.inf
-        lower, least = product - bound, floor[at : at + strip]
+        q8, a, q_scaled, q_rest, q_norm = _quantised(x)
+        with np.errstate(over="ignore", invalid="ignore"):
+            product = _exact_product(q8, v8) * a[:, None] * b[None, :]
+            bound = q_rest[:, None] * v_norm[None, :] + q_scaled[:, None] * v_rest[None, :] + 1e-9 * (q_scaled[:, None] * v_norm[None, :])
+            # no product or partial sum of such a pair is anywhere near an overflow
+            bounded = (q_norm[:, None] * v_norm[None, :] < HUGE) & np.isfinite(product) & np.isfinite(bound)
+            other = own[:, None] != ids[None, :]
+            lower, least = np.where(bounded & other, product - bound, -np.inf), floor[at : at + strip]
         if lower.shape[1] > k:
             least = np.maximum(least, np.partition(lower, lower.shape[1] - k, axis=1)[:, -k])
-        i, j = np.nonzero((product + bound >= least[:, None]) & np.isfinite(product))
+        with np.errstate(over="ignore", invalid="ignore"):
+            i, j = np.nonzero(other & (~bounded | (product + bound >= least[:, None])))
         found.append((at + i, ids[j], _product(x[i], v[j])))
     return _top(*(np.concatenate(c) for c in zip(*found)), k)
 
@@ -150,10 +166,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         for query_id, g in group.groupby("query_id", sort=True):
-            best = heapq.nsmallest(k, zip(-g["score"], g["vec_id"]))
-            out += [(query_id, n, vec_id, -less) for n, (less, vec_id) in enumerate(best, 1)]
+            numbers = g["score"].notna()
+            best = heapq.nsmallest(k, zip(numbers, -g["score"].where(numbers, 0.0), g["vec_id"]))
+            out += [(query_id, n, vec_id, -less if number else math.nan) for n, (number, less, vec_id) in enumerate(best, 1)]
         return pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
 
     parts = max(1, -(-count[1] * min(slices * k, count[0]) // MERGED_ROWS))
     groups = found.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    return groups.groupBy("part").applyInPandas(merge, FOUND)
+    merged = groups.groupBy("part").applyInPandas(merge, FOUND)
+    return merged.withColumn("score", F.coalesce("score", F.lit(math.nan)))  # pandas hands "no number" on as null

@@ -94,6 +94,20 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("block_rows", [2, 1024])
+def test_nearest_neighbours_with_products_beyond_doubles(spark, block_rows):
+    big = [[1e200, 0.0], [1e200, 1.0], [1.0, 1.0], [-1e200, 1e200], [1e200, 1e200], [1e308, 1e308], [-1e308, 1e308], [1e-200, 1e-200], [1e-308, 0.0], [3.0, -2.0], [0.0, 1e-160], [5e-324, 1.0]]
+    vectors = [(k, v) for k, v in enumerate(big * 2)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for x in neighbours.nearest(df, F.col("vec_id") >= 0, k=6, block_rows=block_rows).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, str(x.score)))
+    for q, v in vectors:
+        every = [(0.0 + v[0] * w[0] + v[1] * w[1], i) for i, w in vectors if i != q]
+        every.sort(key=lambda e: (not math.isnan(e[0]), 0.0 if math.isnan(e[0]) else -e[0], e[1]))
+        assert got[q] == [(i, str(s)) for s, i in every[:6]], q
+
+
 def test_nearest_neighbours(spark):
     r = np.random.default_rng(1)
     vectors = [(k, [float(x) for x in r.normal(size=6)]) for k in range(120)]
@@ -173,6 +187,33 @@ def test_html_keeps_the_whole_article(inner, around):
     assert " ".join(html_text.main_text(page).split()) == want
 
 
+@pytest.mark.parametrize("name", ["search-methods", "copyright-law", "social-history", "related-work", "cookie_recipes", "informed-consent", "menu-planning"])
+def test_html_names_that_only_may_mark_boilerplate(name):
+    inside = f"<article><h1>Title</h1><p>{PROSE}</p><div class='{name}'><h2>Part</h2><p>{PROSE}</p></div></article>"
+    assert html_text.main_text(inside) == " ".join(["Title", PROSE.strip(), "Part", PROSE.strip()])
+    for marked in ("search-box", "social share-buttons", "cookie-notice", "related-posts", "comments-area", "sponsored"):
+        assert html_text.main_text(inside.replace(name, marked)) == f"Title {PROSE}".strip()
+
+
+def test_html_text_beside_a_teaser():
+    page = f"<article><p>{PROSE}</p></article><div><p>{PROSE} one</p><p>{PROSE} two</p></div><footer>{PROSE}</footer>"
+    assert html_text.main_text(page) == " ".join(f"{PROSE} {PROSE} one {PROSE} two".split())
+
+
+@pytest.mark.parametrize("piece", ["<div></p></section>", "<button>", "<div></span></ul>", "<svg><div>", "<select></article>", "<div><section></main>"])
+def test_html_of_broken_pages_takes_time_in_proportion(piece):
+    import time
+
+    page = f"<p>{PROSE}</p>" + piece * (2_000_000 // len(piece))
+    began = time.process_time()
+    text = html_text.main_text(page)
+    assert time.process_time() - began < 12 and text.startswith(PROSE.strip())
+    closed = page + "</button></svg></select>"
+    began = time.process_time()
+    html_text.main_text(closed)
+    assert time.process_time() - began < 12
+
+
 def test_html_neighbours_decide_on_short_blocks():
     long, low = " ".join(PROSE.split()), "zq vx " * 30
     page = f"<div><h2>Title</h2><p>{long}</p><p>short</p><p>{long}</p></div><div><p>{low}</p><p>alone</p><p>{low}</p></div>"
