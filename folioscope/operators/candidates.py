@@ -29,20 +29,44 @@ def fingerprints(works: DataFrame, authorships: DataFrame, work_topics: DataFram
     return facts.filter("value is not null").groupBy("scholar_id", "kind", "value").agg(F.count_distinct("work_id").alias("works"))
 
 
-def primary_cluster(components: DataFrame, evidence: DataFrame, anchors: DataFrame, least: int = 20) -> DataFrame:
+def fingerprint_affiliations(works: DataFrame, authorships: DataFrame, bylines: DataFrame, k: int = 100) -> DataFrame:
+    """(scholar_id, place, institution_id, name, years, work_count): where the k most cited works of each scholar were written, latest first.
+
+    bylines: (scholar_id, work_id, institution_id, name); one row per institution id (or name, where it has no id), years newest first; those without a name are left
+    out. Order: latest year, number of works, name, all descending.
+    """
+    own = authorships.select("scholar_id", "work_id").distinct().join(works.select("work_id", "doi", "publication_year", "cited_by_count"), "work_id")
+    order = Window.partitionBy("scholar_id").orderBy(F.desc("cited_by_count"), "work_id")
+    top = own.withColumn("sample", F.row_number().over(order)).filter(F.col("sample") <= k)
+    rows = top.join(bylines.hint("merge"), ["scholar_id", "work_id"]).withColumn("name", F.trim(F.coalesce("name", F.lit("")))).filter("name <> ''")
+    key = F.lower(F.trim(F.coalesce(F.col("institution_id").cast("string"), F.col("name"))))
+    found = rows.groupBy("scholar_id", key.alias("key")).agg(
+        F.min_by("institution_id", "sample").alias("institution_id"), F.min_by("name", "sample").alias("name"), T.clean_years(F.collect_set("publication_year")).alias("years"),
+        F.count_distinct(F.coalesce("doi", F.col("work_id").cast("string"))).alias("work_count"),
+    )
+    latest = Window.partitionBy("scholar_id").orderBy(F.desc(F.coalesce(F.array_max("years"), F.lit(0))), F.desc("work_count"), F.desc(F.lower("name")))
+    return found.select("scholar_id", F.row_number().over(latest).alias("place"), "institution_id", "name", "years", "work_count")
+
+
+def primary_cluster(components: DataFrame, evidence: DataFrame, anchors: DataFrame, targets: DataFrame | None = None, least: int = 20) -> DataFrame:
     """(scholar_id, work_id, component, kept, method): which works of each scholar belong to the person.
 
     components: (scholar_id, work_id, component); evidence: (scholar_id, work_id, year, coauthors, at_target); anchors: (scholar_id, work_id), works of the person's
-    own list. Components with an anchor are kept; without any, the one with most works at the target, co-authors, works of the last five years and works; but
-    fewer than ``least`` works without a component of three or a target are kept whole.
+    own list; targets: (scholar_id), those whose institutions are known, whether a work is at one or not. Components with an anchor are kept; without any, the one
+    with most works at the target, co-authors, works of the last five years and works; but fewer than ``least`` works without a component of three or known
+    institutions are kept whole.
     """
+    if targets is None:
+        targets = evidence.filter("at_target").select("scholar_id")
+    known = targets.select("scholar_id", F.lit(True).alias("placed")).distinct()
     x = components.join(evidence, ["scholar_id", "work_id"]).join(anchors.select("scholar_id", "work_id", F.lit(True).alias("anchored")), ["scholar_id", "work_id"], "left")
     latest = x.groupBy("scholar_id").agg(F.coalesce(F.max("year"), F.lit(0)).alias("latest"))
     per = x.join(latest, "scholar_id").groupBy("scholar_id", "component").agg(
         F.count_if("at_target").alias("at_target"), F.sum("coauthors").alias("mass"), F.count_if(F.coalesce("year", F.lit(0)) >= F.col("latest") - 5).alias("recent"), F.count("*").alias("size"), F.max(F.coalesce("anchored", F.lit(False))).alias("anchored")
     )
     score = F.struct("at_target", "mass", "recent", "size", -F.col("component"))
-    whole = per.groupBy("scholar_id").agg(F.max_by("component", score).alias("best"), F.max("anchored").alias("any_anchor"), F.sum("size").alias("total"), (F.max("size") >= 3).alias("joined"), (F.sum("at_target") > 0).alias("placed"))
+    whole = per.groupBy("scholar_id").agg(F.max_by("component", score).alias("best"), F.max("anchored").alias("any_anchor"), F.sum("size").alias("total"), (F.max("size") >= 3).alias("joined"))
+    whole = whole.join(known.hint("merge"), "scholar_id", "left").na.fill(False, ["placed"])
     method = F.when(F.col("any_anchor"), "orcid_anchor").when((F.col("total") < least) & ~F.col("joined") & ~F.col("placed"), "insufficient_evidence").otherwise("institution_collaborator_cluster")
     kept = F.when(F.col("any_anchor"), F.col("anchored")).when(F.col("method") == "insufficient_evidence", F.lit(True)).otherwise(F.col("component") == F.col("best"))
     judged = per.select("scholar_id", "component", "anchored").join(whole.withColumn("method", method), "scholar_id").select("scholar_id", "component", kept.alias("kept"), "method")

@@ -132,6 +132,16 @@ _add(
 )
 
 
+_add(
+    "E1_fingerprint_affiliations",
+    lambda s, d: C.fingerprint_affiliations(view(s, d, "works"), view(s, d, "authorships"), view(s, d, "byline_institutions").join(view(s, d, "institutions").select("institution_id", F.col("display_name").alias("name")), "institution_id")).withColumn("years", F.array_join(F.transform("years", lambda y: y.cast("string")), "|")),
+    """with t as (select scholar_id, work_id, doi, publication_year from authorships join works using (work_id) qualify row_number() over (partition by scholar_id order by cited_by_count desc, work_id) <= 100),
+        f as (select scholar_id, institution_id, display_name as name, list_reverse_sort(list(distinct publication_year)) as years, count(distinct coalesce(doi, cast(work_id as varchar))) as work_count
+              from t join byline_institutions using (scholar_id, work_id) join institutions using (institution_id) group by 1, 2, 3)
+       select scholar_id, cast(row_number() over (partition by scholar_id order by years[1] desc, work_count desc, lower(name) desc) as int) as place, institution_id, name, list_aggregate(years, 'string_agg', '|') as years, work_count from f""",
+)
+
+
 def _clusters(s, d):
     a = view(s, d, "authorships")
     team = a.groupBy("work_id").agg((F.count("*") - 1).alias("coauthors"))
@@ -139,14 +149,14 @@ def _clusters(s, d):
     target = F.when(F.col("scholar_id") % 3 == 0, F.col("cited_by_count") % 4 == 0).otherwise(False)
     evidence = x.select("scholar_id", "work_id", F.col("publication_year").alias("year"), "coauthors", target.alias("at_target"))
     components = a.select("scholar_id", "work_id", (F.col("work_id") % 7).alias("component"))
-    return C.primary_cluster(components, evidence, a.filter("scholar_id % 5 = 0 and work_id % 21 = 0").select("scholar_id", "work_id"))
+    return C.primary_cluster(components, evidence, a.filter("scholar_id % 5 = 0 and work_id % 21 = 0").select("scholar_id", "work_id"), view(s, d, "scholars").filter("scholar_id % 3 = 0"))
 
 
 CLUSTERS = """x as (select a.scholar_id, a.work_id, a.work_id % 7 as component, publication_year as year, author_count - 1 as coauthors, a.scholar_id % 3 = 0 and cited_by_count % 4 = 0 as at_target, a.scholar_id % 5 = 0 and a.work_id % 21 = 0 as anchored from authorships a join works using (work_id)),
     per as (select scholar_id, component, count(*) filter (at_target) as t, sum(coauthors) as mass, count(*) filter (year >= latest - 5) as recent, count(*) as size, bool_or(anchored) as anchored
             from x join (select scholar_id, max(year) as latest from x group by 1) using (scholar_id) group by 1, 2),
     pers as (select *, row_number() over (partition by scholar_id order by t desc, mass desc, recent desc, size desc, component) = 1 as best, bool_or(anchored) over (partition by scholar_id) as any_anchor,
-            sum(size) over (partition by scholar_id) < 20 and max(size) over (partition by scholar_id) < 3 and sum(t) over (partition by scholar_id) = 0 as thin from per),
+            sum(size) over (partition by scholar_id) < 20 and max(size) over (partition by scholar_id) < 3 and scholar_id % 3 <> 0 as thin from per),
     clusters as (select x.scholar_id, x.work_id, x.component, case when any_anchor then p.anchored else thin or best end as kept, case when any_anchor then 'orcid_anchor' when thin then 'insufficient_evidence' else 'institution_collaborator_cluster' end as method
             from x join pers p using (scholar_id, component))"""
 _add("E10_primary_work_cluster", _clusters, f"with {CLUSTERS} select * from clusters")
@@ -200,13 +210,13 @@ _add(
 
 def _affiliation_rows(s, d):
     names = view(s, d, "institutions").select("institution_id", "display_name")
-    b = view(s, d, "byline_institutions").filter("(work_id + scholar_id) % 11 = institution_id % 11").join(names, "institution_id")
+    b = view(s, d, "byline_institutions").join(names, "institution_id")
     worked = b.groupBy(F.col("scholar_id").alias("profile_id"), F.col("display_name").alias("name")).agg(F.collect_set("year").alias("years"), F.count_distinct("work_id").cast("int").alias("work_count")).withColumn("is_current", F.lit(False))
     last = view(s, d, "scholars").join(names.withColumnRenamed("display_name", "name"), "institution_id").select(F.col("scholar_id").alias("profile_id"), F.lower("name").alias("name"), F.array().cast("array<int>").alias("years"), F.lit(0).alias("work_count"), F.lit(True).alias("is_current"))
     return worked.unionByName(last)
 
 
-AFFILIATED = """b as (select scholar_id as profile_id, lower(i.display_name) as folded, i.display_name as name, year, work_id from byline_institutions join institutions i using (institution_id) where (work_id + scholar_id) % 11 = institution_id % 11),
+AFFILIATED = """b as (select scholar_id as profile_id, lower(i.display_name) as folded, i.display_name as name, year, work_id from byline_institutions join institutions i using (institution_id)),
     l as (select scholar_id as profile_id, lower(i.display_name) as folded from scholars join institutions i using (institution_id)),
     y as (select profile_id, folded, min(name) as name, list_sort(list(distinct year)) as years, count(distinct work_id) as n from b group by 1, 2),
     r as (select profile_id, folded, coalesce(least(name, case when l.folded is not null then folded end), name, folded) as name, coalesce(years, []) as years, coalesce(n, 0) as n, l.folded is not null as cur from y full join l using (profile_id, folded)),

@@ -263,16 +263,17 @@ _add(
 
 def _merge_input(s, d, k, r, verified):
     w = view(s, d, "works").filter(f"work_id % {k} = {r}")
-    return w.select("work_id", F.concat("title", F.lit(f" {k}")).alias("title"), "publication_year", "venue", F.when(F.col("work_id") % 2 == 0, F.lit(f"abstract {k}")).alias("abstract"), (F.col("cited_by_count") + F.lit(k)).alias("cited_by_count"), (F.col("work_id") % verified == 0).alias("verified"), (F.col("work_id") % 10 / 10).alias("confidence"))
+    return w.select("work_id", F.concat("title", F.lit(f" {k}")).alias("title"), F.date_add("publication_date", k).alias("publication_date"), "publication_year", "venue", F.concat("work_type", F.lit(f" {k}")).alias("work_type"), F.when(F.col("work_id") % 2 == 0, F.lit(f"abstract {k}")).alias("abstract"), (F.col("cited_by_count") + F.lit(k)).alias("cited_by_count"), (F.col("work_id") % verified == 0).alias("verified"), (F.col("work_id") % 10 / 10).alias("confidence"))
 
 
 _add(
     "A11_merge_works",
     lambda s, d: A.merge_works(_merge_input(s, d, 2, 0, 3), _merge_input(s, d, 3, 0, 5)),
-    """with c as (select work_id, title || ' 2' as title, publication_year, venue, case when work_id % 2 = 0 then 'abstract 2' end as abstract, cited_by_count + 2 as n, work_id % 3 = 0 as v, work_id % 10 / 10.0 as conf from works where work_id % 2 = 0),
-        b as (select work_id, title || ' 3' as title, publication_year, venue, case when work_id % 2 = 0 then 'abstract 3' end as abstract, cited_by_count + 3 as n, work_id % 5 = 0 as v, work_id % 10 / 10.0 as conf from works where work_id % 3 = 0)
+    """with c as (select work_id, title || ' 2' as title, publication_date + 2 as publication_date, publication_year, venue, work_type || ' 2' as work_type, case when work_id % 2 = 0 then 'abstract 2' end as abstract, cited_by_count + 2 as n, work_id % 3 = 0 as v, work_id % 10 / 10.0 as conf from works where work_id % 2 = 0),
+        b as (select work_id, title || ' 3' as title, publication_date + 3 as publication_date, publication_year, venue, work_type || ' 3' as work_type, case when work_id % 2 = 0 then 'abstract 3' end as abstract, cited_by_count + 3 as n, work_id % 5 = 0 as v, work_id % 10 / 10.0 as conf from works where work_id % 3 = 0)
        select coalesce(b.work_id, c.work_id) as work_id, case when coalesce(c.v, false) and not coalesce(b.v, false) then coalesce(c.title, b.title) else coalesce(b.title, c.title) end as title,
-        coalesce(b.publication_year, c.publication_year) as publication_year, coalesce(b.venue, c.venue) as venue, coalesce(b.abstract, c.abstract) as abstract, greatest(coalesce(c.n, 0), coalesce(b.n, 0)) as cited_by_count,
+        case when coalesce(c.v, false) and not coalesce(b.v, false) then coalesce(c.publication_date, b.publication_date) else coalesce(b.publication_date, c.publication_date) end as publication_date,
+        case when coalesce(c.v, false) and not coalesce(b.v, false) then coalesce(c.work_type, b.work_type) else coalesce(b.work_type, c.work_type) end as work_type, coalesce(b.publication_year, c.publication_year) as publication_year, coalesce(b.venue, c.venue) as venue, coalesce(b.abstract, c.abstract) as abstract, greatest(coalesce(c.n, 0), coalesce(b.n, 0)) as cited_by_count,
         coalesce(c.v, false) or coalesce(b.v, false) as verified, greatest(c.conf, b.conf)::double as confidence from c full join b on c.work_id = b.work_id""",
 )
 _add(

@@ -117,13 +117,13 @@ def incremental_slice(works: DataFrame, state: DataFrame, overlap_days: int = 30
 
 
 def merge_works(current: DataFrame, batch: DataFrame) -> DataFrame:
-    """Upsert by work_id: title, year and venue keep a verified value unless the batch is verified too; an abstract is never erased; confidence only rises."""
+    """Upsert by work_id: title, date, year, venue and type keep a verified value unless the batch is verified too; an abstract is never erased; confidence only rises."""
     c, b = current.alias("c"), batch.alias("b")
     j = c.join(b, F.col("c.work_id") == F.col("b.work_id"), "full_outer")
     keep = F.coalesce(F.col("c.verified"), F.lit(False)) & ~F.coalesce(F.col("b.verified"), F.lit(False))
     pick = lambda n: F.when(keep, F.coalesce(f"c.{n}", f"b.{n}")).otherwise(F.coalesce(f"b.{n}", f"c.{n}")).alias(n)
     return j.select(
-        F.coalesce("b.work_id", "c.work_id").alias("work_id"), pick("title"), pick("publication_year"), pick("venue"), F.coalesce("b.abstract", "c.abstract").alias("abstract"),
+        F.coalesce("b.work_id", "c.work_id").alias("work_id"), pick("title"), pick("publication_date"), pick("publication_year"), pick("venue"), pick("work_type"), F.coalesce("b.abstract", "c.abstract").alias("abstract"),
         F.greatest(F.coalesce("c.cited_by_count", F.lit(0)), F.coalesce("b.cited_by_count", F.lit(0))).alias("cited_by_count"),
         (F.coalesce("c.verified", F.lit(False)) | F.coalesce("b.verified", F.lit(False))).alias("verified"), F.greatest("c.confidence", "b.confidence").alias("confidence"),
     )
