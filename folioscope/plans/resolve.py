@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from folioscope.operators import resolve as E
 from folioscope.operators import rollups as R
+from folioscope.operators.graph import shared_dir
 from folioscope.sources import records as A
+from folioscope.sources import stored
 from folioscope.streaming import stateful
 from folioscope.streaming import usage as stream
 from folioscope.tables import read
@@ -266,16 +270,69 @@ def _merge_input(s, d, k, r, verified):
     return w.select("work_id", F.concat("title", F.lit(f" {k}")).alias("title"), F.date_add("publication_date", k).alias("publication_date"), "publication_year", "venue", F.concat("work_type", F.lit(f" {k}")).alias("work_type"), F.when(F.col("work_id") % 2 == 0, F.lit(f"abstract {k}")).alias("abstract"), (F.col("cited_by_count") + F.lit(k)).alias("cited_by_count"), (F.col("work_id") % verified == 0).alias("verified"), (F.col("work_id") % 10 / 10).alias("confidence"))
 
 
-_add(
-    "A11_merge_works",
-    lambda s, d: A.merge_works(_merge_input(s, d, 2, 0, 3), _merge_input(s, d, 3, 0, 5)),
-    """with c as (select work_id, title || ' 2' as title, publication_date + 2 as publication_date, publication_year, venue, work_type || ' 2' as work_type, case when work_id % 2 = 0 then 'abstract 2' end as abstract, cited_by_count + 2 as n, work_id % 3 = 0 as v, work_id % 10 / 10.0 as conf from works where work_id % 2 = 0),
+MERGED = """with c as (select work_id, title || ' 2' as title, publication_date + 2 as publication_date, publication_year, venue, work_type || ' 2' as work_type, case when work_id % 2 = 0 then 'abstract 2' end as abstract, cited_by_count + 2 as n, work_id % 3 = 0 as v, work_id % 10 / 10.0 as conf from works where work_id % 2 = 0),
         b as (select work_id, title || ' 3' as title, publication_date + 3 as publication_date, publication_year, venue, work_type || ' 3' as work_type, case when work_id % 2 = 0 then 'abstract 3' end as abstract, cited_by_count + 3 as n, work_id % 5 = 0 as v, work_id % 10 / 10.0 as conf from works where work_id % 3 = 0)
        select coalesce(b.work_id, c.work_id) as work_id, case when coalesce(c.v, false) and not coalesce(b.v, false) then coalesce(c.title, b.title) else coalesce(b.title, c.title) end as title,
         case when coalesce(c.v, false) and not coalesce(b.v, false) then coalesce(c.publication_date, b.publication_date) else coalesce(b.publication_date, c.publication_date) end as publication_date,
         case when coalesce(c.v, false) and not coalesce(b.v, false) then coalesce(c.work_type, b.work_type) else coalesce(b.work_type, c.work_type) end as work_type, coalesce(b.publication_year, c.publication_year) as publication_year, coalesce(b.venue, c.venue) as venue, coalesce(b.abstract, c.abstract) as abstract, greatest(coalesce(c.n, 0), coalesce(b.n, 0)) as cited_by_count,
-        coalesce(c.v, false) or coalesce(b.v, false) as verified, greatest(c.conf, b.conf)::double as confidence from c full join b on c.work_id = b.work_id""",
+        coalesce(c.v, false) or coalesce(b.v, false) as verified, greatest(c.conf, b.conf)::double as confidence from c full join b on c.work_id = b.work_id"""
+_add(
+    "A11_merge_works",
+    lambda s, d: A.merge_works(_merge_input(s, d, 2, 0, 3), _merge_input(s, d, 3, 0, 5)),
+    MERGED,
 )
+
+
+def _place(s, name):
+    return f"{shared_dir(s)}/{name}-{uuid4().hex}"
+
+
+def _merged_in_place(s, d):
+    """The batch comes in two parts, the second one twice."""
+    table = stored.Bucketed(s, _place(s, "works"), ["work_id"]).create(_merge_input(s, d, 2, 0, 3))
+    batch = _merge_input(s, d, 3, 0, 5)
+    for part in ("work_id % 2 = 0", "work_id % 2 = 1", "work_id % 2 = 1"):
+        table.upsert(batch.filter(part), A.merge_works)
+    return table.read()
+
+
+def _replaced_in_place(s, d):
+    a = view(s, d, "authorships").select("scholar_id", "work_id")
+    table = stored.Bucketed(s, _place(s, "scope"), ["scholar_id"]).create(a)
+    table.replace(view(s, d, "scholars").filter("scholar_id % 5 = 0"), a.filter("scholar_id % 5 = 0 and work_id % 2 = 0"))
+    return table.read()
+
+
+def _sliced(s, d):
+    rows = view(s, d, "authorships").select("scholar_id", "work_id").join(view(s, d, "works").select("work_id", "publication_date"), "work_id")
+    table = stored.ByPeriod(s, _place(s, "dated"), "publication_date", "month").create(rows)
+    since = view(s, d, "scholars").select("scholar_id", F.date_sub(F.lit("1999-06-30").cast("date"), 30 + (F.col("scholar_id") % 3).cast("int")).alias("since"))
+    return table.read_since(since, "scholar_id", F.lit("2002-01-01")).select("scholar_id", "work_id")
+
+
+def _retained(s, d):
+    table = stored.ByPeriod(s, _place(s, "events"), "created_at").create(view(s, d, "usage_events"))
+    table.drop_before("2024-01-20 12:00:00")
+    return table.read().select("event_id", "event_type")
+
+
+def _refreshed(s, d):
+    """Co-authors by focus, kept from before works were added, and swapped for the scholars of the added works only."""
+    a = view(s, d, "authorships")
+    added = F.col("work_id") % 100 == 7
+    of = lambda rows: R.symmetrise(R.coauthor_pairs(rows)).groupBy("scholar_id", "other_id").agg(F.count("*").alias("works"))
+    table = stored.Bucketed(s, _place(s, "coauthors"), ["scholar_id"]).create(of(a.filter(~added)))
+    changed = a.filter(added).select("scholar_id").distinct()
+    mine = lambda keys: of(a.join(a.hint("merge").join(keys, "scholar_id", "left_semi").select("work_id").distinct(), "work_id", "left_semi")).hint("merge").join(keys, "scholar_id", "left_semi")
+    stored.refresh(table, changed, mine)
+    return table.read()
+
+
+_add("A11_upsert_works_in_place", _merged_in_place, MERGED)
+_add("A13_replace_scope_in_place", _replaced_in_place, "select scholar_id, work_id from authorships where scholar_id % 5 <> 0 or work_id % 2 = 0")
+_add("A10_pruned_slice", _sliced, "select scholar_id, work_id from authorships join works using (work_id) where publication_date >= date '1999-06-30' - 30 - cast(scholar_id % 3 as int)")
+_add("S10_retention_by_partition", _retained, "select event_id, event_type from usage_events where created_at >= timestamp '2024-01-20 12:00:00'")
+_add("S20_refreshed_results", _refreshed, "select a.scholar_id, b.scholar_id as other_id, count(*) as works from authorships a join authorships b on a.work_id = b.work_id and a.scholar_id <> b.scholar_id group by 1, 2")
 _add(
     "A13_replace_scholar_scope",
     lambda s, d: A.replace_scope(view(s, d, "authorships").select("scholar_id", "work_id"), view(s, d, "authorships").filter("scholar_id % 5 = 0 and work_id % 2 = 0").select("scholar_id", "work_id"), view(s, d, "scholars").filter("scholar_id % 5 = 0")),
