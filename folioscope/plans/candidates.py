@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from folioscope.operators import candidates as C
+from folioscope.operators.graph import shared_dir
 from folioscope.sources import external as X
 
 from .fixtures import oracle, view
@@ -43,6 +46,27 @@ _add(
 )
 
 
+DTD = '<!ENTITY uuml "&#252;" >\n<!ENTITY szlig "&#223;"><!ENTITY reg "&#174;">\n'
+
+
+def _person_files(s, d):
+    """The same documents as files that use entities of a DTD."""
+    at = f"{shared_dir(s)}/persons-{uuid4().hex}"
+    head = '<?xml version="1.0"?><!DOCTYPE dblpperson SYSTEM "dblp.dtd">'
+    named = F.replace("xml", F.lit("On <i>"), F.lit("&uuml;ber <i>"))
+    _persons(s, d).select(F.concat(F.lit(head), named)).write.text(at)
+    s.createDataFrame([(DTD,)], "t string").write.text(f"{at}-dtd")
+    return X.person_record_files(s, at, X.declared_entities(s, f"{at}-dtd"))
+
+
+_add(
+    "A7_person_record_files",
+    lambda s, d: _person_files(s, d).select("key", "doi", "title", "year", "venue", F.array_join("authors", "|").alias("authors")),
+    """select 'k' || work_id as key, coalesce(lower(replace(doi, 'https://doi.org/', '')), '') as doi, 'über ' || coalesce(title, 'none') || '.' as title, case when work_id % 7 <> 0 then publication_year end as year,
+        case when work_id % 2 = 1 then venue else 'Proc ' || venue end as venue, 'Ada Byron' as authors from authorships join works using (work_id)""",
+)
+
+
 def _orcid_json(s, d):
     value = lambda c: F.struct(c.alias("value"))
     ids = F.array(F.struct(F.lit("issn").alias("external-id-type"), F.lit("1").alias("external-id-value")), F.struct(F.lit("DOI").alias("external-id-type"), F.col("doi").alias("external-id-value")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
@@ -32,6 +32,39 @@ def person_records_xml(raw: DataFrame, column: str = "xml") -> DataFrame:
     )
 
 
+def declared_entities(spark: SparkSession, path: str) -> dict[str, str]:
+    """The character entities that a DTD declares (some hundred lines): name to text, in which character references may stand."""
+    lines = spark.read.text(path).select(F.explode(F.regexp_extract_all("value", F.lit(r"<!ENTITY\s+\w+\s+[\"'][^\"']*[\"']\s*>"), 0)).alias("e"))
+    return {r.n: r.v for r in lines.select(F.regexp_extract("e", r"ENTITY\s+(\w+)", 1).alias("n"), F.regexp_extract("e", r"[\"']([^\"']*)[\"']", 1).alias("v")).collect()}
+
+
+def with_entities(text: Column, entities: dict[str, str]) -> Column:
+    """Named references of the table replaced; the five of XML, and unknown ones as text, stay."""
+    if not entities:
+        return text
+    table = F.create_map(*[F.lit(x) for pair in entities.items() for x in pair])
+    known = "|".join(("amp", "lt", "gt", "quot", "apos"))
+
+    def told(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^(\w+);", 1)
+        value = F.try_element_at(table, name)
+        kept = F.rlike(part, F.lit(rf"^(?:{known}|#\d+|#x[0-9A-Fa-f]+);"))
+        return F.when(kept, F.concat(F.lit("&"), part)).when(value.isNotNull(), F.concat(value, F.substr(part, F.length(name) + 2))).otherwise(F.concat(F.lit("&amp;"), part))
+
+    parts = F.split(text, "&", -1)
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), told), ""))
+
+
+def person_record_files(spark: SparkSession, path: str, entities: dict[str, str] | None = None) -> DataFrame:
+    """The publications in bibliography files of any size: a file is read in splits, record by record, so that no document is one row.
+
+    entities: the table of the files' DTD (``declared_entities``). Columns as in ``person_records_xml``; text outside of records is passed over.
+    """
+    record = F.regexp_extract("value", r"(?s)(<r>(?:(?!<r>).)*)$", 1)
+    rows = spark.read.option("lineSep", "</r>").text(path).select(with_entities(record, entities or {}).alias("r")).filter("r <> ''")
+    return person_records_xml(rows.select(F.concat("r", F.lit("</r>")).alias("xml")))
+
+
 def orcid_works(raw: DataFrame) -> DataFrame:
     """(orcid, doi, title, year): the first summary of every group, each (doi, title, year) once per person. raw: (orcid, json)."""
     summary = (
