@@ -58,7 +58,7 @@ def style_profile(works: DataFrame, authorships: DataFrame, work_topics: DataFra
     # of equally frequent categories the first in this order dominates
     names = ["method", "system", "data", "application"]
     counts = categories.groupBy("scholar_id").agg(*[F.coalesce(F.sum(F.when(F.col("value") == v, F.col("n"))), F.lit(0)).alias(v) for v in names])
-    x = base.join(lasting, "scholar_id", "left").join(repeated, "scholar_id", "left").join(counts, "scholar_id", "left").join(continuity.select("scholar_id", "continuity"), "scholar_id", "left").na.fill(0, ["sustained", "repeated", *names])
+    x = base.join(lasting, "scholar_id", "left").join(repeated, "scholar_id", "left").join(counts.hint("merge"), "scholar_id", "left").join(continuity.select("scholar_id", "continuity"), "scholar_id", "left").na.fill(0, ["sustained", "repeated", *names])
     c = F.col
     applied, method = c("system") + c("application"), c("method") + c("data")
     orientation = F.when((applied >= method * 1.35) & (applied >= 2), "applied").when((method >= applied * 1.35) & (method >= 2), "method").otherwise("mixed")

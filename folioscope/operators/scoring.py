@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import overlaps as O
-from .rollups import coauthor_pairs, field_topics, scholar_topics, symmetrise, top
+from .graph import kept
+from .rollups import coauthor_pairs, field_topics, symmetrise, top
 
 PAIR_FEATURES = (
     "focus_id long, candidate_id long, topic_overlap double, recent_overlap double, temporal double, direct_count long, shared_collaborators long, method_similarity double, "
@@ -151,17 +152,22 @@ def data_confidence(works: DataFrame, authorships: DataFrame, work_topics: DataF
 
 def continuity_index(works: DataFrame, authorships: DataFrame, work_topics: DataFrame) -> DataFrame:
     """Sustained share 0.45, longest span of 8 years 0.25, repeated topics 0.20, early against recent topics 0.10."""
-    t = scholar_topics(works, authorships, work_topics).select("scholar_id", "topic", "works_count", "first_year", "last_year", F.size("years").alias("n_years"))
-    sustained = t.filter("works_count >= 3 and n_years >= 3")
     own = authorships.select("scholar_id", "work_id").distinct()
-    lasting = own.join(work_topics.select("work_id", "topic"), "work_id").join(sustained.select("scholar_id", "topic"), ["scholar_id", "topic"], "left_semi").groupBy("scholar_id").agg(F.count_distinct("work_id").alias("lasting"))
-    span = sustained.groupBy("scholar_id").agg(F.max(F.col("last_year") - F.col("first_year") + 1).alias("longest"), F.count("*").alias("sustained_topics"))
-    repeat = t.groupBy("scholar_id").agg((F.sum(F.when(F.col("works_count") >= 2, F.col("works_count")).otherwise(0)) / F.sum("works_count")).alias("repeat"))
-    p = topic_profiles(works, authorships, work_topics).withColumn("n_early", F.col("n") - F.col("n_recent"))
-    stable = p.groupBy("scholar_id").agg((F.sum(F.least("n_early", "n_recent")) / F.sum(F.greatest("n_early", "n_recent"))).alias("stability"))
-    x = own.groupBy("scholar_id").agg(F.count("*").alias("works"))
-    for part in (lasting, span, repeat, stable):
-        x = x.join(part, "scholar_id", "left")
+    newest = works.agg(F.max("publication_year").alias("as_of"))  # one number
+    year = F.coalesce("publication_year", F.lit(0))
+    # every work with its topics once: all parts are sums over it or over its roll-up by topic
+    base = own.join(works.select("work_id", "publication_year"), "work_id").join(work_topics.select("work_id", "topic").distinct(), "work_id")
+    base = kept(base.crossJoin(F.broadcast(newest)).select("scholar_id", "work_id", "topic", "publication_year", (year >= F.col("as_of") - 3).alias("recent")))
+    t = base.groupBy("scholar_id", "topic").agg(
+        F.count("*").alias("n"), F.count_if("recent").alias("n_recent"), F.count_distinct("publication_year").alias("n_years"), (F.max("publication_year") - F.min("publication_year") + 1).alias("span")
+    )
+    t = kept(t.withColumn("sustained", (F.col("n") >= 3) & (F.col("n_years") >= 3)).withColumn("n_early", F.col("n") - F.col("n_recent")))
+    lasting = base.join(t.filter("sustained").select("scholar_id", "topic").hint("merge"), ["scholar_id", "topic"], "left_semi").groupBy("scholar_id").agg(F.count_distinct("work_id").alias("lasting"))
+    parts = t.groupBy("scholar_id").agg(
+        F.max(F.when(F.col("sustained"), F.col("span"))).alias("longest"), F.count_if("sustained").alias("sustained_topics"),
+        (F.sum(F.when(F.col("n") >= 2, F.col("n")).otherwise(0)) / F.sum("n")).alias("repeat"), (F.sum(F.least("n_early", "n_recent")) / F.sum(F.greatest("n_early", "n_recent"))).alias("stability"),
+    )
+    x = own.groupBy("scholar_id").agg(F.count("*").alias("works")).join(parts.hint("merge"), "scholar_id", "left").join(lasting.hint("merge"), "scholar_id", "left")
     x = x.na.fill(0, ["lasting", "longest", "sustained_topics"]).na.fill(0.0, ["repeat", "stability"])
     index = 100 * (F.col("lasting") / F.col("works") * 0.45 + F.least(F.lit(1.0), F.col("longest") / 8) * 0.25 + F.col("repeat") * 0.20 + F.col("stability") * 0.10)
     return x.select(

@@ -100,7 +100,7 @@ def validate_labels(labels: DataFrame, candidates: DataFrame, titles: DataFrame,
     met = asked.select("scholar_id", "name", "label_words", F.explode("label_words").alias("w")).hint("merge").join(t.select("scholar_id", "title_words", F.explode("title_words").alias("w")), ["scholar_id", "w"])
     shared = met.groupBy("scholar_id", "name", "label_words", "title_words").agg(F.count("*").alias("n"))
     alike = shared.filter(F.col("n") / F.least(F.size("label_words"), F.size("title_words")) >= 0.75).select("scholar_id", "name", F.lit(True).alias("titled")).distinct()
-    x = named.join(pool, "scholar_id", "left").join(alike.hint("merge"), ["scholar_id", "name"], "left")
+    x = named.hint("merge").join(pool, "scholar_id", "left").join(alike.hint("merge"), ["scholar_id", "name"], "left")
     sources, known = F.coalesce("sources", F.array().cast("array<string>")), F.coalesce("known", F.array().cast("array<string>"))
     per_label = F.array_compact(
         F.array(
@@ -120,12 +120,12 @@ def validate_trends(reports: DataFrame, claims: DataFrame, topics: DataFrame, ev
     reports: (scholar_id, summary_zh, summary_en); claims: (scholar_id, topic, class, works, text_zh, text_en), class emerging, rising, steady, falling or insight;
     topics: (scholar_id, topic); evidence: (scholar_id, topic, work_id).
     """
-    x = claims.join(topics.select("scholar_id", "topic", F.lit(True).alias("known")).distinct(), ["scholar_id", "topic"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    x = claims.join(topics.select("scholar_id", "topic", F.lit(True).alias("known")).distinct().hint("merge"), ["scholar_id", "topic"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
     listed = x.filter("class <> 'insight'")
     lists = listed.groupBy("scholar_id").agg((F.count("*") > F.count_distinct("topic")).alias("twice"), F.max(~F.col("known")).alias("unknown"))
     own = evidence.groupBy("scholar_id", "topic").agg(F.collect_set("work_id").alias("related"))
     whole = evidence.groupBy("scholar_id").agg(F.collect_set("work_id").alias("valid"))
-    i = x.filter("class = 'insight'").join(own, ["scholar_id", "topic"], "left").join(whole, "scholar_id", "left")
+    i = x.filter("class = 'insight'").join(own.hint("merge"), ["scholar_id", "topic"], "left").join(whole.hint("merge"), "scholar_id", "left")
     none = F.array().cast("array<long>")
     cited, valid, related = (F.coalesce(c, none) for c in ("works", "valid", "related"))
     short = lambda c, n: F.length(F.trim(F.coalesce(c, F.lit("")))) < n
@@ -134,7 +134,7 @@ def validate_trends(reports: DataFrame, claims: DataFrame, topics: DataFrame, ev
         F.count("*").alias("insights"), F.max(~F.col("known")).alias("stray"), F.max((F.size(cited) == 0) | (F.size(F.array_except(cited, valid)) > 0)).alias("no_evidence"), F.max(F.size(F.array_except(cited, related)) > 0).alias("unrelated"),
         F.max(short("text_zh", 12) | short("text_en", 20)).alias("short"), F.max(bare("text_zh") | bare("text_en")).alias("bare"),
     )
-    r = reports.join(lists, "scholar_id", "left").join(insights, "scholar_id", "left")
+    r = reports.join(lists.hint("merge"), "scholar_id", "left").join(insights.hint("merge"), "scholar_id", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     issues = F.array(
         F.when(yes(F.col("unknown")) | yes(F.col("stray")), "unknown_trajectory_topic"), F.when(yes(F.col("twice")), "duplicate_trajectory_classification"), F.when(short("summary_zh", 20) | short("summary_en", 30), "trajectory_summary_too_short"),
@@ -147,7 +147,7 @@ def validate_trends(reports: DataFrame, claims: DataFrame, topics: DataFrame, ev
 def validate_markers(reports: DataFrame, evidence: DataFrame) -> DataFrame:
     """(scholar_id, issues): the [n] in a report's texts must be declared, and what is declared must exist. reports: (scholar_id, summary_zh, summary_en, declared)."""
     known = evidence.groupBy("scholar_id").agg(F.collect_set(F.col("evidence_id").cast("string")).alias("valid"))
-    x = reports.join(known, "scholar_id", "left")
+    x = reports.join(known.hint("merge"), "scholar_id", "left")
     none = F.array().cast("array<string>")
     cited = F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "summary_zh", "summary_en"), F.lit(r"\[(\d+)\]"), 1))
     declared, valid = F.coalesce("declared", none), F.coalesce("valid", none)
