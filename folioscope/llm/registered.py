@@ -128,7 +128,63 @@ def _sql_crc32(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::bigint, {bits}), lambda a, b: {step}), 4294967295::bigint)"
 
 
+def _sql_prepend(rest: str, cost: str, letters: str, lines: str) -> str:
+    """A repair (six digits of cost, its audit, chr(1), its lines) that begins with these edits."""
+    return (
+        f"(lpad(cast(cast({rest}[1:6] as int) + {cost} as varchar), 6, '0') || {letters} || substr({rest}, 7, strpos({rest}, chr(1)) - 7) || chr(1) || {lines} || substr({rest}, strpos({rest}, chr(1)) + 1))"
+    )
+
+
+def _sql_repairs() -> str:
+    """The cheapest repair of a row and all behind it, from each state of the grammar (begun, after a system, user, assistant turn): from the last row to the first.
+
+    Of equal costs the least audit comes first, as strings compare.
+    """
+    onward = {"z": "u", "s": "u", "u": "a", "a": "u"}
+    told = {"u": "'user:'", "a": "'assistant:'"}
+    moves = []
+    for q, to in onward.items():
+        keeps = [f"when initial = '{to}' then {_sql_prepend(f'n{to}', 'extra', chr(39) + 'K' + chr(39), 'line')}"]
+        if q == "z":
+            keeps.append(f"when initial = 's' then {_sql_prepend('ns', 'extra', chr(39) + 'K' + chr(39), 'line')}")
+        rerole = _sql_prepend(f"n{to}", "(3 + extra)", "'R'", f"{told[to]} || text || chr(10)")
+        moves.append(f"least({_sql_prepend(f'n{q}', '4', chr(39) + 'D' + chr(39), chr(39) * 2)}, case when stays then {rerole} else '9' end, case when not stays then '9' {' '.join(keeps)} else '9' end) as m{q}")
+    inserts = []
+    for q, to in onward.items():
+        after = onward[to]
+        one = _sql_prepend(f"m{to}", "3", "'I'", f"{told[to]} || chr(10)")
+        two = _sql_prepend(f"m{after}", "6", "'II'", f"{told[to]} || chr(10) || {told[after]} || chr(10)")
+        inserts.append(f"least(m{q}, {one}, {two}) as n{q}")
+    return f"""repairs as (
+            select conv_id, last as i, '000000' || chr(1) as nz, '000006II' || chr(1) || 'user:' || chr(10) || 'assistant:' || chr(10) as ns, '000003I' || chr(1) || 'assistant:' || chr(10) as nu, '000000' || chr(1) as na
+            from (select conv_id, max(i) as last from judged group by 1)
+            union all
+            select conv_id, i, {', '.join(inserts)} from (
+                select j.conv_id, j.i - 1 as i, {', '.join(moves)}
+                from repairs p join (select *, role || ':' || text || chr(10) as line, role[1:1] as initial, fault not in ('B', 'D') as stays, case when fault = 'T' then 3 else 0 end as extra from judged) j on j.conv_id = p.conv_id and j.i = p.i))"""
+
+
 ORACLE: dict[str, str] = {
+    "op13_structure_repair": f"""
+        with recursive drawn as (
+            select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                   {_sql_crc32("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as x from conversations),
+        damaged as (
+            select conv_id, turn, case when x = 4 then 'user' else role end as role, case when x = 1 then '' when x = 2 then translate(text, '.!?', '') else text end as text
+            from drawn, unnest(range(0, case x when 0 then 0 when 3 then 2 else 1 end))),
+        placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body from damaged),
+        judged as (
+            select conv_id, i, turn, role, text, case when body = '' then 'B' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'D' when right(body, 1) not in ('.', '!', '?') then 'T' else ' ' end as fault,
+                   lag(role[1:1]) over (partition by conv_id order by i) || role[1:1] as neighbours from placed),
+        {_sql_repairs()},
+        counts as (
+            select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'B') as blank, count(*) filter (fault = 'D') as duplicate, count(*) filter (fault = 'T') as truncated,
+                   count(*) filter (neighbours not in ('su', 'ua', 'au')) as illegal from judged group by 1),
+        best as (select conv_id, nz, strpos(nz, chr(1)) as cut from repairs where i = 0)
+        select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cast(nz[1:6] as bigint), 0) as cost,
+               coalesce(substr(nz, 7, cut - 7), '') as audit, sha256(case when length(nz) > cut then substr(nz, cut + 1, length(nz) - cut - 1) else '' end) as repaired_sha256
+        from (select distinct conv_id from conversations) left join counts using (conv_id) left join best using (conv_id)
+    """,
     "op11_prefix_trie": f"""
         with turns as (
             select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as x,
