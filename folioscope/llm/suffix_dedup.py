@@ -33,7 +33,7 @@ from .wordhash import hashed_words
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPANS = "array<struct<start int, end int, first long>>"
 #: Suffixes of a bucket, about, and distinct ones that a task holds before it passes them on.
-BUCKET_SUFFIXES, HELD = 40_000, 60_000
+BUCKET_SUFFIXES, HELD = 20_000, 30_000
 
 
 def retained(words: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -306,10 +306,13 @@ def cut(docs: DataFrame, passages: DataFrame) -> DataFrame:
             part = pa.RecordBatch.from_arrays([batch.column(0), texts], names=["row", "text"])
             yield part.filter(pa.array(keep)) if keep and not all(keep) else part
 
+    modest(docs.sparkSession, 250)
     found = passages.select(F.col("doc_id").alias("at_doc"), F.col("rid").alias("at_row"), "spans")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_doc"), _row_id().alias("own_row"))
+    # whole texts go to Python and back once, beside the other columns
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("own_doc"), _row_id().alias("own_row"))
     joined = rows.hint("merge").join(found, (F.col("own_doc") == F.col("at_doc")) & (F.col("own_row") == F.col("at_row")), "left")
-    joined = joined.select("row", F.col("row.text").cast("string").alias("text"), "spans")
+    joined = joined.select("row", "text", "spans")
     left = joined.mapInArrow(run, joined.select("row", "text").schema)
     return left.select([F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
