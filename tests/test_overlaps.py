@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,66 @@ def test_dimensions_are_null_without_enough_data(spark):
     for e in d[2].evidence:
         per[e.dimension].append(e.code)
     assert per["quality"] == ["representative_signal", "strong_contribution_share", "field_normalized_impact", "internal_diffusion"]
+
+
+def test_a_block_is_sent_once_per_stripe_and_heavy_weights_count(spark):
+    rows = profiles(3, 4, 10, 6)
+    for k, i in enumerate(rows):
+        rows[i]["common"] = 1 + 7 * k  # more distinct weights than are compared by levels
+    parts = {"keys": ["n"]}
+    blocks = blocks_of(spark, rows, 2)
+    n = blocks.count()
+    groups = spark.sparkContext.accumulator(0)
+
+    def kernel(x, y, same):
+        least = O.least_sums(x["keys"], y["keys"], ("n",))[0]
+        i, j = np.nonzero(np.triu(np.ones_like(least), 1) if same else np.ones_like(least))
+        return pd.DataFrame({"a": np.minimum(x["id"][i], y["id"][j]), "b": np.maximum(x["id"][i], y["id"][j]), "least": least[i, j]})
+
+    def counting():
+        groups.add(1)
+        return lambda rows: rows
+
+    tiles = O.bounded_tiles(blocks, parts, "keys", {"": 0.0})
+    got = {(r.a, r.b): r.least for r in O.in_tiles(blocks, tiles, parts, kernel, "a long, b long, least long", counting).collect()}
+    assert got == {(x, y): sum(min(v, rows[y].get(k, 0)) for k, v in rows[x].items()) for x in rows for y in rows if x < y}
+    stripes = 3  # for four partitions
+    assert n == 20 and groups.value <= stripes * (stripes + 1) // 2 < n * (n + 1) // 2
+
+
+@pytest.mark.parametrize("name, recommend", [("peer", S.recommend_peers), ("potential_collaborator", S.recommend_collaborators), ("potential_competitor", S.recommend_competitors)])
+def test_rows_for_a_list_give_the_same_list(name, recommend):
+    """Of many tiles' rows with many ties: the first k by the index are among those that stay."""
+    r = np.random.default_rng(5)
+    best, every = S._Best((name,), 3, most=200), []
+    for tile in range(12):
+        n = 120
+        coarse = lambda low=0: r.integers(low, 10, n) / 9  # noqa: E731, B023
+        rows = pd.DataFrame({
+            "focus_id": r.integers(0, 6, n), "candidate_id": 1000 * tile + np.arange(n), "topic_overlap": coarse(), "recent_overlap": coarse(), "temporal": coarse(), "direct_count": r.integers(0, 3, n), "shared_collaborators": r.integers(0, 4, n),
+            "method_similarity": coarse(), "problem_similarity": coarse(), "complementarity": coarse(), "has_institution": r.random(n) < 0.5, "graph_ready": r.random(n) < 0.8, "points": np.nan,
+        })
+        every.append(rows)
+        assert best(rows) is None
+    stayed, whole = best(None), pd.concat(every, ignore_index=True)
+
+    def first(rows):
+        own = rows[S._eligible(rows, name)]
+        index = np.floor(np.round(S._score(own, name), 9) * 10 + 0.5)
+        ordered = own.assign(index=index).sort_values(["focus_id", "index", "candidate_id"], ascending=[True, False, True])
+        return ordered.groupby("focus_id").head(3)[["focus_id", "candidate_id", "index"]].values.tolist()
+
+    assert first(stayed) == first(whole) and len(stayed) < len(whole) / 10
+
+
+def test_lists_from_the_rows_made_for_them(spark):
+    w, a, t, scholars = corpus(spark)
+    values = lambda v: spark.createDataFrame([(s, v) for s in (1, 2, 3)], "scholar_id long, value string")
+    links = spark.createDataFrame([(1, 9, 1), (2, 9, 2), (1, 2, 1), (2, 1, 1)], "scholar_id long, other_id long, direct_count long")
+    of = lambda **more: S.pair_features(w, a, t, scholars, scholars, values("method"), values("m"), values("p"), links, **more)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(S.recommend_peers(of(best=("peer",)))) == rows(S.recommend_peers(of())) != []
+    points = spark.createDataFrame([(2, 0.5), (3, 0.5), (4, 0.5)], "scholar_id long, points double")
+    assert {(r.focus_id, r.candidate_id) for r in of(best=("reference",), points=points).collect()} == {(1, 2), (3, 2)}
+    everyone = {(r.focus_id, r.candidate_id) for r in of(least_overlap=0.0, least_recent=0.0).collect()}
+    assert everyone == {(x, y) for x in (1, 2, 3, 4) for y in (1, 2, 3, 4) if x != y}  # who shares one topic of many, too; 5 shares none
