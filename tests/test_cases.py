@@ -88,3 +88,17 @@ def test_one_title_in_two_years_is_two_works(spark):
     works = spark.createDataFrame([(1, None, "One", 2000), (2, None, "One", 2001), (3, None, "one", 2000), (4, None, "Two", 2000), (5, None, "Two", None), (6, None, "Two", 2001)], "work_id long, doi string, title string, publication_year int")
     authorships = spark.createDataFrame([(k, 7) for k in range(1, 7)], "work_id long, scholar_id long")
     assert [(w, c) for _, w, c in values(E.work_components(works, authorships))] == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 4), (6, 4)]
+
+
+def test_pairs_of_equal_names_are_counted_not_made(spark, tmp_path):
+    """Of 100,000 scholars of one institution and two names, ten thousand million pairs."""
+    from folioscope.plans import extra
+
+    n = 100_000
+    spark.range(n).selectExpr("case when id = 0 then 1 else id * 20 end as s_suppkey", "'x' as s_name", "1 as s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {(r.form, r.match): r.n for r in extra.QUERIES["B17_person_name_match"](spark, str(tmp_path)).collect()}
+    equal = (n - 1) ** 2 + 1
+    want = {}
+    for form, (*_, fits) in enumerate(extra.NAME_FORMS):
+        want |= {(form, True): equal, (form, False): n * n - equal} if fits else {(form, False): n * n}
+    assert got == want
