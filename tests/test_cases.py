@@ -102,3 +102,13 @@ def test_pairs_of_equal_names_are_counted_not_made(spark, tmp_path):
     for form, (*_, fits) in enumerate(extra.NAME_FORMS):
         want |= {(form, True): equal, (form, False): n * n - equal} if fits else {(form, False): n * n}
     assert got == want
+
+
+def test_works_without_a_topic_name_share_none(spark):
+    from folioscope.operators import scoring as S
+
+    works = spark.createDataFrame([(w, 2000 + w) for w in range(1, 5)], "work_id long, publication_year int")
+    authorships = spark.createDataFrame([(w, 1) for w in range(1, 5)], "work_id long, scholar_id long")
+    topics = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a"), (4, None)], "work_id long, topic string")
+    rows = lambda enough: sorted(map(tuple, S.later_same_topic(works, authorships, topics, enough).collect()))
+    assert rows(3) == rows(None) == [(1, 1, 0), (1, 2, 0), (1, 3, 1), (1, 4, 0)]
