@@ -112,3 +112,22 @@ def test_works_without_a_topic_name_share_none(spark):
     topics = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a"), (4, None)], "work_id long, topic string")
     rows = lambda enough: sorted(map(tuple, S.later_same_topic(works, authorships, topics, enough).collect()))
     assert rows(3) == rows(None) == [(1, 1, 0), (1, 2, 0), (1, 3, 1), (1, 4, 0)]
+
+
+def test_match_containment_against_all_pairs(spark):
+    from folioscope.functions import text as T
+    from folioscope.operators import candidates as C
+
+    a = "one two three four five six"
+    works = [(1, a, 2000), (1, a + " seven", None), (1, "short title", 2001), (1, "Short  Title!", 2002), (1, "", 2000), (1, None, 2000), (2, a, 0), (None, a, 2000), (3, a, 2000), (3, a, 2001)]
+    titles = [a, a.upper() + " seven", "zero " + a + " eight", "zero one two three four five sixth", a + " x" * 16, a + " x" * 17, "x " * 16 + a, "a short title", "short-title", "", None, "six " + a + " " + a]
+    records = [(s, 100 * k + y % 100, t, yy) for k, t in enumerate(titles) for s in (1, 2, 3) for y, yy in ((0, 0), (1, None), (2, 2000), (3, 2001), (4, 2002))] + [(None, 1, a, 2000)]
+    r = spark.createDataFrame(records, "scholar_id long, record_id long, title string, year int")
+    w = spark.createDataFrame(works, "scholar_id long, known string, publication_year int")
+    pairs = r.join(w, "scholar_id").filter(T.title_contains_match(F.col("known"), F.col("title"))).filter("coalesce(year, 0) = 0 or year = coalesce(publication_year, 0)")
+    want = sorted(map(tuple, pairs.select("scholar_id", "record_id").distinct().collect()))
+    found = C.match_containment(r, w.withColumnRenamed("known", "title"))
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 40
+    # no pair of titles is compared after the join, so heads that many titles share make no rows
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 1 and "contains(" not in plan.lower()
