@@ -574,6 +574,29 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, toxicity.fit(empty, known.filter("false"), fold != 0)).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    from folioscope.llm.toxicity import BINS, _calibrated
+
+    r = random.Random(9)
+    vocabulary = [f"word{k}" for k in range(200)]
+    keys = spark.range(1200).select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").collect()
+    rows, labels = [], []
+    for key in keys:  # no document of the start has the word that the others' toxic ones have
+        w = r.choices(vocabulary, k=20)
+        if key.id % 4 == 0:
+            w[r.randrange(20)] = "nasty" if key.h % 6 == 0 else "late"
+        rows.append((key.id, " ".join(w), "en"))
+        labels.append((key.id, int(key.id % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True), start_rows=200, rounds=6)
+    scored = toxicity.score(docs, model).collect()
+    late = [x.score for x in scored if " late " in f" {x.text} "]
+    assert len(late) > 200 and sum(s >= 0.5 for s in late) / len(late) > 0.9
+    counts = np.zeros((2, BINS), np.int64)
+    counts[0, :1000], counts[1, 1000:] = 1, 1
+    assert _calibrated({"en": counts}) == {"": 1000 / BINS, "en": 1000 / BINS}
+
+
 def test_decontamination_without_doc_ids(spark, tmp_path):
     from corpus_pipeline import without_benchmark
 
