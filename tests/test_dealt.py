@@ -78,3 +78,10 @@ def test_field_topics(corpus):
         found = R.field_topics(*tables, k=k)
         assert set(map(tuple, found.collect())) == want
     assert "collect_set(publication_year" not in plan(found)
+
+
+def test_audit_asks_for_as_many_profiles_as_it_reads(spark):
+    from folioscope.plans.candidates import _requests
+
+    asked = _requests(spark, "/root/testdata/sf0.1")[0].groupBy("scholar_id").count()
+    assert asked.count() == 1000 and {r["count"] for r in asked.collect()} == {8}
