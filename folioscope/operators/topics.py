@@ -114,19 +114,24 @@ def validate_labels(labels: DataFrame, candidates: DataFrame, titles: DataFrame,
     return per.select("scholar_id", F.array_sort(F.concat("found", counted)).alias("issues"))
 
 
-def validate_trends(reports: DataFrame, claims: DataFrame, topics: DataFrame, evidence: DataFrame) -> DataFrame:
+def validate_trends(reports: DataFrame, claims: DataFrame, topics: DataFrame | None, evidence: DataFrame) -> DataFrame:
     """(scholar_id, issues) of reports on trends.
 
     reports: (scholar_id, summary_zh, summary_en); claims: (scholar_id, topic, class, works, text_zh, text_en), class emerging, rising, steady, falling or insight;
-    topics: (scholar_id, topic); evidence: (scholar_id, topic, work_id).
+    topics: (scholar_id, topic), those of the evidence where there is no such table; evidence: (scholar_id, topic, work_id).
     """
-    x = claims.join(topics.select("scholar_id", "topic", F.lit(True).alias("known")).distinct().hint("merge"), ["scholar_id", "topic"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    none = F.array().cast("array<long>")
+    # of topics and evidence only what is claimed is read: a scholar's few claimed topics and works go to the scholar's rows, which stay where they lie
+    asked = claims.groupBy("scholar_id").agg(F.collect_set("topic").alias("asked"), F.flatten(F.collect_list(F.coalesce("works", none))).alias("named")).hint("shuffle_hash")
+    if topics is not None:
+        topics = topics.join(asked, "scholar_id").filter(F.array_contains("asked", F.col("topic"))).select("scholar_id", "topic")
+    evidence = evidence.join(asked, "scholar_id").filter(F.array_contains("asked", F.col("topic")) | F.array_contains("named", F.col("work_id"))).select("scholar_id", "topic", "work_id")
+    x = claims.join((evidence if topics is None else topics).select("scholar_id", "topic", F.lit(True).alias("known")).distinct().hint("merge"), ["scholar_id", "topic"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
     listed = x.filter("class <> 'insight'")
     lists = listed.groupBy("scholar_id").agg((F.count("*") > F.count_distinct("topic")).alias("twice"), F.max(~F.col("known")).alias("unknown"))
     own = evidence.groupBy("scholar_id", "topic").agg(F.collect_set("work_id").alias("related"))
     whole = evidence.groupBy("scholar_id").agg(F.collect_set("work_id").alias("valid"))
     i = x.filter("class = 'insight'").join(own.hint("merge"), ["scholar_id", "topic"], "left").join(whole.hint("merge"), "scholar_id", "left")
-    none = F.array().cast("array<long>")
     cited, valid, related = (F.coalesce(c, none) for c in ("works", "valid", "related"))
     short = lambda c, n: F.length(F.trim(F.coalesce(c, F.lit("")))) < n
     bare = lambda c: T.count_only_text(F.col(c))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioscope.operators import rollups as R
 from folioscope.operators import topics as P
+from folioscope.operators.graph import kept
 
 from .fixtures import oracle, view
 
@@ -111,10 +113,10 @@ _add(
 
 def _trends(s, d):
     sc, i = view(s, d, "scholars"), F.col("scholar_id")
-    own = view(s, d, "authorships").select("scholar_id", "work_id").join(view(s, d, "work_topics").select("work_id", "topic"), "work_id")
-    first = own.groupBy("scholar_id").agg(F.min("topic").alias("topic"), F.max("topic").alias("last"))
-    cited = own.join(first.select("scholar_id", "topic"), ["scholar_id", "topic"]).groupBy("scholar_id").agg(F.min("work_id").alias("cited"))
-    x = first.join(cited, "scholar_id")
+    rows = kept(R.labels_of(view(s, d, "authorships"), view(s, d, "work_topics")))
+    # the least topic with its least work, and the greatest topic
+    x = kept(rows.groupBy("scholar_id").agg(F.min(F.struct(F.array_min("topics").alias("topic"), "work_id")).alias("f"), F.max(F.array_max("topics")).alias("last")).select("scholar_id", "f.topic", "last", F.col("f.work_id").alias("cited")))
+    own = R.dealt(rows).select("scholar_id", "work_id", F.explode("topics").alias("topic"))
     text = lambda n: F.lit("x" * n)
     claim = lambda topic, kind, works, en: F.struct(topic.alias("topic"), F.lit(kind).alias("class"), works.alias("works"), text(12).alias("text_zh"), en.alias("text_en"))
     none = F.array().cast("array<long>")
@@ -122,8 +124,8 @@ def _trends(s, d):
         claim(F.col("topic"), "rising", none, text(1)), claim(F.when(i % 2 == 0, F.col("topic")).when(i % 3 == 0, F.lit("?")).otherwise(F.concat("last")), "steady", none, text(1)),
         claim(F.col("topic"), "insight", F.when(i % 5 == 0, none).when(i % 5 == 1, F.array(F.lit(-1).cast("long"))).otherwise(F.array("cited")), F.when(i % 4 == 0, text(19)).when(i % 4 == 1, F.lit("papers grew from 3 to 9 in total")).otherwise(text(20))),
     )).alias("c")).select("scholar_id", "c.*")
-    reports = sc.join(first.select("scholar_id"), "scholar_id", "left_semi").select("scholar_id", F.when(i % 6 == 0, text(19)).otherwise(text(20)).alias("summary_zh"), text(30).alias("summary_en"))
-    return reports, claims, own.select("scholar_id", "topic"), own.select("scholar_id", "topic", "work_id")
+    reports = sc.join(x.select("scholar_id"), "scholar_id", "left_semi").select("scholar_id", F.when(i % 6 == 0, text(19)).otherwise(text(20)).alias("summary_zh"), text(30).alias("summary_en"))
+    return reports, claims, None, own.select("scholar_id", "topic", "work_id")
 
 
 _add(

@@ -85,3 +85,14 @@ def test_audit_asks_for_as_many_profiles_as_it_reads(spark):
 
     asked = _requests(spark, "/root/testdata/sf0.1")[0].groupBy("scholar_id").count()
     assert asked.count() == 1000 and {r["count"] for r in asked.collect()} == {8}
+
+
+def test_trends_know_the_topics_of_their_evidence(spark):
+    from folioscope.operators.topics import validate_trends
+
+    reports = spark.createDataFrame([(k, "x" * 20, "x" * 30) for k in (1, 2)], "scholar_id long, summary_zh string, summary_en string")
+    claims = spark.createDataFrame([(1, "a", "insight", [5], "x" * 12, "x" * 20), (2, "b", "insight", [6], "x" * 12, "x" * 20)], "scholar_id long, topic string, class string, works array<long>, text_zh string, text_en string")
+    evidence = spark.createDataFrame([(1, "a", 5), (2, "a", 6), (2, "c", 7)], "scholar_id long, topic string, work_id long")
+    expected = {1: [], 2: ["unknown_trajectory_topic", "unrelated_trajectory_evidence"]}
+    for topics in (None, evidence.select("scholar_id", "topic")):
+        assert {r.scholar_id: r.issues for r in validate_trends(reports, claims, topics, evidence).collect()} == expected
