@@ -96,3 +96,15 @@ def test_trends_know_the_topics_of_their_evidence(spark):
     expected = {1: [], 2: ["unknown_trajectory_topic", "unrelated_trajectory_evidence"]}
     for topics in (None, evidence.select("scholar_id", "topic")):
         assert {r.scholar_id: r.issues for r in validate_trends(reports, claims, topics, evidence).collect()} == expected
+
+
+def test_continuity_sends_no_rows_by_topic(spark):
+    from folioscope.operators.scoring import continuity_index
+
+    w = spark.createDataFrame([(k, 2000 + k) for k in range(6)] + [(6, None)], "work_id long, publication_year int")
+    a = spark.createDataFrame([(k, 1) for k in range(7)] + [(6, 2)], "work_id long, scholar_id long")
+    t = spark.createDataFrame([(k, "a") for k in range(4)] + [(4, "b")], "work_id long, topic string")
+    found = continuity_index(w, a, t)
+    assert "hashpartitioning(scholar_id#" in plan(found) and ", topic#" not in "".join(x for x in plan(found).splitlines() if "hashpartitioning" in x)
+    got = {r.scholar_id: (r.longest_span, r.topic_repeat, r.sustained_topics, r.sustained_share) for r in found.collect()}
+    assert got == {1: (4, 0.8, 1, round(4 / 7, 6)), 2: (0, 0.0, 0, 0.0)}
