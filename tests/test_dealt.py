@@ -108,3 +108,12 @@ def test_continuity_sends_no_rows_by_topic(spark):
     assert "hashpartitioning(scholar_id#" in plan(found) and ", topic#" not in "".join(x for x in plan(found).splitlines() if "hashpartitioning" in x)
     got = {r.scholar_id: (r.longest_span, r.topic_repeat, r.sustained_topics, r.sustained_share) for r in found.collect()}
     assert got == {1: (4, 0.8, 1, round(4 / 7, 6)), 2: (0, 0.0, 0, 0.0)}
+
+
+def test_peer_page_keeps_one_row_more_than_a_page(spark):
+    from folioscope.operators.lookups import peer_page
+
+    rows = spark.createDataFrame([(f, c, c * 37 % 101, c % 2) for f, n in ((1, 10), (2, 11), (3, 5), (4, 6)) for c in range(n)], "focus_id long, candidate_id long, discovery_rank long, ready int")
+    found = peer_page(rows, limit=5, offset=5)
+    assert "WindowGroupLimit" in plan(found)
+    assert sorted((r.focus_id, r.place, r.next_offset) for r in found.collect()) == [(1, p, None) for p in range(6, 11)] + [(2, p, 10) for p in range(6, 11)] + [(4, 6, None)]
