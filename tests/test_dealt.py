@@ -117,3 +117,12 @@ def test_peer_page_keeps_one_row_more_than_a_page(spark):
     found = peer_page(rows, limit=5, offset=5)
     assert "WindowGroupLimit" in plan(found)
     assert sorted((r.focus_id, r.place, r.next_offset) for r in found.collect()) == [(1, p, None) for p in range(6, 11)] + [(2, p, 10) for p in range(6, 11)] + [(4, 6, None)]
+
+
+def test_compared_sets_meet_as_one_row_a_scholar(spark):
+    from folioscope.operators.lookups import set_compare
+
+    v = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (1, None), (2, "y"), (2, None), (2, "z"), (3, "q")], "scholar_id long, value string")
+    found = set_compare(spark.createDataFrame([(1, 2), (3, 4), (1, 2)], "a long, b long"), v)
+    assert not [x for x in plan(found).splitlines() if re.search(r"hashpartitioning\(a#\w+, b#\w+, value#", x)]
+    assert Counter(map(tuple, found.collect())) == Counter([(1, 2, "x", "left_only"), (1, 2, "y", "shared"), (1, 2, None, "shared"), (1, 2, "z", "right_only"), (3, 4, "q", "left_only")])
