@@ -126,3 +126,15 @@ def test_compared_sets_meet_as_one_row_a_scholar(spark):
     found = set_compare(spark.createDataFrame([(1, 2), (3, 4), (1, 2)], "a long, b long"), v)
     assert not [x for x in plan(found).splitlines() if re.search(r"hashpartitioning\(a#\w+, b#\w+, value#", x)]
     assert Counter(map(tuple, found.collect())) == Counter([(1, 2, "x", "left_only"), (1, 2, "y", "shared"), (1, 2, None, "shared"), (1, 2, "z", "right_only"), (3, 4, "q", "left_only")])
+
+
+def test_style_sends_no_rows_by_topic_or_pair(corpus, spark):
+    from folioscope.operators.evidence import style_profile
+
+    works, authorships, topics, (w, a, t) = corpus
+    none = spark.createDataFrame([], "scholar_id long, value string, n long")
+    found = style_profile(w.selectExpr("*", "'x' as title"), a, t, none, spark.createDataFrame([(0, 80.0)], "scholar_id long, continuity double"))
+    sent = "".join(x for x in plan(found).splitlines() if "hashpartitioning" in x)
+    assert ", topic#" not in sent and ", other" not in sent
+    own = {s: {x for x, y in authorships if y == s} for s in range(6)}
+    assert {r.scholar_id: r.repeated for r in found.collect()} == {s: sum(len(own[s] & own[o]) >= 2 for o in own if o != s) for s in own}
