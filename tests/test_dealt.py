@@ -138,3 +138,13 @@ def test_style_sends_no_rows_by_topic_or_pair(corpus, spark):
     assert ", topic#" not in sent and ", other" not in sent
     own = {s: {x for x, y in authorships if y == s} for s in range(6)}
     assert {r.scholar_id: r.repeated for r in found.collect()} == {s: sum(len(own[s] & own[o]) >= 2 for o in own if o != s) for s in own}
+
+
+def test_review_reads_only_the_keys_that_evidence_names(spark):
+    from folioscope.operators.evidence import review_evidence
+
+    evidence = spark.createDataFrame([(1, 1, "paper", "HTTPS://doi.org/10.1/A", None), (1, 2, "paper", "w:9", None), (2, 1, "paper", "w:3", None), (2, 2, "metric", None, 1), (3, 1, "metric", None, 1)], "scholar_id long, evidence_id int, type string, url string, value long")
+    works = spark.createDataFrame([(1, 1, "w:1", "10.1/a"), (1, 2, "", None), (2, 3, "w:3", None), (4, 9, "w:9", None)], "scholar_id long, work_id long, url string, doi string")
+    found = review_evidence(evidence, works, spark.createDataFrame([(2, "sufficient")], "scholar_id long, status string"))
+    assert "array_contains(asked" in plan(found)
+    assert sorted((r.scholar_id, r.evidence_id, r.approved, r.confidence) for r in found.collect()) == [(1, 1, True, "medium"), (1, 2, False, None), (2, 1, True, "medium"), (2, 2, True, "high"), (3, 1, False, None)]
