@@ -3,14 +3,15 @@
 File format (little-endian). A file is a Parquet table of segments (shard, segment, n_tokens, payload); Spark writes it, so a lost
 executor's part is written anew. A payload is
 
-    magic "TIDF", u32 documents, u64 tokens of the shard before this segment, u32 blocks,
+    magic "TID2", u32 documents, u64 tokens of the shard before this segment, u32 blocks,
     u8 id bits, 3 zero bytes, per document: i64 doc_id, u8 1 if it is null, u32 tokens; per block: u32 tokens, u32 crc32 of its ids as u32, u32 bytes;
-    then the blocks' bytes, and a u32 crc32 of all before.
+    u32 bytes of the order-0 shares (u32 each, deflated), these; then the blocks' bytes, and a u32 crc32 of all before.
 
 Every block is coded on its own from a fresh model. The model predicts the next id by what last followed the two ids before it (order 2)
 and the one before it (order 1); how far these predictions have been right is mixed, in the logistic domain with weights learned on
-the way, into the probability that the order-2 prediction holds, then that the order-1 prediction holds. An id that neither
-predicts is coded bit by bit from the adaptive distribution of such ids (order 0). All arithmetic is on integers.
+the way, into the probability that the order-2 prediction holds, then that the order-1 prediction holds; both are coded in one step.
+An id that neither predicts is coded in one step more from its share of the segment's ids (order 0), which stands before the blocks.
+All arithmetic is on integers but a quotient that is exact in double precision.
 Many blocks are coded side by side, as rows of numpy arrays.
 """
 
@@ -29,8 +30,8 @@ from pyspark.sql.window import Window
 from .common import scratch
 from .tokens import default_path, encoder
 
-BLOCK, SEGMENT, LANES = 4096, 1 << 20, 2048
-ONE, TWO, NODES = 11, 12, 13  # bits of the tables' sizes
+BLOCK, SEGMENT, LANES = 2048, 1 << 20, 2048
+ONE, TWO = 10, 11  # bits of the tables' sizes
 SEGMENTS = "shard int, segment int, n_tokens long, payload binary"
 
 
@@ -44,141 +45,189 @@ def _logistic() -> tuple[np.ndarray, np.ndarray]:
 
 
 SQUASH, STRETCH = _logistic()
+# by trust, and 8 more where the prediction held: the trust that follows, and whether the prediction is kept
+TRUST = np.array([k >> 1 for k in range(8)] + [min(k + 1, 7) for k in range(8)], np.int32)
+KEEP = np.array([k > 1 for k in range(16)])
 
 
 class _Coder:
-    """Binary range coder with a 32-bit interval per lane; encodes where data is None, else decodes."""
+    """Range coder with a 48-bit interval and 24-bit digits per lane; encodes where data is None, else decodes.
+
+    A symbol of at most 24 bits needs one new digit at most. A carry stays in the digit before it until all is written.
+    """
 
     def __init__(self, lanes: int, room: int, data: list[bytes] | None):
-        self.low, self.high = np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32)
+        self.range = np.full(lanes, (1 << 48) - 1, np.int64)
+        self.low = np.zeros(lanes, np.int64)  # when decoding, how far the code lies above it
         self.at = np.zeros(lanes, np.int64)
         self.decoding = data is not None
         if data is None:
-            self.bytes = np.zeros((lanes, room), np.uint8)
+            self.digits = np.zeros((lanes, room), np.uint32)
         else:
-            self.bytes = np.zeros((lanes, max(map(len, data), default=0) + 8), np.uint8)
+            self.digits = np.zeros((lanes, max(map(len, data), default=0) // 3 + 4), np.uint32)
             for i, d in enumerate(data):
-                self.bytes[i, : len(d)] = np.frombuffer(d, np.uint8)
-            self.code = self.bytes[:, :4].astype(np.uint32) @ np.array([1 << 24, 1 << 16, 1 << 8, 1], np.uint32)
-            self.at += 4
-
-    def bit(self, lanes: np.ndarray, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """Codes one bit in each of these lanes; p: 16-bit probability of a 1."""
-        low, high = self.low[lanes], self.high[lanes]
-        middle = low + ((high - low) >> np.uint32(16)) * p.astype(np.uint32)
-        if self.decoding:
-            code = self.code[lanes]
-            bit = code <= middle
-        high = np.where(bit, middle, high)
-        low = np.where(bit, low, middle + np.uint32(1))
-        shift = np.nonzero((low ^ high) < 1 << 24)[0]
-        while len(shift):
-            own = lanes[shift]
-            at = self.at[own]
+                three = np.frombuffer(d, np.uint8).reshape(-1, 3)
+                self.digits[i, : len(three)] = three @ np.array([1 << 16, 1 << 8, 1], np.uint32)
+            self.low += (self.digits[:, 0].astype(np.int64) << 24) | self.digits[:, 1]
+            self.at += 2
+
+    def narrow(self, lanes: slice | np.ndarray, lower: np.ndarray, wide: np.ndarray) -> None:
+        """Narrows the interval of each of these lanes to wide numbers from lower."""
+        low = self.low[lanes] - lower if self.decoding else self.low[lanes] + lower
+        short = np.flatnonzero(wide < 1 << 24)
+        if len(short):
+            own = short if isinstance(lanes, slice) else lanes[short]
+            at, moved = self.at[own], low[short]
             if self.decoding:
-                code[shift] = (code[shift] << np.uint32(8)) | self.bytes[own, at]
+                low[short] = (moved << 24) | self.digits[own, at]
             else:
-                self.bytes[own, at] = high[shift] >> np.uint32(24)
+                self.digits[own, at] = moved >> 24
+                low[short] = (moved & 0xFFFFFF) << 24
             self.at[own] = at + 1
-            low[shift] <<= np.uint32(8)
-            high[shift] = (high[shift] << np.uint32(8)) | np.uint32(255)
-            shift = shift[(low[shift] ^ high[shift]) < 1 << 24]
-        self.low[lanes], self.high[lanes] = low, high
-        if self.decoding:
-            self.code[lanes] = code
-        return bit
+            wide[short] <<= 24
+        self.low[lanes], self.range[lanes] = low, wide
+
+    def escape(self, lanes: np.ndarray, ids: np.ndarray | None, bits: int, shares: Shares | None, own: np.ndarray | None) -> np.ndarray:
+        """Codes one id in each of these lanes by its order-0 share, of shares' table own; by even shares without them."""
+        depth = bits if shares is None else shares.depth
+        unit = self.range[lanes] >> depth
+        if ids is None:  # such quotients are exact in double precision: whole numbers below 2 to the power 24 are further apart than the rounding
+            slot = np.minimum((self.low[lanes] / unit).astype(np.int64), (1 << depth) - 1)
+            ids = slot if shares is None else shares.ids.take((own << depth) + slot)
+        if shares is None:
+            self.narrow(lanes, unit * ids, unit)
+        else:
+            at = (own << bits) + ids
+            self.narrow(lanes, unit * shares.starts.take(at), unit * shares.counts.take(at))
+        return ids
 
     def finished(self) -> list[bytes]:
-        """One byte between both ends of the interval decides it; zeros are read behind."""
-        out = []
-        for i in range(len(self.low)):
-            out.append(self.bytes[i, : self.at[i]].tobytes() + int(self.high[i]).to_bytes(4, "big"))
-        return out
+        """One digit more lies within the interval; zeros are read behind."""
+        lanes = np.arange(len(self.low))
+        self.digits[lanes, self.at] = (self.low + 0xFFFFFF) >> 24
+        digits = self.digits[:, : int(self.at.max(initial=0)) + 1]
+        while (carry := digits >> 24).any():
+            digits &= 0xFFFFFF
+            digits[:, :-1] += carry[:, 1:]
+        plain = digits.astype(">u4").view(np.uint8).reshape(*digits.shape, 4)[:, :, 1:]
+        return [plain[i, : self.at[i] + 1].tobytes() for i in lanes]
 
 
 class _Model:
-    """Predictions and probabilities of every lane, all from a fresh start."""
-
-    def __init__(self, lanes: int, bits: int, coder: _Coder):
-        self.coder, self.bits, self.n = coder, bits, lanes
-        self.id = [np.zeros(lanes << k, np.uint32) for k in (ONE, TWO)]
-        self.trust = [np.zeros(lanes << k, np.int8) for k in (ONE, TWO)]
-        # per decision, lane and context a 12-bit probability in 16 bits: order 2, order 1, order 0
-        self.right = [[np.full(lanes * n, 1 << 15, np.int32) for n in (16, 16, 1)] for _ in range(2)]
-        self.weight = [np.full((lanes, 3), 22000, np.int32) for _ in range(2)]
-        self.node = np.full(lanes << NODES, 1 << 15, np.int32)
-        self.before = [np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)]
-
-    def _holds(self, k: int, lanes: np.ndarray, contexts: tuple[np.ndarray, ...], bit: np.ndarray | None) -> np.ndarray:
-        """Codes whether a prediction holds, from three probabilities mixed."""
-        right, weight = self.right[k], self.weight[k]
-        at = [lanes * 16 + contexts[0], lanes * 16 + contexts[1], lanes]
-        p = [r[a] for r, a in zip(right, at)]
-        s = np.stack([STRETCH[x >> 4] for x in p], axis=1)
-        w = weight[lanes]
-        mixed = SQUASH[np.clip((s * w).sum(axis=1) >> 16, -2048, 2047) + 2048]
-        bit = self.coder.bit(lanes, (mixed << 4).astype(np.uint32), bit)
-        error = (bit.astype(np.int32) << 12) - mixed
-        weight[lanes] = w + ((s * error[:, None]) >> 10)
-        for r, a, x in zip(right, at, p):
-            r[a] = x + (((bit.astype(np.int32) << 16) - bit - x) >> 5)
-        return bit
+    """Predictions and probabilities of every lane, all from a fresh start; all but the order-0 shares learn on the way."""
+
+    def __init__(self, lanes: int, bits: int, coder: _Coder, shares: Shares | None, own: np.ndarray | None):
+        self.coder, self.bits, self.shares, self.own = coder, bits, shares, own
+        # id and trust (3 bits) of what last followed one id, then two ids
+        self.known = np.zeros(lanes * ((1 << ONE) + (1 << TWO)), np.int32)
+        self.place = np.stack([np.arange(lanes) << ONE, (lanes << ONE) + (np.arange(lanes) << TWO)])
+        # per decision (order 2, order 1), context (of order 1, of order 2) and lane 16 probabilities of 16 bits
+        self.right = np.full(4 * lanes * 16, 1 << 15, np.int32)
+        self.context = np.arange(4 * lanes).reshape(2, 2, lanes) * 16
+        self.weight = np.full((2, 2, lanes), 33000, np.int32)
+        self.before = np.zeros((2, lanes), np.uint32)
 
     def step(self, n: int, ids: np.ndarray | None) -> np.ndarray:
         """Codes the next id of the first n lanes."""
-        lanes = np.arange(n)
-        one, two = self.before[0][:n], self.before[1][:n]
-        at = [
-            (lanes << ONE) + ((one * np.uint32(0x9E3779B1)) >> np.uint32(32 - ONE)).astype(np.int64),
-            (lanes << TWO) + (((one * np.uint32(0x9E3779B1)) ^ (two * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - TWO)).astype(np.int64),
-        ]
-        first, second = self.id[1][at[1]], self.id[0][at[0]]
-        trust2, trust1 = self.trust[1][at[1]].astype(np.int64), self.trust[0][at[0]].astype(np.int64)
-        same = (first == second).astype(np.int64)
-        out = np.zeros(n, np.uint32) if ids is None else ids[:n]
-        hit = self._holds(0, lanes, (trust2 * 2 + same, trust1 * 2 + same), None if ids is None else out == first)
+        coder, every = self.coder, slice(0, n)
+        one = self.before[0, :n] * np.uint32(0x9E3779B1)
+        two = (one ^ (self.before[1, :n] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
+        at = self.place[:, :n].copy()
+        at[0] += one >> np.uint32(32 - ONE)
+        at[1] += two >> np.uint32(32 - TWO)
+        entry = self.known.take(at)
+        predicted, trust = entry >> 3, entry & 7
+        second, first = predicted
+        same = first == second
+        # whether either prediction holds, each from two probabilities mixed
+        places = self.context[:, :, :n] + (trust << 1 | same)
+        p, w = self.right.take(places), self.weight[:, :, :n]
+        s = STRETCH.take(p >> 4)
+        voted = s * w
+        mixed = SQUASH.take(((voted[:, 0] + voted[:, 1]) >> 16) + 2048, mode="clip")
+        share2 = mixed[0] << 4
+        both = share2 + (((65534 - share2) * mixed[1] >> 12) + 1) * ~same
+        unit = coder.range[every] >> 16
+        edge2, edge1 = unit * share2, unit * both
         if ids is None:
-            out[hit] = first[hit]
-        rest = np.nonzero(~hit & (same == 0))[0]
-        if len(rest):
-            again = self._holds(1, rest, (trust2[rest] * 2, trust1[rest] * 2), None if ids is None else out[rest] == second[rest])
-            if ids is None:
-                out[rest[again]] = second[rest[again]]
-            hit[rest[again]] = True
-        rest = np.nonzero(~hit)[0]
-        if len(rest):
-            wanted = None if ids is None else out[rest].astype(np.int64)
-            prefix = np.ones(len(rest), np.int64)
-            base = rest << NODES
-            for b in range(self.bits - 1, -1, -1):
-                node = base + ((prefix * 0x9E3779B1 >> 7) & ((1 << NODES) - 1) if self.bits - b > NODES else prefix)
-                p = self.node[node]
-                bit = self.coder.bit(rest, np.clip(p, 64, 65472).astype(np.uint32), None if wanted is None else (wanted >> b & 1).astype(bool))
-                self.node[node] = p + (((bit.astype(np.int32) << 16) - p) >> 4)
-                prefix = prefix * 2 + bit
+            low = coder.low[every]
+            hit2, missed = low < edge2, low >= edge1
+            out = np.where(hit2, first, second)
+        else:
+            out = ids[:n]
+            good = predicted == out
+            hit2 = good[1]
+            missed = ~(good[0] | hit2)
+        lower = np.where(missed, edge1, edge2)
+        lower[hit2] = 0
+        upper = np.where(hit2, edge2, edge1)
+        upper[missed] = (unit << 16)[missed]
+        coder.narrow(every, lower, upper - lower)
+        left = np.flatnonzero(missed)
+        if len(left):
+            new = coder.escape(left, None if ids is None else out[left], self.bits, self.shares, None if self.shares is None else self.own[left])
             if ids is None:
-                out[rest] = (prefix - (1 << self.bits)).astype(np.uint32)
-        for k, predicted, trust in ((0, second, trust1), (1, first, trust2)):
+                out[left] = new
+        if ids is None:
             good = predicted == out
-            self.id[k][at[k]] = np.where(good | (trust > 1), predicted, out)
-            self.trust[k][at[k]] = np.where(good, np.minimum(trust + 1, 7), trust >> 1)
-        self.before[1][:n] = one
-        self.before[0][:n] = out
+        # the second decision is asked only where the first failed and both predict different ids
+        asked = ~(hit2 | same)
+        held = np.stack([hit2, good[0]]).astype(np.int32)
+        error = (held << 12) - mixed
+        error[1] *= asked
+        w += (s * error[:, None]) >> 10
+        learnt = ((held * 65535)[:, None] - p) >> 5
+        learnt[1] *= asked
+        self.right[places] = p + learnt
+        key = trust | (good << 3)
+        self.known[at] = np.where(KEEP.take(key), entry & ~7, out << 3) | TRUST.take(key)
+        self.before[1, :n] = self.before[0, :n]
+        self.before[0, :n] = out
         return out
 
 
-def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
-    """Codes every block of ids (uint32, below 2 to the power bits)."""
+class Shares:
+    """Order-0 shares of several segments: of 2 to the power depth, at least 1 for each id that occurs."""
+
+    def __init__(self, counts: list[np.ndarray], bits: int, decoding: bool):
+        self.depth = depth_of(bits)
+        self.counts = np.stack(counts).astype(np.int64)
+        self.starts = np.cumsum(self.counts, axis=1) - self.counts
+        if decoding:
+            self.ids = np.zeros((len(counts), 1 << self.depth), np.uint16 if bits <= 16 else np.uint32)
+            for row, c in zip(self.ids, self.counts):
+                row[: c.sum()] = np.repeat(np.arange(len(c)), c)
+
+
+def depth_of(bits: int) -> int:
+    if bits > 22:
+        raise ValueError("ids of more than 22 bits")
+    return max(18, bits + 2)
+
+
+def shares_of(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Each id's share of 2 to the power ``depth_of(bits)``, by its count; what is left over goes to the most frequent one."""
+    n = np.bincount(ids, minlength=1 << bits)
+    most = 1 << depth_of(bits)
+    c = np.where(n > 0, np.maximum(1, n * (most - np.count_nonzero(n)) // max(1, len(ids))), 0)
+    if len(ids):
+        c[int(n.argmax())] += most - int(c.sum())
+    return c.astype(np.uint32)
+
+
+def encode_blocks(blocks: list[np.ndarray], bits: int, counts: list[np.ndarray] | None = None, owner: list[int] | None = None) -> list[bytes]:
+    """Codes every block of ids (uint32, below 2 to the power bits); block i by the order-0 shares counts[owner[i]], by even ones where there are none."""
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
+    shares = None if counts is None else Shares(counts, bits, False)
     for at in range(0, len(order), LANES):
         own = order[at : at + LANES]
         lengths = np.array([len(blocks[i]) for i in own])
-        ids = np.zeros((int(lengths.max()), len(own)), np.uint32)
+        ids = np.zeros((int(lengths.max()), len(own)), np.int32)
         for k, i in enumerate(own):
             ids[: lengths[k], k] = blocks[i]
-        coder = _Coder(len(own), int(lengths.max()) * 5 + 16, None)
-        model = _Model(len(own), bits, coder)
+        coder = _Coder(len(own), int(lengths.max()) * 2 + 4, None)
+        model = _Model(len(own), bits, coder, shares, None if owner is None else np.array([owner[i] for i in own]))
         for t in range(len(ids)):
             model.step(int(np.searchsorted(-lengths, -t)), ids[t])
         for i, data in zip(own, coder.finished()):
@@ -186,14 +235,15 @@ def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     return out
 
 
-def decode_blocks(data: list[bytes], lengths: list[int], bits: int) -> list[np.ndarray]:
+def decode_blocks(data: list[bytes], lengths: list[int], bits: int, counts: list[np.ndarray] | None = None, owner: list[int] | None = None) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(data)
     order = sorted(range(len(data)), key=lambda i: -lengths[i])
+    shares = None if counts is None else Shares(counts, bits, True)
     for at in range(0, len(order), LANES):
         own = order[at : at + LANES]
         n = np.array([lengths[i] for i in own])
         ids = np.zeros((int(n.max()), len(own)), np.uint32)
-        model = _Model(len(own), bits, _Coder(len(own), 0, [data[i] for i in own]))
+        model = _Model(len(own), bits, _Coder(len(own), 0, [data[i] for i in own]), shares, None if owner is None else np.array([owner[i] for i in own]))
         for t in range(len(ids)):
             k = int(np.searchsorted(-n, -t))
             ids[t, :k] = model.step(k, None)
@@ -202,10 +252,12 @@ def decode_blocks(data: list[bytes], lengths: list[int], bits: int) -> list[np.n
     return out
 
 
-def _segment(docs: list[tuple[int | None, bytes]], before: int, coded: list[bytes], blocks: list[np.ndarray], bits: int) -> bytes:
-    head = [b"TIDF", struct.pack("<IQIBxxx", len(docs), before, len(blocks), bits)]
+def _segment(docs: list[tuple[int | None, bytes]], before: int, coded: list[bytes], blocks: list[np.ndarray], bits: int, counts: np.ndarray | None = None) -> bytes:
+    head = [b"TID2", struct.pack("<IQIBxxx", len(docs), before, len(blocks), bits)]
     head += [struct.pack("<qBI", d or 0, d is None, len(ids) // 4) for d, ids in docs]
     head += [struct.pack("<III", len(b), zlib.crc32(b.astype("<u4").tobytes()), len(c)) for b, c in zip(blocks, coded)]
+    table = b"" if counts is None else zlib.compress(counts.astype("<u4").tobytes(), 1)
+    head += [struct.pack("<I", len(table)), table]
     payload = b"".join(head + coded)
     return payload + struct.pack("<I", zlib.crc32(payload))
 
@@ -214,7 +266,7 @@ class _Read:
     """A payload's documents and blocks."""
 
     def __init__(self, payload: bytes):
-        if payload[:4] != b"TIDF" or zlib.crc32(payload[:-4]) != struct.unpack("<I", payload[-4:])[0]:
+        if payload[:4] != b"TID2" or zlib.crc32(payload[:-4]) != struct.unpack("<I", payload[-4:])[0]:
             raise ValueError("damaged segment")
         n, self.before, blocks, self.bits = struct.unpack_from("<IQIBxxx", payload, 4)
         at = 4 + struct.calcsize("<IQIBxxx")
@@ -222,6 +274,9 @@ class _Read:
         at += 13 * n
         self.blocks = [struct.unpack_from("<III", payload, at + 12 * k) for k in range(blocks)]
         at += 12 * blocks
+        (size,) = struct.unpack_from("<I", payload, at)
+        at += 4 + size
+        self.counts = np.frombuffer(zlib.decompress(payload[at - size : at]), "<u4") if size else None
         self.coded = []
         for _, _, size in self.blocks:
             self.coded.append(payload[at : at + size])
@@ -254,11 +309,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end
                 if len(ids) and int(ids.max()) >> bits:
                     raise ValueError(f"an id needs more than {bits} bits")
                 parts.append([ids[k : k + BLOCK] for k in range(0, len(ids), BLOCK)])
-            coded = iter(encode_blocks([b for p in parts for b in p], bits))
+            counts = [shares_of(np.concatenate(p), bits) for p in parts]
+            coded = iter(encode_blocks([b for p in parts for b in p], bits, counts, [k for k, p in enumerate(parts) for _ in p]))
             rows = []
-            for docs_, blocks in zip(segments, parts):
+            for docs_, blocks, c in zip(segments, parts, counts):
                 n = sum(map(len, blocks))
-                rows.append((shard, serial, n, _segment(docs_, written, [next(coded) for _ in blocks], blocks, bits)))
+                rows.append((shard, serial, n, _segment(docs_, written, [next(coded) for _ in blocks], blocks, bits, c)))
                 serial, written = serial + 1, written + n
             segments, held, own = [[]], 0, 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["shard", "segment", "n_tokens", "payload"])
@@ -288,7 +344,8 @@ def read_ids(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[tuple[int, _Read]]) -> pa.RecordBatch:
             bits = held[0][1].bits
-            blocks = iter(decode_blocks([c for _, r in held for c in r.coded], [n for _, r in held for n, _, _ in r.blocks], bits))
+            owner = [k for k, (_, r) in enumerate(held) for _ in r.blocks]
+            blocks = iter(decode_blocks([c for _, r in held for c in r.coded], [n for _, r in held for n, _, _ in r.blocks], bits, [r.counts for _, r in held], owner))
             rows = []
             for shard, r in held:
                 data, at = r.joined([next(blocks) for _ in r.blocks]), 0

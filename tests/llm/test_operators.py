@@ -77,6 +77,29 @@ def test_range_coder_blocks():
     assert len(coded[2]) < 60 and len(coded[4]) < 700  # what repeats costs little
 
 
+def test_coder_takes_two_steps_a_token(monkeypatch):
+    """An id costs two steps of the range coder at most, whatever its bits, and shares of the segment shorten the blocks."""
+    r = np.random.default_rng(4)
+    ids = np.minimum(r.geometric(0.01, 3000), 49_000).astype(np.uint32) * 41 % 49_157
+    blocks, calls = [ids[:1500], ids[1500:]], []
+    narrow = token_files._Coder.narrow
+    monkeypatch.setattr(token_files._Coder, "narrow", lambda *a: (calls.append(1), narrow(*a))[1])
+    shares = [token_files.shares_of(ids, 16)]
+    coded = token_files.encode_blocks(blocks, 16, shares, [0, 0])
+    assert len(calls) <= 2 * 1500
+    assert all((a == b).all() for a, b in zip(blocks, token_files.decode_blocks(coded, [1500, 1500], 16, shares, [0, 0])))
+    assert sum(map(len, coded)) < 0.7 * sum(map(len, token_files.encode_blocks(blocks, 16)))
+
+
+def test_coder_passes_carries_on():
+    """Long runs of either decision drive low up to the edge of a digit, so that carries run over several digits."""
+    r = np.random.default_rng(6)
+    blocks = [(r.integers(0, 2, 2000) * 65535).astype(np.uint32) if k % 2 else r.integers(65_000, 65_536, 2000).astype(np.uint32) for k in range(300)]
+    shares, owner = [token_files.shares_of(np.concatenate(blocks[k::3]), 16) for k in range(3)], [k % 3 for k in range(300)]
+    coded = token_files.encode_blocks(blocks, 16, shares, owner)
+    assert all((a == b).all() for a, b in zip(blocks, token_files.decode_blocks(coded, [2000] * 300, 16, shares, owner)))
+
+
 def test_token_file_damage_is_found():
     ids = np.arange(50, dtype=np.uint32)
     payload = token_files._segment([(1, ids.tobytes())], 0, token_files.encode_blocks([ids], 16), [ids], 16)
