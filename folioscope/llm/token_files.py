@@ -8,10 +8,9 @@ executor's part is written anew. A payload is
     u32 bytes of the order-0 shares (u32 each, deflated), these; then the blocks' bytes, and a u32 crc32 of all before.
 
 Every block is coded on its own from a fresh model. The model predicts the next id by what last followed the two ids before it (order 2)
-and the one before it (order 1); how far these predictions have been right is mixed, in the logistic domain with weights learned on
-the way, into the probability that the order-2 prediction holds, then that the order-1 prediction holds; both are coded in one step.
-An id that neither predicts is coded in one step more from its share of the segment's ids (order 0), which stands before the blocks.
-All arithmetic is on integers but a quotient that is exact in double precision.
+or the one before it (order 1), whichever has been right more often; how far both have been right is mixed, in the logistic domain with weights
+learned on the way, into the probability that the prediction holds. An id that is not the predicted one is coded, in the same step of the
+coder, by its share of the segment's ids (order 0), which stands before the blocks. All arithmetic is on integers.
 Many blocks are coded side by side, as rows of numpy arrays.
 """
 
@@ -30,8 +29,8 @@ from pyspark.sql.window import Window
 from .common import scratch
 from .tokens import default_path, encoder
 
-BLOCK, SEGMENT, LANES = 2048, 1 << 20, 2048
-ONE, TWO = 10, 11  # bits of the tables' sizes
+BLOCK, SEGMENT, LANES = 1024, 1 << 20, 4096
+ONE, TWO, DEPTH = 8, 9, 18  # bits of the tables' sizes, and of an order-0 share
 SEGMENTS = "shard int, segment int, n_tokens long, payload binary"
 
 
@@ -45,189 +44,151 @@ def _logistic() -> tuple[np.ndarray, np.ndarray]:
 
 
 SQUASH, STRETCH = _logistic()
-# by trust, and 8 more where the prediction held: the trust that follows, and whether the prediction is kept
-TRUST = np.array([k >> 1 for k in range(8)] + [min(k + 1, 7) for k in range(8)], np.int32)
-KEEP = np.array([k > 1 for k in range(16)])
+#: By trust, and 8 more where the prediction held: the trust that follows, less the trust itself where the id stays known (above 1).
+TRUST = np.array([(min(k + 1, 7) if held else k >> 1) - (k if k > 1 else 0) for held in (0, 1) for k in range(8)], np.int32)
 
 
 class _Coder:
-    """Range coder with a 48-bit interval and 24-bit digits per lane; encodes where data is None, else decodes.
+    """Range coder with a 62-bit interval and digits of 32 bits per lane; encodes where data is None, else decodes.
 
-    A symbol of at most 24 bits needs one new digit at most. A carry stays in the digit before it until all is written.
+    The interval is at least 2 to the power 30 wide, so that a decision of 12 bits and a share of 18 need one new digit at most. A carry stays in
+    the digit before it until all is written.
     """
 
     def __init__(self, lanes: int, room: int, data: list[bytes] | None):
-        self.range = np.full(lanes, (1 << 48) - 1, np.int64)
+        self.range = np.full(lanes, (1 << 62) - 1, np.int64)
         self.low = np.zeros(lanes, np.int64)  # when decoding, how far the code lies above it
         self.at = np.zeros(lanes, np.int64)
         self.decoding = data is not None
         if data is None:
-            self.digits = np.zeros((lanes, room), np.uint32)
+            self.digits = np.zeros((lanes, room), np.int64)
         else:
-            self.digits = np.zeros((lanes, max(map(len, data), default=0) // 3 + 4), np.uint32)
+            given = np.zeros((lanes, max(map(len, data), default=0) // 4 + 4), np.int64)
             for i, d in enumerate(data):
-                three = np.frombuffer(d, np.uint8).reshape(-1, 3)
-                self.digits[i, : len(three)] = three @ np.array([1 << 16, 1 << 8, 1], np.uint32)
-            self.low += (self.digits[:, 0].astype(np.int64) << 24) | self.digits[:, 1]
-            self.at += 2
-
-    def narrow(self, lanes: slice | np.ndarray, lower: np.ndarray, wide: np.ndarray) -> None:
-        """Narrows the interval of each of these lanes to wide numbers from lower."""
-        low = self.low[lanes] - lower if self.decoding else self.low[lanes] + lower
-        short = np.flatnonzero(wide < 1 << 24)
-        if len(short):
-            own = short if isinstance(lanes, slice) else lanes[short]
-            at, moved = self.at[own], low[short]
-            if self.decoding:
-                low[short] = (moved << 24) | self.digits[own, at]
-            else:
-                self.digits[own, at] = moved >> 24
-                low[short] = (moved & 0xFFFFFF) << 24
-            self.at[own] = at + 1
-            wide[short] <<= 24
-        self.low[lanes], self.range[lanes] = low, wide
-
-    def escape(self, lanes: np.ndarray, ids: np.ndarray | None, bits: int, shares: Shares | None, own: np.ndarray | None) -> np.ndarray:
-        """Codes one id in each of these lanes by its order-0 share, of shares' table own; by even shares without them."""
-        depth = bits if shares is None else shares.depth
-        unit = self.range[lanes] >> depth
-        if ids is None:  # such quotients are exact in double precision: whole numbers below 2 to the power 24 are further apart than the rounding
-            slot = np.minimum((self.low[lanes] / unit).astype(np.int64), (1 << depth) - 1)
-            ids = slot if shares is None else shares.ids.take((own << depth) + slot)
-        if shares is None:
-            self.narrow(lanes, unit * ids, unit)
+                given[i, : len(d) // 4] = np.frombuffer(d, ">u4")
+            # the interval ends two bits before the second digit does
+            self.digits = ((given[:, :-1] & 3) << 30) | (given[:, 1:] >> 2)
+            self.low += (given[:, 0] << 30) | (given[:, 1] >> 2)
+            self.at += 1
+
+    def narrow(self, low: np.ndarray, wide: np.ndarray) -> None:
+        """Sets the first lanes' intervals, widened by a digit where they are short."""
+        n, short = len(low), np.flatnonzero(wide < 1 << 30)
+        at, moved = self.at[short], low[short]
+        if self.decoding:
+            low[short] = (moved << 32) | self.digits[short, at]
         else:
-            at = (own << bits) + ids
-            self.narrow(lanes, unit * shares.starts.take(at), unit * shares.counts.take(at))
-        return ids
+            self.digits[short, at] = moved >> 30
+            low[short] = (moved & 0x3FFFFFFF) << 32
+        self.at[short] = at + 1
+        wide[short] <<= 32
+        self.low[:n], self.range[:n] = low, wide
 
     def finished(self) -> list[bytes]:
         """One digit more lies within the interval; zeros are read behind."""
         lanes = np.arange(len(self.low))
-        self.digits[lanes, self.at] = (self.low + 0xFFFFFF) >> 24
+        self.digits[lanes, self.at] = (self.low + 0x3FFFFFFF) >> 30
         digits = self.digits[:, : int(self.at.max(initial=0)) + 1]
-        while (carry := digits >> 24).any():
-            digits &= 0xFFFFFF
+        while (carry := digits >> 32).any():
+            digits &= 0xFFFFFFFF
             digits[:, :-1] += carry[:, 1:]
-        plain = digits.astype(">u4").view(np.uint8).reshape(*digits.shape, 4)[:, :, 1:]
+        plain = digits.astype(">u4")
         return [plain[i, : self.at[i] + 1].tobytes() for i in lanes]
 
 
+class Shares:
+    """Order-0 shares of several segments, of 2 to the power DEPTH each; even ones without counts."""
+
+    def __init__(self, counts: list[np.ndarray] | None, bits: int, decoding: bool):
+        if bits > DEPTH:
+            raise ValueError(f"ids of more than {DEPTH} bits")
+        even = np.full(1 << bits, 1 << (DEPTH - bits), np.int64)
+        count = np.stack(counts if counts is not None else [even]).astype(np.int64)
+        start = np.cumsum(count, axis=1) - count
+        self.places = (start << 24) | count
+        if decoding:
+            self.ids = np.zeros((len(count), 1 << DEPTH), np.uint16 if bits <= 16 else np.uint32)
+            for row, c in zip(self.ids, count):
+                row[: c.sum()] = np.repeat(np.arange(len(c)), c)
+
+
+def shares_of(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Each id's share of 2 to the power DEPTH by its count, at least 1 if it occurs; what is left over goes to the most frequent one."""
+    n = np.bincount(ids, minlength=1 << bits)
+    c = np.where(n > 0, np.maximum(1, n * ((1 << DEPTH) - np.count_nonzero(n)) // max(1, len(ids))), 0)
+    if len(ids):
+        c[int(n.argmax())] += (1 << DEPTH) - int(c.sum())
+    return c.astype(np.uint32)
+
+
 class _Model:
-    """Predictions and probabilities of every lane, all from a fresh start; all but the order-0 shares learn on the way."""
+    """Prediction and probability of every lane, all from a fresh start; all but the order-0 shares learn on the way."""
 
-    def __init__(self, lanes: int, bits: int, coder: _Coder, shares: Shares | None, own: np.ndarray | None):
-        self.coder, self.bits, self.shares, self.own = coder, bits, shares, own
+    def __init__(self, lanes: int, bits: int, coder: _Coder, shares: Shares, own: np.ndarray):
+        self.coder, self.shares, self.own = coder, shares, own
+        self.table, self.slots = own << bits, own << DEPTH
         # id and trust (3 bits) of what last followed one id, then two ids
         self.known = np.zeros(lanes * ((1 << ONE) + (1 << TWO)), np.int32)
         self.place = np.stack([np.arange(lanes) << ONE, (lanes << ONE) + (np.arange(lanes) << TWO)])
-        # per decision (order 2, order 1), context (of order 1, of order 2) and lane 16 probabilities of 16 bits
-        self.right = np.full(4 * lanes * 16, 1 << 15, np.int32)
-        self.context = np.arange(4 * lanes).reshape(2, 2, lanes) * 16
-        self.weight = np.full((2, 2, lanes), 33000, np.int32)
-        self.before = np.zeros((2, lanes), np.uint32)
+        # per context (of order 1, of order 2) and lane 32 probabilities of 16 bits
+        self.right = np.full(2 * lanes * 32, 1 << 15, np.int32)
+        self.context = np.arange(2 * lanes).reshape(2, lanes) * 32
+        self.weight = np.full((2, lanes), 33000, np.int32)
+        self.before = [np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)]
 
     def step(self, n: int, ids: np.ndarray | None) -> np.ndarray:
-        """Codes the next id of the first n lanes."""
-        coder, every = self.coder, slice(0, n)
-        one = self.before[0, :n] * np.uint32(0x9E3779B1)
-        two = (one ^ (self.before[1, :n] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
+        """Codes the next id of the first n lanes: whether it is the predicted one, and else which, in one step of the coder."""
+        coder, known = self.coder, self.known
+        one = self.before[0][:n] * np.uint32(0x9E3779B1)
+        two = (one ^ (self.before[1][:n] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
         at = self.place[:, :n].copy()
         at[0] += one >> np.uint32(32 - ONE)
         at[1] += two >> np.uint32(32 - TWO)
-        entry = self.known.take(at)
-        predicted, trust = entry >> 3, entry & 7
-        second, first = predicted
-        same = first == second
-        # whether either prediction holds, each from two probabilities mixed
-        places = self.context[:, :, :n] + (trust << 1 | same)
-        p, w = self.right.take(places), self.weight[:, :, :n]
+        entry = known.take(at)
+        ids_before, trust = entry >> 3, entry & 7
+        same = ids_before[0] == ids_before[1]
+        # order 2 predicts where it has been right or order 1 has not
+        by_two = trust[1] >= trust[0]
+        predicted = np.where(by_two, ids_before[1], ids_before[0])
+        places = self.context[:, :n] + ((trust << 2) + (same * 2 + by_two))
+        p, w = self.right.take(places), self.weight[:, :n]
         s = STRETCH.take(p >> 4)
         voted = s * w
-        mixed = SQUASH.take(((voted[:, 0] + voted[:, 1]) >> 16) + 2048, mode="clip")
-        share2 = mixed[0] << 4
-        both = share2 + (((65534 - share2) * mixed[1] >> 12) + 1) * ~same
-        unit = coder.range[every] >> 16
-        edge2, edge1 = unit * share2, unit * both
+        mixed = SQUASH.take(((voted[0] + voted[1]) >> 16) + 2048, mode="clip")
+        low, wide = coder.low[:n], coder.range[:n]
+        edge = (wide >> 12) * mixed
+        unit = (wide - edge) >> DEPTH
         if ids is None:
-            low = coder.low[every]
-            hit2, missed = low < edge2, low >= edge1
-            out = np.where(hit2, first, second)
+            hit = low < edge
+            out = np.where(hit, predicted, self.shares.ids.take(self.slots[:n] + (low - edge) // unit, mode="clip")).astype(np.int32, copy=False)
         else:
             out = ids[:n]
-            good = predicted == out
-            hit2 = good[1]
-            missed = ~(good[0] | hit2)
-        lower = np.where(missed, edge1, edge2)
-        lower[hit2] = 0
-        upper = np.where(hit2, edge2, edge1)
-        upper[missed] = (unit << 16)[missed]
-        coder.narrow(every, lower, upper - lower)
-        left = np.flatnonzero(missed)
-        if len(left):
-            new = coder.escape(left, None if ids is None else out[left], self.bits, self.shares, None if self.shares is None else self.own[left])
-            if ids is None:
-                out[left] = new
-        if ids is None:
-            good = predicted == out
-        # the second decision is asked only where the first failed and both predict different ids
-        asked = ~(hit2 | same)
-        held = np.stack([hit2, good[0]]).astype(np.int32)
-        error = (held << 12) - mixed
-        error[1] *= asked
-        w += (s * error[:, None]) >> 10
-        learnt = ((held * 65535)[:, None] - p) >> 5
-        learnt[1] *= asked
-        self.right[places] = p + learnt
-        key = trust | (good << 3)
-        self.known[at] = np.where(KEEP.take(key), entry & ~7, out << 3) | TRUST.take(key)
-        self.before[1, :n] = self.before[0, :n]
-        self.before[0, :n] = out
+            hit = predicted == out
+        share = self.shares.places.take(self.table[:n] + out)
+        lower = np.where(hit, 0, edge + unit * (share >> 24))
+        coder.narrow(low - lower if ids is None else low + lower, np.where(hit, edge, unit * (share & 0xFFFFFF)))
+        held = hit.astype(np.int32)
+        w += (s * ((held << 12) - mixed)) >> 10
+        self.right[places] = p + ((held * 65535 - p) >> 5)
+        known[at] = np.where(trust > 1, entry, out << 3) + TRUST.take(trust | ((ids_before == out) << 3))
+        self.before.reverse()
+        self.before[0][:n] = out
         return out
 
 
-class Shares:
-    """Order-0 shares of several segments: of 2 to the power depth, at least 1 for each id that occurs."""
-
-    def __init__(self, counts: list[np.ndarray], bits: int, decoding: bool):
-        self.depth = depth_of(bits)
-        self.counts = np.stack(counts).astype(np.int64)
-        self.starts = np.cumsum(self.counts, axis=1) - self.counts
-        if decoding:
-            self.ids = np.zeros((len(counts), 1 << self.depth), np.uint16 if bits <= 16 else np.uint32)
-            for row, c in zip(self.ids, self.counts):
-                row[: c.sum()] = np.repeat(np.arange(len(c)), c)
-
-
-def depth_of(bits: int) -> int:
-    if bits > 22:
-        raise ValueError("ids of more than 22 bits")
-    return max(18, bits + 2)
-
-
-def shares_of(ids: np.ndarray, bits: int) -> np.ndarray:
-    """Each id's share of 2 to the power ``depth_of(bits)``, by its count; what is left over goes to the most frequent one."""
-    n = np.bincount(ids, minlength=1 << bits)
-    most = 1 << depth_of(bits)
-    c = np.where(n > 0, np.maximum(1, n * (most - np.count_nonzero(n)) // max(1, len(ids))), 0)
-    if len(ids):
-        c[int(n.argmax())] += most - int(c.sum())
-    return c.astype(np.uint32)
-
-
 def encode_blocks(blocks: list[np.ndarray], bits: int, counts: list[np.ndarray] | None = None, owner: list[int] | None = None) -> list[bytes]:
     """Codes every block of ids (uint32, below 2 to the power bits); block i by the order-0 shares counts[owner[i]], by even ones where there are none."""
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    shares = None if counts is None else Shares(counts, bits, False)
+    shares = Shares(counts, bits, False)
     for at in range(0, len(order), LANES):
         own = order[at : at + LANES]
         lengths = np.array([len(blocks[i]) for i in own])
         ids = np.zeros((int(lengths.max()), len(own)), np.int32)
         for k, i in enumerate(own):
             ids[: lengths[k], k] = blocks[i]
-        coder = _Coder(len(own), int(lengths.max()) * 2 + 4, None)
-        model = _Model(len(own), bits, coder, shares, None if owner is None else np.array([owner[i] for i in own]))
+        coder = _Coder(len(own), int(lengths.max()) + 4, None)
+        model = _Model(len(own), bits, coder, shares, np.array([owner[i] if owner else 0 for i in own]))
         for t in range(len(ids)):
             model.step(int(np.searchsorted(-lengths, -t)), ids[t])
         for i, data in zip(own, coder.finished()):
@@ -238,12 +199,12 @@ def encode_blocks(blocks: list[np.ndarray], bits: int, counts: list[np.ndarray]
 def decode_blocks(data: list[bytes], lengths: list[int], bits: int, counts: list[np.ndarray] | None = None, owner: list[int] | None = None) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(data)
     order = sorted(range(len(data)), key=lambda i: -lengths[i])
-    shares = None if counts is None else Shares(counts, bits, True)
+    shares = Shares(counts, bits, True)
     for at in range(0, len(order), LANES):
         own = order[at : at + LANES]
         n = np.array([lengths[i] for i in own])
         ids = np.zeros((int(n.max()), len(own)), np.uint32)
-        model = _Model(len(own), bits, _Coder(len(own), 0, [data[i] for i in own]), shares, None if owner is None else np.array([owner[i] for i in own]))
+        model = _Model(len(own), bits, _Coder(len(own), 0, [data[i] for i in own]), shares, np.array([owner[i] if owner else 0 for i in own]))
         for t in range(len(ids)):
             k = int(np.searchsorted(-n, -t))
             ids[t, :k] = model.step(k, None)
@@ -283,10 +244,11 @@ class _Read:
             at += size
 
     def joined(self, blocks: list[np.ndarray]) -> bytes:
-        for (n, crc, _), ids in zip(self.blocks, blocks):
-            if len(ids) != n or zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        parts = [ids.astype("<u4").tobytes() for ids in blocks]
+        for (n, crc, _), part in zip(self.blocks, parts):
+            if len(part) != 4 * n or zlib.crc32(part) != crc:
                 raise ValueError("damaged block")
-        return b"".join(ids.astype("<u4").tobytes() for ids in blocks)
+        return b"".join(parts)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = 1, bits: int = 16) -> None:

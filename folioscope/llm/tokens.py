@@ -3,15 +3,17 @@
 The word tokenizer drops white space and never merges across it, so a text's ids are those of its blank-separated
 parts in order; only parts not met before go through the tokenizer. The memory is bounded and emptied when full.
 A plain word of Latin-1 letters goes straight to the tokenizer's merge model, which gives the same ids without
-the cost of offsets; a comma or full stop behind it is its own token.
+the cost of offsets; marks behind it are tokens of their own.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from struct import pack
 
 #: Most parts remembered per Python worker (some 200 bytes each).
 REMEMBERED = 800_000
+#: Marks behind a word that may be tokenized apart from it, if a probe agrees.
+TAIL = ".,&$#%*!?;:"
 
 
 def _byte_letters() -> dict[int, int]:
@@ -21,6 +23,10 @@ def _byte_letters() -> dict[int, int]:
     return {b: b if b in printable else 256 + others.index(b) for b in range(256)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return pack(f"<{len(ids)}I", *ids)
+
+
 class _Parts(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -35,24 +41,29 @@ class _Parts(dict):
             self._encoded(w + p) == self._encoded(w) + self._encoded(p) for w in ("word", "été") for p in ".,"
         )
 
+        # marks that part from the word before them, alone, in runs and behind others
+        runs = lambda p: (p, p * 3, "," + p * 3, p + ".")
+        self.tail = "".join(p for p in TAIL if all(self._encoded(w + e) == self._encoded(w) + self._encoded(e) for w in ("word", "été") for e in runs(p)))
+
     def begin(self) -> None:
         self.clear()
         self[""] = b""
 
     def _encoded(self, part: str) -> bytes:
-        return np.array(self.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.encode(part, add_special_tokens=False).ids)
 
     def _merged(self, part: str) -> bytes:
-        spelled = part.lower().encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.merge(spelled)], "<u4").tobytes()
+        # letters of ASCII stand for themselves in the byte-level alphabet
+        spelled = part.lower() if part.isascii() else part.lower().encode().decode("latin-1").translate(self.letters)
+        return _packed([t.id for t in self.merge(spelled)])
 
     def __missing__(self, part: str) -> bytes:
         if len(self) > REMEMBERED:
             self.begin()
-        if self.plain and part.isalpha() and max(part) < "Ā":
+        if self.plain and part.isalpha() and (part.isascii() or max(part) < "Ā"):
             ids = self._merged(part)
-        elif self.plain and part[-1] in ".," and part[:-1].isalpha():
-            ids = self[part[:-1]] + self[part[-1]]
+        elif self.plain and part[-1] in self.tail and (stem := part.rstrip(self.tail)).isalpha():
+            ids = self[stem] + self[part[len(stem) :]]
         else:
             ids = self._encoded(part)
         self[part] = ids
