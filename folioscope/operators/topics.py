@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 
 from folioscope.functions import text as T
 
+from .graph import kept
+from .rollups import dealt
+
 # Labels that are too coarse to stand alone but begin specific ones.
 MID_LEVEL_LABELS = [
     "data mining", "information retrieval", "machine learning", "natural language processing",
@@ -32,29 +35,45 @@ def topic_candidates(works: DataFrame, authorships: DataFrame, labels: DataFrame
 
     labels: (work_id, name, kind, score, level), kind one of primary, topic, keyword, concept. A keyword counts if the title has it or two works do, a concept from level 2, a
     title phrase from three works; recent and cited works weigh more.
+
+    What a work says of a key is told once per work, then sent as one row a work and scholar and counted by hash where the scholar's rows lie. A work is given once in works.
     """
-    own = authorships.select("scholar_id", "work_id").distinct().join(works.select("work_id", "title", F.coalesce("publication_year", F.lit(0)).alias("year"), F.coalesce("cited_by_count", F.lit(0)).alias("citations")), "work_id")
+    c = F.col
+    # keys and phrases of a title are made once per work, not per author
+    w = kept(works.select("work_id", T.topic_key(c("title")).alias("title_key"), T.title_phrases(c("title")).alias("phrases"), F.coalesce("publication_year", F.lit(0)).alias("year"), F.coalesce("cited_by_count", F.lit(0)).alias("citations")))
+    named = labels.select("work_id", T.topic_key(c("name")).alias("key"), "kind", "score", F.coalesce("level", F.lit(0)).alias("level")).hint("merge").join(w.select("work_id", "title_key"), "work_id")
+    keyed = named.select(
+        "work_id", "key",
+        F.when(c("kind") == "primary", 2.2 * F.coalesce("score", F.lit(1.0))).when(c("kind") == "topic", 1.2 * F.coalesce("score", F.lit(1.0))).alias("topic"),
+        F.when(c("kind") == "keyword", 2.4 * F.coalesce("score", F.lit(0.7))).alias("keyword"),
+        F.when((c("kind") == "concept") & (c("level") >= 2), 0.45 * F.coalesce("score", F.lit(0.5))).alias("concept"),
+        F.contains("title_key", "key").alias("titled"), F.lit(False).alias("phrase"),
+    )
+    none = F.lit(None).cast("double")
+    said = keyed.unionByName(w.select("work_id", F.explode("phrases").alias("key"), none.alias("topic"), none.alias("keyword"), none.alias("concept"), F.lit(False).alias("titled"), F.lit(True).alias("phrase")))
+    per_work = said.repartition("work_id").groupBy("work_id", "key").agg(*[F.sum(x).alias(x) for x in ("topic", "keyword", "concept")], *[F.max(x).alias(x) for x in ("titled", "phrase")]).filter(is_specific(c("key")))
+    listed = per_work.groupBy("work_id").agg(F.collect_list(F.struct("key", "topic", "keyword", "concept", "titled", "phrase")).alias("items"))
+    own = kept(authorships.select("scholar_id", "work_id").distinct().hint("merge").join(w.select("work_id", "year", "citations"), "work_id"))
     newest = own.groupBy("scholar_id").agg(F.max("year").alias("newest"))
-    recency = F.when((F.col("newest") > 0) & (F.col("year") > 0), 1 + 0.35 * F.greatest(F.lit(0), F.col("year") - F.col("newest") + 5) / 5).otherwise(1.0)
+    recency = F.when((c("newest") > 0) & (c("year") > 0), 1 + 0.35 * F.greatest(F.lit(0), c("year") - c("newest") + 5) / 5).otherwise(1.0)
     weight = recency * (1 + F.least(F.log1p("citations") / 12, F.lit(0.45)))
-    weighed = own.join(newest, "scholar_id").select("scholar_id", "work_id", T.topic_key(F.col("title")).alias("title_key"), weight.alias("w"))
-    named = labels.withColumn("key", T.topic_key(F.col("name"))).filter(is_specific(F.col("key")))
-    x = weighed.join(named, "work_id")
-    spread = x.filter("kind = 'keyword'").groupBy("scholar_id", "key").agg(F.count_distinct("work_id").alias("spread"))
-    x = x.join(spread, ["scholar_id", "key"], "left")
-    c = F.col
-    points = (
-        F.when(c("kind") == "primary", 2.2 * F.coalesce("score", F.lit(1.0)) * c("w")).when(c("kind") == "topic", 1.2 * F.coalesce("score", F.lit(1.0)) * c("w"))
-        .when((c("kind") == "keyword") & (F.contains("title_key", "key") | (c("spread") >= 2)), 2.4 * F.coalesce("score", F.lit(0.7)) * c("w"))
-        .when((c("kind") == "concept") & (F.coalesce("level", F.lit(0)) >= 2), 0.45 * F.coalesce("score", F.lit(0.5)))
+    rows = dealt(own.hint("merge").join(listed, "work_id")).join(newest.hint("shuffle_hash"), "scholar_id")
+    x = rows.select("scholar_id", "work_id", weight.alias("w"), F.explode("items").alias("i")).select("scholar_id", "work_id", "w", "i.*")
+    asked = c("keyword").isNotNull()
+    plain = c("topic").isNotNull() | c("concept").isNotNull() | (asked & c("titled"))  # counts whatever other works say
+    per = x.groupBy("scholar_id", "key").agg(
+        F.sum(F.coalesce(c("topic") * c("w"), F.lit(0.0)) + F.coalesce("concept", F.lit(0.0)) + F.when(asked & c("titled"), c("keyword") * c("w")).otherwise(0.0)).alias("points"),
+        F.sum(F.when(asked & ~c("titled"), c("keyword") * c("w")).otherwise(0.0)).alias("spread_points"),
+        F.count("topic").alias("n_topic"), F.count("concept").alias("n_concept"), F.count("keyword").alias("n_keyword"), F.count_if(asked & c("titled")).alias("n_titled"), F.count_if("phrase").alias("n_phrase"),
+        F.count_if(plain).alias("n0"), F.count_if(plain | asked).alias("n1"), F.count_if(plain | c("phrase")).alias("n2"), F.count_if(plain | asked | c("phrase")).alias("n3"),
+        F.collect_list(F.struct("work_id", plain.alias("plain"), asked.alias("keyword"), "phrase")).alias("listed"),  # made only where works are asked for
     )
-    source = F.when(c("kind").isin("primary", "topic"), "topic").otherwise(c("kind"))
-    labelled = x.select("scholar_id", "work_id", "key", source.alias("source"), points.alias("points")).filter("points is not null")
-    phrases = own.select("scholar_id", "work_id", F.explode(T.title_phrases(c("title"))).alias("key"))
-    known = phrases.groupBy("scholar_id", "key").agg(F.count("*").alias("n")).filter("n >= 3").select("scholar_id", "key")
-    titled = phrases.hint("merge").join(known, ["scholar_id", "key"], "left_semi").select("scholar_id", "work_id", "key", F.lit("title_phrase").alias("source"), (2.4 + 0.5 * F.least(F.size(F.split("key", " ")), F.lit(4))).alias("points"))
-    every = labelled.unionByName(titled)
-    return every.groupBy("scholar_id", "key").agg((F.sum("points") * F.first(_damped(c("key")))).alias("score"), F.array_sort(F.collect_set("work_id")).alias("works"), F.array_sort(F.collect_set("source")).alias("sources")).withColumn("n_works", F.size("works"))
+    spread, known = c("n_keyword") >= 2, c("n_phrase") >= 3
+    n_works = F.when(spread & known, c("n3")).when(spread, c("n1")).when(known, c("n2")).otherwise(c("n0"))
+    score = c("points") + F.when(spread, c("spread_points")).otherwise(0.0) + F.when(known, c("n_phrase") * (2.4 + 0.5 * F.least(F.size(F.split("key", " ")), F.lit(4)))).otherwise(0.0)
+    counted = F.filter("listed", lambda v: v["plain"] | (spread & v["keyword"]) | (known & v["phrase"]))
+    sources = F.array_compact(F.array(F.when(c("n_concept") > 0, "concept"), F.when(spread | (c("n_titled") > 0), "keyword"), F.when(known, "title_phrase"), F.when(c("n_topic") > 0, "topic")))
+    return per.filter(n_works > 0).select("scholar_id", "key", (score * _damped(c("key"))).alias("score"), F.array_sort(F.transform(counted, lambda v: v["work_id"])).alias("works"), sources.alias("sources"), n_works.cast("int").alias("n_works"))
 
 
 def select_topics(candidates: DataFrame, k: int = 10, overlap: float = 0.7) -> DataFrame:

@@ -18,8 +18,7 @@ def _add(name: str, run, sql: str) -> None:
     QUERIES[name], ORACLE[name] = run, oracle(sql)
 
 
-def _labels(s, d):
-    t, w = view(s, d, "work_topics"), view(s, d, "works")
+def _labels(t, w):
     named = lambda df, name, kind, score: df.select("work_id", name.alias("name"), F.lit(kind).alias("kind"), score.cast("double").alias("score"), F.lit(2).alias("level"))
     none = F.lit(None)
     return (
@@ -32,7 +31,8 @@ def _labels(s, d):
 
 
 def _candidates(s, d):
-    return P.topic_candidates(view(s, d, "works"), view(s, d, "authorships"), _labels(s, d))
+    works = kept(view(s, d, "works"))
+    return P.topic_candidates(works, view(s, d, "authorships"), _labels(kept(view(s, d, "work_topics")), works))
 
 
 SINGULAR = "array_to_string(list_transform(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda x: case when len(x) > 4 and ends_with(x, 'ies') then x[:-4] || 'y' when len(x) > 4 and ends_with(x, 's') and not ends_with(x, 'ss') then x[:-2] else x end), ' ')"

@@ -148,3 +148,26 @@ def test_review_reads_only_the_keys_that_evidence_names(spark):
     found = review_evidence(evidence, works, spark.createDataFrame([(2, "sufficient")], "scholar_id long, status string"))
     assert "array_contains(asked" in plan(found)
     assert sorted((r.scholar_id, r.evidence_id, r.approved, r.confidence) for r in found.collect()) == [(1, 1, True, "medium"), (1, 2, False, None), (2, 1, True, "medium"), (2, 2, True, "high"), (3, 1, False, None)]
+
+
+def test_topic_candidates_are_told_once_per_work_and_counted_by_hash(spark):
+    """Each rule for counting a keyword or phrase alone and together; no set of works is made and no exploded row is sent."""
+    from folioscope.operators import topics as P
+
+    works = [(w, "Fast Graph Search" if w < 3 else "Fast Graph Search Again" if w == 3 else None if w == 4 else "Other thing", 2000 + w, w * 10) for w in range(6)]
+    authorships = [(w, s) for w in range(6) for s in range(3) if w != s] + [(3, 0)]
+    labels = [(0, "graph search", "keyword", None, 2), (1, "Lonely Keyword", "keyword", 0.5, 2), (5, "lonely keywords", "keyword", 0.5, 2), (5, "odd one", "keyword", 1.0, 2), (2, "Fast graphs", "primary", 1.0, 2), (2, "fast graph", "topic", 1.0, 2),
+              (4, "shallow", "concept", 1.0, 1), (4, "data mining", "concept", None, 2), (3, "fast graph", "concept", 1.0, 3)]
+    found = P.topic_candidates(spark.createDataFrame(works, "work_id long, title string, publication_year int, cited_by_count int"), spark.createDataFrame(authorships, "work_id long, scholar_id long"),
+                               spark.createDataFrame(labels, "work_id long, name string, kind string, score double, level int"))
+    got = {(r.scholar_id, r.key): (r.works, r.sources, r.n_works) for r in found.collect()}
+    own = {s: sorted({w for w, a in authorships if a == s}) for s in range(3)}
+    for s in range(3):
+        titled = [w for w in own[s] if w < 4]
+        assert got[s, "fast graph"] == (titled, ["concept", "title_phrase", "topic"] if 2 in titled else ["concept", "title_phrase"], len(titled))
+        assert got.get((s, "graph search")) == (titled, ["keyword", "title_phrase"] if 0 in titled else ["title_phrase"], len(titled))
+        assert got.get((s, "lonely keyword")) == (None if s == 1 else ([1, 5], ["keyword"], 2))
+        assert got[s, "data mining"] == ([4], ["concept"], 1)
+        assert (s, "odd one") not in got and (s, "shallow") not in got and (s, "search again") not in got
+    text = plan(found.select("scholar_id", "key", "score", "n_works", "sources"))
+    assert "collect_set" not in text and not re.search(r"Exchange hashpartitioning\(scholar_id#\d+L?, key", text)
