@@ -171,3 +171,27 @@ def test_topic_candidates_are_told_once_per_work_and_counted_by_hash(spark):
         assert (s, "odd one") not in got and (s, "shallow") not in got and (s, "search again") not in got
     text = plan(found.select("scholar_id", "key", "score", "n_works", "sources"))
     assert "collect_set" not in text and not re.search(r"Exchange hashpartitioning\(scholar_id#\d+L?, key", text)
+
+
+def test_components_within_scopes_are_told_where_they_lie(spark):
+    """The least id reachable within each scope, as without scopes on marked ids, and no exchange by scope and id."""
+    from folioscope.operators import graph as G
+
+    links = [(s, (k * 7 + s) % 40, (k * 11 + 3) % 40) for s in range(3) for k in range(14 + s)] + [(9, 5, 5)]
+    near = defaultdict(set)
+    for s, a, b in links:
+        near[s, a].add(b)
+        near[s, b].add(a)
+    want = {}
+    for s, a in sorted(near):
+        todo = [a]
+        while todo:
+            x = todo.pop()
+            if (s, x) not in want:
+                want[s, x] = a
+                todo += near[s, x]
+    found = G.components(spark.createDataFrame(links, "s long, a long, b long"), "s")
+    assert {(r.s, r.id): r.component for r in found.collect()} == {k: v for k, v in want.items() if near[k] != {k[1]}}
+    keys = spark.createDataFrame([(1, 1, "x"), (1, 2, "x"), (2, 2, "x"), (2, 3, "y"), (1, 3, "y"), (1, 2, "y")], "s long, id long, key string")
+    of = G.components_of(keys.select("s", "id").distinct(), keys, "s")
+    assert sorted(map(tuple, of.collect())) == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (2, 2, 2), (2, 3, 3)]
