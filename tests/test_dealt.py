@@ -195,3 +195,15 @@ def test_components_within_scopes_are_told_where_they_lie(spark):
     keys = spark.createDataFrame([(1, 1, "x"), (1, 2, "x"), (2, 2, "x"), (2, 3, "y"), (1, 3, "y"), (1, 2, "y")], "s long, id long, key string")
     of = G.components_of(keys.select("s", "id").distinct(), keys, "s")
     assert sorted(map(tuple, of.collect())) == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (2, 2, 2), (2, 3, 3)]
+
+
+def test_anchored_profiles_normalise_known_titles_once(spark):
+    """The profile with most works of the scholar's own among those reached by an anchor; only the records' titles are left to normalise in the last job."""
+    from folioscope.operators import candidates as C
+
+    works = spark.createDataFrame([(1, "Top: title", 2000, 9), (1, "Second", 2001, 8), (1, "third", 2002, 1), (2, "Alone", 2000, None)], "scholar_id long, title string, publication_year int, cited_by_count int")
+    hits = spark.createDataFrame([(1, "top TITLE", 11), (1, "second!", 12), (1, "third", 13), (2, "no", 21), (1, "Top title", 11)], "scholar_id long, title string, author_id long")
+    articles = spark.createDataFrame([(1, 11, 1, "Top title", 2000), (1, 12, 2, "SECOND", 2001), (1, 12, 3, "Third", None), (1, 13, 4, "Top title", 2000), (1, 13, 5, "Second", 2001), (1, 13, 6, "third", 2002), (2, 21, 7, "Alone", 2000)], "scholar_id long, author_id long, record_id long, title string, year int")
+    found = C.choose_anchored(works, hits, articles, spark.createDataFrame([(1, 11, 2)], "scholar_id long, author_id long, score int"))
+    assert [tuple(r) for r in found.collect()] == [(1, 12, 2)]
+    assert len(re.findall(r"Project \[.*regexp_replace", plan(found).split("Initial Plan")[0])) == 1
