@@ -11,7 +11,7 @@ from __future__ import annotations
 from struct import pack
 
 #: Most parts remembered per Python worker (some 200 bytes each).
-REMEMBERED = 800_000
+REMEMBERED = 1_400_000
 #: Marks behind a word that may be tokenized apart from it, if a probe agrees.
 TAIL = ".,&$#%*!?;:"
 
