@@ -1,11 +1,13 @@
 """Lists that rest on collaborations count those of all works, however many authors a work has."""
 
 import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
 
 from folioscope import registry
+from folioscope.plans.fixtures import view
 from tests.oracle_check import TABLES, assert_same
 
 SF = Path("/root/testdata/sf0.001")
@@ -35,8 +37,12 @@ def works_of_three(spark, tmp_path_factory):
 
 
 @pytest.mark.skipif(not SF.exists(), reason="needs the given tables")
-@pytest.mark.parametrize("name", ["H10_recommend_collaborators"])
+@pytest.mark.parametrize("name", ["H10_recommend_collaborators", "H11_recommend_competitors"])
 def test_collaborations_of_all_works_count(spark, works_of_three, name):
     run = registry.queries()[name]
-    assert run(spark, works_of_three).count() > 0
+    a = view(spark, works_of_three, "authorships").select("work_id", "scholar_id")
+    joint = Counter((x.focus_id, x.candidate_id) for x in a.withColumnRenamed("scholar_id", "focus_id").join(a.withColumnRenamed("scholar_id", "candidate_id"), "work_id").collect())
+    assert max(n for (x, y), n in joint.items() if x != y) > 1
+    found = [r for r in run(spark, works_of_three).collect() if "potential" in r.asDict().get("categories", r.asDict().get("category", name.replace("recommend", "potential")))]
+    assert found and max(joint[r.focus_id, r.candidate_id] for r in found) == 1  # those with more are known to each other
     assert_same(spark, works_of_three, run, registry.oracle_sql()[name])
