@@ -37,7 +37,7 @@ def works_of_three(spark, tmp_path_factory):
 
 
 @pytest.mark.skipif(not SF.exists(), reason="needs the given tables")
-@pytest.mark.parametrize("name", ["H10_recommend_collaborators", "H11_recommend_competitors"])
+@pytest.mark.parametrize("name", ["H10_recommend_collaborators", "H11_recommend_competitors", "H13_merge_recommendations", "H14_explain_recommendations"])
 def test_collaborations_of_all_works_count(spark, works_of_three, name):
     run = registry.queries()[name]
     a = view(spark, works_of_three, "authorships").select("work_id", "scholar_id")
